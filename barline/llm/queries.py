@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup
+from barline.llm import exact_dedup, mixing, packing
 from barline.llm.common import read_table
 
 
@@ -10,8 +10,20 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark, sf_dir):
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {
+        "op1_exact_dedup": op1_exact_dedup,
+        "op3_mixing": op3_mixing,
+        "op10_packing": op10_packing,
+    }
 
 
 def oracle_sql():
