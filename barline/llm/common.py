@@ -77,3 +77,21 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def join_hot_cold(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, parts: int = 10_000) -> DataFrame:
+    """Inner join of ``rows`` with one-row-per-key ``groups`` without a hot task.
+
+    ``weight`` is the number of ``rows`` of a key, ``total`` that of all. At most
+    ``parts`` keys can hold total/parts rows each: those are broadcast, and the
+    rows of the others, none of them hot, shuffle.
+    """
+    hot = F.col(weight) * parts >= total
+    heavy, light = F.broadcast(groups.filter(hot)), groups.filter(~hot)
+    rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti")
+    return rows.join(heavy, on).unionByName(rest.join(light, on))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import full_text, materialize, n_words, words
+from barline.llm.common import full_text, let, materialize, n_words, words
 
 # Weights by source in code-point order, repeating; the cap on repeats.
 WEIGHTS = (5, 2, 1)
@@ -166,7 +166,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda x: x["times"])).cast("int"))))
     mine = F.filter("spans", lambda x: x["times"] >= F.col("pass"))
     out = out.withColumn("mine", mine).withColumn("n", F.aggregate("mine", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
-    pieces = F.transform("mine", lambda x: F.array_join(F.slice(F.col("words"), (x["start"] + 1).cast("int"), x["length"].cast("int")), " "))
-    out = out.withColumn("words", F.when(F.col("n") < F.col("size"), words(text)))
-    new_text = F.when(F.col("n") < F.col("size"), F.array_join(pieces, " ")).otherwise(F.col("row")[text_col])
+
+    def cut(ws):
+        return F.array_join(F.flatten(F.transform("mine", lambda x: F.slice(ws, (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
+
+    new_text = F.when(F.col("n") < F.col("size"), let(words(text), cut)).otherwise(F.col("row")[text_col])
     return out.withColumn("new_text", new_text).select(*[F.col("new_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

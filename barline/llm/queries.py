@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, mixing, packing
+from barline.llm import exact_dedup, line_dedup, mixing, packing
 from barline.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -22,9 +26,10 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_mixing": op3_mixing,
+        "op6_line_dedup": op6_line_dedup,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
