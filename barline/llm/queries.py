@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing
+from barline.llm import exact_dedup, line_dedup, mixing, packing, quality
 from barline.llm.common import read_table
 
 
@@ -14,6 +14,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark, sf_dir):
+    return quality.quality(read_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,7 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_mixing": op3_mixing,
+        "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
         "op10_packing": op10_packing,
     }
