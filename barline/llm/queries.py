@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, quality
+from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan
 from barline.llm.common import read_table
 
 
@@ -10,6 +10,10 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark, sf_dir):
+    return secret_scan.secret_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ def op10_packing(spark, sf_dir):
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_secret_scan": op2_secret_scan,
         "op3_mixing": op3_mixing,
         "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
