@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan
+from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan, toxicity
 from barline.llm.common import read_table
 
 
@@ -26,6 +26,10 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark, sf_dir):
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def queries():
         "op3_mixing": op3_mixing,
         "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
+        "op8_toxicity": op8_toxicity,
         "op10_packing": op10_packing,
     }
 
