@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan, toxicity
+from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
 from barline.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(read_table(spark, sf_dir, "documents"))
 
 
+def op4_simhash(spark, sf_dir):
+    return simhash.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark, sf_dir):
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def queries():
         "op1_exact_dedup": op1_exact_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_mixing": op3_mixing,
+        "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
         "op8_toxicity": op8_toxicity,
