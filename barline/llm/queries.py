@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, quality, secret_scan, simhash, toxicity
+from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, toxicity
 from barline.llm.common import read_table
 
 
@@ -30,6 +30,10 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op7_pitman_yor(spark, sf_dir):
+    return pitman_yor.lm_score(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -46,6 +50,7 @@ def queries():
         "op4_simhash": op4_simhash,
         "op5_quality": op5_quality,
         "op6_line_dedup": op6_line_dedup,
+        "op7_pitman_yor": op7_pitman_yor,
         "op8_toxicity": op8_toxicity,
         "op10_packing": op10_packing,
     }
