@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, toxicity
+from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, token_edits, toxicity
 from barline.llm.common import read_table
 
 
@@ -38,6 +38,10 @@ def op8_toxicity(spark, sf_dir):
     return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op9_token_edits(spark, sf_dir):
+    return token_edits.edited_counts(read_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def queries():
         "op6_line_dedup": op6_line_dedup,
         "op7_pitman_yor": op7_pitman_yor,
         "op8_toxicity": op8_toxicity,
+        "op9_token_edits": op9_token_edits,
         "op10_packing": op10_packing,
     }
 
