@@ -18,6 +18,7 @@ from __future__ import annotations
 import bisect
 import functools
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import full_text, materialize
 
 CAPACITY = 2048
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 
 
 def default_tokenizer() -> str:
@@ -37,25 +38,63 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _byte_letters() -> dict[int, int]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ..."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: b for b in plain} | {b: 256 + i for i, b in enumerate(rest)}
+
+
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     """Texts to little-endian uint32 ids, each text followed by id 0.
 
     No token of this vocabulary spans white space, which is dropped: a text's ids
-    are those of its words, kept in a cache of bounded size.
+    are those of its words, kept in a cache of bounded size. A word of Latin
+    letters, perhaps with stops after it, goes straight to the tokenizer's BPE
+    model, as its normalizer and splitter would pass it on; any other word takes
+    the whole tokenizer.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
+    model, letters = tokenizer.model, _byte_letters()
     cache: dict[bytes, bytes] = {}
 
+    def whole(word: bytes) -> bytes:
+        return array("I", tokenizer.encode(word.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids).tobytes()
+
+    def latin(core: bytes) -> str | None:
+        """What the BPE model gets for a word of Latin letters, else None."""
+        if core.isalpha():
+            return core.decode()
+        if core.isascii():
+            return None
+        s = core.decode("utf-8", "surrogatepass")
+        if s.isalpha() and max(s) < "\u0250" and (s := s.lower()).isalpha():
+            return s.encode().decode("latin-1").translate(letters)
+        return None
+
+    def ids(word: bytes) -> bytes:
+        core = word.rstrip(b".,!?;:")
+        if core and len(core) < len(word):
+            if (sent := latin(core)) is None:
+                return whole(word)
+            tail = word[len(core) :]
+            for part in (core, tail):
+                if part not in cache:
+                    cache[part] = ids(part) if part is core else whole(part)
+            return cache[core] + cache[tail]
+        sent = latin(core)
+        return whole(word) if sent is None else array("I", [t.id for t in model.tokenize(sent)]).tobytes()
+
     def encode(texts: list[str]) -> list[bytes]:
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        split = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
         if len(cache) > CACHED_WORDS:
             cache.clear()
-        new = [w for w in set().union(*split) if w not in cache]
-        for w, e in zip(new, tokenizer.encode_batch([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)):
-            cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w in set().union(*split):
+            if w not in cache:
+                cache[w] = ids(w)
         return [b"".join(map(cache.__getitem__, ws)) + b"\0\0\0\0" for ws in split]
 
     return encode
