@@ -10,6 +10,11 @@ def series(keys=("symbol",), order: str = "datetime") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def bars() -> WindowSpec:
+    """A symbol's bars in order."""
+    return series(order="bar_idx")
+
+
 def last_n(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 

@@ -26,44 +26,56 @@ def scan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def linear_recurrence(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds ``out``. ``order`` is a long column, dense enough to be cut into blocks.
+def linear_recurrences(df: DataFrame, maps: dict[str, tuple[Column, Column]], keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds a column per entry of ``maps`` (name: (a, b)), all in one scan.
 
-    A row whose a or b is null repeats the value before it; before the first
-    defined row the result is null. The first row's a is not used.
+    ``order`` is a long column, dense enough to be cut into blocks. A row whose
+    a or b is null repeats the value before it; before the first defined row
+    the result is null. The first row's a is not used.
     """
-    keys = list(keys)
-    block = F.floor(F.col(order) / block_rows)
-    rows = df.withColumn("__block", block).withColumn("__a", F.when(b.isNotNull(), a)).withColumn("__b", F.when(a.isNotNull(), b))
-    names = [*keys, "__block", order, "__a", "__b"]
-    types = dict(rows.dtypes)
-    schema = ", ".join(f"`{n}` {types[n]}" for n in names[:-2]) + ", __a double, __b double, __known boolean"
+    keys, names, n = list(keys), list(maps), len(maps)
+    types = dict(df.dtypes)
+    rows = df.select(
+        *keys, order, F.floor(F.col(order) / block_rows).alias("__block"),
+        *[F.when(b.isNotNull(), a.cast("double") if isinstance(a, Column) else F.lit(float(a))).alias(f"__a{i}") for i, (a, b) in enumerate(maps.values())],
+        *[F.when(a.isNotNull(), b.cast("double")).alias(f"__b{i}") for i, (a, b) in enumerate(maps.values())],
+    )
+    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    per_map = lambda kind, stem: ", ".join(f"__{stem}{i} {kind}" for i in range(n))
 
     def local(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order, kind="stable")
-        known = pdf["__b"].notna().to_numpy()
-        a, b = np.where(known, pdf["__a"], 1.0), np.where(known, pdf["__b"], 0.0)
-        a, b = scan(a, b)
-        return pdf.assign(__a=a, __b=b, __known=np.maximum.accumulate(known))
+        out = {c: pdf[c] for c in [*keys, "__block", order]}
+        for i in range(n):
+            known = (pdf[f"__a{i}"].notna() & pdf[f"__b{i}"].notna()).to_numpy()
+            out[f"__a{i}"], out[f"__b{i}"] = scan(np.where(known, pdf[f"__a{i}"], 1.0), np.where(known, pdf[f"__b{i}"], 0.0))
+            out[f"__k{i}"] = np.maximum.accumulate(known)
+        return pd.DataFrame(out)[[*keys, "__block", order, *[f"__{s}{i}" for s in "abk" for i in range(n)]]]
 
-    scanned = rows.select(*names).groupBy(*keys, "__block").applyInPandas(local, schema)
-    last = scanned.groupBy(*keys, "__block").agg(F.max_by("__a", order).alias("ba"), F.max_by("__b", order).alias("bb"), F.max("__known").alias("bk"))
-    key_schema = ", ".join(f"`{n}` {types[n]}" for n in [*keys, "__block"])
+    schema = f"{key_schema}, __block long, `{order}` {types[order]}, {per_map('double', 'a')}, {per_map('double', 'b')}, {per_map('boolean', 'k')}"
+    scanned = rows.groupBy(*keys, "__block").applyInPandas(local, schema)
+    last = scanned.groupBy(*keys, "__block").agg(*[F.max_by(f"__{s}{i}", order).alias(f"__{s}{i}") for s in "abk" for i in range(n)])
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__block", kind="stable")
-        _, b = scan(pdf["ba"].to_numpy(), pdf["bb"].to_numpy())
-        known = np.maximum.accumulate(pdf["bk"].to_numpy(bool))
-        return pdf[[*keys, "__block"]].assign(carry=np.concatenate([[0.0], b[:-1]]), carried=np.concatenate([[False], known[:-1]]))
-
-    carried = last.groupBy(*keys).applyInPandas(carry, f"{key_schema}, carry double, carried boolean")
-    done = scanned.join(carried, [*keys, "__block"])
-    value = F.when(F.col("__known") | F.col("carried"), F.col("__a") * F.col("carry") + F.col("__b"))
-    done = done.select(*keys, order, value.alias(out))
+        out = {c: pdf[c] for c in [*keys, "__block"]}
+        for i in range(n):
+            _, b = scan(pdf[f"__a{i}"].to_numpy(), pdf[f"__b{i}"].to_numpy())
+            out[f"__c{i}"] = np.concatenate([[0.0], b[:-1]])
+            out[f"__d{i}"] = np.concatenate([[False], np.maximum.accumulate(pdf[f"__k{i}"].to_numpy(bool))[:-1]])
+        return pd.DataFrame(out)[[*keys, "__block", *[f"__{s}{i}" for s in "cd" for i in range(n)]]]
+
+    carried = last.groupBy(*keys).applyInPandas(carry, f"{key_schema}, __block long, {per_map('double', 'c')}, {per_map('boolean', 'd')}")
+    value = lambda i: F.when(F.col(f"__k{i}") | F.col(f"__d{i}"), F.col(f"__a{i}") * F.col(f"__c{i}") + F.col(f"__b{i}"))
+    done = scanned.join(carried, [*keys, "__block"]).select(*keys, order, *[value(i).alias(name) for i, name in enumerate(names)])
     return df.join(done, [*keys, order])
 
 
-def ewm(df: DataFrame, value: Column, alpha: float, out: str, keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Recursive exponential mean, seeded with the series' first value."""
+def linear_recurrence(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    return linear_recurrences(df, {out: (a, b)}, keys, order, block_rows)
+
+
+def ewm_map(value: Column, alpha: float, keys=("symbol",), order: str = "bar_idx") -> tuple[Column, Column]:
+    """The maps of a recursive exponential mean that is seeded with the series' first value."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) == 1
-    return linear_recurrence(df, F.when(first, 0.0).otherwise(1.0 - alpha), F.when(first, value).otherwise(alpha * value), out, keys, order, block_rows)
+    return F.when(first, 0.0).otherwise(1.0 - alpha), F.when(first, value).otherwise(alpha * value)

@@ -8,45 +8,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.frames import holds, over_zero, rolling, series, so_far
-from barline.functions.recurrence import ewm, linear_recurrence
-
-W = series(order="bar_idx")
+from barline.functions.frames import bars, holds, over_zero, rolling, so_far
+from barline.functions.recurrence import ewm_map, linear_recurrence, linear_recurrences
 
 
 def add_sma(df: DataFrame, period: int = 20, col: str = "close", name: str | None = None) -> DataFrame:
-    return df.withColumn(name or f"sma{period}", rolling(F.avg, F.col(col), W, period))
+    return df.withColumn(name or f"sma{period}", rolling(F.avg, F.col(col), bars(), period))
+
+
+def add_emas(df: DataFrame, periods: dict[str, int], col: str = "close") -> DataFrame:
+    """Recursive means seeded with the first value, a column per name, in one scan."""
+    return linear_recurrences(df, {name: ewm_map(F.col(col), 2.0 / (p + 1)) for name, p in periods.items()})
 
 
 def add_ema(df: DataFrame, period: int = 20, col: str = "close", name: str | None = None) -> DataFrame:
-    """Recursive mean seeded with the first value."""
-    return ewm(df, F.col(col), 2.0 / (period + 1), name or f"ema{period}")
+    return add_emas(df, {name or f"ema{period}": period}, col)
+
+
+def add_emas_weighted(df: DataFrame, periods: dict[str, int], col: str = "close") -> DataFrame:
+    """Means with weights (1-alpha)^k over all rows so far: numerators in one scan, denominators in closed form."""
+    alphas = {name: 2.0 / (p + 1) for name, p in periods.items()}
+    df = linear_recurrences(df, {name: (F.lit(1.0 - a), F.col(col)) for name, a in alphas.items()}).withColumn("__t", F.row_number().over(bars()))
+    return df.withColumns({name: F.col(name) * a / (1.0 - F.pow(F.lit(1.0 - a), F.col("__t"))) for name, a in alphas.items()}).drop("__t")
 
 
 def add_ema_weighted(df: DataFrame, period: int, col: str = "close", name: str | None = None) -> DataFrame:
-    """Mean with weights (1-alpha)^k over all rows so far: numerator by recurrence, denominator in closed form."""
-    alpha = 2.0 / (period + 1)
-    out = name or f"ewma{period}"
-    summed = linear_recurrence(df, F.lit(1.0 - alpha), F.col(col), "__num")
-    t = F.row_number().over(W)
-    return summed.withColumn(out, F.col("__num") * alpha / (1.0 - F.pow(F.lit(1.0 - alpha), t))).drop("__num")
-
-
-def _seeded(df: DataFrame, value: Column, period: int, alpha: float, skip: int, out: str) -> DataFrame:
-    """Recursive mean whose seed is the plain mean of ``period`` values after ``skip`` rows."""
-    t = F.row_number().over(W) - skip
-    df = df.withColumn("__v", value).withColumn("__seed", F.avg("__v").over(W.rowsBetween(-(period - 1), 0))).withColumn("__t", t)
-    b = F.when(F.col("__t") == period, F.col("__seed")).when(F.col("__t") > period, alpha * F.col("__v"))
+    return add_emas_weighted(df, {name or f"ewma{period}": period}, col)
+
+
+def _seeded(df: DataFrame, columns: dict[str, str], period: int, alpha: float, skip: int) -> DataFrame:
+    """Recursive means (name: column) whose seeds are the plain means of ``period`` values after ``skip`` rows."""
+    df = df.withColumn("__t", F.row_number().over(bars()) - skip)
+    df = df.withColumns({f"__seed_{name}": F.avg(c).over(bars().rowsBetween(-(period - 1), 0)) for name, c in columns.items()})
+    b = lambda name, c: F.when(F.col("__t") == period, F.col(f"__seed_{name}")).when(F.col("__t") > period, alpha * F.col(c))
     a = F.when(F.col("__t") == period, 0.0).otherwise(1.0 - alpha)
-    return linear_recurrence(df, a, b, out).drop("__v", "__seed", "__t")
+    done = linear_recurrences(df, {name: (a, b(name, c)) for name, c in columns.items()})
+    return done.drop("__t", *[f"__seed_{name}" for name in columns])
 
 
 def add_ema_sma_seeded(df: DataFrame, period: int, col: str = "close", name: str | None = None) -> DataFrame:
-    return _seeded(df, F.col(col), period, 2.0 / (period + 1), 0, name or f"ema{period}_seeded")
+    return _seeded(df, {name or f"ema{period}_seeded": col}, period, 2.0 / (period + 1), 0)
 
 
 def _moves(col: str) -> tuple[Column, Column]:
-    delta = F.col(col) - F.lag(col).over(W)
+    delta = F.col(col) - F.lag(col).over(bars())
     return F.when(delta > 0, delta).otherwise(0.0), F.when(delta < 0, -delta).otherwise(0.0)
 
 
@@ -62,7 +67,7 @@ def add_rsi(df: DataFrame, period: int = 14, col: str = "close", name: str = "rs
     ``fill``: that value wherever there is no loss.
     """
     df = _add_moves(df, col)
-    up, down = rolling(F.avg, F.col("__up"), W, period), rolling(F.avg, F.col("__down"), W, period)
+    up, down = rolling(F.avg, F.col("__up"), bars(), period), rolling(F.avg, F.col("__down"), bars(), period)
     df = df.withColumn("__up", up).withColumn("__down", down)
     rsi = 100 - 100 / (1 + F.col("__up") / over_zero(F.col("__down")))
     if fill is None:
@@ -75,57 +80,60 @@ def add_rsi(df: DataFrame, period: int = 14, col: str = "close", name: str = "rs
 def add_rsi_wilder(df: DataFrame, period: int = 14, col: str = "close", name: str = "rsi_wilder") -> DataFrame:
     """RSI of smoothed means (alpha = 1/period), from row ``period`` on; no loss: 100."""
     df = _add_moves(df, col)
-    df = _seeded(df, F.col("__up"), period, 1.0 / period, 1, "__ag")
-    df = _seeded(df, F.col("__down"), period, 1.0 / period, 1, "__al")
+    df = _seeded(df, {"__ag": "__up", "__al": "__down"}, period, 1.0 / period, 1)
     rsi = F.when(F.col("__al") == 0, 100.0).otherwise(100 - 100 / (1 + F.col("__ag") / over_zero(F.col("__al"))))
     return df.withColumn(name, F.when(F.col("__al").isNotNull(), rsi)).drop("__up", "__down", "__ag", "__al")
 
 
 def _true_range() -> Column:
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(bars())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def add_atr(df: DataFrame, period: int = 14, name: str = "atr") -> DataFrame:
     df = df.withColumn("tr", _true_range())
-    return df.withColumn(name, rolling(F.avg, F.col("tr"), W, period))
+    return df.withColumn(name, rolling(F.avg, F.col("tr"), bars(), period))
 
 
 def add_adx(df: DataFrame, period: int = 14, name: str = "adx") -> DataFrame:
-    up, down = F.col("high") - F.lag("high").over(W), F.lag("low").over(W) - F.col("low")
+    up, down = F.col("high") - F.lag("high").over(bars()), F.lag("low").over(bars()) - F.col("low")
     df = df.withColumns({"__up": up, "__down": down, "__tr": _true_range()})
     plus = F.when((F.col("__up") > F.col("__down")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0)
     minus = F.when((F.col("__down") > F.col("__up")) & (F.col("__down") > 0), F.col("__down")).otherwise(0.0)
     df = df.withColumn("__plus", plus).withColumn("__minus", minus)
-    span = rolling(F.sum, F.col("__tr"), W, period)
-    df = df.withColumns({"__span": over_zero(span), "__p": rolling(F.sum, F.col("__plus"), W, period), "__m": rolling(F.sum, F.col("__minus"), W, period)})
+    span = rolling(F.sum, F.col("__tr"), bars(), period)
+    df = df.withColumns({"__span": over_zero(span), "__p": rolling(F.sum, F.col("__plus"), bars(), period), "__m": rolling(F.sum, F.col("__minus"), bars(), period)})
     df = df.withColumn("plus_di", 100 * F.col("__p") / F.col("__span")).withColumn("minus_di", 100 * F.col("__m") / F.col("__span"))
     df = df.withColumn("__dx", 100 * F.abs(F.col("plus_di") - F.col("minus_di")) / over_zero(F.col("plus_di") + F.col("minus_di")))
-    return df.withColumn(name, rolling(F.avg, F.col("__dx"), W, period)).drop(*[c for c in df.columns if c.startswith("__")])
+    return df.withColumn(name, rolling(F.avg, F.col("__dx"), bars(), period)).drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, col: str = "close") -> DataFrame:
-    df = add_ema(add_ema(df, fast, col, "__fast"), slow, col, "__slow")
+    df = add_emas(df, {"__fast": fast, "__slow": slow}, col)
+    return _macd(df, signal)
+
+
+def _macd(df: DataFrame, signal: int) -> DataFrame:
     df = df.withColumn("macd", F.col("__fast") - F.col("__slow")).drop("__fast", "__slow")
     df = add_ema(df, signal, "macd", "macd_signal")
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
 def add_bbands(df: DataFrame, period: int = 20, deviations: float = 2.0, col: str = "close") -> DataFrame:
-    mid, std = rolling(F.avg, F.col(col), W, period), rolling(F.stddev_samp, F.col(col), W, period)
+    mid, std = rolling(F.avg, F.col(col), bars(), period), rolling(F.stddev_samp, F.col(col), bars(), period)
     return df.withColumns({"bb_mid": mid, "bb_up": mid + deviations * std, "bb_low": mid - deviations * std})
 
 
 def add_stochastic(df: DataFrame, k: int = 14, d: int = 3) -> DataFrame:
-    low, high = rolling(F.min, F.col("low"), W, k), rolling(F.max, F.col("high"), W, k)
+    low, high = rolling(F.min, F.col("low"), bars(), k), rolling(F.max, F.col("high"), bars(), k)
     df = df.withColumn("stoch_k", 100 * (F.col("close") - low) / over_zero(high - low))
-    return df.withColumn("stoch_d", rolling(F.avg, F.col("stoch_k"), W, d))
+    return df.withColumn("stoch_d", rolling(F.avg, F.col("stoch_k"), bars(), d))
 
 
 def add_vwap(df: DataFrame, name: str = "vwap") -> DataFrame:
     """Cumulative, without session resets."""
     typical = (F.col("high") + F.col("low") + F.col("close")) / 3
-    return df.withColumn(name, F.sum(typical * F.col("volume")).over(so_far(W)) / over_zero(F.sum("volume").over(so_far(W))))
+    return df.withColumn(name, F.sum(typical * F.col("volume")).over(so_far(bars())) / over_zero(F.sum("volume").over(so_far(bars()))))
 
 
 def add_supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, name: str = "supertrend") -> DataFrame:
@@ -140,24 +148,24 @@ def add_supertrend(df: DataFrame, period: int = 10, multiplier: float = 3.0, nam
     """
     df = add_atr(df, period, "__atr").drop("tr")
     mid = (F.col("high") + F.col("low")) / 2
-    df = df.withColumns({"__ub": mid + multiplier * F.col("__atr"), "__lb": mid - multiplier * F.col("__atr"), "__prev": F.lag("close").over(W)})
-    first = F.lag("__ub").over(W).isNull()
-    ub = F.min(F.when(first | ~holds(F.col("__prev") > F.col("__ub")), F.col("__ub"))).over(so_far(W))
-    lb = F.max(F.when(first | ~holds(F.col("__prev") < F.col("__lb")), F.col("__lb"))).over(so_far(W))
+    df = df.withColumns({"__ub": mid + multiplier * F.col("__atr"), "__lb": mid - multiplier * F.col("__atr"), "__prev": F.lag("close").over(bars())})
+    first = F.lag("__ub").over(bars()).isNull()
+    ub = F.min(F.when(first | ~holds(F.col("__prev") > F.col("__ub")), F.col("__ub"))).over(so_far(bars()))
+    lb = F.max(F.when(first | ~holds(F.col("__prev") < F.col("__lb")), F.col("__lb"))).over(so_far(bars()))
     df = df.withColumn("st_upper", F.when(F.col("__ub").isNotNull(), ub)).withColumn("st_lower", F.when(F.col("__lb").isNotNull(), lb))
-    seed = F.col("st_upper").isNotNull() & F.lag("st_upper").over(W).isNull()
+    seed = F.col("st_upper").isNotNull() & F.lag("st_upper").over(bars()).isNull()
     from_upper, from_lower = F.col("close") <= F.col("st_upper"), ~(F.col("close") >= F.col("st_lower"))  # next state is upper
     df = df.withColumns({"__u": F.when(seed, True).otherwise(from_upper), "__l": F.when(seed, True).otherwise(from_lower)})
-    df = df.withColumn("__swaps", F.sum(F.when(~F.col("__u") & F.col("__l"), 1).otherwise(0)).over(so_far(W)))
+    df = df.withColumn("__swaps", F.sum(F.when(~F.col("__u") & F.col("__l"), 1).otherwise(0)).over(so_far(bars())))
     fixed = F.when(F.col("__u") == F.col("__l"), F.struct(F.col("__u").alias("upper"), F.col("__swaps").alias("at")))
-    df = df.withColumn("__fix", F.last(fixed, ignorenulls=True).over(so_far(W)))
+    df = df.withColumn("__fix", F.last(fixed, ignorenulls=True).over(so_far(bars())))
     upper = F.col("__fix.upper") == ((F.col("__swaps") - F.col("__fix.at")) % 2 == 0)
     line = F.when(upper, F.col("st_upper")).otherwise(F.col("st_lower"))
     return df.withColumn(name, F.when(F.col("st_upper").isNotNull(), line)).drop("__atr", "__ub", "__lb", "__prev", "__u", "__l", "__swaps", "__fix")
 
 
 def add_volume_flags(df: DataFrame, period: int = 20, factor: float = 1.5) -> DataFrame:
-    df = df.withColumn("vol_ma", rolling(F.avg, F.col("volume"), W, period))
+    df = df.withColumn("vol_ma", rolling(F.avg, F.col("volume"), bars(), period))
     return df.withColumns(
         {
             "vol_spike": holds(F.col("volume") > factor * F.col("vol_ma")),
@@ -171,8 +179,8 @@ def add_volume_flags(df: DataFrame, period: int = 20, factor: float = 1.5) -> Da
 def add_basic_indicators(df: DataFrame) -> DataFrame:
     """ema9, ema21, rsi14, atr14, MACD and Bollinger bands: one partitioning by symbol."""
     df = add_bbands(add_rsi(add_atr(df, 14, "atr14"), 14, name="rsi14"))
-    return add_macd(add_ema(add_ema(df, 9), 21))
+    return _macd(add_emas(df, {"ema9": 9, "ema21": 21, "__fast": 12, "__slow": 26}), 9)
 
 
 def add_swings(df: DataFrame, lookback: int = 5) -> DataFrame:
-    return df.withColumn("swing_high", rolling(F.max, F.col("high"), W, lookback)).withColumn("swing_low", rolling(F.min, F.col("low"), W, lookback))
+    return df.withColumn("swing_high", rolling(F.max, F.col("high"), bars(), lookback)).withColumn("swing_low", rolling(F.min, F.col("low"), bars(), lookback))

@@ -7,12 +7,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.frames import over_zero, series
+from barline.functions.frames import over_zero
 from barline.functions.position import LedgerState, step
 from barline.functions.recurrence import linear_recurrence
 
-W = series(order="bar_idx")
-
 
 def exec_buy(bid: Column, ask: Column, mid: Column, fee: float, slip: float) -> Column:
     return F.coalesce(ask, mid) * (1 + slip) * (1 + fee)
@@ -96,22 +94,22 @@ def single_position_ledger(
     acts = F.col("signal") != 0
     rows = rows.withColumn("__n", F.coalesce(F.count_if(acts).over(before), F.lit(0)))
     entries = rows.filter(acts).select(*keys, F.col("__n").alias("id"), entry.alias("e"), F.col("close").alias("own_close"))
-    bars = rows.withColumn("e", F.last(F.when(acts, entry), ignorenulls=True).over(before)).filter("e is not null").withColumn("id", F.col("__n") - 1)
+    alive = rows.withColumn("e", F.last(F.when(acts, entry), ignorenulls=True).over(before)).filter("e is not null").withColumn("id", F.col("__n") - 1)
     trade = Window.partitionBy(*keys, "id").orderBy("bar_idx")
     long = F.col("e.dir") > 0
     trail = F.when(long, F.max(F.col("close") - F.col("e.trailing_distance")).over(trade)).otherwise(F.min(F.col("close") + F.col("e.trailing_distance")).over(trade))
     stop = F.when(long, F.greatest("e.stop_price", trail)).otherwise(F.least("e.stop_price", trail))
-    bars = bars.withColumn("stop", stop)
+    alive = alive.withColumn("stop", stop)
     sl = F.when(long, F.col("low") <= F.col("stop")).otherwise(F.col("high") >= F.col("stop"))
     tp = F.when(long, F.col("high") >= F.col("e.take_price")).otherwise(F.col("low") <= F.col("e.take_price"))
-    bars = bars.withColumn("reason", F.when(sl, "sl").when(tp, "tp"))
+    alive = alive.withColumn("reason", F.when(sl, "sl").when(tp, "tp"))
     over = F.coalesce(F.count("reason").over(trade.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    bars = bars.withColumn("over", over).filter("over = 0")
+    alive = alive.withColumn("over", over).filter("over = 0")
     leave = F.struct(
         F.col("bar_idx").alias("exit_bar"), F.col("datetime").alias("exit_time"), F.coalesce("reason", F.when(acts, "signal"), F.lit("eod")).alias("exit_reason"),
         F.when(F.col("reason") == "sl", F.col("stop")).when(F.col("reason") == "tp", F.col("e.take_price")).otherwise(F.col("close")).alias("exit_raw"), F.col("stop").alias("stop"),
     )
-    ends = bars.groupBy(*keys, "id").agg(F.max_by(leave, "bar_idx").alias("x"), F.max("high").alias("top"), F.min("low").alias("bottom"))
+    ends = alive.groupBy(*keys, "id").agg(F.max_by(leave, "bar_idx").alias("x"), F.max("high").alias("top"), F.min("low").alias("bottom"))
     t = entries.join(ends, [*keys, "id"], "left").select(*keys, "id", "e.*", "x.*", "top", "bottom", "own_close")
     t = t.withColumns(
         {

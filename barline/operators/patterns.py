@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.frames import holds, over_zero, series
+from barline.functions.frames import bars, holds, over_zero
 from barline.operators.indicators import add_swings
 
-W = series(order="bar_idx")
 MAX_AGE = 100
 
 
@@ -17,7 +16,7 @@ def detect_fvg(df: DataFrame, filter_percent: float = 0.5) -> DataFrame:
 
     A bar may open a gap upwards and downwards; all comparisons are strict.
     """
-    h0, h1, l0, l1 = F.lag("high", 2).over(W), F.lag("high", 1).over(W), F.lag("low", 2).over(W), F.lag("low", 1).over(W)
+    h0, h1, l0, l1 = F.lag("high", 2).over(bars()), F.lag("high", 1).over(bars()), F.lag("low", 2).over(bars()), F.lag("low", 1).over(bars())
     df = df.select("symbol", "bar_idx", F.col("high").alias("h2"), F.col("low").alias("l2"), h0.alias("h0"), h1.alias("h1"), l0.alias("l0"), l1.alias("l1"))
     up = F.coalesce((F.col("l2") - F.col("h0")) / over_zero(F.col("l2")) * 100, F.lit(0.0))
     down = F.coalesce((F.col("l0") - F.col("h2")) / over_zero(F.col("l0")) * 100, F.lit(0.0))
@@ -40,8 +39,8 @@ def first_retests(gaps: DataFrame, candles: DataFrame, tolerances: dict[str, flo
     """
     first = F.col("bar_idx") + (0 if inclusive else 1)
     spans = gaps.select("symbol", "bar_idx", "type", "mid", F.explode(F.sequence(F.floor(first / max_age), F.floor((F.col("bar_idx") + max_age) / max_age))).alias("bucket"))
-    bars = candles.select("symbol", F.floor(F.col("bar_idx") / max_age).alias("bucket"), F.col("bar_idx").alias("bar"), "low", "high")
-    met = spans.join(bars, ["symbol", "bucket"]).filter((F.col("bar") >= first) & (F.col("bar") <= F.col("bar_idx") + max_age))
+    reach = candles.select("symbol", F.floor(F.col("bar_idx") / max_age).alias("bucket"), F.col("bar_idx").alias("bar"), "low", "high")
+    met = spans.join(reach, ["symbol", "bucket"]).filter((F.col("bar") >= first) & (F.col("bar") <= F.col("bar_idx") + max_age))
     touch = lambda tol: (F.col("low") - F.col("mid") * tol <= F.col("mid")) & (F.col("mid") <= F.col("high") + F.col("mid") * tol)
     found = met.groupBy("symbol", "bar_idx", "type").agg(*[F.min(F.when(touch(t), F.col("bar"))).alias(n) for n, t in tolerances.items()])
     return gaps.join(found, ["symbol", "bar_idx", "type"], "left")
@@ -66,12 +65,13 @@ def detect_orderblocks(df: DataFrame, lookback: int = 5) -> DataFrame:
     bottom, mid. A candle that several breaks share has several rows.
     """
     df = add_swings(df, lookback)
-    before = W.rowsBetween(-lookback, -1)
+    before = bars().rowsBetween(-lookback, -1)
     body = F.struct(F.col("bar_idx").alias("bar_idx"), F.greatest("open", "close").alias("top"), F.least("open", "close").alias("bottom"))
     red = F.last(F.when(F.col("close") < F.col("open"), body), ignorenulls=True).over(before)
     green = F.last(F.when(F.col("close") > F.col("open"), body), ignorenulls=True).over(before)
-    broke_up, broke_down = F.col("close") > F.lag("swing_high").over(W), F.col("close") < F.lag("swing_low").over(W)
+    broke_up, broke_down = F.col("close") > F.lag("swing_high").over(bars()), F.col("close") < F.lag("swing_low").over(bars())
     block = lambda kind, b: F.when(b.isNotNull(), F.struct(F.lit(kind).alias("type"), b.alias("b")))
     found = F.array_compact(F.array(F.when(holds(broke_up), block("bullish", red)), F.when(holds(broke_down), block("bearish", green))))
-    rows = df.select("symbol", F.col("bar_idx").alias("bos_bar_idx"), F.explode(found).alias("o")).select("symbol", "bos_bar_idx", "o.type", "o.b.*")
+    marked = df.select("symbol", F.col("bar_idx").alias("bos_bar_idx"), found.alias("found"))
+    rows = marked.select("symbol", "bos_bar_idx", F.explode("found").alias("o")).select("symbol", "bos_bar_idx", "o.type", "o.b.*")
     return rows.withColumn("mid", (F.col("top") + F.col("bottom")) / 2)

@@ -8,12 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.frames import holds, series
-from barline.operators.indicators import add_atr, add_ema, add_ema_weighted, add_rsi, add_sma
+from barline.functions.frames import bars, holds
+from barline.operators.indicators import add_atr, add_ema, add_emas_weighted, add_rsi, add_sma
 from barline.operators.patterns import detect_fvg, first_retests
 
-W = series(order="bar_idx")
-
 
 def align(candles: DataFrame, signals: DataFrame) -> DataFrame:
     """Every candle with its signal row by (symbol, datetime); none: signal 0."""
@@ -31,12 +29,12 @@ def fvg_signals(
     risk against ATR14 are dropped; an undefined ATR passes. Of several gaps on
     one entry bar, the first by base bar, bullish first, that passes all filters wins.
     """
-    bars = add_atr(add_ema(candles, 50, name="__ema"), 14, "__atr")
-    block = W.rowsBetween(-2, 1)
+    with_means = add_atr(add_ema(candles, 50, name="__ema"), 14, "__atr")
+    block = bars().rowsBetween(-2, 1)
     volume_ok = F.lit(True)
     if volume_filter:
-        volume_ok = holds(F.col("volume") > F.greatest(*[F.lag("volume", k).over(W) for k in (1, 2, 3)]))
-    base = bars.select(
+        volume_ok = holds(F.col("volume") > F.greatest(*[F.lag("volume", k).over(bars()) for k in (1, 2, 3)]))
+    base = with_means.select(
         "symbol", "bar_idx", F.col("close").alias("base_close"), F.col("__ema").alias("base_ema"), F.col("__atr").alias("base_atr"), F.min("low").over(block).alias("block_low"),
         F.max("high").over(block).alias("block_high"), (F.max("bar_idx").over(Window.partitionBy("symbol"))).alias("last_bar"), volume_ok.alias("volume_ok"),
     )
@@ -45,7 +43,7 @@ def fvg_signals(
     trend = F.when(up, F.col("base_close") > F.col("base_ema")).otherwise(F.col("base_close") < F.col("base_ema"))
     gaps = gaps.filter((F.col("bar_idx") >= 3) & (F.col("bar_idx") < F.col("last_bar")) & trend & F.col("volume_ok"))
     gaps = first_retests(gaps, candles, {"entry_bar": tolerance}, max_age).filter("entry_bar is not null")
-    at_entry = bars.select("symbol", F.col("bar_idx").alias("entry_bar"), F.col("close").alias("entry_close"), F.col("__ema").alias("entry_ema"))
+    at_entry = with_means.select("symbol", F.col("bar_idx").alias("entry_bar"), F.col("close").alias("entry_close"), F.col("__ema").alias("entry_ema"))
     gaps = gaps.join(at_entry, ["symbol", "entry_bar"])
     stop = F.when(up, F.col("block_low")).otherwise(F.col("block_high"))
     risk = F.when(up, F.col("mid") - stop).otherwise(stop - F.col("mid"))
@@ -69,7 +67,7 @@ def ma_rsi_signals(candles: DataFrame, short: int = 9, long: int = 21, rsi_perio
 
 def ema_cross_signals(candles: DataFrame, fast: int = 9, slow: int = 21) -> DataFrame:
     """+1 where the fast weighted EMA is above the slow one, -1 below, 0 where equal."""
-    df = add_ema_weighted(add_ema_weighted(candles, fast, name="ema_fast"), slow, name="ema_slow")
+    df = add_emas_weighted(candles, {"ema_fast": fast, "ema_slow": slow})
     return df.withColumn("signal", F.when(F.col("ema_fast") > F.col("ema_slow"), 1).when(F.col("ema_fast") < F.col("ema_slow"), -1).otherwise(0))
 
 

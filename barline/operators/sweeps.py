@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.frames import rolling
-from barline.operators.indicators import add_ema_weighted
+from barline.operators.indicators import add_emas_weighted
 from barline.operators.ledger import pair_trades, single_position_ledger
 
 
@@ -71,9 +71,7 @@ def ema_grid(candles: DataFrame, fast=range(5, 15), slow=range(15, 35), **ledger
 
     Every EMA is made once; each combination is a key of its own in the ledger.
     """
-    df = candles
-    for p in sorted({*fast, *slow}):
-        df = add_ema_weighted(df, p, name=f"__e{p}")
+    df = add_emas_weighted(candles, {f"__e{p}": p for p in sorted({*fast, *slow})})
     combos = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.signum(F.col(f"__e{f}") - F.col(f"__e{s}")).cast("int").alias("signal")) for f in fast for s in slow if f < s])
     rows = df.select("symbol", "bar_idx", "datetime", "open", "high", "low", "close", "volume", F.explode(combos).alias("c")).select("*", "c.*").drop("c")
     trades = single_position_ledger(rows, keys=("symbol", "fast", "slow"), **ledger)
