@@ -27,10 +27,10 @@ def query(sql: str | None = None):
 
 
 def r6(df: DataFrame, *columns: str) -> DataFrame:
-    """Floating columns to 6 digits, and the listed columns if any."""
+    """Floating columns to 6 digits without negative zeros, and the listed columns if any."""
     doubles = {n for n, t in df.dtypes if t in ("double", "float")}
     names = columns or df.columns
-    return df.select(*[(F.round(n, 6).alias(n) if n in doubles else F.col(n)) for n in names])
+    return df.select(*[((F.round(n, 6) + 0.0).alias(n) if n in doubles else F.col(n)) for n in names])
 
 
 KEY = ("symbol", "bar_idx")
@@ -558,7 +558,7 @@ def scatter_features(spark, d):
 LIVE = """l AS (SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'short' END AS side, value AS ep, value * 1.01::DOUBLE AS cp, CASE WHEN event_id % 5 = 0 THEN NULL ELSE (event_id % 4)::DOUBLE END AS q, CASE WHEN event_id % 3 = 0 THEN event_id / 10.0::DOUBLE END AS px FROM events)"""
 
 
-@query(f"WITH {LIVE} SELECT id, round(coalesce(px, (cp - ep) * coalesce(q, 1) * CASE side WHEN 'buy' THEN 1 ELSE -1 END), 6) AS pnl FROM l")
+@query(f"WITH {LIVE} SELECT id, round(coalesce(px, (cp - ep) * coalesce(q, 1) * CASE side WHEN 'buy' THEN 1 ELSE -1 END), 6) + 0.0::DOUBLE AS pnl FROM l")
 def realized_pnl(spark, d):
     e, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
     text = lambda c: c.cast("string")
@@ -569,7 +569,7 @@ def realized_pnl(spark, d):
     return r6(ledger.realized_pnl(rows), "id", "pnl")
 
 
-@query(f"WITH {LIVE} SELECT id, round(ep * coalesce(q, 0), 6) AS notional_entry_exec, round(cp * coalesce(q, 0), 6) AS notional_close_exec, round((ep * coalesce(q, 0) + cp * coalesce(q, 0)) * 0.0004::DOUBLE, 6) AS commission_usdt, round((cp - ep) * coalesce(q, 0) * CASE side WHEN 'buy' THEN 1 ELSE -1 END, 6) AS pnl_mid FROM l")
+@query(f"WITH {LIVE} SELECT id, round(ep * coalesce(q, 0), 6) AS notional_entry_exec, round(cp * coalesce(q, 0), 6) AS notional_close_exec, round((ep * coalesce(q, 0) + cp * coalesce(q, 0)) * 0.0004::DOUBLE, 6) AS commission_usdt, round((cp - ep) * coalesce(q, 0) * CASE side WHEN 'buy' THEN 1 ELSE -1 END, 6) + 0.0::DOUBLE AS pnl_mid FROM l")
 def ledger_costs(spark, d):
     e, k = spark.read.parquet(f"{d}/events.parquet"), F.col("event_id")
     rows = e.select(

@@ -76,7 +76,7 @@ l AS (SELECT *, count(reason) OVER (PARTITION BY symbol, id ORDER BY bar_idx ROW
 x AS (SELECT symbol, id, max(bar_idx) AS xb, arg_max(datetime, bar_idx) AS xt, arg_max(coalesce(reason, CASE WHEN signal <> 0 THEN 'signal' ELSE 'eod' END), bar_idx) AS xr,
         arg_max(CASE reason WHEN 'sl' THEN sp WHEN 'tp' THEN tp ELSE close END, bar_idx) AS xp, max(high) AS top, min(low) AS bottom FROM l WHERE done = 0 GROUP BY 1, 2),
 tr AS (SELECT e.symbol, CAST(e.id AS BIGINT) AS id, CASE WHEN dir > 0 THEN 'long' ELSE 'short' END AS direction, et AS entry_time, eb AS entry_bar_index, ep AS entry_price, vol AS volume_at_entry,
-        coalesce(xt, et) AS exit_time, coalesce(xb, eb) AS exit_bar_index, coalesce(xp, ep) AS exit_price, coalesce(xr, 'eod') AS exit_reason, (coalesce(xp, ep) - ep) * dir AS pnl,
+        coalesce(xt, et) AS exit_time, coalesce(xb, eb) AS exit_bar_index, coalesce(xp, ep) AS exit_price, coalesce(xr, 'eod') AS exit_reason, (coalesce(xp, ep) - ep) * dir + 0.0::DOUBLE AS pnl,
         greatest(coalesce(CASE WHEN dir > 0 THEN top - ep ELSE ep - bottom END, 0), 0) AS max_favor, least(coalesce(CASE WHEN dir > 0 THEN bottom - ep ELSE ep - top END, 0), 0) AS max_adverse, abs(ep - sp) AS risk
       FROM e LEFT JOIN x USING (symbol, id))"""
 EQUITY = f"""{TRADES},
