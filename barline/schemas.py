@@ -10,6 +10,6 @@ LIVE_LEDGER = (
 POSITION = "symbol string, side string, quantity double, entry_price double, stop_loss double, take_profit double, opened_at timestamp, balance double"
 LEVEL = "array<struct<price:double,qty:double>>"
 MESSAGE = (
-    "data struct<e:string, s:string, E:long, b:string, a:string, p:string, q:string, T:long, "
-    "k:struct<t:long, o:string, h:string, l:string, c:string, v:string, x:boolean>>, e string, s string, E long, b array<array<string>>, a array<array<string>>"
+    "data struct<e:string, s:string, b:string, a:string, p:string, q:string, T:long, "
+    "k:struct<t:long, o:string, h:string, l:string, c:string, v:string, x:boolean>>, e string, s string, b array<array<string>>, a array<array<string>>"
 )

@@ -42,20 +42,22 @@ def read_messages(spark: SparkSession, path: str, stream: bool = True) -> DataFr
 def parse_messages(raw: DataFrame, value: str | Column = "value") -> DataFrame:
     """Parsed envelopes with ``type``; malformed messages and those without a type are dropped."""
     text = F.col(value) if isinstance(value, str) else value
-    m = raw.select(F.from_json(text.cast("string"), MESSAGE).alias("m"))
-    return m.select("m.*").withColumn("type", F.coalesce("data.e", "e")).withColumn("symbol", F.coalesce("data.s", "s")).filter("type is not null")
+    text = text.cast("string")
+    event = F.coalesce(F.get_json_object(text, "$.data.E"), F.get_json_object(text, "$.E")).try_cast("long")  # e and E would clash as columns
+    m = raw.select(F.from_json(text, MESSAGE).alias("m"), event.alias("event_ms"))
+    return m.select("m.*", "event_ms").withColumn("type", F.coalesce("data.e", "e")).withColumn("symbol", F.coalesce("data.s", "s")).filter("type is not null")
 
 
 def klines(messages: DataFrame) -> DataFrame:
     """Live candle events; a kline message without its body is dropped."""
     k = messages.filter("type = 'kline' and data.k is not null")
     number = lambda n: F.col(f"data.k.{n}").try_cast("double")
-    return k.select("symbol", F.timestamp_millis("data.k.t").alias("datetime"), number("o").alias("open"), number("h").alias("high"), number("l").alias("low"), number("c").alias("close"), number("v").alias("volume"), F.col("data.k.x").alias("is_closed"), F.timestamp_millis("data.E").alias("event_time"))
+    return k.select("symbol", F.timestamp_millis("data.k.t").alias("datetime"), number("o").alias("open"), number("h").alias("high"), number("l").alias("low"), number("c").alias("close"), number("v").alias("volume"), F.col("data.k.x").alias("is_closed"), F.timestamp_millis("event_ms").alias("event_time"))
 
 
 def quotes(messages: DataFrame) -> DataFrame:
     q = messages.filter("type = 'bookTicker'")
-    return q.select("symbol", F.timestamp_millis("data.E").alias("ts"), F.col("data.b").try_cast("double").alias("bid"), F.col("data.a").try_cast("double").alias("ask"))
+    return q.select("symbol", F.timestamp_millis("event_ms").alias("ts"), F.col("data.b").try_cast("double").alias("bid"), F.col("data.a").try_cast("double").alias("ask"))
 
 
 def prints(messages: DataFrame) -> DataFrame:
@@ -65,4 +67,4 @@ def prints(messages: DataFrame) -> DataFrame:
 
 def books(messages: DataFrame) -> DataFrame:
     b = messages.filter("type = 'depthUpdate'")
-    return b.select("symbol", F.timestamp_millis("E").alias("snapshot_ts"), F.col("b").alias("bids"), F.col("a").alias("asks"))
+    return b.select("symbol", F.timestamp_millis("event_ms").alias("snapshot_ts"), F.col("b").alias("bids"), F.col("a").alias("asks"))
