@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline import ship
+
 BLOCK_ROWS = 50_000
 
 
@@ -33,6 +35,7 @@ def linear_recurrences(df: DataFrame, maps: dict[str, tuple[Column, Column]], ke
     a or b is null repeats the value before it; before the first defined row
     the result is null. The first row's a is not used.
     """
+    ship(df.sparkSession)
     keys, names, n = list(keys), list(maps), len(maps)
     types = dict(df.dtypes)
     rows = df.select(

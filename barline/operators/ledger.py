@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline import ship
 from barline.functions.frames import over_zero
 from barline.functions.position import LedgerState, step
 from barline.functions.recurrence import linear_recurrence
@@ -147,6 +148,20 @@ def single_position_ledger(
     return derived(done)
 
 
+def reversal_pnl(rows: DataFrame, commission: float = 0.0, slippage: float = 0.0, keys=("symbol",)) -> DataFrame:
+    """pnl per trade where no trade has a stop or target: each ends at the next signal's close, the last at the last close.
+
+    The single-position ledger's results for such signals, in one window.
+    """
+    w = Window.partitionBy(*keys).orderBy("bar_idx")
+    last = F.last("close").over(w.rowsBetween(0, Window.unboundedFollowing))
+    acts = rows.select(*keys, "bar_idx", "signal", "close", last.alias("__last")).filter("signal <> 0")
+    sign = F.signum(F.col("signal").cast("double"))
+    entry = F.col("close") * (1 + sign * slippage)
+    leave = F.coalesce(F.lead("close").over(w), F.col("__last")) * (1 - sign * slippage)
+    return acts.select(*keys, "bar_idx", ((leave - entry) * sign - commission * (entry + leave)).alias("pnl"))
+
+
 def derived(trades: DataFrame) -> DataFrame:
     """Adds duration_s, bars_in_trade, result, risk_reward."""
     return trades.withColumns(
@@ -169,6 +184,7 @@ def hedge_ledger(rows: DataFrame, initial: float = 1000.0, risk_percent: float =
     bars after it (vectors, not a loop over bars). Capital at an entry is the
     initial one and the results of all trades that left on or before its bar.
     """
+    ship(rows.sparkSession)
     rows = rows.withColumns({n: _optional(rows, n) for n in ("entry_price", "stop_price", "take_price", "size", "trailing_distance")})
     rows = rows.select("symbol", "bar_idx", "high", "low", "close", "signal", "entry_price", "stop_price", "take_price", "size", "trailing_distance")
 
@@ -217,6 +233,7 @@ def live_rule_ledger(rows: DataFrame, balance: float = 1000.0, risk_percent: flo
     reverses, one in the same direction does nothing. The step function is that
     of the streaming job.
     """
+    ship(rows.sparkSession)
     rows = rows.withColumns({n: _optional(rows, n) for n in ("stop_price", "take_price", "bid", "ask")})
     rows = rows.select("symbol", F.col("datetime").cast("timestamp").alias("datetime"), "high", "low", "close", "bid", "ask", "signal", "stop_price", "take_price")
 

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline import ship
 from barline.functions.frames import bars, holds
 from barline.operators.indicators import add_atr, add_ema, add_emas_weighted, add_rsi, add_sma
 from barline.operators.patterns import detect_fvg, first_retests
@@ -88,6 +89,7 @@ def pandas_strategy(generate: Callable[[pd.DataFrame], pd.DataFrame], schema: st
     """A strategy over one symbol's pandas frame as a strategy over all symbols."""
 
     def strategy(candles: DataFrame) -> DataFrame:
+        ship(candles.sparkSession)
         return candles.groupBy("symbol").applyInPandas(lambda pdf: generate(pdf.sort_values("datetime").reset_index(drop=True)), schema)
 
     return strategy

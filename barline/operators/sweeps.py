@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.frames import rolling
 from barline.operators.indicators import add_emas_weighted
-from barline.operators.ledger import pair_trades, single_position_ledger
+from barline.operators.ledger import pair_trades, reversal_pnl
 
 
 def grid(spark, shorts, longs, buys, sells) -> DataFrame:
@@ -66,15 +66,16 @@ def walk_forward(candles: DataFrame, params: DataFrame, window_days: int = 30, e
     return optimize(folds(candles, window_days, every_days), params, min_bars=min_bars, keys=("symbol", "fold")).filter("rank = 1").drop("rank")
 
 
-def ema_grid(candles: DataFrame, fast=range(5, 15), slow=range(15, 35), **ledger) -> DataFrame:
+def ema_grid(candles: DataFrame, fast=range(5, 15), slow=range(15, 35), commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
     """Net profit by symbol and fast period (rows) and slow period (columns s15, ...).
 
-    Every EMA is made once; each combination is a key of its own in the ledger.
+    Every EMA is made once, all in one scan; each combination is a key of its
+    own. A combination without a trade is null.
     """
     df = add_emas_weighted(candles, {f"__e{p}": p for p in sorted({*fast, *slow})})
     combos = F.array(*[F.struct(F.lit(f).alias("fast"), F.lit(s).alias("slow"), F.signum(F.col(f"__e{f}") - F.col(f"__e{s}")).cast("int").alias("signal")) for f in fast for s in slow if f < s])
-    rows = df.select("symbol", "bar_idx", "datetime", "open", "high", "low", "close", "volume", F.explode(combos).alias("c")).select("*", "c.*").drop("c")
-    trades = single_position_ledger(rows, keys=("symbol", "fast", "slow"), **ledger)
+    rows = df.select("symbol", "bar_idx", "close", F.explode(combos).alias("c")).select("symbol", "bar_idx", "close", "c.*")
+    trades = reversal_pnl(rows, commission, slippage, ("symbol", "fast", "slow"))
     return trades.withColumn("s", F.concat(F.lit("s"), "slow")).groupBy("symbol", "fast").pivot("s", [f"s{s}" for s in slow]).agg(F.sum("pnl"))
 
 

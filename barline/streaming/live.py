@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from barline import ship
 from barline.functions.position import LedgerState, step
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -76,6 +77,7 @@ class QuotedBars(StatefulProcessor):
 
 def quoted_bars(rows: DataFrame) -> DataFrame:
     """``rows``: symbol, datetime, kind, close, bid, ask (the union of quotes and bars)."""
+    ship(rows.sparkSession)
     return rows.groupBy("symbol").transformWithStateInPandas(QuotedBars(), outputStructType=QuotedBars.SCHEMA, outputMode="Append", timeMode="None")
 
 
@@ -136,6 +138,7 @@ class _Bar:
 
 def live_trader(bars: DataFrame, generate: Generate, history: DataFrame | None = None, **options) -> DataFrame:
     """Open, close and equity events per closed bar; ``history`` warms the buffers up."""
+    ship(bars.sparkSession)
     initial = history.groupBy("symbol") if history is not None else None
     return bars.groupBy("symbol").transformWithStateInPandas(LiveTrader(generate, **options), outputStructType=LiveTrader.SCHEMA, outputMode="Append", timeMode="None", initialState=initial)
 
@@ -216,4 +219,5 @@ class StaleWatch(StatefulProcessor):
 
 
 def stale_watch(bars: DataFrame, limit_ms: int = 180_000) -> DataFrame:
+    ship(bars.sparkSession)
     return bars.groupBy("symbol").transformWithStateInPandas(StaleWatch(limit_ms), outputStructType=StaleWatch.SCHEMA, outputMode="Append", timeMode="ProcessingTime")

@@ -129,6 +129,15 @@ def test_hedge_without_overlap_equals_single(spark):
     assert a == b
 
 
+def test_reversals_equal_the_ledger(spark):
+    from barline.plans import tables
+
+    rows = signals.ema_cross_signals(tables.candles(spark, SF))
+    got = {(r["symbol"], r["bar_idx"]): r["pnl"] for r in ledger.reversal_pnl(rows, 0.001, 0.0005).collect()}
+    want = {(r["symbol"], r["entry_bar_index"]): r["pnl"] for r in ledger.single_position_ledger(rows, commission=0.001, slippage=0.0005).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-9) for k in got)
+
+
 def test_live_step_reverses_and_stops():
     class Bar:
         symbol, datetime, bid, ask, volume = "S", datetime(2024, 1, 1), None, None, 1.0
