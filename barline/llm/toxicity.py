@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline import ship
 from barline.llm.common import full_text
 
 SAMPLE_ROWS = 4000
@@ -67,7 +68,11 @@ def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
     """Terms: "word", "word=" (matched exactly only) or "stem*"."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     forms = F.filter(found, lambda w: (F.length(w) >= 4) & (F.length(w) <= 24))
-    stems = [F.transform(F.filter("forms", lambda w, n=n: F.length(w) >= n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
+
+    def stems_of(n: int):
+        return F.transform(F.filter("forms", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    stems = [stems_of(n) for n in STEMS]
     terms = sample.select("doc_id", "toxic", forms.alias("forms")).select("doc_id", "toxic", F.explode(F.array_distinct(F.flatten(F.array("forms", *stems)))).alias("term"))
     marked = F.col("toxic") == 1
     stats = terms.groupBy("term").agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good"), F.collect_set(F.when(marked, F.col("doc_id").cast("string"))).alias("docs"))
@@ -90,7 +95,6 @@ def cover(rows, bad: int, good: int, max_terms: int) -> list[str]:
     need = defaultdict(lambda: COVER)
     weight = {t: math.log((b + 0.5) / (bad + 1) / ((g + 0.5) / (good + 1))) for t, b, g, _ in rows}
     docs = {t: set(d) for t, _, _, d in rows}
-    bound = sorted(((weight[t] * COVER * len(docs[t]), t) for t in docs), reverse=True)
     clear = {t: weight[t] * math.sqrt(len(docs[t])) for t in docs}
     top = max(clear.values(), default=0.0)
     out: list[str] = []
@@ -99,6 +103,7 @@ def cover(rows, bad: int, good: int, max_terms: int) -> list[str]:
             out.append(t)
             for d in docs[t]:
                 need[d] = max(0, need[d] - 1)
+    bound = sorted(((weight[t] * len(docs[t]), t) for t in docs if not any(t == o or implied(t, o) for o in out)), reverse=True)
     while bound and len(out) < max_terms:
         best, gain = None, 0.0
         fresh = []
@@ -281,6 +286,7 @@ def fit(cells: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
 
 def count_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
     """doc_id and n_plain, n_directed, n_quoted, n_misspelled; docs: key, text."""
+    ship(docs.sparkSession)
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(terms))
     names = ["n_plain", "n_directed", "n_quoted", "n_misspelled"]
 
