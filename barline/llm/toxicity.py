@@ -32,7 +32,7 @@ MAX_TERMS = 120
 COVER = 3
 LEAST_NEW = 4
 CLEAR = 0.45
-STEMS = (4, 5, 6)
+STEMS = (5, 6)
 WINDOW = 5
 # Words of reporting, words of address, quotation marks.
 REPORTING = "said says say called calls wrote writes quoted quote word term sagte schrieb nannte dit disait dijo llama".split()
@@ -90,15 +90,22 @@ def implied(term: str, by: str) -> bool:
 def cover(rows, bad: int, good: int, max_terms: int) -> list[str]:
     """The terms whose evidence stands out, then greedily what other toxic documents need.
 
+    A stem counts only where it has many endings; a single word may be misspelled.
     Every toxic document wants COVER terms; a further term must be new to LEAST_NEW of them.
     """
+    single = defaultdict(int)  # a stem's commonest word
+    for t, b, _, _ in rows:
+        if not t.endswith("*"):
+            for n in STEMS:
+                single[t[:n] + "*"] = max(single[t[:n] + "*"], b)
+    rows = [r for r in rows if single[r[0]] < 0.9 * r[1] or not r[0].endswith("*")]
     need = defaultdict(lambda: COVER)
     weight = {t: math.log((b + 0.5) / (bad + 1) / ((g + 0.5) / (good + 1))) for t, b, g, _ in rows}
     docs = {t: set(d) for t, _, _, d in rows}
     clear = {t: weight[t] * math.sqrt(len(docs[t])) for t in docs}
     top = max(clear.values(), default=0.0)
     out: list[str] = []
-    for t in sorted(clear, key=lambda t: (-clear[t], not t.endswith("*"), len(t))):
+    for t in sorted(clear, key=lambda t: (-clear[t], not t.endswith("*"), -len(t))):
         if clear[t] >= CLEAR * top and len(out) < max_terms // 2 and not any(implied(t, o) or implied(o, t) for o in out):
             out.append(t)
             for d in docs[t]:
