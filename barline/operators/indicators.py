@@ -29,7 +29,8 @@ def add_emas_weighted(df: DataFrame, periods: dict[str, int], col: str = "close"
     """Means with weights (1-alpha)^k over all rows so far: numerators in one scan, denominators in closed form."""
     alphas = {name: 2.0 / (p + 1) for name, p in periods.items()}
     df = linear_recurrences(df, {name: (F.lit(1.0 - a), F.col(col)) for name, a in alphas.items()}).withColumn("__t", F.row_number().over(bars()))
-    return df.withColumns({name: F.col(name) * a / (1.0 - F.pow(F.lit(1.0 - a), F.col("__t"))) for name, a in alphas.items()}).drop("__t")
+    mean = lambda name, a: F.when(F.col("__t") == 1, F.col(col)).otherwise(F.col(name) * a / (1.0 - F.pow(F.lit(1.0 - a), F.col("__t"))))
+    return df.withColumns({name: mean(name, a) for name, a in alphas.items()}).drop("__t")
 
 
 def add_ema_weighted(df: DataFrame, period: int, col: str = "close", name: str | None = None) -> DataFrame:

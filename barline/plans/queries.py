@@ -512,9 +512,23 @@ def walk_forward(spark, d):
     return sweeps.walk_forward(T.candles(spark, d), sweeps.grid(spark, *GRID), window_days=7, every_days=3, min_bars=50)
 
 
-@query()
+def _ema_grid_sql() -> str:
+    periods = range(5, 35)
+    seed = ", ".join(f"close AS n{p}" for p in periods)
+    step = ", ".join(f"c.close + (1 - 2.0::DOUBLE / {p + 1}) * n{p}" for p in periods)
+    pairs = ", ".join(f"({p}, n{p})" for p in periods)
+    cells = ", ".join(f"round(sum(pnl) FILTER (WHERE slow = {s}), 6) + 0.0::DOUBLE AS s{s}" for s in range(15, 35))
+    return f"""WITH RECURSIVE {CANDLES}, e AS (SELECT symbol, bar_idx, close, {seed} FROM c WHERE bar_idx = 0 UNION ALL SELECT c.symbol, c.bar_idx, c.close, {step} FROM e JOIN c ON c.symbol = e.symbol AND c.bar_idx = e.bar_idx + 1),
+v AS (SELECT symbol, bar_idx, close, p, CASE WHEN bar_idx = 0 THEN close ELSE n * (2.0::DOUBLE / (p + 1)) / (1 - power(1 - 2.0::DOUBLE / (p + 1), bar_idx + 1)) END AS v FROM e, LATERAL (VALUES {pairs}) l(p, n)),
+g AS (SELECT a.symbol, a.bar_idx, a.close, a.p AS fast, b.p AS slow, sign(a.v - b.v) AS sg FROM v a JOIN v b ON a.symbol = b.symbol AND a.bar_idx = b.bar_idx AND a.p < 15 AND b.p >= 15),
+z AS (SELECT symbol, arg_max(close, bar_idx) AS z FROM c GROUP BY 1),
+k AS (SELECT symbol, fast, slow, (coalesce(lead(close) OVER (PARTITION BY symbol, fast, slow ORDER BY bar_idx), z) - close) * sg AS pnl FROM g JOIN z USING (symbol) WHERE sg <> 0)
+SELECT symbol, CAST(fast AS INTEGER) AS fast, {cells} FROM k GROUP BY 1, 2"""
+
+
+@query(_ema_grid_sql())
 def ema_robustness_grid(spark, d):
-    return sweeps.ema_grid(T.candles(spark, d))
+    return r6(sweeps.ema_grid(T.candles(spark, d)))
 
 
 def _mix_sql(*parts: str) -> str:
@@ -538,9 +552,11 @@ def monte_carlo_bootstrap(spark, d):
     return r6(sweeps.monte_carlo(T.trades(spark, d), 50, "bootstrap"))
 
 
-@query()
+@query(f"""WITH {MC.replace("generate_series(0, 49)", "generate_series(0, 199)")}, mb AS (SELECT r.symbol, r.sim, k.pnl, r.k AS o1, 0 AS o2 FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.draw % r.n), y AS ({MC_END.replace("me AS (", "SELECT * FROM (WITH me AS (", 1)}))
+SELECT symbol, round(avg(final_equity), 4) AS mean_final, round(quantile_cont(final_equity, 0.5), 6) AS median_final, round(min(final_equity), 6) AS worst_final, round(avg(max_dd), 4) AS mean_dd, round(quantile_cont(max_dd, 0.5), 6) AS median_dd, round(min(max_dd), 6) AS worst_dd FROM y GROUP BY 1""")
 def monte_carlo_summary(spark, d):
-    return r6(sweeps.monte_carlo_summary(sweeps.monte_carlo(T.trades(spark, d), 200, "bootstrap")))
+    s = sweeps.monte_carlo_summary(r6(sweeps.monte_carlo(T.trades(spark, d), 200, "bootstrap")))
+    return r6(s.withColumns({c: F.round(c, 4) for c in ("mean_final", "mean_dd")}))
 
 
 @query(f"""WITH {TRADES}, nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, id) AS k FROM tr)
