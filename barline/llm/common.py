@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline import ship
+
 # Fixed value: the white-space class of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -38,9 +40,9 @@ def n_words(text: Column) -> Column:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-cases A-Z only."""
+    """Lower-cases A-Z only (a text of ASCII alone takes the quicker way)."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    return F.translate(text, upper, upper.lower())
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -59,15 +61,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/barline/{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, *partition_by: str) -> DataFrame:
+def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back.
 
     It cuts lineage and survives the loss of executors.
     """
     spark = df.sparkSession
+    ship(spark)
     path = scratch_dir(spark)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path)
+    writer.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
