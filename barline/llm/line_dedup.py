@@ -30,6 +30,7 @@ def marked_lines(docs: DataFrame, salts: int = 64) -> DataFrame:
     lines = lines.select(
         F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), F.expr(f"pmod(hash(doc_id, th), {salts})").alias("salt"), "doc_id", "th", "pos", "n_lines"
     )
+    lines = materialize(lines)  # the range bounds are sampled from here, not from the texts
     lines = lines.repartitionByRange("h1", "h2", "salt")
     w = Window.partitionBy("h1", "h2", "salt").orderBy("doc_id", "th", "pos")
     return lines.withColumn("first", ~F.lag(F.struct("doc_id", "th")).over(w).eqNullSafe(F.struct("doc_id", "th")))
