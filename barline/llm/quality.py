@@ -21,7 +21,7 @@ import operator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import SPACES, full_text, let, materialize, squeeze, words
+from barline.llm.common import SPACES, full_text, join_hot_cold, let, materialize, squeeze, words
 
 # Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -140,22 +140,23 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
     xs = range(DIM)
     pairs = [(i, j) for i in xs for j in range(i + 1)]
     cov = lambda i, j, scale=1.0: (scale * F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
-    plain = rows.groupBy("grp").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j) for i, j in pairs])
-    medians = rows.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in xs])
+    size, total = F.count("*").alias("n_rows"), rows.count()
+    plain = rows.groupBy("grp").agg(size, *[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j) for i, j in pairs])
+    medians = rows.groupBy("grp").agg(size, *[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in xs])
     medians = materialize(medians)
-    spread = rows.join(medians, "grp").groupBy("grp").agg(
-        *[F.first(f"m{i}").alias(f"m{i}") for i in xs], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in xs]
+    spread = join_hot_cold(rows, medians, ["grp"], "n_rows", total).groupBy("grp").agg(
+        size, *[F.first(f"m{i}").alias(f"m{i}") for i in xs], *[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"s{i}") for i in xs]
     )
     spread = spread.select(
-        "grp", *[f"m{i}" for i in xs], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]
+        "grp", "n_rows", *[f"m{i}" for i in xs], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]
     )
     params = plain.withColumn("start", F.lit(0)).unionByName(spread.withColumn("start", F.lit(1)))
     params = materialize(_factor_step(params))
     for _ in range(steps):
-        far = _distance(rows.join(params, "grp")).select("grp", "start", "d2", *[f"x{i}" for i in xs])
-        limit = materialize(far.groupBy("grp", "start").agg(F.percentile_approx("d2", share, ACCURACY).alias("q")))
-        core = far.join(limit, ["grp", "start"]).filter("d2 <= q")
-        moments = core.groupBy("grp", "start").agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j, _consistency(share)) for i, j in pairs])
+        far = _distance(join_hot_cold(rows, params, ["grp"], "n_rows", total)).select("grp", "start", "d2", *[f"x{i}" for i in xs])
+        limit = materialize(far.groupBy("grp", "start").agg(size, F.percentile_approx("d2", share, ACCURACY).alias("q")))
+        core = join_hot_cold(far, limit, ["grp", "start"], "n_rows", total).filter("d2 <= q")
+        moments = core.groupBy("grp", "start").agg(F.first("n_rows").alias("n_rows"), *[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j, _consistency(share)) for i, j in pairs])
         params = materialize(_factor_step(moments))
     best = params.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
     return params.join(best, ["grp", "start"]).drop("start", "logdet")
@@ -172,6 +173,6 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", tex
     """
     stats = materialize(statistics(docs, id_col, text_col, lang_col, source_col))
     rows = materialize(robust_groups(vectors(stats)))
-    judged = _distance(rows.join(mcd(rows), "grp"))
+    judged = _distance(join_hot_cold(rows, mcd(rows), ["grp"], "n_rows", rows.count()))
     keep = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"), F.col("d2").alias("distance2"))
