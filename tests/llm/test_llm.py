@@ -194,6 +194,44 @@ def test_dense_cluster_components(spark):
             assert group[0] not in got
 
 
+def test_near_copies_at_08_go(spark):
+    """The pipeline's stage against all pairs: five-word shingles, Jaccard 0.8 or more."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(11)
+    texts = ["", " \n", "one two", "One  two", "one three"]
+    for _ in range(60):
+        ws = [f"v{k}" for k in rng.integers(0, 5000, 150)]
+        texts.append(" ".join(ws))
+        for cuts in (1, 2, 3, 4, 6):  # some above 0.8, some below, some linked only through others
+            for p in rng.integers(0, 150, cuts):
+                ws = [*ws[:p], f"new{rng.integers(10**9)}", *ws[p + 1 :]]
+            texts.append(" ".join(ws))
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in (words(t.lower()) for t in texts)]
+    top = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] == sets[j] or (sets[i] & sets[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8):
+                a, b = sorted((top[i], top[j]))
+                top = [a if t == b else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(r[0] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).select("doc_id").collect())
+    assert got == sorted(set(top)) and len(got) < simhash.kept_documents(docs).count()
+    assert simhash.kept_similar(docs.filter("false")).count() == 0
+
+
+def test_stages_after_near_copies(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    near = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert near.columns == docs.columns
+    mixed = corpus_pipeline.mix_sources(spark, near, SF)
+    assert mixed.columns == docs.columns and mixed.filter("n_chars <> length(text)").count() == 0
+    packed = corpus_pipeline.pack_sequences(spark, mixed, SF)
+    assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
 def brute_quality(t):
     ws = words(t)
     windows = [tuple(ws[i : i + 5]) for i in range(len(ws) - 4)]
