@@ -123,12 +123,22 @@ def _consistency(share: float) -> float:
 
 
 def robust_groups(vecs: DataFrame, min_rows: int = 50) -> DataFrame:
-    """Adds ``grp``: (lang, source), or lang alone, or all, whichever has ``min_rows`` rows."""
+    """Adds ``grp`` and ``levels``.
+
+    ``grp``, the label of the estimate a row is judged by, is (lang, source), or
+    lang alone, or all, whichever has ``min_rows`` rows first; ``levels`` has all
+    labels in use that the row feeds, whichever it is judged by.
+    """
+    label = lambda level, lang=F.lit(None), source=F.lit(None): F.to_json(F.struct(F.lit(level).alias("level"), lang.cast("string").alias("lang"), source.cast("string").alias("source")))
     by_source = vecs.groupBy("lang", "source").agg(F.count("*").alias("n"))
     by_source = by_source.withColumn("n_lang", F.sum("n").over(Window.partitionBy("lang")))
-    level = F.when(F.col("n") >= min_rows, 1).when(F.col("n_lang") >= min_rows, 2).otherwise(3)
-    name = F.struct(level.alias("level"), F.when(level <= 2, F.col("lang")).alias("lang"), F.when(level == 1, F.col("source")).alias("source"))
-    by_source = by_source.select(F.col("lang").alias("g1"), F.col("source").alias("g2"), F.to_json(name).alias("grp"))
+    by_source = by_source.withColumn("level", F.when(F.col("n") >= min_rows, 1).when(F.col("n_lang") >= min_rows, 2).otherwise(3))
+    by_source = by_source.withColumn("lang_used", F.max(F.col("level") == 2).over(Window.partitionBy("lang")))
+    by_source = by_source.crossJoin(F.broadcast(by_source.agg((F.max("level") == 3).alias("all_used"))))
+    labels = F.array(label(1, F.col("lang"), F.col("source")), label(2, F.col("lang")), label(3))
+    used = F.array(F.col("level") == 1, F.col("lang_used"), F.col("all_used"))
+    levels = F.array_compact(F.zip_with(labels, used, lambda x, u: F.when(u, x)))
+    by_source = by_source.select(F.col("lang").alias("g1"), F.col("source").alias("g2"), F.get(labels, F.col("level") - 1).alias("grp"), levels.alias("levels"))
     return vecs.join(by_source, vecs["lang"].eqNullSafe(by_source["g1"]) & vecs["source"].eqNullSafe(by_source["g2"]), "left").drop("g1", "g2")
 
 
@@ -167,12 +177,13 @@ def quality(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", tex
 
     Defined cases: a null text has no words and fails the base rules; null
     languages and sources are values of their own; groups too small for an
-    estimate use that of their language or of all rows; repeated rows count as
+    estimate use that of all rows of their language, or of all rows; repeated rows count as
     often as they come; an empty table gives an empty result; further columns
     are ignored. Texts that fail the base rules take part in the estimates.
     """
     stats = materialize(statistics(docs, id_col, text_col, lang_col, source_col))
     rows = materialize(robust_groups(vectors(stats)))
-    judged = _distance(join_hot_cold(rows, mcd(rows), ["grp"], "n_rows", rows.count()))
+    members = materialize(rows.select(F.explode("levels").alias("grp"), *[f"x{i}" for i in range(DIM)]))
+    judged = _distance(join_hot_cold(rows, mcd(members), ["grp"], "n_rows", rows.count()))
     keep = ~F.col("base_failed") & (F.col("d2") <= cutoff)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"), F.col("d2").alias("distance2"))

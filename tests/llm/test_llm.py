@@ -263,6 +263,17 @@ def test_quality_rejects_outliers(spark):
     assert all(got[i] for i in range(200)) and not any(got[1000 + i] for i in range(40))
 
 
+def test_quality_of_small_groups(spark):
+    """Junk alone in its source, or in its language, is judged by the rows beside it."""
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("x" * int(k) for k in rng.integers(2, 9, 60)), "en", "s") for i in range(200)]
+    junk = lambda i: " ".join("#$%" + "x" * 40 for _ in range(60)) + f" {i}"
+    plain = " ".join("x" * int(k) for k in rng.integers(2, 9, 60))
+    rows += [(1000, junk(0), "en", "t"), (1001, junk(1), None, None), (1002, junk(2), "en", None), (1003, junk(3), "fr", "s"), (2000, plain, "en", "u"), (2001, plain, "de", "u")]
+    got = {r["doc_id"]: r["kept"] for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(got[i] for i in range(1000, 1004)) and got[2000] and got[2001]
+
+
 def test_line_dedup_edges(spark, edge, none):
     assert line_dedup.line_dedup(none).count() == 0
     got = {r["doc_id"]: r for r in line_dedup.line_dedup(edge, min_docs=2).collect()}
