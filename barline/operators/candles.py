@@ -38,11 +38,19 @@ def from_klines(klines: DataFrame, symbol: Column) -> DataFrame:
     return klines.filter((F.col("open_time") > lo) & (F.col("open_time") < hi)).select(symbol.alias("symbol"), F.timestamp_millis("open_time").alias("datetime"), *prices)
 
 
+def tick_aggregates(ticks: DataFrame) -> list[Column]:
+    """Open, high, low, close and volume of a group of ticks."""
+    at = F.struct("ts", "event_id" if "event_id" in ticks.columns else "price")
+    return [F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("qty").alias("volume")]
+
+
 def from_ticks(ticks: DataFrame, timeframe: str = "15 minutes") -> DataFrame:
-    """Bars of (symbol, ts, price, qty), one shuffle with map-side partial aggregates."""
-    bars = ticks.groupBy("symbol", F.window("ts", timeframe).alias("w")).agg(
-        F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("qty").alias("volume")
-    )
+    """Bars of (symbol, ts, price, qty), one shuffle with map-side partial aggregates.
+
+    Of ticks at one time the one with the smaller ``event_id`` comes first, or
+    without that column the one with the smaller price.
+    """
+    bars = ticks.groupBy("symbol", F.window("ts", timeframe).alias("w")).agg(*tick_aggregates(ticks))
     return bars.select("symbol", F.col("w.start").alias("datetime"), "open", "high", "low", "close", "volume")
 
 

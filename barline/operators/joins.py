@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.operators.sweeps import mix
+
 
 def asof_quotes(candles: DataFrame, quotes: DataFrame) -> DataFrame:
     """Each candle with the latest bid and ask at or before it; null before the first quote."""
@@ -21,9 +23,9 @@ def nearest(events: DataFrame, candles: DataFrame, time: str = "ts") -> DataFram
     e = events.withColumns({"__t": F.col(time), "__kind": F.lit(1), "__c": F.lit(None).cast(dict(candles.dtypes)["datetime"])})
     c = candles.select("symbol", F.col("datetime").alias("__t"), F.lit(0).alias("__kind"), F.col("datetime").alias("__c"))
     both = e.unionByName(c, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("__t", "__kind")
-    before = F.last("__c", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("__c", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up = Window.partitionBy("symbol").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("symbol").orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
+    before, after = F.last("__c", ignorenulls=True).over(up), F.last("__c", ignorenulls=True).over(down)  # both running: a frame to the end would start anew at every row
     both = both.withColumns({"__b": before, "__a": after}).filter("__kind = 1")
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     chosen = F.when(F.col("__a").isNull() | (gap(F.col("__b"), F.col("__t")) <= gap(F.col("__t"), F.col("__a"))), F.col("__b")).otherwise(F.col("__a"))
@@ -61,7 +63,7 @@ def next_unseen(trades: DataFrame, seen: DataFrame, seed: int = 7) -> DataFrame:
     """One pseudorandom trade per symbol that is not in ``seen``; where all were seen, of all."""
     fresh = trades.join(seen.select("symbol", "id"), ["symbol", "id"], "left_anti")
     again = trades.join(fresh.select("symbol").distinct(), "symbol", "left_anti")
-    order = F.row_number().over(Window.partitionBy("symbol").orderBy(F.xxhash64(F.lit(seed), "symbol", "id"), "id"))
+    order = F.row_number().over(Window.partitionBy("symbol").orderBy(mix(F.lit(seed), F.col("id")), "id"))
     return fresh.unionByName(again).withColumn("__n", order).filter("__n = 1").drop("__n")
 
 

@@ -154,7 +154,7 @@ def reversal_pnl(rows: DataFrame, commission: float = 0.0, slippage: float = 0.0
     The single-position ledger's results for such signals, in one window.
     """
     w = Window.partitionBy(*keys).orderBy("bar_idx")
-    last = F.last("close").over(w.rowsBetween(0, Window.unboundedFollowing))
+    last = F.last("close").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))  # one value per key
     acts = rows.select(*keys, "bar_idx", "signal", "close", last.alias("__last")).filter("signal <> 0")
     sign = F.signum(F.col("signal").cast("double"))
     entry = F.col("close") * (1 + sign * slippage)

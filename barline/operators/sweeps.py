@@ -12,6 +12,9 @@ from barline.operators.indicators import add_emas_weighted
 from barline.operators.ledger import pair_trades, reversal_pnl
 
 
+MAX_COMBOS = 10_000
+
+
 def grid(spark, shorts, longs, buys, sells) -> DataFrame:
     """combo_id in grid order and its parameters; short >= long is left out."""
     rows = [(i, *c) for i, c in enumerate(product(shorts, longs, buys, sells)) if c[0] < c[1]]
@@ -22,10 +25,17 @@ def optimize(candles: DataFrame, params: DataFrame, initial: float = 1000.0, rsi
     """equity, pnl and win rate of every combination per key, and its rank (first in grid order wins ties).
 
     Means are made once per distinct period; rows without a signal go before
-    the keyed windows. ``params`` is a small table and is broadcast.
+    the keyed windows. ``params``, a grid of at most MAX_COMBOS combinations, is
+    an array that every row carries through one explode: no join. A longer grid
+    goes in several calls.
     """
     keys = list(keys)
-    periods = sorted({r[0] for r in params.select("short").union(params.select("long")).distinct().collect()})
+    grid = params.select("combo_id", "short", "long", "buy", "sell").limit(MAX_COMBOS + 1).collect()
+    if len(grid) > MAX_COMBOS:
+        raise ValueError(f"more than {MAX_COMBOS} combinations: split the grid")
+    periods = sorted({p for r in grid for p in (r["short"], r["long"])})
+    names = {"combo_id": "long", "short": "int", "long": "int", "buy": "double", "sell": "double"}
+    combos = F.array(*[F.struct(*[F.lit(r[n]).cast(t).alias(n) for n, t in names.items()]) for r in grid]) if grid else F.array().cast("array<struct<combo_id:bigint,short:int,long:int,buy:double,sell:double>>")
     w = Window.partitionBy(*keys).orderBy("bar_idx")
     enough = F.count("*").over(Window.partitionBy(*keys)) >= min_bars
     df = candles.withColumn("__enough", enough).filter("__enough")
@@ -34,14 +44,14 @@ def optimize(candles: DataFrame, params: DataFrame, initial: float = 1000.0, rsi
     up, down = rolling(F.avg, F.col("__up"), w, rsi_period), rolling(F.avg, F.col("__down"), w, rsi_period)
     means = F.map_from_arrays(F.array(*[F.lit(p) for p in periods]), F.array(*[rolling(F.avg, F.col("close"), w, p) for p in periods]))
     df = df.select(*keys, "bar_idx", "datetime", "close", F.coalesce(100 - 100 / (1 + up / F.when(down != 0, down)), F.lit(50.0)).alias("rsi"), means.alias("means"))
-    rows = df.join(F.broadcast(params), F.lit(True))
+    rows = df.withColumn("__c", F.explode(combos)).select(*df.columns, "__c.*")
     short, long = F.col("means")[F.col("short")], F.col("means")[F.col("long")]
     signal = F.when((short > long) & (F.col("rsi") > F.col("buy")), 1).when((short < long) & (F.col("rsi") < F.col("sell")), -1).otherwise(0)
     rows = rows.withColumn("signal", signal).filter("signal <> 0").drop("means")
     pairs = pair_trades(rows, (*keys, "combo_id")).groupBy(*keys, "combo_id").agg(F.sum("pnl").alias("pnl"), F.count_if(F.col("pnl") > 0).alias("wins"), F.count("*").alias("trades"))
-    all_ = df.select(*keys).distinct().join(F.broadcast(params), F.lit(True)).join(pairs, [*keys, "combo_id"], "left")
+    all_ = df.select(*keys).distinct().withColumn("__c", F.explode(combos)).select(*keys, "__c.*").join(pairs, [*keys, "combo_id"], "left")
     out = all_.select(*keys, "combo_id", "short", "long", "buy", "sell", (initial + F.coalesce("pnl", F.lit(0.0))).alias("equity_final"), F.coalesce(F.col("wins") / F.col("trades"), F.lit(0.0)).alias("win_rate"))
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("equity_final"), "combo_id")).cast("long"))
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.round("equity_final", 6).desc(), "combo_id")).cast("long"))  # the same trades summed in another order are a tie
 
 
 def folds(candles: DataFrame, window_days: int = 30, every_days: int = 7) -> DataFrame:
@@ -112,7 +122,11 @@ def monte_carlo(trades: DataFrame, sims: int, mode: str = "shuffle", initial: fl
 
 
 def monte_carlo_summary(sims: DataFrame) -> DataFrame:
-    """Mean, median and worst of the final equity and the drawdown."""
+    """Mean, median and worst of the final equity and the drawdown.
+
+    Means are decimals: exact sums of values of 6 digits, divided once.
+    """
+    exact = lambda c: F.avg(F.col(c).cast("decimal(20,6)"))
     return sims.groupBy("symbol").agg(
-        F.avg("final_equity").alias("mean_final"), F.percentile("final_equity", F.lit(0.5)).alias("median_final"), F.min("final_equity").alias("worst_final"), F.avg("max_dd").alias("mean_dd"), F.percentile("max_dd", F.lit(0.5)).alias("median_dd"), F.min("max_dd").alias("worst_dd")
+        exact("final_equity").alias("mean_final"), F.percentile("final_equity", F.lit(0.5)).alias("median_final"), F.min("final_equity").alias("worst_final"), exact("max_dd").alias("mean_dd"), F.percentile("max_dd", F.lit(0.5)).alias("median_dd"), F.min("max_dd").alias("worst_dd")
     )

@@ -33,6 +33,13 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(*[((F.round(n, 6) + 0.0).alias(n) if n in doubles else F.col(n)) for n in names])
 
 
+def _mix_sql(*parts: str) -> str:
+    x = "17::BIGINT"
+    for p in parts:
+        x = f"((({x} * 1103515245 + {p} + 12345) % 2147483648) * 69069 + 1) % 2147483648"
+    return x
+
+
 KEY = ("symbol", "bar_idx")
 
 
@@ -291,17 +298,17 @@ def ema_cross_counts(spark, d):
     return metrics.signal_counts(s.withColumn("signal", F.when(F.col("bar_idx") > 0, F.col("signal")).otherwise(0)))
 
 
-@query(f"""WITH {CANDLES}, q AS (SELECT event_type AS symbol, ts, value * (1 - CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10000) AS bid, value * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10000) AS ask FROM events WHERE event_id % 3 = 0)
+@query(f"""WITH {CANDLES}, q AS (SELECT event_type AS symbol, ts, value * (1 - CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10000) AS bid, value * (1 + CAST(json_extract_string(props, '$.k') AS DOUBLE) / 10000) AS ask FROM events)
 SELECT c.symbol, c.bar_idx, round(q.bid, 6) AS bid, round(q.ask, 6) AS ask FROM c ASOF LEFT JOIN q ON c.symbol = q.symbol AND c.datetime >= q.ts""")
 def asof_quotes(spark, d):
     return r6(joins.asof_quotes(T.candles(spark, d), T.quotes(spark, d)), *KEY, "bid", "ask")
 
 
-@query(f"""WITH {CANDLES}, e AS (SELECT symbol, ts, event_id FROM t WHERE event_id % 5 = 0), p AS (SELECT e.*, b.datetime AS bt FROM e ASOF LEFT JOIN c b ON b.symbol = e.symbol AND e.ts >= b.datetime),
+@query(f"""WITH {CANDLES}, e AS (SELECT symbol, ts, event_id FROM t), p AS (SELECT e.*, b.datetime AS bt FROM e ASOF LEFT JOIN c b ON b.symbol = e.symbol AND e.ts >= b.datetime),
 n AS (SELECT p.*, a.datetime AS aft FROM p ASOF LEFT JOIN c a ON a.symbol = p.symbol AND p.ts <= a.datetime)
 SELECT symbol, event_id, CASE WHEN aft IS NULL OR ts - bt <= aft - ts THEN coalesce(bt, aft) ELSE aft END AS nearest FROM n""")
 def nearest_candle(spark, d):
-    t = T.ticks(spark, d).filter("event_id % 5 = 0").select("symbol", "ts", "event_id")
+    t = T.ticks(spark, d).select("symbol", "ts", "event_id")
     return joins.nearest(t, T.candles(spark, d)).select("symbol", "event_id", "nearest")
 
 
@@ -437,11 +444,12 @@ def bars_around_trades(spark, d):
 
 
 def _positions(spark, d):
-    t = T.trades(spark, d).filter("exit_reason = 'signal' and id % 7 = 0")
+    """Every trade as if it were still open."""
+    t = T.trades(spark, d)
     return t.select("symbol", "id", F.col("direction").alias("side"), F.lit(2.0).alias("quantity"), "entry_price", F.col("stop_price").alias("stop_loss"), F.col("take_price").alias("take_profit"), F.lit(1000.0).alias("balance"))
 
 
-POSITIONS = f"""{TRADES}, p AS (SELECT symbol, id, direction, entry_price, CASE direction WHEN 'long' THEN 1 ELSE -1 END AS dir FROM tr WHERE exit_reason = 'signal' AND id % 7 = 0), lp AS (SELECT symbol, arg_max(close, datetime) AS px FROM c GROUP BY 1)"""
+POSITIONS = f"""{TRADES}, p AS (SELECT symbol, id, direction, entry_price, CASE direction WHEN 'long' THEN 1 ELSE -1 END AS dir FROM tr), lp AS (SELECT symbol, arg_max(close, datetime) AS px FROM c GROUP BY 1)"""
 
 
 @query(f"WITH {POSITIONS} SELECT symbol, id, round((px - entry_price) * 2 * dir, 6) AS open_pnl, round(1000 + (px - entry_price) * 2 * dir, 6) AS equity FROM p LEFT JOIN lp USING (symbol)")
@@ -455,10 +463,12 @@ def reconcile_positions(spark, d):
     return r6(joins.reconcile(_positions(spark, d), T.candles(spark, d)), "symbol", "id", "reason", "exit_price")
 
 
-@query()
+@query(f"""WITH {TRADES}, sn AS (SELECT symbol, id, pnl, pnl > 0 AS seen FROM tr), nu AS (SELECT *, count(*) FILTER (WHERE NOT seen) OVER (PARTITION BY symbol) AS fresh FROM sn)
+SELECT symbol, id, round(pnl, 6) AS pnl FROM nu WHERE NOT seen OR fresh = 0 QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY {_mix_sql('7', 'id')}, id) = 1""")
 def next_unseen_trade(spark, d):
+    """The trades that won have been seen."""
     t = T.trades(spark, d).select("symbol", "id", "pnl")
-    return joins.next_unseen(t, t.filter("id % 3 <> 0"))
+    return r6(joins.next_unseen(t, t.filter("pnl > 0")))
 
 
 @query(f"""WITH {TRADES}, za AS (SELECT symbol, high - low AS range, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS position FROM c), zb AS (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY id) AS position FROM tr)
@@ -492,24 +502,38 @@ def book_changes(spark, d):
 
 
 GRID = ([5, 9], [21, 34], [55.0, 60.0], [40.0, 45.0])
-GRID_SQL = f"""{RSI}, rs AS (SELECT *, coalesce(100 - 100 / (1 + au / nullif(ad, 0)), 50.0::DOUBLE) AS rsi, {rolled('avg', 'close', 5)} AS m5, {rolled('avg', 'close', 9)} AS m9, {rolled('avg', 'close', 21)} AS m21, {rolled('avg', 'close', 34)} AS m34, count(*) OVER (PARTITION BY symbol) AS nb FROM ra),
+
+
+def _grid_sql(bars: str, keys: str) -> str:
+    """ff: every combination's result by ``keys`` over the table ``bars``."""
+    mean = lambda col, n: rolled("avg", col, n).replace("PARTITION BY symbol", f"PARTITION BY {keys}")
+    return f"""gd AS (SELECT *, close - lag(close) OVER (PARTITION BY {keys} ORDER BY bar_idx) AS delta FROM {bars}),
+gu AS (SELECT *, CASE WHEN delta > 0 THEN delta ELSE 0.0::DOUBLE END AS up, CASE WHEN delta < 0 THEN -delta ELSE 0.0::DOUBLE END AS down FROM gd),
+gr AS (SELECT *, {mean("up", 14)} AS au, {mean("down", 14)} AS ad, {mean("close", 5)} AS m5, {mean("close", 9)} AS m9, {mean("close", 21)} AS m21, {mean("close", 34)} AS m34, count(*) OVER (PARTITION BY {keys}) AS nb FROM gu),
+rs AS (SELECT *, coalesce(100 - 100 / (1 + au / nullif(ad, 0)), 50.0::DOUBLE) AS rsi FROM gr),
 pg AS (SELECT (row_number() OVER (ORDER BY s, l, b, e)) - 1 AS combo_id, * FROM (VALUES (5), (9)) s(s) CROSS JOIN (VALUES (21), (34)) l(l) CROSS JOIN (VALUES (55.0::DOUBLE), (60.0::DOUBLE)) b(b) CROSS JOIN (VALUES (40.0::DOUBLE), (45.0::DOUBLE)) e(e)),
-sg AS (SELECT symbol, bar_idx, close, combo_id, s, l, b, e, CASE s WHEN 5 THEN m5 ELSE m9 END AS ms, CASE l WHEN 21 THEN m21 ELSE m34 END AS ml, rsi FROM rs CROSS JOIN pg WHERE nb >= 200),
+sg AS (SELECT {keys}, bar_idx, close, combo_id, s, l, b, e, CASE s WHEN 5 THEN m5 ELSE m9 END AS ms, CASE l WHEN 21 THEN m21 ELSE m34 END AS ml, rsi FROM rs CROSS JOIN pg WHERE nb >= 200),
 si AS (SELECT *, CASE WHEN ms > ml AND rsi > b THEN 1 WHEN ms < ml AND rsi < e THEN -1 ELSE 0 END AS signal FROM sg),
-pa AS (SELECT symbol, combo_id, signal, close, row_number() OVER w AS k, lead(close) OVER w AS nx FROM si WHERE signal <> 0 WINDOW w AS (PARTITION BY symbol, combo_id ORDER BY bar_idx)),
-pp AS (SELECT symbol, combo_id, CASE WHEN signal > 0 THEN nx - close ELSE close - nx END AS pnl FROM pa WHERE k % 2 = 1 AND nx IS NOT NULL),
-gg AS (SELECT symbol, combo_id, sum(pnl) AS pnl, count(*) FILTER (WHERE pnl > 0) / count(*) AS wr FROM pp GROUP BY 1, 2),
-ff AS (SELECT u.symbol, pg.combo_id, s, l, b, e, round(1000 + coalesce(pnl, 0), 6) AS equity_final, round(coalesce(wr, 0.0), 6) AS win_rate FROM (SELECT DISTINCT symbol FROM rs WHERE nb >= 200) u CROSS JOIN pg LEFT JOIN gg USING (symbol, combo_id))"""
+pa AS (SELECT {keys}, combo_id, signal, close, row_number() OVER w AS k, lead(close) OVER w AS nx FROM si WHERE signal <> 0 WINDOW w AS (PARTITION BY {keys}, combo_id ORDER BY bar_idx)),
+pp AS (SELECT {keys}, combo_id, CASE WHEN signal > 0 THEN nx - close ELSE close - nx END AS pnl FROM pa WHERE k % 2 = 1 AND nx IS NOT NULL),
+gg AS (SELECT {keys}, combo_id, sum(pnl) AS pnl, count(*) FILTER (WHERE pnl > 0) / count(*) AS wr FROM pp GROUP BY ALL),
+ff AS (SELECT u.*, pg.combo_id, s, l, b, e, round(1000 + coalesce(pnl, 0), 6) AS equity_final, round(coalesce(wr, 0.0), 6) AS win_rate FROM (SELECT DISTINCT {keys} FROM rs WHERE nb >= 200) u CROSS JOIN pg LEFT JOIN gg USING ({keys}, combo_id))"""
+
 
+COMBO = "combo_id, CAST(s AS INTEGER) AS short, CAST(l AS INTEGER) AS long, b AS buy, e AS sell, equity_final, win_rate"
 
-@query(f"WITH {GRID_SQL} SELECT symbol, combo_id, CAST(s AS INTEGER) AS short, CAST(l AS INTEGER) AS long, b AS buy, e AS sell, equity_final, win_rate FROM ff")
+
+@query(f"WITH {CANDLES}, {_grid_sql('c', 'symbol')} SELECT symbol, {COMBO}, row_number() OVER (PARTITION BY symbol ORDER BY equity_final DESC, combo_id) AS rank FROM ff")
 def grid_search(spark, d):
-    return r6(sweeps.optimize(T.candles(spark, d), sweeps.grid(spark, *GRID)), "symbol", "combo_id", "short", "long", "buy", "sell", "equity_final", "win_rate")
+    return r6(sweeps.optimize(T.candles(spark, d), sweeps.grid(spark, *GRID)), "symbol", "combo_id", "short", "long", "buy", "sell", "equity_final", "win_rate", "rank")
 
 
-@query()
+@query(f"""WITH {CANDLES}, fs AS (SELECT *, datesub('second', min(datetime) OVER (PARTITION BY symbol), datetime) AS age, datesub('second', min(datetime) OVER (PARTITION BY symbol), max(datetime) OVER (PARTITION BY symbol)) AS span FROM c),
+fc AS (SELECT fs.*, fold FROM fs, (SELECT unnest(generate_series(0, 999)) AS fold) WHERE fold * 259200 + 604800 <= span AND age BETWEEN fold * 259200 AND fold * 259200 + 604800),
+{_grid_sql('fc', 'symbol, fold')} SELECT symbol, fold, {COMBO} FROM ff QUALIFY row_number() OVER (PARTITION BY symbol, fold ORDER BY equity_final DESC, combo_id) = 1""")
 def walk_forward(spark, d):
-    return sweeps.walk_forward(T.candles(spark, d), sweeps.grid(spark, *GRID), window_days=7, every_days=3, min_bars=50)
+    """Weekly windows every third day: the given series cover a month."""
+    return r6(sweeps.walk_forward(T.candles(spark, d), sweeps.grid(spark, *GRID), window_days=7, every_days=3))
 
 
 def _ema_grid_sql() -> str:
@@ -531,32 +555,42 @@ def ema_robustness_grid(spark, d):
     return r6(sweeps.ema_grid(T.candles(spark, d)))
 
 
-def _mix_sql(*parts: str) -> str:
-    x = "17::BIGINT"
-    for p in parts:
-        x = f"((({x} * 1103515245 + {p} + 12345) % 2147483648) * 69069 + 1) % 2147483648"
-    return x
+def _mc_sql(sims: int) -> str:
+    return f"""{TRADES}, k AS (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM tr), r AS (SELECT k.*, sim, {_mix_sql('7', 'sim', 'k')} AS draw FROM k CROSS JOIN (SELECT unnest(generate_series(0, {sims - 1})) AS sim))"""
+
+
+BOOTSTRAP = "mb AS (SELECT r.symbol, r.sim, k.pnl, r.k AS o1, 0 AS o2 FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.draw % r.n)"
+MC_END = "me AS (SELECT symbol, sim, 1000 + sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY o1, o2 ROWS UNBOUNDED PRECEDING) AS eq, o1, o2 FROM mb), f AS (SELECT symbol, sim, eq, eq - max(eq) OVER (PARTITION BY symbol, sim ORDER BY o1, o2 ROWS UNBOUNDED PRECEDING) AS dd, row_number() OVER (PARTITION BY symbol, sim ORDER BY o1 DESC, o2 DESC) AS last FROM me), y AS (SELECT symbol, sim, round(max(eq) FILTER (WHERE last = 1), 6) AS final_equity, round(min(dd), 6) AS max_dd FROM f GROUP BY 1, 2)"
+SHUFFLES, BOOTSTRAPS = 10_000, 500
 
 
-MC = f"""{TRADES}, k AS (SELECT symbol, pnl, row_number() OVER (PARTITION BY symbol ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY symbol) AS n FROM tr), r AS (SELECT k.*, sim, {_mix_sql('7', 'sim', 'k')} AS draw FROM k CROSS JOIN (SELECT unnest(generate_series(0, 49)) AS sim))"""
-MC_END = "me AS (SELECT symbol, sim, 1000 + sum(pnl) OVER (PARTITION BY symbol, sim ORDER BY o1, o2 ROWS UNBOUNDED PRECEDING) AS eq, o1, o2 FROM mb), f AS (SELECT symbol, sim, eq, eq - max(eq) OVER (PARTITION BY symbol, sim ORDER BY o1, o2 ROWS UNBOUNDED PRECEDING) AS dd, row_number() OVER (PARTITION BY symbol, sim ORDER BY o1 DESC, o2 DESC) AS last FROM me) SELECT symbol, sim, round(max(eq) FILTER (WHERE last = 1), 6) AS final_equity, round(min(dd), 6) AS max_dd FROM f GROUP BY 1, 2"
+def _exact_mean(column: str) -> str:
+    """The mean of values of 6 digits to 4 digits, half away from zero, in whole numbers alone."""
+    total = f"sum(CAST(round({column} * 1000000) AS HUGEINT))"
+    return f"CAST(sign({total}) * ((2 * abs({total}) + 100 * count(*)) // (200 * count(*))) AS DOUBLE) / 10000"
 
 
-@query(f"WITH {MC}, mb AS (SELECT symbol, sim, pnl, draw AS o1, k AS o2 FROM r), {MC_END}")
+@query(f"WITH {_mc_sql(SHUFFLES)}, mb AS (SELECT symbol, sim, pnl, draw AS o1, k AS o2 FROM r), {MC_END} SELECT * FROM y")
 def monte_carlo_shuffle(spark, d):
-    return r6(sweeps.monte_carlo(T.trades(spark, d), 50, "shuffle"))
+    return r6(sweeps.monte_carlo(T.trades(spark, d), SHUFFLES, "shuffle"))
 
 
-@query(f"WITH {MC}, mb AS (SELECT r.symbol, r.sim, k.pnl, r.k AS o1, 0 AS o2 FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.draw % r.n), {MC_END}")
+@query(f"WITH {_mc_sql(BOOTSTRAPS)}, {BOOTSTRAP}, {MC_END} SELECT * FROM y")
 def monte_carlo_bootstrap(spark, d):
-    return r6(sweeps.monte_carlo(T.trades(spark, d), 50, "bootstrap"))
+    return r6(sweeps.monte_carlo(T.trades(spark, d), BOOTSTRAPS, "bootstrap"))
 
 
-@query(f"""WITH {MC.replace("generate_series(0, 49)", "generate_series(0, 199)")}, mb AS (SELECT r.symbol, r.sim, k.pnl, r.k AS o1, 0 AS o2 FROM r JOIN k ON k.symbol = r.symbol AND k.k = r.draw % r.n), y AS ({MC_END.replace("me AS (", "SELECT * FROM (WITH me AS (", 1)}))
-SELECT symbol, round(avg(final_equity), 4) AS mean_final, round(quantile_cont(final_equity, 0.5), 6) AS median_final, round(min(final_equity), 6) AS worst_final, round(avg(max_dd), 4) AS mean_dd, round(quantile_cont(max_dd, 0.5), 6) AS median_dd, round(min(max_dd), 6) AS worst_dd FROM y GROUP BY 1""")
+@query(f"""WITH {_mc_sql(BOOTSTRAPS)}, {BOOTSTRAP}, {MC_END}
+SELECT symbol, {_exact_mean("final_equity")} AS mean_final, round(quantile_cont(final_equity, 0.5), 6) AS median_final, min(final_equity) AS worst_final, {_exact_mean("max_dd")} AS mean_dd, round(quantile_cont(max_dd, 0.5), 6) AS median_dd, min(max_dd) AS worst_dd FROM y GROUP BY 1""")
 def monte_carlo_summary(spark, d):
-    s = sweeps.monte_carlo_summary(r6(sweeps.monte_carlo(T.trades(spark, d), 200, "bootstrap")))
-    return r6(s.withColumns({c: F.round(c, 4) for c in ("mean_final", "mean_dd")}))
+    s = sweeps.monte_carlo_summary(r6(sweeps.monte_carlo(T.trades(spark, d), BOOTSTRAPS, "bootstrap")))
+    return r6(s.withColumns({c: F.round(c, 4).cast("double") for c in ("mean_final", "mean_dd")}))
+
+
+@query(f"""WITH {_mc_sql(BOOTSTRAPS)}, {BOOTSTRAP}, {MC_END}, m AS (SELECT symbol, min(final_equity) AS lo, max(final_equity) AS hi FROM y GROUP BY 1)
+SELECT symbol, CAST(CASE WHEN hi > lo THEN least(floor((final_equity - lo) / ((hi - lo) / 40)), 39) ELSE 20 END AS BIGINT) AS bin, count(*) AS n FROM y JOIN m USING (symbol) GROUP BY 1, 2""")
+def monte_carlo_histogram(spark, d):
+    return metrics.histogram(r6(sweeps.monte_carlo(T.trades(spark, d), BOOTSTRAPS, "bootstrap")), F.col("final_equity"))
 
 
 @query(f"""WITH {TRADES}, nz AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_time, id) AS k FROM tr)

@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from barline import ship
 from barline.functions.position import LedgerState, step
+from barline.operators.candles import tick_aggregates
 
 ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
@@ -22,7 +23,7 @@ ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql
 def bars(ticks: DataFrame, timeframe: str = "15 minutes", late: str = "1 hour") -> DataFrame:
     """Tumbling bars: in append mode closed bars, in update mode the forming ones too."""
     w = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", timeframe).alias("w"))
-    b = w.agg(F.min_by("price", "ts").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "ts").alias("close"), F.sum("qty").alias("volume"))
+    b = w.agg(*tick_aggregates(ticks))
     return b.select("symbol", F.col("w.start").alias("datetime"), "open", "high", "low", "close", "volume")
 
 
@@ -34,7 +35,7 @@ def closed_bars(events: DataFrame, late: str = "1 hour") -> DataFrame:
 def throttled(ticks: DataFrame, every: str = "200 milliseconds", late: str = "1 minute") -> DataFrame:
     """At most one tick per symbol and interval of event time, the last."""
     w = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", every).alias("w"))
-    return w.agg(F.max("ts").alias("ts"), F.max_by("price", "ts").alias("price")).select("symbol", "ts", "price")
+    return w.agg(F.max("ts").alias("ts"), F.max_by("price", F.struct("ts", "price")).alias("price")).select("symbol", "ts", "price")
 
 
 def latest_books(books: DataFrame) -> DataFrame:
