@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -10,8 +11,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline import ship
-
 # Fixed value: the white-space class of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
@@ -45,20 +44,40 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which driver and executors share.
+def scratch_base(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing (a local session) a temporary folder of
-    this process takes its place; it goes when the process ends.
+    Only a local session may lack that setting: a temporary folder of this
+    process takes its place. Either goes when the process ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own_dirs:
-            _own_dirs[app] = tempfile.mkdtemp(prefix="barline-")
-            atexit.register(shutil.rmtree, _own_dirs[app], True)
-        base = _own_dirs[app]
-    return f"{base.rstrip('/')}/barline/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _own_dirs:
+        base = spark.conf.get("spark.checkpoint.dir", "") or ""
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            base = tempfile.mkdtemp(prefix="barline-")
+            atexit.register(shutil.rmtree, base, True)
+        _own_dirs[app] = f"{base.rstrip('/')}/barline-{app}"
+        atexit.register(_remove_quietly, spark, _own_dirs[app])
+    return _own_dirs[app]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the scratch space, wherever it is."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+def _remove_quietly(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:  # else the session ended before its process
+        with contextlib.suppress(Exception):
+            remove(spark, path)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    return f"{scratch_base(spark)}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) -> DataFrame:
@@ -66,12 +85,18 @@ def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) ->
 
     It cuts lineage and survives the loss of executors.
     """
-    spark = df.sparkSession
-    ship(spark)
-    path = scratch_dir(spark)
+    path = scratch_dir(df.sparkSession)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path, compression=codec)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes materialized tables that nothing reads any more."""
+    for df in tables:
+        base = scratch_base(df.sparkSession)
+        for folder in {f[f.index(base) :][: len(base) + 33] for f in df.inputFiles() if base in f}:
+            remove(df.sparkSession, folder)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,8 +8,10 @@ the rest (repeats and about 0.3 % false positives) shuffle, by their hash.
 
 The filter is the only thing sent to every task. Its size is bounded by
 ``max_filter_bits``; a larger input is cut into hash segments, each with a
-filter of its own, and a segment's round reads only that segment's hashes.
-Texts never shuffle.
+filter of its own. A segment's round reads only that segment's hashes, writes
+its marked rows and takes its filter back, so neither the driver nor the plan
+grows with the rounds. With 2 GB filters (``max_filter_bits = 1 << 34``), 30
+billion rows are 30 rounds. Texts never shuffle.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import full_text, materialize, squeeze
+from barline import ship
+from barline.llm.common import full_text, materialize, scratch_dir, squeeze
 
 HASHES = 4
 CHUNK_BITS = 1 << 20
@@ -78,9 +81,8 @@ def repeat_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
     return bits
 
 
-def possibly_repeated(spark, bits: np.ndarray, n_bits: int):
-    """Pass 2: a column function that is false only for keys seen once."""
-    shared = spark.sparkContext.broadcast(bits)
+def possibly_repeated(shared, n_bits: int):
+    """Pass 2: a column function that is false only for keys seen once; ``shared`` is the broadcast filter."""
 
     @F.pandas_udf("boolean")
     def probe(key: pd.Series) -> pd.Series:
@@ -97,7 +99,7 @@ def exact_dedup(
     text_col: str = "text",
     bits_per_row: int = 16,
     max_filter_bits: int = 1 << 28,
-    salts: int = 64,
+    salt_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: its group of equal texts and the row that stays.
 
@@ -108,9 +110,11 @@ def exact_dedup(
     Defined cases: a null text counts as empty, so all empty, blank and null
     texts are one group; an empty table gives an empty result; columns of the
     input other than id and text are ignored, whatever their names. A hot group
-    is aggregated in ``salts`` parts, so no task gets a whole group.
+    is dealt out in parts, one per ``salt_rows`` rows of the input and 64 at
+    least, so no task gets a whole group.
     """
     spark = docs.sparkSession
+    ship(spark)
     text = full_text(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).select(
         "doc_id",
@@ -124,21 +128,16 @@ def exact_dedup(
     segments = max(1, -(-total * bits_per_row // max_filter_bits))
     rows = materialize(rows.withColumn("segment", F.expr(f"cast(pmod(shiftright(key, 40), {segments}) as int)")), *["segment"] * (segments > 1))
 
-    passed, shuffled = [], []
+    path = scratch_dir(spark)
     for s in range(segments):
-        part = rows.filter(F.col("segment") == s)
-        probe = possibly_repeated(spark, repeat_filter(part.select("key"), n_bits), n_bits)
-        marked = part.withColumn("maybe", probe("key"))
-        passed.append(marked.filter(~F.col("maybe")))
-        shuffled.append(marked.filter("maybe"))
-
-    def union(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.union(p)
-        return out
-
-    maybe = union(shuffled).withColumn("salt", F.expr(f"pmod(hash(uid), {salts})"))
+        part = rows.filter(F.col("segment") == s).drop("segment")
+        shared = spark.sparkContext.broadcast(repeat_filter(part.select("key"), n_bits))
+        part.withColumn("maybe", possibly_repeated(shared, n_bits)("key")).write.mode("append").parquet(path)
+        shared.unpersist()
+    marked = spark.read.schema(rows.drop("segment").withColumn("maybe", F.lit(True)).schema).parquet(path)
+
+    salts = max(64, total // salt_rows)
+    maybe = marked.filter("maybe").withColumn("salt", F.expr(f"pmod(hash(uid), {salts})"))
     best = F.min(F.struct((-F.col("n_chars")).alias("len"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid"))
     parts = maybe.groupBy("sha", "salt").agg(best.alias("best"), F.count("*").alias("n"))
     groups = parts.groupBy("sha").agg(F.min("best").alias("best"), F.sum("n").alias("group_size"))
@@ -149,7 +148,7 @@ def exact_dedup(
         (F.col("uid") == F.col("best.uid")).alias("kept"),
         "sha",
     )
-    unique = union(passed).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
+    unique = marked.filter("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
     return unique.union(grouped).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
 
 

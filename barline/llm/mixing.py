@@ -1,18 +1,20 @@
 """Mixing sources to target weights, by blocks that are joined by index.
 
 Each source's words stand in one pseudorandom document order and are cut into
-blocks of ``block_words``. The output is a row of equal slots, cut into shards
-of ``shard_slots``; every shard draws its source counts anew: slot k draws its
-source at a random point of [k, k+1) / shard_slots of the cumulative target
-shares, which is a multinomial draw stratified by slot (each count stays within
-two of its expectation, so small sources come near their targets too). The j-th
-slot of a source reads block pi(j mod blocks), pi a keyed swap-or-not
-permutation of the source's block numbers, another for each pass; slots and
-blocks then meet in an equi-join on (source, block).
-
-Only DataFrame functions are used. Prefix sums are two-level (hash buckets, then
-rows), so a source with a third of all rows is never in one task; the windows
-without a bucket see one row per source or per (source, bucket or shard).
+blocks of ``block_words``. A source has as many output slots as its target needs
+blocks; the slots of all sources are dealt to equal shards by a keyed permutation
+of their numbers. A shard's source counts are so a multinomial draw given that
+all quotas are used up (a multivariate hypergeometric one), and even the
+smallest source comes within a block of its target. The j-th slot of a source
+reads block pi(j mod blocks), pi a keyed permutation of the source's block
+numbers, another for each pass; slots and blocks meet in an equi-join on
+(source, block).
+
+Only DataFrame functions are used. Slots are exploded from chunks of a source's
+slots, so a large source is spread over many tasks. Prefix sums are two-level
+(hash buckets, then rows), so a source with a third of all rows is never in one
+task; the windows without a bucket see one row per source (60 bytes each), or
+per (source, bucket).
 """
 
 from __future__ import annotations
@@ -26,23 +28,21 @@ from barline.llm.common import full_text, let, materialize, n_words, words
 WEIGHTS = (5, 2, 1)
 MAX_PASSES = 3
 ROUNDS = 24
+SLOT_CHUNK = 1 << 16
 
 
-def uniform(*cols) -> Column:
-    """A reproducible number in [0, 1) from the columns' hash."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
+def permute(df: DataFrame, i: str, n: Column, *key) -> DataFrame:
+    """Replaces the column ``i``, in 0..n-1, by a keyed permutation of it: a swap-or-not shuffle for any n.
 
-
-def permute(i: Column, n: Column, *key) -> Column:
-    """Swap-or-not shuffle: a keyed permutation of 0..n-1 for any n."""
-
-    def step(x, r):
-        mirror = F.pmod(F.xxhash64(*key, r, F.lit("mirror")), n)
-        other = F.pmod(mirror - x, n)
-        swap = F.xxhash64(*key, r, F.greatest(x, other)) % 2 == 0
-        return F.when(swap, other).otherwise(x)
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i, step)
+    A select per round: each stays a small piece of generated code.
+    """
+    others = [c for c in df.columns if c != i]
+    df = df.withColumns({"__n": n.cast("long"), "__key": F.xxhash64(*key)})
+    for r in range(ROUNDS):
+        df = df.withColumn("__other", F.pmod(F.pmod(F.xxhash64("__key", F.lit(r)), F.col("__n")) - F.col(i), F.col("__n")))
+        df = df.withColumn("__top", F.greatest(i, "__other"))
+        df = df.withColumn(i, F.when(F.xxhash64("__key", "__top", F.lit(r)).bitwiseAND(1) == 0, F.col("__other")).otherwise(F.col(i)))
+    return df.select(*others, i)
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -69,29 +69,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
     return s.select("src", "source", "source_size", F.least("cap", F.col("level") * F.col("w")).alias("target"))
 
 
-def slots(targets: DataFrame, shard_slots: int, n_shards: int, seed: int) -> DataFrame:
-    """(src, block): the block each output slot reads; ``targets`` has blocks and slots too."""
-    spark = targets.sparkSession
-    upto = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    cdf = targets.filter("slots > 0").withColumn("hi", F.sum("slots").over(upto) / F.sum("slots").over(whole) * shard_slots)
-    last = F.max("src").over(whole)
-    cdf = cdf.withColumn("hi", F.when(F.col("src") == last, F.lit(float(shard_slots))).otherwise(F.col("hi")))
-    cdf = cdf.withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("src")), F.lit(0.0)))
-    cdf = cdf.select(
-        "src", "blocks", "lo", "hi", F.explode(F.sequence(F.floor("lo"), F.ceil("hi") - 1)).alias("slot")
-    )
-    slot = F.col("id") % max(1, shard_slots)
-    drawn = spark.range(shard_slots * n_shards).select(F.expr(f"id div {max(1, shard_slots)}").alias("shard"), slot.alias("slot"), (slot + uniform(F.lit(seed), "id")).alias("point"))
-    drawn = drawn.join(cdf, "slot").filter("lo <= point and point < hi").select("src", "blocks", "shard", "slot")
-    counts = drawn.groupBy("src", "shard").agg(F.count("*").alias("n"))
-    base = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("src", "shard", F.coalesce(F.sum("n").over(base), F.lit(0)).alias("base"))
-    j = F.row_number().over(Window.partitionBy("src", "shard").orderBy("slot")) - 1
-    ranked = drawn.withColumn("j", j).join(counts, ["src", "shard"]).withColumn("j", F.col("j") + F.col("base"))
-    ranked = ranked.filter(F.col("j") < MAX_PASSES * F.col("blocks"))
-    turn = F.floor(F.col("j") / F.col("blocks"))
-    return ranked.select("src", permute(F.col("j") % F.col("blocks"), F.col("blocks"), F.lit(seed), F.col("src"), turn).alias("block"))
+def slots(targets: DataFrame, total: int, shard_slots: int, seed: int, chunk: int = SLOT_CHUNK) -> DataFrame:
+    """(src, shard, block): the shard of each output slot and the block it reads.
+
+    ``targets`` has src, blocks, slots and base (the slots of the sources before);
+    ``total`` is the sum of all slots.
+    """
+    chunks = targets.filter("slots > 0").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(slots - 1) div {chunk}"))))
+    chunks = chunks.repartition(max(1, -(-total // chunk)), "src", "chunk")
+    first, last = F.col("chunk") * chunk, F.least(F.col("slots"), (F.col("chunk") + 1) * chunk) - 1
+    drawn = chunks.select("src", "blocks", "base", F.explode(F.sequence(first, last)).alias("j"))
+    drawn = drawn.withColumn("place", F.col("base") + F.col("j")).drop("base")
+    drawn = permute(drawn, "place", F.lit(total), F.lit(seed))
+    n_shards = max(1, round(total / shard_slots))
+    drawn = drawn.select("src", "blocks", F.expr(f"place div {-(-total // n_shards) or 1}").alias("shard"), F.expr("j div blocks").alias("turn"), F.expr("j % blocks").alias("block"))
+    return permute(drawn, "block", F.col("blocks"), F.lit(seed), F.col("src"), F.col("turn")).select("src", "shard", "block")
 
 
 def plan_mix(sized: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
@@ -103,12 +95,11 @@ def plan_mix(sized: DataFrame, block_words: int = 64, shard_slots: int = 4096, s
     buckets = max(1, int(total**0.5))
     targets = source_targets(sized)
     blocks = F.ceil(F.col("source_size") / block_words)
-    targets = materialize(
-        targets.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(0.0))
-    )
-    wanted = int(round(targets.agg(F.sum("slots")).first()[0] or 0))
-    n_shards = max(1, round(wanted / shard_slots))
-    shard_slots = -(-wanted // n_shards)  # equal shards: at most one slot each above what is wanted
+    wanted = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0)
+    targets = targets.withColumn("blocks", blocks).withColumn("slots", F.least(wanted.cast("long"), MAX_PASSES * F.col("blocks")))
+    before = Window.orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
+    targets = materialize(targets.withColumn("base", F.coalesce(F.sum("slots").over(before), F.lit(0))))
+    n_slots = targets.agg(F.sum("slots")).first()[0] or 0
 
     placed = sized.filter("size > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "uid"))
     placed = placed.withColumn("bucket", F.expr(f"pmod(h, {buckets})"))
@@ -123,7 +114,7 @@ def plan_mix(sized: DataFrame, block_words: int = 64, shard_slots: int = 4096, s
     begin = F.greatest(F.col("at"), F.col("block") * block_words)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
     cut = cut.select("uid", "src", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("length"))
-    times = slots(targets, shard_slots, n_shards, seed).groupBy("src", "block").agg(F.count("*").alias("times"))
+    times = materialize(slots(targets, n_slots, shard_slots, seed).groupBy("src", "block").agg(F.count("*").alias("times")))
     return targets, cut.join(times, ["src", "block"]).select("uid", "start", "length", "times")
 
 

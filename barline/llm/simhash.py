@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barline import ship
 from barline.llm.common import full_text, join_hot_cold, materialize
 
 SHINGLE = 3
@@ -91,6 +92,8 @@ def band_keys(shingles: np.ndarray, bands: int = BANDS, band_rows: int = BAND_RO
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """Adds ``fp`` (the hash of the shingle set) and ``keys`` to rows with a ``text``, which goes."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("fp long, keys array<long>")
     def udf(text: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in text]
@@ -103,6 +106,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Adds ``fp`` to rows with a ``text``, which goes."""
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def udf(text: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t) for t in text], dtype="int64")
@@ -165,6 +170,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(prints: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(a, b): a spanning set of the links between the distinct ``fp`` of ``prints``."""
+    ship(prints.sparkSession)
     blocks = [F.shiftrightunsigned("fp", o).bitwiseAND(F.lit((1 << w) - 1)) for o, w in zip(OFFSETS, WIDTHS)]
     keys = [F.lit(t << 26) + blocks[i] * (1 << 13) + blocks[j] for t, (i, j) in enumerate(combinations(range(5), 2))]
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("key"))
