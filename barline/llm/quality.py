@@ -1,11 +1,13 @@
 """Quality rules: base statistics and robust multivariate outliers.
 
-Each document gives a vector of transformed statistics. Per language and
-source, a minimum-covariance-determinant estimate (location and covariance of
-the most concentrated ``share`` of the rows) is found by concentration steps
-from two starts, medians with median deviations and plain moments; the start
-that ends with the smaller determinant counts. A document whose robust
-Mahalanobis distance is above the cutoff is rejected.
+Each document that passes the base rules gives a vector of transformed
+statistics. Per language and source, a minimum-covariance-determinant estimate
+(location and covariance of the most concentrated half of the rows, so that up
+to half of a group may be junk) is found by concentration steps from two starts,
+medians with median deviations and plain moments, until no determinant falls any
+more; the start that ends with the smaller determinant counts. One reweighting
+step takes the moments of all rows within the 97.5 % ellipsoid of that estimate.
+A document whose Mahalanobis distance by them is above the cutoff is rejected.
 
 All work is aggregation over a small table of statistics with map-side
 combine; quantiles come from mergeable sketches of bounded size, so a source
@@ -31,8 +33,12 @@ DIM = 4
 FLOORS = (0.06, 0.30, 0.05, 0.04)
 #: Squared distance above which a document is rejected (chi-square, 4 degrees, about 1 in 10 million).
 CUTOFF = 40.0
-SHARE = 0.75
-STEPS = 3
+#: The half of the rows that the determinant is taken over: the estimate holds with up to half junk.
+SHARE = 0.5
+#: Steps end when no determinant falls; this many are never needed.
+MOST_STEPS = 50
+#: Share of clean rows that the reweighted moments cover, and its chi-square quantile (4 degrees).
+INNER, INNER_D2 = 0.975, 11.1433
 ACCURACY = 10_000
 
 
@@ -142,16 +148,17 @@ def robust_groups(vecs: DataFrame, min_rows: int = 50) -> DataFrame:
     return vecs.join(by_source, vecs["lang"].eqNullSafe(by_source["g1"]) & vecs["source"].eqNullSafe(by_source["g2"]), "left").drop("g1", "g2")
 
 
-def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
-    """One row per ``grp``: m0.., l00.., the estimate with the least determinant.
+def mcd(rows: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row per ``grp``: n_rows, m0.., l00.., the reweighted estimate with the least determinant.
 
     ``rows`` (materialized) has grp and x0..x3.
     """
     xs = range(DIM)
     pairs = [(i, j) for i in xs for j in range(i + 1)]
     cov = lambda i, j, scale=1.0: (scale * F.coalesce(F.covar_pop(f"x{i}", f"x{j}"), F.lit(0.0)) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"c{i}{j}")
+    moments = lambda scale=1.0: [*[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j, scale) for i, j in pairs]]
     size, total = F.count("*").alias("n_rows"), rows.count()
-    plain = rows.groupBy("grp").agg(size, *[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j) for i, j in pairs])
+    plain = rows.groupBy("grp").agg(size, *moments())
     medians = rows.groupBy("grp").agg(size, *[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in xs])
     medians = materialize(medians)
     spread = join_hot_cold(rows, medians, ["grp"], "n_rows", total).groupBy("grp").agg(
@@ -161,29 +168,36 @@ def mcd(rows: DataFrame, share: float = SHARE, steps: int = STEPS) -> DataFrame:
         "grp", "n_rows", *[f"m{i}" for i in xs], *[(F.pow(1.4826 * F.col(f"s{i}"), 2) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in pairs]
     )
     params = plain.withColumn("start", F.lit(0)).unionByName(spread.withColumn("start", F.lit(1)))
-    params = materialize(_factor_step(params))
-    for _ in range(steps):
-        far = _distance(join_hot_cold(rows, params, ["grp"], "n_rows", total)).select("grp", "start", "d2", *[f"x{i}" for i in xs])
+    params = materialize(_factor_step(params).withColumn("logdet", F.lit(float("inf"))))
+    for _ in range(MOST_STEPS):
+        far = _distance(join_hot_cold(rows, params, ["grp"], "n_rows", total)).select("grp", "start", "d2", F.col("logdet").alias("before"), *[f"x{i}" for i in xs])
         limit = materialize(far.groupBy("grp", "start").agg(size, F.percentile_approx("d2", share, ACCURACY).alias("q")))
         core = join_hot_cold(far, limit, ["grp", "start"], "n_rows", total).filter("d2 <= q")
-        moments = core.groupBy("grp", "start").agg(F.first("n_rows").alias("n_rows"), *[F.avg(f"x{i}").alias(f"m{i}") for i in xs], *[cov(i, j, _consistency(share)) for i, j in pairs])
-        params = materialize(_factor_step(moments))
+        core = core.groupBy("grp", "start").agg(F.first("n_rows").alias("n_rows"), F.first("before").alias("before"), *moments(_consistency(share)))
+        params = materialize(_factor_step(core))
+        if params.filter("before - logdet > 1e-6").isEmpty():
+            break
     best = params.groupBy("grp").agg(F.min_by("start", F.struct("logdet", "start")).alias("start"))
-    return params.join(best, ["grp", "start"]).drop("start", "logdet")
+    raw = materialize(params.join(best, ["grp", "start"]).drop("start", "logdet", "before"))
+    inner = _distance(join_hot_cold(rows, raw, ["grp"], "n_rows", total)).filter(F.col("d2") <= INNER_D2)
+    return _factor_step(inner.groupBy("grp").agg(F.first("n_rows").alias("n_rows"), *moments(_consistency(INNER)))).drop("logdet")
 
 
 def quality(docs: DataFrame, cutoff: float = CUTOFF, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """One row per input row: the base statistics, base_failed, distance2 and kept.
-
-    Defined cases: a null text has no words and fails the base rules; null
-    languages and sources are values of their own; groups too small for an
-    estimate use that of all rows of their language, or of all rows; repeated rows count as
-    often as they come; an empty table gives an empty result; further columns
-    are ignored. Texts that fail the base rules take part in the estimates.
+    """One row per input row: the base statistics, base_failed, kept and distance2.
+
+    Defined cases: a null text has no words and fails the base rules; a text
+    that fails them takes no part in the estimates and has no distance; null
+    languages and sources are values of their own; groups with under 50 texts
+    that pass use the estimate of all such rows of their language, or of all;
+    repeated rows count as often as they come; an empty table gives an empty
+    result; further columns are ignored.
     """
     stats = materialize(statistics(docs, id_col, text_col, lang_col, source_col))
-    rows = materialize(robust_groups(vectors(stats)))
+    rows = materialize(robust_groups(vectors(stats.filter("not base_failed"))))
     members = materialize(rows.select(F.explode("levels").alias("grp"), *[f"x{i}" for i in range(DIM)]))
-    judged = _distance(join_hot_cold(rows, mcd(members), ["grp"], "n_rows", rows.count()))
-    keep = ~F.col("base_failed") & (F.col("d2") <= cutoff)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", keep.alias("kept"), F.col("d2").alias("distance2"))
+    judged = _distance(join_hot_cold(rows, materialize(mcd(members)), ["grp"], "n_rows", rows.count()))
+    out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    judged = judged.select(*out, (F.col("d2") <= cutoff).alias("kept"), F.col("d2").alias("distance2"))
+    failed = stats.filter("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("distance2"))
+    return judged.unionByName(failed)
