@@ -1,11 +1,14 @@
 """Edit-aware token counts: pre-token segment trees per document.
 
-A document's leaves are its pre-tokens with their token counts; a segment tree
-holds the sums. An edit re-encodes only the pre-tokens it touches, two before
-them (the splitter looks at most past the next run of white space) and those
-after it up to the first old boundary that the new split meets again: from
-there on both splits are the same. The changed leaves' counts go up the tree;
-the root is the new count. Everything is per row, so rows never shuffle.
+``build_trees`` gives a table with a row per document: its text, its pre-tokens
+(the leaves: length and token count) in blocks of about BLOCK, and a segment
+tree of token sums over the blocks. ``apply_edits`` takes such a table and gives
+the next one. An edit re-encodes only the pre-tokens it touches, two before them
+(the splitter looks at most past the next run of white space) and those after it
+up to the first old boundary that the new split meets again: from there on both
+splits are the same. The fresh pre-tokens take the place of the old ones as
+leaves of their own, the sums of their blocks go up the tree, and the root is the
+new count. Everything is per row, so rows never shuffle.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from barline import ship
 from barline.llm.common import full_text
 
 CACHED_PIECES = 500_000
+BLOCK = 128
 LEFT = 2
 AHEAD = 48
 
@@ -76,43 +80,69 @@ def counter(ranks_path: str) -> Counter:
 
 
 class SegmentTree:
-    """Sums over leaves; node k has the children 2k and 2k + 1, the root is node 1."""
-
-    def __init__(self, leaves: list[int]):
-        self.size = 1 << max(len(leaves) - 1, 0).bit_length()
-        nodes = np.zeros(2 * self.size, np.int64)
-        nodes[self.size : self.size + len(leaves)] = leaves
-        level = self.size
-        while level > 1:
-            nodes[level // 2 : level] = nodes[level : 2 * level : 2] + nodes[level + 1 : 2 * level : 2]
-            level //= 2
-        self.nodes = nodes
-
-    def replace(self, first: int, stop: int, total: int) -> None:
-        """Leaves first..stop-1 become ``total`` and zeros; their paths to the root are summed anew."""
-        if stop <= first:
+    """Token sums over blocks of pre-tokens; node k has the children 2k and 2k + 1, the root is node 1."""
+
+    def __init__(self, lengths: np.ndarray, counts: np.ndarray, sizes: np.ndarray | None = None, nodes: np.ndarray | None = None):
+        self.lengths, self.counts = lengths, counts
+        if sizes is None or nodes is None:
+            self._build()
+        else:
+            self.sizes, self.nodes = sizes, nodes
+
+    def _build(self) -> None:
+        n = len(self.counts)
+        self.sizes = np.full(max(-(-n // BLOCK), 1), BLOCK, np.int32)
+        self.sizes[-1] = n - BLOCK * (len(self.sizes) - 1)
+        at = 1 << max(len(self.sizes) - 1, 0).bit_length()
+        self.nodes = np.zeros(2 * at, np.int64)
+        self.nodes[at : at + len(self.sizes)] = np.add.reduceat(self.counts, np.arange(0, n, BLOCK)) if n else 0
+        while at > 1:
+            self.nodes[at // 2 : at] = self.nodes[at : 2 * at : 2] + self.nodes[at + 1 : 2 * at : 2]
+            at //= 2
+
+    def replace(self, regions: list[tuple[int, int, list[int], list[int]]]) -> None:
+        """Leaves first..stop-1 become the given lengths and counts; ``regions`` ascend and are disjoint."""
+        ends = np.cumsum(self.sizes)
+        lengths, counts, at = [], [], 0
+        touched: set[int] = set()
+        for first, stop, new_lengths, new_counts in regions:
+            lengths += [self.lengths[at:first], np.array(new_lengths, np.int32)]
+            counts += [self.counts[at:first], np.array(new_counts, np.int32)]
+            at = stop
+            b = min(int(np.searchsorted(ends, first, "right")), len(ends) - 1)
+            last = max(b, min(int(np.searchsorted(ends, stop, "left")), len(ends) - 1)) if stop > first else b
+            for k in range(b, last + 1):  # each block loses its share of the old leaves, the first one gets the new
+                self.sizes[k] -= max(0, min(stop, int(ends[k])) - max(first, int(ends[k - 1]) if k else 0))
+            self.sizes[b] += len(new_lengths)
+            touched.update(range(b, last + 1))
+        self.lengths, self.counts = np.concatenate([*lengths, self.lengths[at:]]), np.concatenate([*counts, self.counts[at:]])
+        if self.sizes.max() > 4 * BLOCK:
+            self._build()
             return
-        at = self.size
-        self.nodes[at + first : at + stop] = 0
-        self.nodes[at + first] = total
-        lo, hi = at + first, at + stop - 1
-        while lo > 1:
-            lo, hi = lo // 2, hi // 2
-            self.nodes[lo : hi + 1] = self.nodes[2 * lo : 2 * hi + 2].reshape(-1, 2).sum(axis=1)
+        ends = np.cumsum(self.sizes)
+        leaf = len(self.nodes) // 2
+        for k in touched:
+            self.nodes[leaf + k] = self.counts[ends[k] - self.sizes[k] : ends[k]].sum()
+        up = np.unique((leaf + np.fromiter(touched, np.int64, len(touched))) // 2)
+        while len(up) and up[-1] > 0:
+            self.nodes[up] = self.nodes[2 * up] + self.nodes[2 * up + 1]
+            up = np.unique(up // 2)
 
     @property
     def total(self) -> int:
-        return int(self.nodes[1])
+        return int(self.nodes[1]) if len(self.nodes) > 1 else 0
 
 
-def recount(text: str, pieces: list[str], tree: SegmentTree, edits: list[tuple[int, int, str]], count: Counter) -> int:
+def recount(text: str, tree: SegmentTree, edits: list[tuple[int, int, str]], count: Counter) -> int:
     """Applies sorted, disjoint edits (start, end, new text) to the tree; returns the pre-tokens re-encoded."""
-    starts = list(accumulate(map(len, pieces), initial=0))  # the last one is the text's end
+    starts = [0, *np.cumsum(tree.lengths).tolist()]  # the last one is the text's end
+    n = len(tree.lengths)
     done = k = redone = 0
+    regions = []
     while k < len(edits):
         begin = edits[k][0]
         first = max(bisect.bisect_right(starts, max(begin - 1, 0)) - 1 - LEFT, done, 0)
-        first = min(first, max(len(pieces) - 1, 0))
+        first = min(first, max(n - 1, 0))
         new, at = "", starts[first]
         ahead = AHEAD
         while True:
@@ -129,14 +159,10 @@ def recount(text: str, pieces: list[str], tree: SegmentTree, edits: list[tuple[i
             if met is not None:
                 break
             ahead *= 2
-        last = bisect.bisect_left(starts, where[met] - len(new) + at)
-        fresh = split[:met]
-        redone += len(fresh)
-        if last > first:
-            tree.replace(first, last, sum(count.counts(fresh)))
-        elif fresh:  # nothing old is touched: the new pre-tokens count with the leaf after them
-            tree.replace(first, first + 1, sum(count.counts(fresh)) + int(tree.nodes[tree.size + first]))
-        done = last
+        done = bisect.bisect_left(starts, where[met] - len(new) + at)
+        regions.append((first, done, [len(p) for p in split[:met]], count.counts(split[:met])))
+        redone += met
+    tree.replace(regions)
     return redone
 
 
@@ -172,39 +198,97 @@ def edited(text: str, edits: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[at:]])
 
 
-def edited_counts(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
-    """One row per input row: doc_id, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after.
+TREES = "text string, lengths binary, counts binary, sizes binary, nodes binary"
+
+
+def _tree(row) -> SegmentTree:
+    read = lambda data, kind: np.frombuffer(data, kind).copy()
+    return SegmentTree(read(row.lengths, np.int32), read(row.counts, np.int32), read(row.sizes, np.int32), read(row.nodes, np.int64))
+
+
+def _cells(text: str, tree: SegmentTree) -> tuple:
+    return text, tree.lengths.tobytes(), tree.counts.tobytes(), tree.sizes.tobytes(), tree.nodes.tobytes()
 
-    ``edits_col`` names an array<struct<start, end, replacement>> of disjoint edits
-    in code points (sorted here); without it the production redactions apply.
 
-    Defined cases: a null or empty text has no pre-tokens and 0 tokens; null
-    edits are none; repeated rows each get their result; an empty table gives an
-    empty result; further columns are ignored.
+def build_trees(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, the tree (TREES), n_pretokens, n_tokens, and ``edits`` if a column holds them.
+
+    Defined cases: a null or empty text has no pre-tokens and 0 tokens; repeated
+    rows each get their tree; an empty table gives an empty result; further
+    columns are ignored.
     """
     ship(docs.sparkSession)
     path = ranks or default_ranks()
-    id_type = docs.schema[id_col].dataType.simpleString()
-    given = F.transform(F.col(edits_col), lambda e: F.struct(e["start"].cast("int").alias("a"), e["end"].cast("int").alias("b"), F.coalesce(e["replacement"], F.lit("")).alias("r"))) if edits_col else F.lit(None).cast("array<struct<a:int,b:int,r:string>>")
-    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), full_text(text_col).alias("text"), given.alias("edits"))
-    names = ["doc_id", "n_pretokens", "n_tokens", "n_edits", "n_reencoded", "n_tokens_after"]
+    given = [_edits(F.col(edits_col)).alias("edits")] if edits_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text"), *given)
+    names = [f.split()[0] for f in TREES.split(", ")]
 
     def run(batches):
         count = counter(path)
         for batch in batches:
             out = []
-            for i, text, given in zip(batch["doc_id"], batch["text"], batch["edits"]):
+            for text in batch["text"]:
                 pieces = count.split(text)
-                counts = count.counts(pieces)
-                edits = redactions(text) if edits_col is None else sorted((e["a"], e["b"], e["r"]) for e in (given if given is not None else []))
-                before = after = sum(counts)
-                redone = 0
+                tree = SegmentTree(np.fromiter(map(len, pieces), np.int32, len(pieces)), np.array(count.counts(pieces), np.int32))
+                out.append((*_cells(text, tree), len(pieces), tree.total))
+            made = pd.DataFrame(out, columns=[*names, "n_pretokens", "n_tokens"], index=batch.index)
+            yield pd.concat([batch.drop(columns="text"), made], axis=1)
+
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
+    return rows.mapInPandas(run, f"{kept}, {TREES}, n_pretokens long, n_tokens long")
+
+
+def _edits(column):
+    return F.transform(column, lambda e: F.struct(e["start"].cast("int").alias("a"), e["end"].cast("int").alias("b"), F.coalesce(e["replacement"], F.lit("")).alias("r")))
+
+
+def apply_edits(trees: DataFrame, ranks: str | None = None, edits_col: str | None = None) -> DataFrame:
+    """``trees`` after one batch of edits: its columns, with n_edits, n_reencoded and n_tokens_after.
+
+    ``edits_col`` names an array<struct<start, end, replacement>> of disjoint edits
+    in code points (sorted here; null edits are none); without it the production
+    redactions apply. The result is a table of trees itself: another batch goes on it.
+    """
+    ship(trees.sparkSession)
+    path = ranks or default_ranks()
+    added = ["n_edits", "n_reencoded", "n_tokens_after"]
+    rows = trees.drop(*added)
+    if edits_col:
+        rows = rows.withColumn("__edits", _edits(F.col(edits_col)))
+
+    def run(batches):
+        count = counter(path)
+        for batch in batches:
+            cells = {n: batch[n].tolist() for n in ("text", "lengths", "counts", "sizes", "nodes")}
+            after = [[] for _ in added]
+            given = batch["__edits"] if edits_col else [None] * len(batch)
+            for i, (row, asked) in enumerate(zip(batch.itertuples(), given)):
+                edits = redactions(row.text) if edits_col is None else sorted((e["a"], e["b"], e["r"]) for e in (asked if asked is not None else []))
+                redone, total = 0, int(row.n_tokens)
                 if edits:
-                    tree = SegmentTree(counts)
-                    redone = recount(text, pieces, tree, edits, count)
-                    after = tree.total
-                out.append((i, len(pieces), before, len(edits), redone, after))
-            yield pd.DataFrame(out, columns=names).astype({"doc_id": object})
-
-    kinds = ", ".join(f"{n} long" for n in names[1:])
-    return rows.mapInPandas(run, f"doc_id string, {kinds}").withColumn("doc_id", F.col("doc_id").cast(id_type))
+                    tree = _tree(row)
+                    redone = recount(row.text, tree, edits, count)
+                    total = tree.total
+                    for name, value in zip(cells, _cells(edited(row.text, edits), tree)):
+                        cells[name][i] = value
+                for values, value in zip(after, (len(edits), redone, total)):
+                    values.append(value)
+            out = batch.assign(**cells, **dict(zip(added, after))).drop(columns=["__edits"], errors="ignore")
+            yield out.assign(n_pretokens=[len(x) // 4 for x in cells["lengths"]], n_tokens=after[2])
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.drop(*added).schema)
+    return rows.mapInPandas(run, f"{kept}, {', '.join(f'{n} long' for n in added)}")
+
+
+def edited_counts(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after.
+
+    The trees of ``docs`` before and after one batch of edits; see ``build_trees``
+    and ``apply_edits`` for the defined cases.
+    """
+    trees = build_trees(docs, ranks, id_col, text_col, edits_col)
+    before = trees.withColumns({"before_pretokens": F.col("n_pretokens"), "before_tokens": F.col("n_tokens")})
+    if edits_col:
+        before = before.withColumn("edits", F.transform("edits", lambda e: F.struct(e["a"].alias("start"), e["b"].alias("end"), e["r"].alias("replacement"))))
+    done = apply_edits(before, ranks, "edits" if edits_col else None)
+    return done.select("doc_id", F.col("before_pretokens").alias("n_pretokens"), F.col("before_tokens").alias("n_tokens"), "n_edits", "n_reencoded", "n_tokens_after")

@@ -385,9 +385,11 @@ def test_token_edits_fuzz():
         at = sorted(int(x) for x in rng.integers(0, len(t) + 1, 2 * rng.integers(1, 5)))
         edits = [(at[i], at[i + 1], "".join(rng.choice(alphabet, rng.integers(0, 5)))) for i in range(0, len(at), 2)]
         pieces = count.split(t)
-        tree = token_edits.SegmentTree(count.counts(pieces))
-        token_edits.recount(t, pieces, tree, edits, count)
-        assert tree.total == len(count.encoding.encode_ordinary(token_edits.edited(t, edits)))
+        tree = token_edits.SegmentTree(np.array([len(p) for p in pieces], np.int32), np.array(count.counts(pieces), np.int32))
+        token_edits.recount(t, tree, edits, count)
+        new = token_edits.edited(t, edits)
+        assert tree.total == len(count.encoding.encode_ordinary(new))
+        assert tree.lengths.tolist() == [len(p) for p in count.split(new)]  # the leaves stay pre-tokens
 
 
 def check_packing(got, texts):
