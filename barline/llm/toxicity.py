@@ -1,14 +1,15 @@
 """Toxicity: Levenshtein automata over a lexicon trie, with context windows.
 
-The lexicon is learned from labelled rows: words, and word stems with many
-endings, that toxic documents have and others do not, chosen by greedy cover.
-Its trie is intersected with a Levenshtein automaton (one edit for words of 5
-letters, two from 9 on, none for stems) and made deterministic: a table of
-(state, character class) that a task steps through for all words of many texts
-at once. Each hit is then judged by the words around it: inside quotation marks
-or after a verb of reporting it is a quotation, next to an address ("you") it
-is directed, else plain; misspelled hits count apart. A logistic model over the
-counts gives the score.
+The lexicon is learned from labelled rows: all words, and word stems with many
+endings, whose excess in toxic documents chance does not explain, each with its
+log-odds as weight. Its trie is intersected with a Levenshtein automaton (one
+edit for terms of 5 letters, two for words from 9 on; a stem is matched as a
+word's beginning) and made deterministic: a table of (state, character class)
+that a task steps through for all words of many texts at once. Scripts without
+spaces are matched at every character. Each hit is then judged by the words
+around it: inside quotation marks or after a verb of reporting it is a
+quotation, next to an address ("you") it is directed, else plain; misspelled
+words count apart, and so do loose beginnings. A logistic model over the sums of weights gives the score.
 
 Fit: on at most about ``sample_rows`` labelled rows of each class (the
 documented bound; chosen by hash). Everything else reads all rows.
@@ -16,8 +17,8 @@ documented bound; chosen by hash). Everything else reads all rows.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -28,21 +29,19 @@ from barline import ship
 from barline.llm.common import full_text
 
 SAMPLE_ROWS = 4000
-MAX_TERMS = 120
-COVER = 3
-LEAST_NEW = 4
-CLEAR = 0.45
-STEMS = (5, 6)
+STEMS = (3, 4, 5, 6, 7)
 WINDOW = 5
 # Words of reporting, words of address, quotation marks.
 REPORTING = "said says say called calls wrote writes quoted quote word term sagte schrieb nannte dit disait dijo llama".split()
 ADDRESS = "you your youre u ya du dich dir dein ihr tu toi te ton vous votre usted ustedes".split()
 QUOTES = "\"“”„«»"
-#: Prior means of the weights (bias, plain, directed, quoted, misspelled) and their precision.
-PRIOR = np.array([-3.5, 1.6, 2.2, 0.5, 0.9])
+#: Scripts that put no spaces between words: ranges of code points.
+DENSE = ((0x0E00, 0x0EFF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+DENSE_RE = "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in DENSE) + "]"
+HITS = ("plain", "directed", "quoted", "misspelled", "loose")
+#: Prior means of the weights (bias, the sums of HITS, length) and their precision.
+PRIOR = np.array([-4.0, 1.0, 1.3, 0.3, 0.5, 0.0, 0.0])
 PRECISION = 0.3
-CAP = 6
-SMALL = 0x2100  # code points with a table entry; all others are letters outside the lexicon
 
 
 def in_fold(col, fold: int):
@@ -64,100 +63,110 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     return rows.join(F.broadcast(chosen), "doc_id")
 
 
-def learn_lexicon(sample: DataFrame, max_terms: int = MAX_TERMS) -> list[str]:
-    """Terms: "word", "word=" (matched exactly only) or "stem*"."""
+def learn_lexicon(sample: DataFrame) -> dict[str, float]:
+    """Terms, "word" or "stem*", and their log-odds."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    forms = F.filter(found, lambda w: (F.length(w) >= 4) & (F.length(w) <= 24))
+    forms = F.filter(found, lambda w: (F.length(w) >= 2) & (F.length(w) <= 60) & ~w.rlike(DENSE_RE))
+    dense = F.filter(found, lambda w: w.rlike(DENSE_RE))
+    stem = lambda w, at, n: F.concat(F.substring(w, at, F.lit(n)), F.lit("*"))
 
     def stems_of(n: int):
-        return F.transform(F.filter("forms", lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+        return F.transform(F.filter("forms", lambda w: F.length(w) >= n), lambda w: stem(w, F.lit(1), n))
 
-    stems = [stems_of(n) for n in STEMS]
-    terms = sample.select("doc_id", "toxic", forms.alias("forms")).select("doc_id", "toxic", F.explode(F.array_distinct(F.flatten(F.array("forms", *stems)))).alias("term"))
+    def grams_of(n: int):
+        return F.flatten(F.transform("dense", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: stem(w, i, n))))
+
+    stems, grams = [stems_of(n) for n in STEMS], [grams_of(n) for n in (2, 3)]
+    terms = sample.select("doc_id", "toxic", forms.alias("forms"), dense.alias("dense"))
+    terms = terms.select("doc_id", "toxic", F.explode(F.array_distinct(F.flatten(F.array("forms", *stems, *grams)))).alias("term"))
     marked = F.col("toxic") == 1
-    stats = terms.groupBy("term").agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good"), F.collect_set(F.when(marked, F.col("doc_id").cast("string"))).alias("docs"))
+    stats = terms.groupBy("term").agg(F.count_if(marked).alias("b"), F.count_if(~marked).alias("g"), F.collect_set(F.when(marked, F.col("doc_id").cast("string"))).alias("docs"))
     totals = sample.agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good")).first()
     bad, good = totals["bad"], totals["good"]
-    ratio = (F.col("bad") + 0.5) / (bad + 1.0) / ((F.col("good") + 0.5) / (good + 1.0))
-    rows = stats.filter((F.col("bad") >= 3) & (ratio >= 15)).select("term", "bad", "good", "docs").collect()  # bounded by the sample
-    return cover([(r["term"], r["bad"], r["good"], r["docs"]) for r in rows], bad, good, max_terms)
+    if not bad or not good:
+        return {}
+    stats = stats.filter("b >= 3").persist()
+    tried = max(2, stats.count())
+    xl = lambda a, e: F.when(a > 0, a * F.log(a / e)).otherwise(0.0)
+    b, g, k = F.col("b"), F.col("g"), F.col("b") + F.col("g")
+    n = float(bad + good)
+    evidence = 2 * (xl(b, k * bad / n) + xl(g, k * good / n) + xl(bad - b, (n - k) * bad / n) + xl(good - g, (n - k) * good / n))
+    rows = stats.filter((b * good > g * bad) & (evidence >= least_evidence(tried))).select("term", "b", "g", "docs").collect()  # bounded by the sample
+    stats.unpersist()
+    return choose([(r["term"], r["b"], r["g"], r["docs"]) for r in rows], bad, good, least_evidence(tried))
+
+
+def least_evidence(tried: int) -> float:
+    """The likelihood ratio statistic that less than one of ``tried`` terms reaches by chance."""
+    return 2 * math.log(tried) + 4
+
+
+def ratio_statistic(b: float, g: float, bad: int, good: int) -> float:
+    n, k = bad + good, b + g
+    xl = lambda a, e: a * math.log(a / e) if a > 0 else 0.0
+    return 2 * (xl(b, k * bad / n) + xl(g, k * good / n) + xl(bad - b, (n - k) * bad / n) + xl(good - g, (n - k) * good / n)) if b * good > g * bad else 0.0
 
 
 def implied(term: str, by: str) -> bool:
     return by.endswith("*") and term.startswith(by[:-1])
 
 
-def cover(rows, bad: int, good: int, max_terms: int) -> list[str]:
-    """The terms whose evidence stands out, then greedily what other toxic documents need.
+def choose(rows, bad: int, good: int, least: float) -> dict[str, float]:
+    """The terms by falling evidence, without those that a chosen stem has already.
 
-    A stem counts only where it has many endings; a single word may be misspelled.
-    Every toxic document wants COVER terms; a further term must be new to LEAST_NEW of them.
+    A stem counts only where it has many endings, and beside chosen words of its
+    own only for the documents that those do not reach.
     """
-    single = defaultdict(int)  # a stem's commonest word
+    single: dict[str, int] = {}  # a stem's commonest word
     for t, b, _, _ in rows:
         if not t.endswith("*"):
             for n in STEMS:
-                single[t[:n] + "*"] = max(single[t[:n] + "*"], b)
-    rows = [r for r in rows if single[r[0]] < 0.9 * r[1] or not r[0].endswith("*")]
-    need = defaultdict(lambda: COVER)
-    weight = {t: math.log((b + 0.5) / (bad + 1) / ((g + 0.5) / (good + 1))) for t, b, g, _ in rows}
-    docs = {t: set(d) for t, _, _, d in rows}
-    clear = {t: weight[t] * math.sqrt(len(docs[t])) for t in docs}
-    top = max(clear.values(), default=0.0)
-    out: list[str] = []
-    for t in sorted(clear, key=lambda t: (-clear[t], not t.endswith("*"), -len(t))):
-        if clear[t] >= CLEAR * top and len(out) < max_terms // 2 and not any(implied(t, o) or implied(o, t) for o in out):
-            out.append(t)
-            for d in docs[t]:
-                need[d] = max(0, need[d] - 1)
-    bound = sorted(((weight[t] * len(docs[t]), t) for t in docs if not any(t == o or implied(t, o) for o in out)), reverse=True)
-    while bound and len(out) < max_terms:
-        best, gain = None, 0.0
-        fresh = []
-        for top, t in bound:
-            if top <= gain:
-                fresh.append((top, t))
-                continue
-            now = weight[t] * sum(min(1, need[d]) for d in docs[t]) * (0.97 if t.endswith("*") else 1.0)
-            fresh.append((now, t))
-            if now > gain or (now == gain and best is not None and len(t) < len(best)):
-                best, gain = t, now
-        if best is None or gain < weight[best] * LEAST_NEW:
-            break
-        out.append(best if best.endswith("*") else f"{best}=")
-        for d in docs[best]:
-            need[d] = max(0, need[d] - 1)
-        bound = sorted(((g, t) for g, t in fresh if t != best and not implied(t, best)), reverse=True)
+                single[t[:n] + "*"] = max(single.get(t[:n] + "*", 0), b)
+    rows = [r for r in rows if not r[0].endswith("*") or single.get(r[0], 0) < 0.9 * r[1]]
+    docs = {r[0]: set(r[3]) for r in rows}
+    out: dict[str, float] = {}
+    for t, b, g, _ in sorted(rows, key=lambda r: (-ratio_statistic(r[1], r[2], bad, good), not r[0].endswith("*"), -len(r[0]), r[0])):
+        if any(implied(t, o) for o in out):
+            continue
+        left = len(docs[t].difference(*[docs[o] for o in out if implied(o, t)]))
+        if ratio_statistic(left, g, bad, good) >= least:
+            out[t] = math.log((b + 0.5) / (bad + 1) / ((g + 0.5) / (good + 1)))
     return out
 
 
 # --- automaton ----------------------------------------------------------------
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """1 for every code point that can be part of a word."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.uint8, 0x110000)
+
+
 class Matcher:
     """Deterministic product of the lexicon trie and the Levenshtein automaton.
 
-    table[state, class] is the next state (0: dead), accept[state] is 0 for no
-    term, 1 for an exact hit, 2 for a misspelled one at the word's end.
+    ``table[state, class]`` is the next state (0: dead). ``at_end`` has, per
+    state, the term of a word that ends there, ``inside`` that of a stem just
+    met: 0 for none, else 2 * (number of the term) + 1, or + 2 where misspelled.
     """
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: dict[str, float]):
         self.terms = sorted(terms)
-        letters = sorted({c for t in self.terms for c in t.rstrip("*=")})
-        self.classes = np.ones(SMALL + 1, np.uint8)  # 0: separator, 1: other letter
-        for cp in range(SMALL):
-            if not chr(cp).isalnum():
-                self.classes[cp] = 0
+        self.weights = np.array([terms[t] for t in self.terms] or [0.0])
+        self.stems = np.array([t.endswith("*") for t in self.terms] or [False])
+        letters = sorted({c for t in self.terms for c in t.rstrip("*")})
         code = {c: i + 2 for i, c in enumerate(letters)}
+        width = len(code) + 2
+        self.classes = _letters().astype(np.uint16)  # 0: separator, 1: a letter outside the lexicon
         for c, i in code.items():
-            if ord(c) < SMALL:
-                self.classes[ord(c)] = i
+            self.classes[ord(c)] = i
         children: list[dict[int, int]] = [{}]
-        ends: dict[int, int] = {}  # node: edits allowed there
-        stems: set[int] = set()
+        ends: dict[int, tuple[int, int, bool]] = {}  # node: term, edits allowed, stem
         reach = [0]  # most edits allowed below a node
-        for t in self.terms:
-            word, edits = t.rstrip("*="), 0 if t[-1] in "*=" or len(t) < 5 else 2 if len(t) >= 9 else 1
+        for number, t in enumerate(self.terms):
+            word = t.rstrip("*")
+            edits = 0 if len(word) < 5 else 2 if len(word) >= 9 and word == t else 1
             node = 0
             for c in word:
                 reach[node] = max(reach[node], edits)
@@ -167,9 +176,7 @@ class Matcher:
                     reach.append(0)
                 node = children[node][code[c]]
             reach[node] = max(reach[node], edits)
-            if t.endswith("*"):
-                stems.add(node)
-            ends[node] = max(ends.get(node, 0), edits)
+            ends.setdefault(node, (number, edits, word != t))  # "ab" before "ab*"
 
         def closed(pairs: dict[int, int]) -> frozenset:
             """Adds the states that skip letters of the lexicon word."""
@@ -183,17 +190,17 @@ class Matcher:
                         todo.append(child)
             return frozenset(pairs.items())
 
-        hit = "hit"
+        def best(state, stem: bool) -> int:
+            """The term with the fewest edits, then the greatest weight."""
+            found = [(e, -self.weights[ends[node][0]], ends[node][0]) for node, e in state if node in ends and e <= ends[node][1] and (ends[node][2] or not stem)]
+            return 0 if not found else 2 * min(found)[2] + (1 if min(found)[0] == 0 else 2)
+
         start = closed({0: 0})
-        states: dict = {None: 0, hit: 1, start: 2}
-        rows = [[0] * (len(code) + 2), [1] * (len(code) + 2)]
-        todo = [start]
-        at = 0
-        while at < len(todo):
-            state = todo[at]
-            at += 1
-            row = [0] * (len(code) + 2)
-            for c in range(1, len(code) + 2):
+        states: dict[frozenset, int] = {frozenset(): 0, start: 1}
+        rows, order = [[0] * width], [start]
+        for state in order:
+            row = [0] * width
+            for c in range(1, width):
                 nxt: dict[int, int] = {}
                 for node, e in state:
                     child = children[node].get(c)
@@ -204,47 +211,54 @@ class Matcher:
                         for other in children[node].values():
                             if e + 1 <= reach[other]:
                                 nxt[other] = min(e + 1, nxt.get(other, 99))
-                if any(node in stems and e == 0 for node, e in nxt.items()):
-                    row[c] = 1
-                    continue
-                key = closed(nxt) or None
+                key = closed(nxt)
                 if key not in states:
                     states[key] = len(states)
-                    todo.append(key)
+                    order.append(key)
                 row[c] = states[key]
             rows.append(row)
         self.table = np.array(rows, np.int32)
-        self.accept = np.zeros(len(rows), np.int8)
-        self.accept[1] = 1
-        for key, i in states.items():
-            if isinstance(key, frozenset):
-                grades = [1 if e == 0 else 2 for node, e in key if node in ends and e <= ends[node]]
-                self.accept[i] = min(grades, default=0)
-        self.longest = max((len(t) for t in self.terms), default=0) + 2
+        self.at_end = np.array([0, *[best(s, False) for s in order]], np.int32)
+        self.inside = np.array([0, *[best(s, True) for s in order]], np.int32)
 
     def hits(self, text_codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """accept code of every word, all words at once."""
-        state = np.full(len(starts), 2, np.int32)
+        """The hit of every word (see ``at_end``), all words at once: an exact one before a misspelled one."""
+        state = np.ones(len(starts), np.int32)
+        stem = np.zeros(len(starts), np.int32)
         live = np.arange(len(starts))
         for step in range(int(lengths.max(initial=0))):
-            live = live[(lengths[live] > step) & (state[live] > 1)]
+            live = live[lengths[live] > step]
             if not len(live):
                 break
             state[live] = self.table[state[live], text_codes[starts[live] + step]]
-        return self.accept[state]
+            met = self.inside[state[live]]
+            better = (met > 0) & ((stem[live] == 0) | ((met % 2 == 1) & (stem[live] % 2 == 0)))
+            stem[live[better]] = met[better]
+            live = live[state[live] > 0]
+        end = self.at_end[state]
+        return np.where((end > 0) & ((end % 2 == 1) | (stem % 2 == 0)), end, stem)
 
 
 def features(texts: list[str], matcher: Matcher) -> np.ndarray:
-    """(texts, 4) counts of plain, directed, quoted and misspelled hits."""
-    out = np.zeros((len(texts), 4), np.int64)
+    """(texts, 2 * kinds): sums of the weights of the hits of each kind of HITS, then their numbers."""
+    out = np.zeros((len(texts), 2 * len(HITS)))
     lowered = [t.lower() for t in texts]
     buffer = "\n".join(lowered)
     points = np.frombuffer(buffer.encode("utf-32-le", "surrogatepass"), np.uint32)
-    codes = matcher.classes[np.minimum(points, SMALL)]
+    codes = matcher.classes[points]
+    dense = np.zeros(len(points), bool)
+    for lo, hi in DENSE:
+        dense |= (points >= lo) & (points <= hi)
     edges = np.flatnonzero(np.diff((codes > 0).astype(np.int8), prepend=0, append=0))
     starts, stops = edges[::2], edges[1::2]
-    grade = matcher.hits(codes, starts, stops - starts)
-    found = np.flatnonzero(grade)
+    if dense.any():  # a word begins at each such character too
+        inner = np.setdiff1d(np.flatnonzero(dense & (codes > 0)), starts)
+        run = np.searchsorted(starts, inner, "right") - 1
+        starts, stops = np.concatenate([starts, inner]), np.concatenate([stops, stops[run]])
+        order = np.argsort(starts, kind="stable")
+        starts, stops = starts[order], stops[order]
+    hit = matcher.hits(codes, starts, stops - starts)
+    found = np.flatnonzero(hit)
     if not len(found):
         return out
     text_ends = np.cumsum([len(t) + 1 for t in lowered])
@@ -255,79 +269,81 @@ def features(texts: list[str], matcher: Matcher) -> np.ndarray:
         lo, hi = max(k - WINDOW, 0), min(k + WINDOW + 1, len(starts))
         around = [buffer[starts[i] : stops[i]] for i in range(lo, hi) if i != k and begin <= starts[i] < text_ends[doc]]
         before = [buffer[starts[i] : stops[i]] for i in range(lo, k) if starts[i] >= begin]
-        opened = np.searchsorted(marks, starts[k]) - np.searchsorted(marks, begin)
         line = buffer.rfind("\n", begin, starts[k]) + 1
         opened = np.searchsorted(marks, starts[k]) - np.searchsorted(marks, max(begin, line))
         closes = np.searchsorted(marks, starts[k]) < np.searchsorted(marks, text_ends[doc])
         if (opened % 2 and closes) or any(w in REPORTING for w in before):
-            out[doc, 2] += 1
-        elif grade[k] == 2:
-            out[doc, 3] += 1
-        elif any(w in ADDRESS for w in around):
-            out[doc, 1] += 1
+            kind = 2
+        elif hit[k] % 2 == 0:
+            kind = 4 if matcher.stems[(hit[k] - 1) // 2] else 3
         else:
-            out[doc, 0] += 1
+            kind = 1 if any(w in ADDRESS for w in around) else 0
+        out[doc, kind] += matcher.weights[(hit[k] - 1) // 2]
+        out[doc, len(HITS) + kind] += 1
     return out
 
 
 # --- model --------------------------------------------------------------------
 
 
-def fit(cells: list[tuple[tuple[int, ...], int, int]]) -> np.ndarray:
-    """Weights of a logistic model over capped counts, from (counts, bad, good) cells."""
+def fit(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model over (bias, sums, length); rows of the bounded sample. No hit speaks for a text."""
     w = PRIOR.copy()
-    if not cells:
-        return w
-    x = np.array([[1.0, *c] for c, _, _ in cells])
-    bad, n = np.array([b for _, b, _ in cells], float), np.array([b + g for _, b, g in cells], float)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (bad - n * p) - PRECISION * (w - PRIOR)
-        hess = (x * (n * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
+        grad = x.T @ (toxic - p) - PRECISION * (w - PRIOR)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
-        w = w + step / max(1.0, np.abs(step).max())
-        if np.abs(step).max() < 1e-9:
+        new = w + step / max(1.0, np.abs(step).max())
+        new[1:-1] = np.maximum(new[1:-1], 0.0)
+        if np.abs(new - w).max() < 1e-9:
             break
+        w = new
     return w
 
 
-def count_hits(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id and n_plain, n_directed, n_quoted, n_misspelled; docs: key, text."""
+def add_hits(docs: DataFrame, terms: dict[str, float]) -> DataFrame:
+    """Adds ``hits`` (sums s_ and numbers n_ of HITS, and the text's length) to rows with a text."""
     ship(docs.sparkSession)
     matcher = docs.sparkSession.sparkContext.broadcast(Matcher(terms))
-    names = ["n_plain", "n_directed", "n_quoted", "n_misspelled"]
+    names = [*[f"s_{h}" for h in HITS], *[f"n_{h}" for h in HITS]]
 
-    @F.pandas_udf(", ".join(f"{n} int" for n in names))
+    @F.pandas_udf(", ".join(f"{n} double" for n in [*names, "size"]))
     def counts(text: pd.Series) -> pd.DataFrame:
         texts = text.tolist()
         parts = [features(texts[i : i + 200], matcher.value) for i in range(0, len(texts), 200)]
-        return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 4), int), columns=names)
+        out = pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(names))), columns=names)
+        return out.assign(size=np.log1p(np.fromiter(map(len, texts), float, len(texts)) / 1000))
 
     return docs.withColumn("hits", counts("text"))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[dict[str, float], np.ndarray]:
     sample = training_sample(docs, labels, sample_rows, id_col, text_col)
     terms = learn_lexicon(sample)
-    names = ["n_plain", "n_directed", "n_quoted", "n_misspelled"]
-    capped = [F.least(F.col(f"hits.{n}"), F.lit(CAP)).alias(n) for n in names]
-    cells = count_hits(sample, terms).select("toxic", *capped).groupBy(*names).agg(F.count_if(F.col("toxic") == 1).alias("bad"), F.count_if(F.col("toxic") != 1).alias("good")).collect()
-    return terms, fit([(tuple(r[n] for n in names), r["bad"], r["good"]) for r in cells])
+    names = [*[f"s_{h}" for h in HITS], "size"]
+    rows = add_hits(sample, terms).select("toxic", *[f"hits.{n}" for n in names]).collect()  # at most about twice sample_rows
+    x = np.array([[1.0, *[r[n] for n in names]] for r in rows]).reshape(-1, len(names) + 1)
+    return terms, fit(x, np.array([r["toxic"] for r in rows], float))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted and the hit counts.
+    """One row per input row: doc_id, held_out, score, predicted and the numbers of hits.
 
     Defined cases: a null or empty text has no hits and the score of such texts;
-    without labelled rows the lexicon is empty and every score is that of the
-    prior; a label row with a null, and labels of unknown documents, are not
-    used, and of several labels of a document the highest counts; a null id is
-    not held out; repeated rows each get their result; an empty table gives an
-    empty result; further columns are ignored.
+    without labelled rows of both classes the lexicon is empty; a label row with
+    a null, and labels of unknown documents, are not used, and of several labels
+    of a document the highest counts; a null id is not held out; repeated rows
+    each get their result; an empty table gives an empty result; further columns
+    are ignored.
     """
     scored = score_rows(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, sample_rows)
     return scored.select(
-        "doc_id", F.coalesce(in_fold("doc_id", 0), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "hits.*"
+        "doc_id",
+        F.coalesce(in_fold("doc_id", 0), F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+        *[F.col(f"hits.n_{h}").cast("int").alias(f"n_{h}") for h in HITS],
     )
 
 
@@ -335,11 +351,10 @@ def score_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROW
     """doc_id, row (all columns of docs), hits, score; docs has doc_id and text."""
     terms, w = train(docs, labels, sample_rows)
     rows = docs.select(F.col("doc_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), full_text("text").alias("text"))
-    rows = count_hits(rows, terms).drop("text")
-    x = [F.least(F.col(f"hits.{n}"), F.lit(CAP)) for n in ("n_plain", "n_directed", "n_quoted", "n_misspelled")]
+    rows = add_hits(rows, terms).drop("text")
     z = F.lit(float(w[0]))
-    for weight, value in zip(w[1:], x):
-        z = z + float(weight) * value
+    for weight, name in zip(w[1:], [*[f"s_{h}" for h in HITS], "size"]):
+        z = z + float(weight) * F.col(f"hits.{name}")
     return rows.withColumn("score", 1.0 / (1.0 + F.exp(-z)))
 
 
