@@ -1,23 +1,29 @@
 """LM scoring: a hierarchical Pitman-Yor model over words.
 
-Three levels of restaurants. The word restaurant has a diffuse base, so every
-word sits at one table: P1(w) = (c_w - d) / (theta + N), and an unseen word gets
-(theta + d V) / (theta + N). Words fall into groups: the FREQUENT commonest are
-groups of their own, all others share one group per octave of their count, the
-unseen ones have one too. A context restaurant per group of the preceding token
-seats the groups that follow it; all context restaurants share one parent
-restaurant, whose base is P1 summed by group. Tables are sampled by Gibbs
-sweeps, the customers of a dish seated one after another by the Chinese
-restaurant rule given parent and other dishes, and the predictive probabilities
-of several samples are averaged:
-P(w | u) = P(group(w) | group(u)) * P1(w) / P1(group(w)), normalised over the V
-training words and the one unseen type.
-
-At scale: a task turns texts into chunks of codes with a small vocabulary each.
-Word counts are an aggregation over chunk vocabularies (one row per chunk and
-word, not per token) and come back to the chunks by a join in which words of
-every chunk are broadcast and all others shuffle. What is sent to all tasks is
-a matrix of (FREQUENT + 66)^2 probabilities, whatever the corpus.
+Four levels of restaurants. Each training word is a context restaurant of its
+own, whose dishes are the words that follow it: every (word, next word) pair of
+the corpus is a cell with its customers. Contexts of about the same frequency
+share a parent, a group restaurant: the FREQUENT commonest words have one each,
+all others one per octave of their count. Its dishes are groups of next words,
+its customers the tables of its contexts. Group restaurants share a root, and
+inside a group the word restaurant divides: with a diffuse base every word sits
+at one table, P1(w) = (c_w - d) / (theta + N), and an unseen word gets
+(theta + d V) / (theta + N). So
+P(w | u) = (n - d t + (theta + d T_u) P(w | group(u))) / (theta + n_u),
+P(w | group(u)) = P(group(w) | group(u)) P1(w) / P1(group(w)),
+normalised over the V training words and the one unseen type. Tables t are
+sampled by Gibbs sweeps: the customers of a cell leave together and are seated
+one after another by the Chinese restaurant rule, given the parent and all other
+tables (those of the sweep before: cells are visited in parallel). Predictive
+probabilities are averaged over samples; the discounts are fitted by the numbers
+of cells seen once and twice, theta is 1.
+
+At scale: a task turns texts into chunks of codes. Blocks of word hashes merge
+the chunks' vocabularies; blocks of cells merge their pairs, all cells of a
+context in one block, but those of the FREQUENT contexts dealt out by their next
+word as well. A block is one row, its size fixed by the number of blocks, which
+grows with the corpus. What all tasks get is bounded whatever the corpus: a
+matrix of (FREQUENT + 65)^2 probabilities and the totals of FREQUENT contexts.
 """
 
 from __future__ import annotations
@@ -32,14 +38,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import full_text, join_hot_cold, materialize
+from barline import ship
+from barline.llm.common import discard, full_text, materialize
 
 FREQUENT = 1024
 OCTAVES = 64
-CHUNK_TOKENS = 1_000_000
+CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 20_000
+#: Vocabulary entries and pairs that a block merges, about.
+BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_500_000
 SWEEPS = 3
 SAMPLES = 4
+ROUNDS = 2
 THETA = 1.0
 END = b""  # the end of a text; never a word
 GROUPS = FREQUENT + OCTAVES + 1  # the last one: unseen words
@@ -47,25 +57,34 @@ UNSEEN = GROUPS - 1
 
 
 def word_hash(word: bytes) -> int:
-    """Signed 64-bit hash; the end token's is that of the empty string."""
-    h = xxhash.xxh64_intdigest(word, 7)
-    return h - (1 << 64) if h >> 63 else h
+    """64-bit hash; the end token's is that of the empty string."""
+    return xxhash.xxh64_intdigest(word, 7)
 
 
-def pack_codes(codes: np.ndarray) -> bytes:
-    """uint32 codes, deflated as byte planes (frequent codes are small)."""
-    return zlib.compress(np.ascontiguousarray(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned integers, deflated as byte planes (small ones are frequent)."""
+    return zlib.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes(), 1)
 
 
-def unpack_codes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def unpack(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<string>, train binary, lengths binary, codes binary, vocabulary array<long>, in_training array<int>"
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return h ^ (h >> np.uint64(33))
+
+
+CHUNK_SCHEMA = "chunk long, doc_ids array<string>, train binary, lengths binary, codes binary, hashes binary, seen binary, trained binary"
 
 
 def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """Texts as chunks of codes; ``docs`` has doc_id (string), train, text."""
+    """Texts as chunks of codes; ``docs`` has doc_id (string), train, text.
+
+    A chunk's vocabulary stands in the order of its hashes, with the words'
+    counts in the chunk and in its training texts; codes are ranks by count.
+    """
 
     def encode(batches):
         part = TaskContext.get().partitionId()
@@ -81,22 +100,22 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                 coded.append(np.fromiter(map(vocabulary.__getitem__, ws), np.uint32, len(ws)))
             lengths = np.array([len(c) for c in coded], np.int64)
             codes = np.concatenate(coded)
-            counts = np.bincount(codes, minlength=len(vocabulary))
-            order = np.argsort(-counts, kind="stable")
-            rank = np.empty(len(order), np.uint32)
-            rank[order] = np.arange(len(order), dtype=np.uint32)
-            codes = rank[codes]
-            seen = np.bincount(codes[np.repeat(np.array(train, bool), lengths)], minlength=len(vocabulary))
-            words = list(vocabulary)
+            hashes = np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))
+            place = np.argsort(hashes)
+            seen = np.bincount(codes, minlength=len(hashes))[place]
+            trained = np.bincount(codes[np.repeat(np.array(train, bool), lengths)], minlength=len(hashes))[place]
+            rank = np.empty(len(hashes), np.uint32)
+            rank[place[by_count(seen)]] = np.arange(len(hashes), dtype=np.uint32)
             return pd.DataFrame(
                 {
                     "chunk": [(part << 33) + made],
                     "doc_ids": [list(ids)],
                     "train": [np.array(train, np.uint8).tobytes()],
                     "lengths": [lengths.tobytes()],
-                    "codes": [pack_codes(codes)],
-                    "vocabulary": [[word_hash(words[i]) for i in order]],
-                    "in_training": [seen.astype(np.int32)],
+                    "codes": [pack(rank[codes])],
+                    "hashes": [hashes[place].tobytes()],
+                    "seen": [pack(seen.astype(np.uint32))],
+                    "trained": [pack(trained.astype(np.uint32))],
                 }
             )
 
@@ -118,30 +137,168 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     return docs.mapInPandas(encode, CHUNK_SCHEMA)
 
 
+def by_count(seen: np.ndarray) -> np.ndarray:
+    """Positions by falling count."""
+    return np.argsort(-seen.astype(np.int64), kind="stable")
+
+
+# --- words -----------------------------------------------------------------------
+
+WORDS_SCHEMA = "part int, chunk long, data binary, w decimal(20,0), c long, o int, v long, n1 long, n2 long"
+
+
+def word_counts(coded: DataFrame, blocks: int) -> DataFrame:
+    """Training counts of words, merged by blocks of hashes.
+
+    Rows by ``chunk``: 0 or more, the counts of that chunk's words in this block,
+    in the order of hashes; -1, a candidate (w, c) for the commonest; -2, an
+    octave's customers c, types v and types seen once and twice.
+    """
+    edges = [(b << 64) // blocks for b in range(1, blocks)]
+
+    def slices(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                hashes, trained = np.frombuffer(row.hashes, np.uint64), unpack(row.trained, np.uint32)
+                cut = [0, *np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes)]
+                yield pd.DataFrame([(b, row.chunk, hashes[i:j].tobytes(), pack(trained[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:]))], columns=["part", "chunk", "hashes", "trained"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("chunk")
+        hashes = [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+        known, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        c = np.zeros(len(known), np.uint64)
+        np.add.at(c, at, np.concatenate([unpack(t, np.uint32) for t in pdf["trained"]]).astype(np.uint64))
+        part, rows = int(pdf["part"].iloc[0]), []
+        cut = np.cumsum([0, *map(len, hashes)])
+        for chunk, i, j in zip(pdf["chunk"], cut, cut[1:]):
+            rows.append((part, chunk, pack(c[at[i:j]]), None, None, None, None, None, None))
+        top = np.argsort(-c.astype(np.int64), kind="stable")[:FREQUENT]
+        rows += [(part, -1, None, int(known[k]), int(c[k]), None, None, None, None) for k in top if c[k]]
+        octave = np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
+        for o in np.unique(octave[c > 0]):
+            mine = c[(octave == o) & (c > 0)]
+            rows.append((part, -2, None, None, int(mine.sum()), int(o), len(mine), int((mine == 1).sum()), int((mine == 2).sum())))
+        out = pd.DataFrame(rows, columns=[f.split()[0] for f in WORDS_SCHEMA.replace("(20,0)", "").split(", ")])
+        from decimal import Decimal
+
+        out["w"] = [None if x is None or pd.isna(x) else Decimal(int(x)) for x in (r[3] for r in rows)]
+        return out.astype({n: "Int64" for n in ("c", "o", "v", "n1", "n2")})
+
+    return coded.select("chunk", "hashes", "trained").mapInPandas(slices, "part int, chunk long, hashes binary, trained binary").groupBy("part").applyInPandas(merge, WORDS_SCHEMA)
+
+
+# --- pairs -----------------------------------------------------------------------
+
+
+class Chunk:
+    """A chunk with its distinct pairs, in the order in which blocks get and return them."""
+
+    def __init__(self, row, frequent: np.ndarray, blocks: int):
+        self.hashes = np.frombuffer(row.hashes, np.uint64)
+        self.lengths = np.frombuffer(row.lengths, np.int64)
+        self.train = np.frombuffer(row.train, np.uint8).astype(bool)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.after = by_count(unpack(row.seen, np.uint32))[unpack(row.codes, np.uint32)]
+        before = np.empty_like(self.after)
+        before[1:] = self.after[:-1]
+        before[self.starts] = np.searchsorted(self.hashes, np.uint64(word_hash(END)))  # a text begins after the end of another
+        v = len(self.hashes)
+        pairs, at = np.unique(before * v + self.after, return_inverse=True)
+        u, w = pairs // v, pairs % v
+        hot = np.isin(self.hashes, frequent)[u]
+        block = (mixed(self.hashes[u] + np.where(hot, mixed(self.hashes[w]), np.uint64(0))) % np.uint64(blocks)).astype(np.int64)
+        order = np.argsort(block, kind="stable")
+        self.u, self.w, self.block = u[order], w[order], block[order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair = place[at]  # of every token
+        self.n = np.bincount(self.pair[np.repeat(self.train, self.lengths)], minlength=len(order))
+
+
+def groups_of(hashes: np.ndarray, c: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The group of each word; ``frequent`` is sorted, ``ranks`` has its groups."""
+    g = np.where(c > 0, FREQUENT + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64), UNSEEN)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        g = np.where(frequent[at] == hashes, ranks[at], g)
+    return g
+
+
+PAIRS_SCHEMA = "block int, chunk long, uh binary, ug binary, un binary, w binary, wc binary, wg binary, n binary"
+
+
+def send_pairs(frequent: np.ndarray, ranks: np.ndarray, blocks: int):
+    def send(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for row in rows.itertuples():
+            ch = Chunk(row, frequent, blocks)
+            c = np.concatenate([unpack(d, np.uint64) for d in counts.sort_values("part")["data"]])
+            g = groups_of(ch.hashes, c, frequent, ranks).astype(np.uint16)
+            cut = np.searchsorted(ch.block, np.arange(blocks + 1))
+            for b in np.flatnonzero(np.diff(cut)):
+                u, w, n = (x[cut[b] : cut[b + 1]] for x in (ch.u, ch.w, ch.n))
+                first = np.flatnonzero(np.diff(u, prepend=-1))
+                runs = np.diff(first, append=len(u)).astype(np.uint32)
+                out.append((b, row.chunk, ch.hashes[u[first]].tobytes(), pack(g[u[first]]), pack(runs), pack(mixed(ch.hashes[w]) >> np.uint64(24)), pack(c[w]), pack(g[w]), pack(n.astype(np.uint32))))
+        return pd.DataFrame(out, columns=[f.split()[0] for f in PAIRS_SCHEMA.split(", ")])
+
+    return send
+
+
+CELLS_SCHEMA = "block int, ctx binary, ug binary, wc binary, wg binary, n binary, chunks array<long>, refs array<binary>"
+
+
+def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All cells of a block, by context, and for every chunk the cells of its pairs."""
+    pdf = pdf.sort_values("chunk")
+    runs = [unpack(x, np.uint32) for x in pdf["un"]]
+    uh = np.concatenate([np.repeat(np.frombuffer(h, np.uint64), r) for h, r in zip(pdf["uh"], runs)])
+    ug = np.concatenate([np.repeat(unpack(g, np.uint16), r) for g, r in zip(pdf["ug"], runs)])
+    w = [unpack(x, np.uint64) for x in pdf["w"]]
+    _, first, at = np.unique(mixed(uh + mixed(np.concatenate(w))), return_index=True, return_inverse=True)
+    n = np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in pdf["n"]])).astype(np.uint64)
+    order = np.argsort(uh[first], kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    first = first[order]
+    starts = np.diff(uh[first], prepend=uh[first[:1]] + np.uint64(1)) != 0
+    cut = np.cumsum([0, *map(len, w)])
+    wc, wg = (np.concatenate([unpack(x, kind) for x in pdf[name]])[first] for name, kind in (("wc", np.uint64), ("wg", np.uint16)))
+    return pd.DataFrame(
+        {
+            "block": [int(pdf["block"].iloc[0])],
+            "ctx": [pack(starts.astype(np.uint8))],
+            "ug": [pack(ug[first[starts]])],
+            "wc": [pack(wc)],
+            "wg": [pack(wg)],
+            "n": [pack(n[order])],
+            "chunks": [pdf["chunk"].tolist()],
+            "refs": [[pack(np.diff(place[at[i:j]].astype(np.int64), prepend=0).astype(np.int32).view(np.uint32)) for i, j in zip(cut, cut[1:])]],
+        }
+    )
+
+
 # --- restaurants -----------------------------------------------------------------
 
 
-def seat(c: np.ndarray, a: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def seat(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of dishes with ``c`` customers seated one after another.
 
-    The next customer opens a table with probability a / (a + i - d t), i seated
-    at t tables. Up to 64 customers go one by one; beyond, the next opening is
-    drawn from the closed form of the waiting time.
+    With i seated at t tables the next customer opens one with probability
+    a / (a + i - d t), a having grown by ``grow`` a table. The wait for the next
+    opening is beta-geometric: a chance drawn from Beta(a, i - d t), then trials.
     """
     t = (c > 0).astype(np.int64)
     i = t.astype(float)
     live = np.flatnonzero(c > 1)
     while len(live):
-        free = i[live] - d * t[live]
-        u = rng.random(len(live))
-        early = i[live] < 64
-        opens = u * (a[live] + free) < a[live]
-        wait = np.where(early, 1.0, np.ceil(free * np.expm1(np.minimum(-np.log(np.maximum(u, 1e-300)) / np.maximum(a[live], 1e-9), 300.0))))
-        nxt = i[live] + np.maximum(wait, 1.0)
-        reached = nxt <= c[live]
-        t[live] += (reached & (opens | ~early)).astype(np.int64)
-        i[live] = np.minimum(nxt, c[live])
-        live = live[reached & (nxt < c[live])]
+        chance = rng.beta(np.maximum(a[live] + grow[live] * t[live], 1e-12), i[live] - d * t[live])
+        wait = np.ceil(np.log(np.maximum(rng.random(len(live)), 1e-300)) / np.log1p(-np.clip(chance, 1e-18, 1 - 1e-12)))
+        i[live] += np.maximum(wait, 1.0)
+        live = live[i[live] <= c[live]]
+        t[live] += 1
+        live = live[i[live] < c[live]]
     return t
 
 
@@ -156,12 +313,99 @@ class Model:
     v: int  # training types
     d: float  # discount of the word restaurant
     share: np.ndarray  # (GROUPS,) P1 by group
-    table: np.ndarray  # (GROUPS, GROUPS) P(group | group before)
+    table: np.ndarray | None = None  # (GROUPS, GROUPS) P(group | group before)
+    d_words: float = 0.5  # discount of the contexts
+    hot: np.ndarray | None = None  # (2, FREQUENT) customers and tables of the FREQUENT contexts
 
     def word(self, c: np.ndarray) -> np.ndarray:
         """P1 of words by count; 0 is the unseen type."""
         return np.where(c > 0, np.maximum(c - self.d, 1e-9), THETA + self.d * self.v) / (THETA + self.n)
 
+    def parent(self, ug: np.ndarray, wg: np.ndarray, wc: np.ndarray) -> np.ndarray:
+        """P(w | group before)."""
+        return self.table[ug, wg] * (self.word(wc) / self.share[wg])
+
+
+class Cells:
+    """A block of cells, and its tables: one for each cell with customers at first."""
+
+    def __init__(self, row):
+        self.ctx = np.cumsum(unpack(row.ctx, np.uint8)) - 1
+        self.ug = unpack(row.ug, np.uint16).astype(np.int64)
+        self.wc, self.wg = unpack(row.wc, np.uint64).astype(np.int64), unpack(row.wg, np.uint16).astype(np.int64)
+        self.n = unpack(row.n, np.uint64).astype(np.int64)
+        self.t = (self.n > 0).astype(np.int64)
+        self.block = int(row.block)
+
+    def totals(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Customers and tables by context; those of the FREQUENT are spread over blocks and come with the model."""
+        n, t = np.bincount(self.ctx, self.n, len(self.ug)), np.bincount(self.ctx, self.t, len(self.ug))
+        hot = self.ug < FREQUENT
+        n[hot], t[hot] = model.hot[:, self.ug[hot]]
+        return n, t
+
+    def sweeps(self, model: Model, first: int, count: int):
+        """Gibbs sweeps given the parent; yields after each."""
+        p = model.parent(self.ug[self.ctx], self.wg, self.wc)
+        many = np.flatnonzero(self.n > 1)
+        for sweep in range(first, first + count):
+            _, tables = self.totals(model)
+            rest = tables[self.ctx[many]] - self.t[many]
+            grow = model.d_words * p[many]
+            rng = np.random.default_rng([sweep, self.block])
+            self.t[many] = seat(self.n[many], THETA * p[many] + grow * np.maximum(rest, 0), grow, model.d_words, rng)
+            yield p
+
+
+def _sums(shared, first: int, count: int):
+    """Tables by (group before, group), customers and tables of FREQUENT contexts, cells seen once and twice."""
+
+    def visit(batches):
+        for batch in batches:
+            for row in batch.itertuples():
+                cells = Cells(row)
+                if count:
+                    for _ in cells.sweeps(shared.value, first, count):
+                        pass
+                ug = cells.ug[cells.ctx]
+                by_group = np.bincount(ug * GROUPS + cells.wg, cells.t, GROUPS * GROUPS)
+                hot = [np.bincount(ug[ug < FREQUENT], x[ug < FREQUENT], FREQUENT) for x in (cells.n, cells.t)]
+                sums = np.concatenate([by_group, *hot, [(cells.n == 1).sum(), (cells.n == 2).sum()]])
+                at = np.flatnonzero(sums)
+                yield pd.DataFrame({"at": at, "x": sums[at].astype(np.int64)})
+
+    return visit
+
+
+def word_sums(cells: DataFrame, model: Model, first: int, count: int) -> tuple[DataFrame, np.ndarray, tuple[int, int]]:
+    """(before, after, n) of the group restaurants, the FREQUENT contexts' totals, cells seen once and twice."""
+    shared = cells.sparkSession.sparkContext.broadcast(model)
+    sums = materialize(cells.drop("chunks", "refs").mapInPandas(_sums(shared, first, count), "at int, x long").groupBy("at").agg(F.sum("x").alias("x")))
+    tail = np.zeros(2 * FREQUENT + 2)
+    for r in sums.filter(F.col("at") >= GROUPS * GROUPS).collect():  # at most 2 * FREQUENT + 2 rows
+        tail[r["at"] - GROUPS * GROUPS] = r["x"]
+    pairs = sums.filter(F.col("at") < GROUPS * GROUPS).select(F.expr(f"at div {GROUPS}").cast("int").alias("before"), (F.col("at") % GROUPS).alias("after"), F.col("x").alias("n"))
+    return pairs, tail[: 2 * FREQUENT].reshape(2, FREQUENT), (int(tail[-2]), int(tail[-1]))
+
+
+def send_scores(shared, first: int):
+    def send(batches):
+        m = shared.value
+        for batch in batches:
+            for row in batch.itertuples():
+                cells = Cells(row)
+                mean = np.zeros(len(cells.n))
+                for k, p in enumerate(cells.sweeps(m, first, SWEEPS + SAMPLES)):
+                    if k >= SWEEPS:
+                        n, t = (x[cells.ctx] for x in cells.totals(m))
+                        own = np.maximum(cells.n - m.d_words * cells.t, 0.0)
+                        mean += np.where(n > 0, (own + (THETA + m.d_words * t) * p) / (THETA + n), p)
+                value = np.log10(mean / SAMPLES).astype(np.float32)
+                refs = [value[np.cumsum(unpack(r, np.uint32).view(np.int32).astype(np.int64))] for r in row.refs]
+                yield pd.DataFrame({"chunk": list(row.chunks), "part": int(row.block), "kind": 1, "data": [pack(v.view(np.uint32)) for v in refs]})
+
+    return send
+
 
 def _block(pdf: pd.DataFrame):
     before, after, n = (pdf[c].to_numpy(np.int64) for c in ("before", "after", "n"))
@@ -172,7 +416,7 @@ def _block(pdf: pd.DataFrame):
 def _tables(sweep: int, state, d: float, before, after, n, block: int) -> np.ndarray:
     """One Gibbs visit to a block of context restaurants, given parent and table counts; reproducible."""
     parent, tables = state
-    return seat(n, (THETA + d * tables[before]) * parent[after], d, np.random.default_rng([sweep, block]))
+    return seat(n, (THETA + d * tables[before]) * parent[after], np.zeros(len(n)), d, np.random.default_rng([sweep, block]))
 
 
 def _visit(sweep: int, shared, d: float):
@@ -228,7 +472,7 @@ def sample_tables(cells: DataFrame, share: np.ndarray, sweeps: int = SWEEPS, sam
             sums[r["at"]] = r["t"]
         tables_of, customers = sums[:GROUPS], sums[GROUPS:]
         rng = np.random.default_rng([sweep, 10_000])
-        opened = seat(customers.astype(np.int64), (THETA + d * (customers > 0).sum()) * share, d, rng)
+        opened = seat(customers.astype(np.int64), (THETA + d * (customers > 0).sum()) * share, np.zeros(GROUPS), d, rng)
         root = (customers - d * opened + (THETA + d * opened.sum()) * share) / (THETA + customers.sum())
         if sweep >= sweeps:
             kept.append((sweep, state, root))
@@ -240,9 +484,10 @@ def sample_tables(cells: DataFrame, share: np.ndarray, sweeps: int = SWEEPS, sam
 
 
 def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out=None, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
-    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     ``held_out`` is a boolean column, by default crc32(id as text) mod 5 = 1.
+    ``perplexity`` is 10^(-score / n_tokens).
 
     Defined cases: a null or empty text is the end token alone; a null id is not
     held out; repeated rows are texts of their own and count as often as they
@@ -250,95 +495,74 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     table gives an empty result; further columns are ignored.
     """
     spark = docs.sparkSession
+    ship(spark)
     id_type = docs.schema[id_col].dataType.simpleString()
     out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1 if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), (~F.coalesce(out, F.lit(False))).alias("train"), full_text(text_col).alias("text"))
-    coded = materialize(chunks(rows, chunk_tokens), codec="zstd")
-
-    entries = coded.select("chunk", F.posexplode(F.arrays_zip("vocabulary", "in_training")).alias("pos", "e")).select("chunk", "pos", F.col("e.vocabulary").alias("w"), F.col("e.in_training").alias("n"))
-    counts = materialize(entries.groupBy("w").agg(F.sum("n").alias("c"), F.count("*").alias("in_chunks")))
-    known = counts.filter("c > 0")
-    octave = F.floor(F.log2("c")).cast("int")
-    size = known.groupBy(octave.alias("o")).agg(F.sum("c").alias("c"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).collect()
-    n, v = sum(r["c"] for r in size), sum(r["v"] for r in size)
-    d = discount(sum(r["n1"] for r in size), sum(r["n2"] for r in size))
-    top = known.orderBy(F.col("c").desc(), "w").limit(FREQUENT).collect()
-
+    coded = materialize(chunks(rows, chunk_tokens))
+    entries = (coded.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    words = materialize(word_counts(coded, max(1, -(-entries // BLOCK_WORDS))))
+
+    octaves = words.filter("chunk = -2").groupBy("o").agg(*[F.sum(x).alias(x) for x in ("c", "v", "n1", "n2")]).collect()  # at most OCTAVES rows
+    n, v = sum(r["c"] for r in octaves), sum(r["v"] for r in octaves)
+    d = discount(sum(r["n1"] for r in octaves), sum(r["n2"] for r in octaves))
+    top = words.filter("chunk = -1").orderBy(F.col("c").desc(), "w").limit(FREQUENT).collect()
     share = np.zeros(GROUPS)
-    for r in size:
+    for r in octaves:
         share[FREQUENT + r["o"]] += r["c"] - d * r["v"]
     for g, c in enumerate(r["c"] for r in top):
         share[g] = c - d
         share[FREQUENT + int(np.log2(c))] -= c - d
     share[UNSEEN] = THETA + d * v
     share = np.maximum(share, 1e-12) / (THETA + n)
-
-    frequent = spark.createDataFrame([(r["w"], g) for g, r in enumerate(top)], "w long, g int")  # at most FREQUENT rows
-    group = F.coalesce("g", F.when(F.col("c") > 0, FREQUENT + octave).otherwise(UNSEEN))
-    placed = counts.join(F.broadcast(frequent), "w", "left").select("w", (F.col("c") * 2048 + group).alias("cg"), "in_chunks")
-    found = join_hot_cold(entries.select("chunk", "pos", "w"), placed, ["w"], "in_chunks", max(1, counts.agg(F.sum("in_chunks")).first()[0] or 0), parts=50_000)
-    found = found.select(F.col("chunk").alias("in_chunk"), "pos", "cg")
-
-    def attach(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
-        cg = np.zeros(len(counts), np.int64)
-        cg[counts["pos"].to_numpy()] = counts["cg"].to_numpy()
-        out = rows[["chunk", "doc_ids", "train", "lengths", "codes"]].copy()
-        out["counts"] = [(cg >> 11).tobytes()]
-        out["groups"] = [(cg & 2047).astype(np.int32).tobytes()]
-        return out
-
-    schema = "chunk long, doc_ids array<string>, train binary, lengths binary, codes binary, counts binary, groups binary"
-    ready = materialize(coded.drop("in_training", "vocabulary").groupBy("chunk").cogroup(found.groupBy("in_chunk")).applyInPandas(attach, schema), codec="zstd")
-    end_group = next((g for g, r in enumerate(top) if r["w"] == word_hash(END)), UNSEEN)
-
-    def decoded(row):
-        lengths = np.frombuffer(row.lengths, np.int64)
-        codes = unpack_codes(row.codes)
-        groups = np.frombuffer(row.groups, np.int32)[codes].astype(np.int64)
-        before = np.empty_like(groups)
-        before[1:] = groups[:-1]
-        starts = np.cumsum(lengths) - lengths
-        before[starts] = end_group  # a text begins after the end of another
-        return lengths, starts, codes, before, groups
-
-    def follow(batches):
-        total = np.zeros(GROUPS * GROUPS, np.int64)
-        for batch in batches:
-            for row in batch.itertuples():
-                lengths, _, _, before, groups = decoded(row)
-                train = np.repeat(np.frombuffer(row.train, np.uint8).astype(bool), lengths)
-                total += np.bincount((before * GROUPS + groups)[train], minlength=GROUPS * GROUPS)
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"before": at // GROUPS, "after": at % GROUPS, "n": total[at]})
-
-    pairs = ready.select("doc_ids", "train", "lengths", "codes", "groups").mapInPandas(follow, "before int, after int, n long")
-    cells = materialize(pairs.groupBy("before", "after").agg(F.sum("n").alias("n")))
-    model = Model(n, v, d, share, sample_tables(cells, share))
+    frequent = np.array([int(r["w"]) for r in top], np.uint64)
+    ranks = np.argsort(frequent, kind="stable")
+    frequent = frequent[ranks]
+
+    blocks = max(1, -(-n // BLOCK_PAIRS))  # a pair at most for every token
+    counts = words.filter("chunk >= 0").select("chunk", "part", "data")
+    pairs = coded.drop("doc_ids", "trained").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(send_pairs(frequent, ranks, blocks), PAIRS_SCHEMA)
+    cells = materialize(pairs.groupBy("block").applyInPandas(merge_pairs, CELLS_SCHEMA))
+
+    model = Model(n, v, d, share)
+    group_cells, model.hot, seen = word_sums(cells, model, 0, 0)
+    model.d_words = discount(*seen)
+    for r in range(ROUNDS):
+        model.table = sample_tables(group_cells, share)
+        if r < ROUNDS - 1:
+            group_cells, model.hot, _ = word_sums(cells, model, 100 * r, SWEEPS)
     shared = spark.sparkContext.broadcast(model)
-
-    def score(batches):
-        m = shared.value
-        with np.errstate(divide="ignore"):
-            table, log_share = np.log10(m.table).astype(np.float64), np.log10(m.share)
-        for batch in batches:
-            for row in batch.itertuples():
-                lengths, starts, codes, before, groups = decoded(row)
-                c = np.frombuffer(row.counts, np.int64)
-                base = np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1)))
-                own = np.log10(m.word(c)) - log_share[np.frombuffer(row.groups, np.int32)]
-                token = table[before, groups] + own[codes]
-                yield pd.DataFrame(
+    found = cells.mapInPandas(send_scores(shared, 1000), "chunk long, part int, kind int, data binary").unionByName(counts.withColumn("kind", F.lit(0)))
+
+    def score(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        m, outs = shared.value, []
+        found = found.sort_values("part")
+        for row in rows.itertuples():
+            ch = Chunk(row, frequent, blocks)
+            c = np.concatenate([unpack(x, np.uint64) for x in found["data"][found["kind"] == 0]]).astype(np.int64)[ch.after]
+            pair = np.concatenate([unpack(x, np.uint32).view(np.float32) for x in found["data"][found["kind"] == 1]]).astype(np.float64)
+            outs.append(
+                pd.DataFrame(
                     {
-                        "doc_id": row.doc_ids,
-                        "train": np.frombuffer(row.train, np.uint8).astype(bool),
-                        "n_tokens": lengths,
-                        "n_known": np.add.reduceat((c > 0)[codes].astype(np.int64), starts),
-                        "base_score": np.add.reduceat(base[codes], starts),
-                        "score": np.add.reduceat(token, starts),
+                        "doc_id": list(row.doc_ids),
+                        "train": ch.train,
+                        "n_tokens": ch.lengths,
+                        "n_known": np.add.reduceat((c > 0).astype(np.int64), ch.starts),
+                        "base_score": np.add.reduceat(np.log10((c + 0.5) / (m.n + 0.5 * (m.v + 1))), ch.starts),
+                        "score": np.add.reduceat(pair[ch.pair], ch.starts),
                     }
                 )
+            )
+        return pd.concat(outs) if outs else pd.DataFrame({c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")})
 
-    scored = ready.drop("chunk").mapInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.drop("trained").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
-        F.col("doc_id").cast(id_type).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+        F.col("doc_id").cast(id_type).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
+
+
+def held_out_perplexity(scores: DataFrame) -> DataFrame:
+    """Perplexity per token of the held-out texts, by the model and by the base score."""
+    per_token = lambda c: F.pow(F.lit(10.0), -F.sum(c) / F.sum("n_tokens"))
+    return scores.filter("held_out").agg(per_token("score").alias("perplexity"), per_token("base_score").alias("base_perplexity"))
