@@ -5,7 +5,8 @@ own, whose dishes are the words that follow it: every (word, next word) pair of
 the corpus is a cell with its customers. Contexts of about the same frequency
 share a parent, a group restaurant: the FREQUENT commonest words have one each,
 all others one per octave of their count. Its dishes are groups of next words,
-its customers the tables of its contexts. Group restaurants share a root, and
+its customers the tables of its contexts (a share d / c_w of which was the
+word's being new, and counts for the unseen). Group restaurants share a root, and
 inside a group the word restaurant divides: with a diffuse base every word sits
 at one table, P1(w) = (c_w - d) / (theta + N), and an unseen word gets
 (theta + d V) / (theta + N). So
@@ -15,8 +16,9 @@ normalised over the V training words and the one unseen type. Tables t are
 sampled by Gibbs sweeps: the customers of a cell leave together and are seated
 one after another by the Chinese restaurant rule, given the parent and all other
 tables (those of the sweep before: cells are visited in parallel). Predictive
-probabilities are averaged over samples; the discounts are fitted by the numbers
-of cells seen once and twice, theta is 1.
+probabilities are averaged over samples. Discounts come from the numbers of cells
+seen once and twice; for the contexts, discount and theta are then fitted by the
+leave-one-out likelihood. Above them theta is 1.
 
 At scale: a task turns texts into chunks of codes. Blocks of word hashes merge
 the chunks' vocabularies; blocks of cells merge their pairs, all cells of a
@@ -47,6 +49,8 @@ CHUNK_TOKENS = 2_000_000
 CHUNK_DOCS = 20_000
 #: Vocabulary entries and pairs that a block merges, about.
 BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_500_000
+#: Tried fits of the contexts: discount (times the estimate by cells seen once and twice) and concentration (times the discount).
+FITS = [(d, ratio) for d in (0.7, 0.8, 0.9, 1.0, 1.1) for ratio in (-0.8, -0.5, -0.25, 0.0, 0.5, 1.0, 4.0)]
 SWEEPS = 3
 SAMPLES = 4
 ROUNDS = 2
@@ -314,7 +318,8 @@ class Model:
     d: float  # discount of the word restaurant
     share: np.ndarray  # (GROUPS,) P1 by group
     table: np.ndarray | None = None  # (GROUPS, GROUPS) P(group | group before)
-    d_words: float = 0.5  # discount of the contexts
+    d_words: float = 0.5  # discount and concentration of the contexts
+    theta_words: float = 0.0
     hot: np.ndarray | None = None  # (2, FREQUENT) customers and tables of the FREQUENT contexts
 
     def word(self, c: np.ndarray) -> np.ndarray:
@@ -353,39 +358,56 @@ class Cells:
             rest = tables[self.ctx[many]] - self.t[many]
             grow = model.d_words * p[many]
             rng = np.random.default_rng([sweep, self.block])
-            self.t[many] = seat(self.n[many], THETA * p[many] + grow * np.maximum(rest, 0), grow, model.d_words, rng)
+            self.t[many] = seat(self.n[many], np.maximum(model.theta_words * p[many] + grow * np.maximum(rest, 0), 0.0), grow, model.d_words, rng)
             yield p
 
+    def leave_one_out(self, model: Model, p: np.ndarray) -> np.ndarray:
+        """Log-likelihood of every customer given all others, by FITS of discount and concentration."""
+        at = np.flatnonzero(self.n > 0)
+        n, t, p = self.n[at], self.t[at], p[at]
+        customers, tables = (x[self.ctx[at]] - k for x, k in zip(self.totals(model), (1, (n == 1).astype(np.int64))))
+        out = []
+        for d, ratio in FITS:
+            d = min(d * model.d_words, 0.98)
+            theta = ratio * d
+            own = np.where(n > 1, np.maximum(n - 1 - d * t, 0.0), 0.0)
+            like = np.where(customers > 0, (own + np.maximum(theta + d * tables, 0.0) * p) / np.maximum(theta + customers, 1e-9), p)
+            out.append(float((n * np.log(np.maximum(like, 1e-300))).sum()))
+        return np.array(out)
+
 
 def _sums(shared, first: int, count: int):
-    """Tables by (group before, group), customers and tables of FREQUENT contexts, cells seen once and twice."""
+    """Tables by (group before, group), customers and tables of FREQUENT contexts, cells seen once and twice, fits."""
 
     def visit(batches):
         for batch in batches:
             for row in batch.itertuples():
-                cells = Cells(row)
+                cells, fits = Cells(row), np.zeros(len(FITS))
+                for p in cells.sweeps(shared.value, first, count) if count else ():
+                    pass
                 if count:
-                    for _ in cells.sweeps(shared.value, first, count):
-                        pass
+                    fits = cells.leave_one_out(shared.value, p)
                 ug = cells.ug[cells.ctx]
-                by_group = np.bincount(ug * GROUPS + cells.wg, cells.t, GROUPS * GROUPS)
+                new = cells.t * shared.value.d / np.maximum(cells.wc, 1)  # of the c customers of a word, d stand for its being new
+                by_group = np.bincount(ug * GROUPS + cells.wg, cells.t - new, GROUPS * GROUPS) + np.bincount(ug * GROUPS + UNSEEN, new, GROUPS * GROUPS)
                 hot = [np.bincount(ug[ug < FREQUENT], x[ug < FREQUENT], FREQUENT) for x in (cells.n, cells.t)]
-                sums = np.concatenate([by_group, *hot, [(cells.n == 1).sum(), (cells.n == 2).sum()]])
+                sums = np.concatenate([by_group, *hot, [(cells.n == 1).sum(), (cells.n == 2).sum()], fits])
                 at = np.flatnonzero(sums)
-                yield pd.DataFrame({"at": at, "x": sums[at].astype(np.int64)})
+                yield pd.DataFrame({"at": at, "x": sums[at]})
 
     return visit
 
 
-def word_sums(cells: DataFrame, model: Model, first: int, count: int) -> tuple[DataFrame, np.ndarray, tuple[int, int]]:
-    """(before, after, n) of the group restaurants, the FREQUENT contexts' totals, cells seen once and twice."""
+def word_sums(cells: DataFrame, model: Model, first: int, count: int) -> tuple[DataFrame, np.ndarray, tuple[int, int], np.ndarray]:
+    """(before, after, n) of the group restaurants, the FREQUENT contexts' totals, cells seen once and twice, fits."""
     shared = cells.sparkSession.sparkContext.broadcast(model)
-    sums = materialize(cells.drop("chunks", "refs").mapInPandas(_sums(shared, first, count), "at int, x long").groupBy("at").agg(F.sum("x").alias("x")))
-    tail = np.zeros(2 * FREQUENT + 2)
-    for r in sums.filter(F.col("at") >= GROUPS * GROUPS).collect():  # at most 2 * FREQUENT + 2 rows
+    sums = materialize(cells.drop("chunks", "refs").mapInPandas(_sums(shared, first, count), "at int, x double").groupBy("at").agg(F.sum("x").alias("x")))
+    tail = np.zeros(2 * FREQUENT + 2 + len(FITS))
+    for r in sums.filter(F.col("at") >= GROUPS * GROUPS).collect():  # bounded: one row each of ``tail``
         tail[r["at"] - GROUPS * GROUPS] = r["x"]
-    pairs = sums.filter(F.col("at") < GROUPS * GROUPS).select(F.expr(f"at div {GROUPS}").cast("int").alias("before"), (F.col("at") % GROUPS).alias("after"), F.col("x").alias("n"))
-    return pairs, tail[: 2 * FREQUENT].reshape(2, FREQUENT), (int(tail[-2]), int(tail[-1]))
+    pairs = sums.filter(F.col("at") < GROUPS * GROUPS).select(F.expr(f"at div {GROUPS}").cast("int").alias("before"), (F.col("at") % GROUPS).alias("after"), F.round("x").cast("long").alias("n")).filter("n > 0")
+    hot, rest = tail[: 2 * FREQUENT].reshape(2, FREQUENT), tail[2 * FREQUENT :]
+    return pairs, hot, (int(rest[0]), int(rest[1])), rest[2:]
 
 
 def send_scores(shared, first: int):
@@ -399,7 +421,7 @@ def send_scores(shared, first: int):
                     if k >= SWEEPS:
                         n, t = (x[cells.ctx] for x in cells.totals(m))
                         own = np.maximum(cells.n - m.d_words * cells.t, 0.0)
-                        mean += np.where(n > 0, (own + (THETA + m.d_words * t) * p) / (THETA + n), p)
+                        mean += np.where(n > 0, (own + (m.theta_words + m.d_words * t) * p) / np.maximum(m.theta_words + n, 1e-9), p)
                 value = np.log10(mean / SAMPLES).astype(np.float32)
                 refs = [value[np.cumsum(unpack(r, np.uint32).view(np.int32).astype(np.int64))] for r in row.refs]
                 yield pd.DataFrame({"chunk": list(row.chunks), "part": int(row.block), "kind": 1, "data": [pack(v.view(np.uint32)) for v in refs]})
@@ -525,12 +547,15 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     cells = materialize(pairs.groupBy("block").applyInPandas(merge_pairs, CELLS_SCHEMA))
 
     model = Model(n, v, d, share)
-    group_cells, model.hot, seen = word_sums(cells, model, 0, 0)
+    group_cells, model.hot, seen, _ = word_sums(cells, model, 0, 0)
     model.d_words = discount(*seen)
     for r in range(ROUNDS):
         model.table = sample_tables(group_cells, share)
         if r < ROUNDS - 1:
-            group_cells, model.hot, _ = word_sums(cells, model, 100 * r, SWEEPS)
+            group_cells, model.hot, _, fits = word_sums(cells, model, 100 * r, SWEEPS)
+            scale, ratio = FITS[int(np.argmax(fits))]
+            model.d_words = min(scale * model.d_words, 0.98)
+            model.theta_words = ratio * model.d_words
     shared = spark.sparkContext.broadcast(model)
     found = cells.mapInPandas(send_scores(shared, 1000), "chunk long, part int, kind int, data binary").unionByName(counts.withColumn("kind", F.lit(0)))
 
