@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import shutil
 import tempfile
 import uuid
@@ -91,12 +92,10 @@ def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) ->
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Removes materialized tables that nothing reads any more."""
-    for df in tables:
-        base = scratch_base(df.sparkSession)
-        for folder in {f[f.index(base) :][: len(base) + 33] for f in df.inputFiles() if base in f}:
-            remove(df.sparkSession, folder)
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished plans: it does so once the driver's JVM has dropped them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

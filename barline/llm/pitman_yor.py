@@ -41,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.llm.common import discard, full_text, materialize
+from barline.llm.common import full_text, materialize, release
 
 FREQUENT = 1024
 OCTAVES = 64
-CHUNK_TOKENS = 2_000_000
+CHUNK_TOKENS = 3_000_000
 CHUNK_DOCS = 20_000
 #: Vocabulary entries and pairs that a block merges, about.
 BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_500_000
@@ -229,22 +229,27 @@ def groups_of(hashes: np.ndarray, c: np.ndarray, frequent: np.ndarray, ranks: np
     return g
 
 
-PAIRS_SCHEMA = "block int, chunk long, uh binary, ug binary, un binary, w binary, wc binary, wg binary, n binary"
+PAIRS_SCHEMA = "block int, chunk long, uh binary, un binary, w binary, wc binary, n binary"
 
 
-def send_pairs(frequent: np.ndarray, ranks: np.ndarray, blocks: int):
+def short(hashes: np.ndarray) -> np.ndarray:
+    """40 bits that tell a word from others after the same context."""
+    return mixed(hashes) >> np.uint64(24)
+
+
+def send_pairs(frequent: np.ndarray, blocks: int):
     def send(rows: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
         out = []
         for row in rows.itertuples():
             ch = Chunk(row, frequent, blocks)
             c = np.concatenate([unpack(d, np.uint64) for d in counts.sort_values("part")["data"]])
-            g = groups_of(ch.hashes, c, frequent, ranks).astype(np.uint16)
             cut = np.searchsorted(ch.block, np.arange(blocks + 1))
             for b in np.flatnonzero(np.diff(cut)):
                 u, w, n = (x[cut[b] : cut[b + 1]] for x in (ch.u, ch.w, ch.n))
                 first = np.flatnonzero(np.diff(u, prepend=-1))
                 runs = np.diff(first, append=len(u)).astype(np.uint32)
-                out.append((b, row.chunk, ch.hashes[u[first]].tobytes(), pack(g[u[first]]), pack(runs), pack(mixed(ch.hashes[w]) >> np.uint64(24)), pack(c[w]), pack(g[w]), pack(n.astype(np.uint32))))
+                contexts = np.stack([ch.hashes[u[first]], c[u[first]]])
+                out.append((b, row.chunk, pack(contexts.ravel()), pack(runs), pack(short(ch.hashes[w])), pack(c[w]), pack(n.astype(np.uint32))))
         return pd.DataFrame(out, columns=[f.split()[0] for f in PAIRS_SCHEMA.split(", ")])
 
     return send
@@ -253,14 +258,21 @@ def send_pairs(frequent: np.ndarray, ranks: np.ndarray, blocks: int):
 CELLS_SCHEMA = "block int, ctx binary, ug binary, wc binary, wg binary, n binary, chunks array<long>, refs array<binary>"
 
 
-def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+def merged_cells(frequent: np.ndarray, ranks: np.ndarray):
+    """Merges a block's pairs; ``frequent`` is sorted, ``ranks`` has its groups."""
+    by_short = np.argsort(short(frequent), kind="stable")
+    return lambda pdf: merge_pairs(pdf, (frequent, ranks), (short(frequent)[by_short], ranks[by_short]))
+
+
+def merge_pairs(pdf: pd.DataFrame, frequent, frequent_short) -> pd.DataFrame:
     """All cells of a block, by context, and for every chunk the cells of its pairs."""
     pdf = pdf.sort_values("chunk")
+    contexts = [unpack(x, np.uint64).reshape(2, -1) for x in pdf["uh"]]
     runs = [unpack(x, np.uint32) for x in pdf["un"]]
-    uh = np.concatenate([np.repeat(np.frombuffer(h, np.uint64), r) for h, r in zip(pdf["uh"], runs)])
-    ug = np.concatenate([np.repeat(unpack(g, np.uint16), r) for g, r in zip(pdf["ug"], runs)])
+    uh, uc = (np.concatenate([np.repeat(x[k], r) for x, r in zip(contexts, runs)]) for k in (0, 1))
     w = [unpack(x, np.uint64) for x in pdf["w"]]
-    _, first, at = np.unique(mixed(uh + mixed(np.concatenate(w))), return_index=True, return_inverse=True)
+    known = np.concatenate(w)
+    _, first, at = np.unique(mixed(uh + mixed(known)), return_index=True, return_inverse=True)
     n = np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in pdf["n"]])).astype(np.uint64)
     order = np.argsort(uh[first], kind="stable")
     place = np.empty(len(order), np.uint32)
@@ -268,14 +280,16 @@ def merge_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
     first = first[order]
     starts = np.diff(uh[first], prepend=uh[first[:1]] + np.uint64(1)) != 0
     cut = np.cumsum([0, *map(len, w)])
-    wc, wg = (np.concatenate([unpack(x, kind) for x in pdf[name]])[first] for name, kind in (("wc", np.uint64), ("wg", np.uint16)))
+    wc = np.concatenate([unpack(x, np.uint64) for x in pdf["wc"]])[first]
+    wg = groups_of(known[first], wc, *frequent_short)
+    ug = groups_of(uh[first[starts]], uc[first[starts]], *frequent)
     return pd.DataFrame(
         {
             "block": [int(pdf["block"].iloc[0])],
             "ctx": [pack(starts.astype(np.uint8))],
-            "ug": [pack(ug[first[starts]])],
+            "ug": [pack(ug.astype(np.uint16))],
             "wc": [pack(wc)],
-            "wg": [pack(wg)],
+            "wg": [pack(wg.astype(np.uint16))],
             "n": [pack(n[order])],
             "chunks": [pdf["chunk"].tolist()],
             "refs": [[pack(np.diff(place[at[i:j]].astype(np.int64), prepend=0).astype(np.int32).view(np.uint32)) for i, j in zip(cut, cut[1:])]],
@@ -290,18 +304,18 @@ def seat(c: np.ndarray, a: np.ndarray, grow: np.ndarray, d: float, rng: np.rando
     """Tables of dishes with ``c`` customers seated one after another.
 
     With i seated at t tables the next customer opens one with probability
-    a / (a + i - d t), a having grown by ``grow`` a table. The wait for the next
-    opening is beta-geometric: a chance drawn from Beta(a, i - d t), then trials.
+    a / (a + i - d t), a having grown by ``grow`` a table. The first 50 come one
+    by one, later ones in groups of 2 % of those seated, at the same odds.
     """
     t = (c > 0).astype(np.int64)
-    i = t.astype(float)
+    i = np.ones(len(c), np.int64)
     live = np.flatnonzero(c > 1)
     while len(live):
-        chance = rng.beta(np.maximum(a[live] + grow[live] * t[live], 1e-12), i[live] - d * t[live])
-        wait = np.ceil(np.log(np.maximum(rng.random(len(live)), 1e-300)) / np.log1p(-np.clip(chance, 1e-18, 1 - 1e-12)))
-        i[live] += np.maximum(wait, 1.0)
-        live = live[i[live] <= c[live]]
-        t[live] += 1
+        coming = np.minimum(1 + i[live] // 50, c[live] - i[live])
+        weight = a[live] + grow[live] * t[live]
+        odds = weight / (weight + i[live] - d * t[live])
+        t[live] += rng.binomial(coming, odds) if coming.max() > 1 else rng.random(len(live)) < odds
+        i[live] += coming
         live = live[i[live] < c[live]]
     return t
 
@@ -538,24 +552,28 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     share[UNSEEN] = THETA + d * v
     share = np.maximum(share, 1e-12) / (THETA + n)
     frequent = np.array([int(r["w"]) for r in top], np.uint64)
+    release(spark)
     ranks = np.argsort(frequent, kind="stable")
     frequent = frequent[ranks]
 
     blocks = max(1, -(-n // BLOCK_PAIRS))  # a pair at most for every token
     counts = words.filter("chunk >= 0").select("chunk", "part", "data")
-    pairs = coded.drop("doc_ids", "trained").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(send_pairs(frequent, ranks, blocks), PAIRS_SCHEMA)
-    cells = materialize(pairs.groupBy("block").applyInPandas(merge_pairs, CELLS_SCHEMA))
+    pairs = coded.drop("doc_ids", "trained").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(send_pairs(frequent, blocks), PAIRS_SCHEMA)
+    cells = materialize(pairs.groupBy("block").applyInPandas(merged_cells(frequent, ranks), CELLS_SCHEMA))
+    del pairs
+    release(spark)
 
     model = Model(n, v, d, share)
     group_cells, model.hot, seen, _ = word_sums(cells, model, 0, 0)
     model.d_words = discount(*seen)
     for r in range(ROUNDS):
-        model.table = sample_tables(group_cells, share)
+        model.table = sample_tables(group_cells, share) if r == ROUNDS - 1 else sample_tables(group_cells, share, 2, 1)
         if r < ROUNDS - 1:
             group_cells, model.hot, _, fits = word_sums(cells, model, 100 * r, SWEEPS)
             scale, ratio = FITS[int(np.argmax(fits))]
             model.d_words = min(scale * model.d_words, 0.98)
             model.theta_words = ratio * model.d_words
+    release(spark)
     shared = spark.sparkContext.broadcast(model)
     found = cells.mapInPandas(send_scores(shared, 1000), "chunk long, part int, kind int, data binary").unionByName(counts.withColumn("kind", F.lit(0)))
 
