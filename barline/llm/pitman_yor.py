@@ -45,7 +45,7 @@ from barline.llm.common import full_text, materialize, release
 
 FREQUENT = 1024
 OCTAVES = 64
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 CHUNK_DOCS = 20_000
 #: Vocabulary entries and pairs that a block merges, about.
 BLOCK_WORDS, BLOCK_PAIRS = 2_000_000, 1_500_000
@@ -75,19 +75,28 @@ def unpack(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
 
 
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=np.uint64(0)))
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpack(data, np.uint64), dtype=np.uint64)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return h ^ (h >> np.uint64(33))
 
 
-CHUNK_SCHEMA = "chunk long, doc_ids array<string>, train binary, lengths binary, codes binary, hashes binary, seen binary, trained binary"
+CHUNK_SCHEMA = "chunk long, doc_ids array<string>, train binary, lengths binary, codes binary, high binary, low binary, seen binary, trained binary"
 
 
 def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     """Texts as chunks of codes; ``docs`` has doc_id (string), train, text.
 
-    A chunk's vocabulary stands in the order of its hashes, with the words'
-    counts in the chunk and in its training texts; codes are ranks by count.
+    A chunk's vocabulary stands in the order of its hashes (their upper 40 bits,
+    as steps, and the other 24), with the words' counts in the chunk and in its
+    training texts; codes are ranks by count.
     """
 
     def encode(batches):
@@ -117,7 +126,8 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
                     "train": [np.array(train, np.uint8).tobytes()],
                     "lengths": [lengths.tobytes()],
                     "codes": [pack(rank[codes])],
-                    "hashes": [hashes[place].tobytes()],
+                    "high": [pack_sorted(hashes[place] >> np.uint64(24))],
+                    "low": [pack((hashes[place] & np.uint64(0xFFFFFF)).astype(np.uint32))],
                     "seen": [pack(seen.astype(np.uint32))],
                     "trained": [pack(trained.astype(np.uint32))],
                 }
@@ -163,7 +173,7 @@ def word_counts(coded: DataFrame, blocks: int) -> DataFrame:
     def slices(batches):
         for batch in batches:
             for row in batch.itertuples():
-                hashes, trained = np.frombuffer(row.hashes, np.uint64), unpack(row.trained, np.uint32)
+                hashes, trained = (unpack_sorted(row.high) << np.uint64(24)) | unpack(row.low, np.uint32), unpack(row.trained, np.uint32)
                 cut = [0, *np.searchsorted(hashes, np.array(edges, np.uint64)), len(hashes)]
                 yield pd.DataFrame([(b, row.chunk, hashes[i:j].tobytes(), pack(trained[i:j])) for b, (i, j) in enumerate(zip(cut, cut[1:]))], columns=["part", "chunk", "hashes", "trained"])
 
@@ -189,7 +199,7 @@ def word_counts(coded: DataFrame, blocks: int) -> DataFrame:
         out["w"] = [None if x is None or pd.isna(x) else Decimal(int(x)) for x in (r[3] for r in rows)]
         return out.astype({n: "Int64" for n in ("c", "o", "v", "n1", "n2")})
 
-    return coded.select("chunk", "hashes", "trained").mapInPandas(slices, "part int, chunk long, hashes binary, trained binary").groupBy("part").applyInPandas(merge, WORDS_SCHEMA)
+    return coded.select("chunk", "high", "low", "trained").mapInPandas(slices, "part int, chunk long, hashes binary, trained binary").groupBy("part").applyInPandas(merge, WORDS_SCHEMA)
 
 
 # --- pairs -----------------------------------------------------------------------
@@ -199,14 +209,14 @@ class Chunk:
     """A chunk with its distinct pairs, in the order in which blocks get and return them."""
 
     def __init__(self, row, frequent: np.ndarray, blocks: int):
-        self.hashes = np.frombuffer(row.hashes, np.uint64)
+        self.hashes = unpack_sorted(row.high)  # 40 bits
         self.lengths = np.frombuffer(row.lengths, np.int64)
         self.train = np.frombuffer(row.train, np.uint8).astype(bool)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.after = by_count(unpack(row.seen, np.uint32))[unpack(row.codes, np.uint32)]
         before = np.empty_like(self.after)
         before[1:] = self.after[:-1]
-        before[self.starts] = np.searchsorted(self.hashes, np.uint64(word_hash(END)))  # a text begins after the end of another
+        before[self.starts] = np.searchsorted(self.hashes, np.uint64(word_hash(END) >> 24))  # a text begins after the end of another
         v = len(self.hashes)
         pairs, at = np.unique(before * v + self.after, return_inverse=True)
         u, w = pairs // v, pairs % v
@@ -220,21 +230,21 @@ class Chunk:
         self.n = np.bincount(self.pair[np.repeat(self.train, self.lengths)], minlength=len(order))
 
 
-def groups_of(hashes: np.ndarray, c: np.ndarray, frequent: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    """The group of each word; ``frequent`` is sorted, ``ranks`` has its groups."""
+def groups_of(hashes: np.ndarray, c: np.ndarray, frequent: np.ndarray, ranks: np.ndarray, least: int) -> np.ndarray:
+    """The group of each word; ``frequent`` is sorted, ``ranks`` has its groups, ``least`` its smallest count."""
     g = np.where(c > 0, FREQUENT + np.floor(np.log2(np.maximum(c, 1))).astype(np.int64), UNSEEN)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        g = np.where(frequent[at] == hashes, ranks[at], g)
+        g = np.where((frequent[at] == hashes) & (c >= least), ranks[at], g)
     return g
 
 
-PAIRS_SCHEMA = "block int, chunk long, uh binary, un binary, w binary, wc binary, n binary"
+PAIRS_SCHEMA = "block int, chunk long, uh binary, uc binary, un binary, w binary, wc binary, n binary"
 
 
 def short(hashes: np.ndarray) -> np.ndarray:
-    """40 bits that tell a word from others after the same context."""
-    return mixed(hashes) >> np.uint64(24)
+    """32 bits that with its count tell a word from others after the same context."""
+    return (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
 
 
 def send_pairs(frequent: np.ndarray, blocks: int):
@@ -248,8 +258,7 @@ def send_pairs(frequent: np.ndarray, blocks: int):
                 u, w, n = (x[cut[b] : cut[b + 1]] for x in (ch.u, ch.w, ch.n))
                 first = np.flatnonzero(np.diff(u, prepend=-1))
                 runs = np.diff(first, append=len(u)).astype(np.uint32)
-                contexts = np.stack([ch.hashes[u[first]], c[u[first]]])
-                out.append((b, row.chunk, pack(contexts.ravel()), pack(runs), pack(short(ch.hashes[w])), pack(c[w]), pack(n.astype(np.uint32))))
+                out.append((b, row.chunk, pack_sorted(ch.hashes[u[first]]), pack(c[u[first]]), pack(runs), pack(short(ch.hashes[w])), pack(c[w]), pack(n.astype(np.uint32))))
         return pd.DataFrame(out, columns=[f.split()[0] for f in PAIRS_SCHEMA.split(", ")])
 
     return send
@@ -258,21 +267,21 @@ def send_pairs(frequent: np.ndarray, blocks: int):
 CELLS_SCHEMA = "block int, ctx binary, ug binary, wc binary, wg binary, n binary, chunks array<long>, refs array<binary>"
 
 
-def merged_cells(frequent: np.ndarray, ranks: np.ndarray):
+def merged_cells(frequent: np.ndarray, ranks: np.ndarray, least: int):
     """Merges a block's pairs; ``frequent`` is sorted, ``ranks`` has its groups."""
     by_short = np.argsort(short(frequent), kind="stable")
-    return lambda pdf: merge_pairs(pdf, (frequent, ranks), (short(frequent)[by_short], ranks[by_short]))
+    return lambda pdf: merge_pairs(pdf, (frequent, ranks, least), (short(frequent)[by_short], ranks[by_short], least))
 
 
 def merge_pairs(pdf: pd.DataFrame, frequent, frequent_short) -> pd.DataFrame:
     """All cells of a block, by context, and for every chunk the cells of its pairs."""
     pdf = pdf.sort_values("chunk")
-    contexts = [unpack(x, np.uint64).reshape(2, -1) for x in pdf["uh"]]
     runs = [unpack(x, np.uint32) for x in pdf["un"]]
-    uh, uc = (np.concatenate([np.repeat(x[k], r) for x, r in zip(contexts, runs)]) for k in (0, 1))
-    w = [unpack(x, np.uint64) for x in pdf["w"]]
-    known = np.concatenate(w)
-    _, first, at = np.unique(mixed(uh + mixed(known)), return_index=True, return_inverse=True)
+    uh = np.concatenate([np.repeat(unpack_sorted(x), r) for x, r in zip(pdf["uh"], runs)])
+    uc = np.concatenate([np.repeat(unpack(x, np.uint64), r) for x, r in zip(pdf["uc"], runs)])
+    w = [unpack(x, np.uint32) for x in pdf["w"]]
+    known, wc = np.concatenate(w), np.concatenate([unpack(x, np.uint64) for x in pdf["wc"]])
+    _, first, at = np.unique(mixed(uh + mixed((known.astype(np.uint64) << np.uint64(32)) ^ wc)), return_index=True, return_inverse=True)
     n = np.bincount(at, np.concatenate([unpack(x, np.uint32) for x in pdf["n"]])).astype(np.uint64)
     order = np.argsort(uh[first], kind="stable")
     place = np.empty(len(order), np.uint32)
@@ -280,7 +289,7 @@ def merge_pairs(pdf: pd.DataFrame, frequent, frequent_short) -> pd.DataFrame:
     first = first[order]
     starts = np.diff(uh[first], prepend=uh[first[:1]] + np.uint64(1)) != 0
     cut = np.cumsum([0, *map(len, w)])
-    wc = np.concatenate([unpack(x, np.uint64) for x in pdf["wc"]])[first]
+    wc = wc[first]
     wg = groups_of(known[first], wc, *frequent_short)
     ug = groups_of(uh[first[starts]], uc[first[starts]], *frequent)
     return pd.DataFrame(
@@ -536,7 +545,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
     out = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 1 if held_out is None else held_out
     rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), (~F.coalesce(out, F.lit(False))).alias("train"), full_text(text_col).alias("text"))
     coded = materialize(chunks(rows, chunk_tokens))
-    entries = (coded.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0) // 8
+    entries = (coded.agg(F.sum(F.octet_length("low"))).first()[0] or 0) // 3
     words = materialize(word_counts(coded, max(1, -(-entries // BLOCK_WORDS))))
 
     octaves = words.filter("chunk = -2").groupBy("o").agg(*[F.sum(x).alias(x) for x in ("c", "v", "n1", "n2")]).collect()  # at most OCTAVES rows
@@ -551,15 +560,16 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
         share[FREQUENT + int(np.log2(c))] -= c - d
     share[UNSEEN] = THETA + d * v
     share = np.maximum(share, 1e-12) / (THETA + n)
-    frequent = np.array([int(r["w"]) for r in top], np.uint64)
+    frequent = np.array([int(r["w"]) >> 24 for r in top], np.uint64)
+    least = min((r["c"] for r in top), default=1)
     release(spark)
     ranks = np.argsort(frequent, kind="stable")
     frequent = frequent[ranks]
 
     blocks = max(1, -(-n // BLOCK_PAIRS))  # a pair at most for every token
     counts = words.filter("chunk >= 0").select("chunk", "part", "data")
-    pairs = coded.drop("doc_ids", "trained").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(send_pairs(frequent, blocks), PAIRS_SCHEMA)
-    cells = materialize(pairs.groupBy("block").applyInPandas(merged_cells(frequent, ranks), CELLS_SCHEMA))
+    pairs = coded.drop("doc_ids", "trained", "low").groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(send_pairs(frequent, blocks), PAIRS_SCHEMA)
+    cells = materialize(pairs.groupBy("block").applyInPandas(merged_cells(frequent, ranks, least), CELLS_SCHEMA))
     del pairs
     release(spark)
 
@@ -598,7 +608,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
             )
         return pd.concat(outs) if outs else pd.DataFrame({c: [] for c in ("doc_id", "train", "n_tokens", "n_known", "base_score", "score")})
 
-    scored = coded.drop("trained").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = coded.drop("trained", "low").groupBy("chunk").cogroup(found.groupBy("chunk")).applyInPandas(score, "doc_id string, train boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select(
         F.col("doc_id").cast(id_type).alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
