@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.llm.common import full_text
+from barline.llm.common import full_text, let, materialize, words
 
 SAMPLE_ROWS = 4000
 STEMS = (3, 4, 5, 6, 7)
+AUTOMATON_TERMS = 16
 WINDOW = 5
 # Words of reporting, words of address, quotation marks.
 REPORTING = "said says say called calls wrote writes quoted quote word term sagte schrieb nannte dit disait dijo llama".split()
@@ -60,7 +61,28 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     rate = F.when(F.col("toxic") == 1, min(1.0, sample_rows / counts.get(1, 1))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text")).filter("doc_id is not null")
-    return rows.join(F.broadcast(chosen), "doc_id")
+    return one_of_each(materialize(rows.join(F.broadcast(chosen), "doc_id")))
+
+
+def one_of_each(sample: DataFrame, bands: int = 6) -> DataFrame:
+    """The sample without near copies, whose words would all pass for evidence.
+
+    Texts are copies that share, in one of ``bands`` pairs of orders, the least hashes of their three-word shingles.
+    """
+    def shingles(ws):
+        return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(ws, i + 1), F.get(ws, i + 2)))
+
+    hashed = materialize(sample.select("doc_id", let(words(F.lower("text")), shingles).alias("s")))
+    least = [F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k)))) for k in range(2 * bands)]
+    met: set = set()
+    copies = []
+    for r in hashed.select("doc_id", F.array(*least).alias("keys")).orderBy("doc_id").collect():  # bounded by the sample
+        mine = {(k, *r["keys"][2 * k : 2 * k + 2]) for k in range(bands) if r["keys"][0] is not None}
+        if met & mine:
+            copies.append((r["doc_id"],))
+        met |= mine
+    gone = sample.sparkSession.createDataFrame(copies, sample.select("doc_id").schema)
+    return sample.join(F.broadcast(gone), "doc_id", "left_anti")
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
@@ -143,28 +165,20 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(0x110000)), np.uint8, 0x110000)
 
 
-class Matcher:
-    """Deterministic product of the lexicon trie and the Levenshtein automaton.
+class Automaton:
+    """Deterministic product of the trie of some terms and the Levenshtein automaton.
 
     ``table[state, class]`` is the next state (0: dead). ``at_end`` has, per
     state, the term of a word that ends there, ``inside`` that of a stem just
     met: 0 for none, else 2 * (number of the term) + 1, or + 2 where misspelled.
     """
 
-    def __init__(self, terms: dict[str, float]):
-        self.terms = sorted(terms)
-        self.weights = np.array([terms[t] for t in self.terms] or [0.0])
-        self.stems = np.array([t.endswith("*") for t in self.terms] or [False])
-        letters = sorted({c for t in self.terms for c in t.rstrip("*")})
-        code = {c: i + 2 for i, c in enumerate(letters)}
+    def __init__(self, terms: list[tuple[int, str]], weights: np.ndarray, code: dict[str, int]):
         width = len(code) + 2
-        self.classes = _letters().astype(np.uint16)  # 0: separator, 1: a letter outside the lexicon
-        for c, i in code.items():
-            self.classes[ord(c)] = i
         children: list[dict[int, int]] = [{}]
         ends: dict[int, tuple[int, int, bool]] = {}  # node: term, edits allowed, stem
         reach = [0]  # most edits allowed below a node
-        for number, t in enumerate(self.terms):
+        for number, t in terms:
             word = t.rstrip("*")
             edits = 0 if len(word) < 5 else 2 if len(word) >= 9 and word == t else 1
             node = 0
@@ -192,7 +206,7 @@ class Matcher:
 
         def best(state, stem: bool) -> int:
             """The term with the fewest edits, then the greatest weight."""
-            found = [(e, -self.weights[ends[node][0]], ends[node][0]) for node, e in state if node in ends and e <= ends[node][1] and (ends[node][2] or not stem)]
+            found = [(e, -weights[ends[node][0]], ends[node][0]) for node, e in state if node in ends and e <= ends[node][1] and (ends[node][2] or not stem)]
             return 0 if not found else 2 * min(found)[2] + (1 if min(found)[0] == 0 else 2)
 
         start = closed({0: 0})
@@ -239,6 +253,33 @@ class Matcher:
         return np.where((end > 0) & ((end % 2 == 1) | (stem % 2 == 0)), end, stem)
 
 
+class Matcher:
+    """The whole lexicon: automata of AUTOMATON_TERMS neighbouring terms each, so their states add up and do not multiply."""
+
+    def __init__(self, terms: dict[str, float]):
+        self.terms = sorted(terms)
+        self.weights = np.array([terms[t] for t in self.terms] or [0.0])
+        self.stems = np.array([t.endswith("*") for t in self.terms] or [False])
+        code = {c: i + 2 for i, c in enumerate(sorted({c for t in self.terms for c in t.rstrip("*")}))}
+        self.classes = _letters().astype(np.uint16)  # 0: separator, 1: a letter outside the lexicon
+        for c, i in code.items():
+            self.classes[ord(c)] = i
+        numbered = list(enumerate(self.terms))
+        self.automata = [Automaton(numbered[i : i + AUTOMATON_TERMS], self.weights, code) for i in range(0, len(numbered), AUTOMATON_TERMS)]
+
+    def hits(self, text_codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The hit of every word (see Automaton): an exact one before a misspelled one, then the heavier."""
+        out = np.zeros(len(starts), np.int32)
+        for automaton in self.automata:
+            new = automaton.hits(text_codes, starts, lengths)
+            at = np.flatnonzero(new)
+            old = out[at]
+            rank = lambda h: np.where(h > 0, 1000.0 * (h % 2) + self.weights[np.maximum(h - 1, 0) // 2], -np.inf)
+            better = rank(new[at]) > rank(old)
+            out[at[better]] = new[at[better]]
+        return out
+
+
 def features(texts: list[str], matcher: Matcher) -> np.ndarray:
     """(texts, 2 * kinds): sums of the weights of the hits of each kind of HITS, then their numbers."""
     out = np.zeros((len(texts), 2 * len(HITS)))
