@@ -222,6 +222,20 @@ def test_near_copies_at_08_go(spark):
     assert simhash.kept_similar(docs.filter("false")).count() == 0
 
 
+def least_of_similar(rows):
+    """The smallest id of each group that five-word shingles with a Jaccard similarity of 0.8 or more link, over all pairs."""
+    split = [words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in split]
+    top = [i for i, _ in rows]
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both / (len(sets[i]) + len(sets[j]) - both) >= 0.8:
+                a, b = sorted((top[i], top[j]))
+                top = [a if t == b else t for t in top]
+    return sorted(set(top))
+
+
 def test_stages_after_near_copies(spark):
     import corpus_pipeline
 
@@ -449,8 +463,33 @@ def test_pipeline(spark):
     lines = corpus_pipeline.drop_repeated_lines(spark, clean, SF)
     assert lines.columns == docs.columns and lines.count() == clean.count()
     near = corpus_pipeline.drop_near_duplicates(spark, lines, SF)
-    assert near.columns == docs.columns and near.count() == simhash.near_dedup(lines).select("component_id").distinct().count()
+    assert near.columns == docs.columns and sorted(r[0] for r in near.select("doc_id").collect()) == least_of_similar([(r["doc_id"], r["text"]) for r in lines.collect()])
     mixed = corpus_pipeline.mix_sources(spark, near, SF)
     assert mixed.columns == docs.columns and mixed.filter("n_chars <> length(text)").count() == 0
     packed = corpus_pipeline.pack_sequences(spark, mixed, SF)
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter("n > 2048").count() == 0
+
+
+def test_planted_credentials_are_linked(spark):
+    """Identifiers and secrets planted within and beyond reach; every link against brute force."""
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for i in range(60):
+        gap = int(rng.integers(0, 90))
+        a, b = f"user: name{i}", "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 22)) + "2A"
+        text = "plain " * int(rng.integers(0, 9)) + a + " " + "filler " * gap + b
+        rows.append((i, text))
+        want[i] = text.index(b) - text.index(a) - len(a) <= secret_scan.REACH
+    got = {r["doc_id"]: r["links"] for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: bool(x) for i, x in got.items()} == want and 0 < sum(want.values()) < 60
+
+
+def test_trees_take_two_batches(spark):
+    count = token_edits.counter(token_edits.default_ranks())
+    docs = spark.createDataFrame([(1, "some words here, and more of them"), (2, ""), (3, None)], "doc_id long, text string")
+    edit = lambda a, b, r: F.expr(f"array(named_struct('start', {a}, 'end', {b}, 'replacement', '{r}'))")
+    once = token_edits.apply_edits(token_edits.build_trees(docs).withColumn("e", edit(0, 0, "New start ")), edits_col="e")
+    twice = token_edits.apply_edits(once.withColumn("e", edit(4, 9, "beginnings")), edits_col="e")
+    for r in twice.collect():
+        assert r["n_tokens_after"] == r["n_tokens"] == len(count.encoding.encode_ordinary(r["text"])) and r["n_pretokens"] == len(count.split(r["text"]))
+    assert {r["text"] for r in twice.filter("doc_id = 1").collect()} == {"New beginnings some words here, and more of them"}
