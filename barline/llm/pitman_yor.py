@@ -102,15 +102,10 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
     def encode(batches):
         part = TaskContext.get().partitionId()
         made = 0
-        ids, train, texts, n = [], [], [], 0
+        ids, train, coded, n = [], [], [], 0
+        vocabulary: dict[bytes, int] = {}
 
         def flush():
-            vocabulary: dict[bytes, int] = {}
-            coded = []
-            for ws in texts:
-                for w in ws:
-                    vocabulary.setdefault(w, len(vocabulary))
-                coded.append(np.fromiter(map(vocabulary.__getitem__, ws), np.uint32, len(ws)))
             lengths = np.array([len(c) for c in coded], np.int64)
             codes = np.concatenate(coded)
             hashes = np.fromiter(map(word_hash, vocabulary), np.uint64, len(vocabulary))
@@ -137,14 +132,17 @@ def chunks(docs: DataFrame, chunk_tokens: int = CHUNK_TOKENS) -> DataFrame:
             for i, t, text in zip(batch["doc_id"], batch["train"], batch["text"]):
                 ws = text.encode("utf-8", "surrogatepass").lower().split()
                 ws.append(END)
+                for w in ws:
+                    vocabulary.setdefault(w, len(vocabulary))
                 ids.append(i)
                 train.append(t)
-                texts.append(ws)
+                coded.append(np.fromiter(map(vocabulary.__getitem__, ws), np.uint32, len(ws)))
                 n += len(ws)
                 if n >= chunk_tokens or len(ids) >= CHUNK_DOCS:
                     yield flush()
                     made += 1
-                    ids, train, texts, n = [], [], [], 0
+                    ids, train, coded, n = [], [], [], 0
+                    vocabulary.clear()
         if ids:
             yield flush()
 
