@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.llm.common import full_text, join_hot_cold, materialize
+from barline.llm.common import full_text, join_hot_cold, materialize, release
 
 SHINGLE = 3
 DISTANCE = 3
@@ -256,6 +256,7 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
 
+    spark = marked.sparkSession
     one = materialize(marked.groupBy("fp").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys")))
     keyed = one.select("fp", F.explode("keys").alias("key"))
     one = one.select("fp", "uid")
@@ -263,7 +264,9 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     total = sizes.agg(F.sum("n")).first()[0] or 0
     met = materialize(join_hot_cold(keyed, sizes, ["key"], "n", max(total, 1)))
     stars = materialize(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+    release(spark)
     first = materialize(verified(stars))
+    release(spark)
 
     roots = materialize(components(first))
     members = met.join(roots, met["fp"] == roots["node"], "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
@@ -326,5 +329,8 @@ def kept_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_
     texts = held.select("uid", full_text(F.col("row")[text_col]).alias("text"))
     rows = held.select(F.col("row")[id_col].alias("doc_id"), "uid", full_text(F.col("row")[text_col]).alias("text"))
     marked = materialize(sketches(rows, shingle))
+    release(docs.sparkSession)
     gone = simhash_groups(marked.drop("keys"), lambda _: similar_links(marked, texts, shingle, similarity)).filter("uid <> keep_uid").select("uid")
+    gone = materialize(gone)
+    release(docs.sparkSession)
     return held.join(gone, "uid", "left_anti").select("row.*")
