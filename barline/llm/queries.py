@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, token_edits, toxicity
+from barline.llm import decontamination, exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, token_edits, toxicity
 from barline.llm.common import read_table
 
 
@@ -46,6 +46,10 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op12_decontamination(spark, sf_dir):
+    return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -58,8 +62,9 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_token_edits": op9_token_edits,
         "op10_packing": op10_packing,
+        "op12_decontamination": op12_decontamination,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE}
