@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import decontamination, exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, secret_scan, simhash, token_edits, toxicity
+from barline.llm import decontamination, exact_dedup, line_dedup, mixing, packing, phrases, pitman_yor, quality, secret_scan, simhash, token_edits, toxicity, whitening
 from barline.llm.common import read_table
 
 
@@ -46,10 +46,18 @@ def op10_packing(spark, sf_dir):
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 def op12_decontamination(spark, sf_dir):
     return decontamination.decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrases(spark, sf_dir):
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -62,9 +70,11 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_token_edits": op9_token_edits,
         "op10_packing": op10_packing,
+        "op11_whitening": op11_whitening,
         "op12_decontamination": op12_decontamination,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE}
+    return {"op1_exact_dedup": exact_dedup.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op12_decontamination": decontamination.ORACLE, "op13_phrases": phrases.ORACLE}
