@@ -366,14 +366,18 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, share: int
 
 ORACLE = f"""WITH p AS (SELECT u, lang, i, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (SELECT u, lang, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS piece FROM (
   SELECT row_number() OVER () AS u, coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS ps FROM documents))),
-g0 AS (SELECT lang, k, list_slice(w, j, j + k - 1) AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS j FROM p, (VALUES (1), (2), (3), (4)) s(k) WHERE len(w) >= k)),
-c AS (SELECT lang, k, g, count(*) AS f FROM g0 GROUP BY ALL),
-tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY 1),
+t AS (SELECT u, lang, i, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS w1 FROM p),
+t4 AS (SELECT lang, w1, lead(w1, 1) OVER o AS w2, lead(w1, 2) OVER o AS w3, lead(w1, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY u, i ORDER BY j)),
+g0 AS (SELECT lang, 1 AS k, w1 AS g FROM t4 UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM t4 WHERE w2 IS NOT NULL UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM t4 WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM t4 WHERE w4 IS NOT NULL),
+ca AS MATERIALIZED (SELECT lang, k, g, count(*) AS f FROM g0 GROUP BY ALL HAVING k = 1 OR count(*) >= {LEAST}),
+c AS MATERIALIZED (SELECT * FROM ca WHERE f >= {LEAST}),
+tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM ca WHERE k = 1 GROUP BY 1),
 cand AS (SELECT * FROM c WHERE k > 1 AND f >= {LEAST}),
 cut AS (SELECT a.lang, a.k, a.g, a.f AS a, x.f AS l, y.f AS r, h.h, CAST((2000000 * CAST(a.f AS HUGEINT)) // (x.f + y.f) AS BIGINT) AS score FROM cand a JOIN (VALUES (1), (2), (3)) h(h) ON h.h < a.k
-  JOIN c x ON x.lang = a.lang AND x.g = list_slice(a.g, 1, h.h) JOIN c y ON y.lang = a.lang AND y.g = list_slice(a.g, h.h + 1, a.k)),
+  JOIN c x ON x.lang = a.lang AND x.g = array_to_string(list_slice(string_split(a.g, ' '), 1, h.h), ' ') JOIN c y ON y.lang = a.lang AND y.g = array_to_string(list_slice(string_split(a.g, ' '), h.h + 1, a.k), ' ')),
 sc AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, h) = 1),
-sub AS (SELECT lang, list_slice(g, b.b, b.b + m.m - 1) AS g, max(f) AS f FROM cand, (VALUES (1), (2), (3)) b(b), (VALUES (2), (3)) m(m) WHERE m.m < k AND b.b + m.m - 1 <= k GROUP BY ALL),
-kept AS (SELECT sc.*, array_to_string(sc.g, ' ') AS phrase FROM sc LEFT JOIN sub ON sub.lang = sc.lang AND sub.g = sc.g WHERE sub.f IS NULL OR 100 * CAST(sub.f AS HUGEINT) < {SHARE} * CAST(a AS HUGEINT)),
+sub AS (SELECT lang, array_to_string(list_slice(string_split(g, ' '), b.b, b.b + m.m - 1), ' ') AS g, max(f) AS f FROM cand, (VALUES (1), (2), (3)) b(b), (VALUES (2), (3)) m(m) WHERE m.m < k AND b.b + m.m - 1 <= k GROUP BY ALL),
+kept AS (SELECT sc.*, sc.g AS phrase FROM sc LEFT JOIN sub ON sub.lang = sc.lang AND sub.g = sc.g WHERE sub.f IS NULL OR 100 * CAST(sub.f AS HUGEINT) < {SHARE} * CAST(a AS HUGEINT)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, score FROM rk JOIN tot USING (lang) WHERE rank <= {TOP}"""
