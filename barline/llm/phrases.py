@@ -243,7 +243,8 @@ class Layout:
 
 def ngrams(codes: np.ndarray, n: int) -> list[np.ndarray]:
     """The n numbers of every run of n numbers without a 0."""
-    shifted = [codes[k : len(codes) - n + 1 + k] for k in range(n)]
+    places = max(len(codes) - n + 1, 0)
+    shifted = [codes[k : k + places] for k in range(n)]
     whole = np.logical_and.reduce([s > 0 for s in shifted])
     return [s[whole] for s in shifted]
 
