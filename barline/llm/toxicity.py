@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from barline.llm.common import full_text, let, materialize, words
 SAMPLE_ROWS = 4000
 STEMS = (3, 4, 5, 6, 7)
 AUTOMATON_TERMS = 16
+KNOWN_WORDS = 500_000
 WINDOW = 5
 # Words of reporting, words of address, quotation marks.
 REPORTING = "said says say called calls wrote writes quoted quote word term sagte schrieb nannte dit disait dijo llama".split()
@@ -61,32 +63,46 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample_rows: int, id_col
     rate = F.when(F.col("toxic") == 1, min(1.0, sample_rows / counts.get(1, 1))).otherwise(min(1.0, sample_rows / counts.get(0, 1)))
     chosen = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < rate * (1 << 20))
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text")).filter("doc_id is not null")
-    return one_of_each(materialize(rows.join(F.broadcast(chosen), "doc_id")))
+    return with_groups(materialize(rows.join(F.broadcast(chosen), "doc_id")))
 
 
-def one_of_each(sample: DataFrame, bands: int = 6) -> DataFrame:
-    """The sample without near copies, whose words would all pass for evidence.
+def with_groups(sample: DataFrame, shingle: int = 5, similarity: float = 0.8, bands: int = 12) -> DataFrame:
+    """Adds ``grp``: rows of one class that are near copies share it, so that together they count once.
 
-    Texts are copies that share, in one of ``bands`` pairs of orders, the least hashes of their three-word shingles.
+    Texts that share, in one of ``bands`` pairs of orders, the least hashes of
+    their shingles are compared with the first of them: copies are those whose
+    sets of shingles have that Jaccard similarity. No row goes. What the driver
+    holds, the links, is bounded by the sample.
     """
     def shingles(ws):
-        return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - 2, F.lit(1))), lambda x, i: F.xxhash64(x, F.get(ws, i + 1), F.get(ws, i + 2)))
+        return F.transform(F.slice(ws, 1, F.greatest(F.size(ws) - (shingle - 1), F.lit(1))), lambda x, i: F.xxhash64(x, *[F.get(ws, i + k) for k in range(1, shingle)]))
 
-    hashed = materialize(sample.select("doc_id", let(words(F.lower("text")), shingles).alias("s")))
+    rows = sample.select("doc_id", "toxic", F.array_distinct(let(words(F.lower("text")), shingles)).alias("s")).filter(F.size("s") > 0)
+    sets = materialize(rows.groupBy("doc_id", "toxic").agg(F.first("s").alias("s")))
     least = [F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k)))) for k in range(2 * bands)]
-    met: set = set()
-    copies = []
-    for r in hashed.select("doc_id", F.array(*least).alias("keys")).orderBy("doc_id").collect():  # bounded by the sample
-        mine = {(k, *r["keys"][2 * k : 2 * k + 2]) for k in range(bands) if r["keys"][0] is not None}
-        if met & mine:
-            copies.append((r["doc_id"],))
-        met |= mine
-    gone = sample.sparkSession.createDataFrame(copies, sample.select("doc_id").schema)
-    return sample.join(F.broadcast(gone), "doc_id", "left_anti")
+    keys = F.array(*[F.xxhash64(F.lit(k), least[2 * k], least[2 * k + 1]) for k in range(bands)])
+    keyed = materialize(sets.select("doc_id", "toxic", F.explode(keys).alias("key")))
+    first = keyed.groupBy("key", "toxic").agg(F.min("doc_id").alias("low"))
+    pairs = keyed.join(first, ["key", "toxic"]).filter("doc_id <> low").select("doc_id", "low", "toxic").distinct()
+    pairs = pairs.join(sets, ["doc_id", "toxic"]).join(sets.select(F.col("doc_id").alias("low"), F.col("s").alias("t"), "toxic"), ["low", "toxic"])
+    both = F.size(F.array_intersect("s", "t"))
+    root: dict = {}
+
+    def top(x):
+        while x in root:
+            x = root[x]
+        return x
+
+    for doc, low in pairs.filter(both / (F.size("s") + F.size("t") - both) >= similarity).select("doc_id", "low").collect():
+        a, b = sorted((top(doc), top(low)))
+        if a != b:
+            root[b] = a
+    named = sample.sparkSession.createDataFrame([(x, top(x)) for x in root], sample.select("doc_id", F.col("doc_id").alias("grp")).schema)
+    return sample.join(F.broadcast(named), "doc_id", "left").withColumn("grp", F.coalesce("grp", "doc_id"))
 
 
 def learn_lexicon(sample: DataFrame) -> dict[str, float]:
-    """Terms, "word" or "stem*", and their log-odds."""
+    """Terms, "word" or "stem*", and their log-odds; a group of near copies counts once."""
     found = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
     forms = F.filter(found, lambda w: (F.length(w) >= 2) & (F.length(w) <= 60) & ~w.rlike(DENSE_RE))
     dense = F.filter(found, lambda w: w.rlike(DENSE_RE))
@@ -99,11 +115,12 @@ def learn_lexicon(sample: DataFrame) -> dict[str, float]:
         return F.flatten(F.transform("dense", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: stem(w, i, n))))
 
     stems, grams = [stems_of(n) for n in STEMS], [grams_of(n) for n in (2, 3)]
-    terms = sample.select("doc_id", "toxic", forms.alias("forms"), dense.alias("dense"))
-    terms = terms.select("doc_id", "toxic", F.explode(F.array_distinct(F.flatten(F.array("forms", *stems, *grams)))).alias("term"))
+    terms = sample.select("grp", "toxic", forms.alias("forms"), dense.alias("dense"))
+    terms = terms.select("grp", "toxic", F.explode(F.array_distinct(F.flatten(F.array("forms", *stems, *grams)))).alias("term"))
     marked = F.col("toxic") == 1
-    stats = terms.groupBy("term").agg(F.count_if(marked).alias("b"), F.count_if(~marked).alias("g"), F.collect_set(F.when(marked, F.col("doc_id").cast("string"))).alias("docs"))
-    totals = sample.agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good")).first()
+    terms = terms.distinct()
+    stats = terms.groupBy("term").agg(F.count_if(marked).alias("b"), F.count_if(~marked).alias("g"), F.collect_set(F.when(marked, F.col("grp").cast("string"))).alias("docs"))
+    totals = sample.select("grp", "toxic").distinct().agg(F.count_if(marked).alias("bad"), F.count_if(~marked).alias("good")).first()
     bad, good = totals["bad"], totals["good"]
     if not bad or not good:
         return {}
@@ -267,6 +284,19 @@ class Matcher:
         numbered = list(enumerate(self.terms))
         self.automata = [Automaton(numbered[i : i + AUTOMATON_TERMS], self.weights, code) for i in range(0, len(numbered), AUTOMATON_TERMS)]
 
+        self.known: dict[str, int] = {}  # hits of words met before
+
+    def word_hits(self, found: list[str]) -> np.ndarray:
+        """The hits of words, each looked for in the automata once."""
+        new = list({w for w in found if w not in self.known})
+        if len(self.known) + len(new) > KNOWN_WORDS:
+            self.known, new = {}, list(set(found))
+        if new:
+            lengths = np.fromiter(map(len, new), np.int64, len(new))
+            codes = self.classes[np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), np.uint32)]
+            self.known.update(zip(new, self.hits(codes, np.cumsum(lengths) - lengths, lengths).tolist()))
+        return np.fromiter(map(self.known.__getitem__, found), np.int32, len(found))
+
     def hits(self, text_codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """The hit of every word (see Automaton): an exact one before a misspelled one, then the heavier."""
         out = np.zeros(len(starts), np.int32)
@@ -298,7 +328,10 @@ def features(texts: list[str], matcher: Matcher) -> np.ndarray:
         starts, stops = np.concatenate([starts, inner]), np.concatenate([stops, stops[run]])
         order = np.argsort(starts, kind="stable")
         starts, stops = starts[order], stops[order]
-    hit = matcher.hits(codes, starts, stops - starts)
+    hit = np.zeros(len(starts), np.int32)
+    inside = dense[starts] if len(starts) else np.zeros(0, bool)  # these overlap
+    hit[inside] = matcher.hits(codes, starts[inside], (stops - starts)[inside])
+    hit[~inside] = matcher.word_hits([buffer[a:b] for a, b in zip(starts[~inside].tolist(), stops[~inside].tolist())])
     found = np.flatnonzero(hit)
     if not len(found):
         return out
@@ -327,13 +360,13 @@ def features(texts: list[str], matcher: Matcher) -> np.ndarray:
 # --- model --------------------------------------------------------------------
 
 
-def fit(x: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """Weights of a logistic model over (bias, sums, length); rows of the bounded sample. No hit speaks for a text."""
+def fit(x: np.ndarray, toxic: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Weights of a logistic model over (bias, sums, length); rows of the bounded sample, each counted by its share. No hit speaks for a text."""
     w = PRIOR.copy()
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (toxic - p) - PRECISION * (w - PRIOR)
-        hess = (x * (p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
+        grad = x.T @ (share * (toxic - p)) - PRECISION * (w - PRIOR)
+        hess = (x * (share * p * (1 - p))[:, None]).T @ x + PRECISION * np.eye(len(w))
         step = np.linalg.solve(hess, grad)
         new = w + step / max(1.0, np.abs(step).max())
         new[1:-1] = np.maximum(new[1:-1], 0.0)
@@ -363,9 +396,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id
     sample = training_sample(docs, labels, sample_rows, id_col, text_col)
     terms = learn_lexicon(sample)
     names = [*[f"s_{h}" for h in HITS], "size"]
-    rows = add_hits(sample, terms).select("toxic", *[f"hits.{n}" for n in names]).collect()  # at most about twice sample_rows
+    rows = add_hits(sample, terms).select("toxic", "grp", *[f"hits.{n}" for n in names]).collect()  # at most about twice sample_rows
     x = np.array([[1.0, *[r[n] for n in names]] for r in rows]).reshape(-1, len(names) + 1)
-    return terms, fit(x, np.array([r["toxic"] for r in rows], float))
+    copies = Counter((r["grp"], r["toxic"]) for r in rows)
+    return terms, fit(x, np.array([r["toxic"] for r in rows], float), np.array([1 / copies[r["grp"], r["toxic"]] for r in rows]))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
