@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.functions.blocks import month, positions
+
 # Weekday labels, Monday first.
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
@@ -47,11 +49,11 @@ def signed_percent(value: Column) -> Column:
 
 def trade_register(trades: DataFrame, keys=("symbol",)) -> DataFrame:
     """Adds label (#id), day, hour, weekday name and the direction, result and status classes."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy("entry_time", "id"))
+    trades = positions(trades, "__n", ["entry_time", "id"], month("entry_time"), keys)
     days = F.array(*[F.lit(d) for d in WEEKDAYS])
     return trades.withColumns(
         {
-            "label": F.concat(F.lit("#"), n.cast("string")),
+            "label": F.concat(F.lit("#"), F.col("__n").cast("string")),
             "day": F.date_format("entry_time", "yyyy-MM-dd"),
             "hour": F.hour("entry_time").cast("long"),
             "weekday": F.get(days, F.weekday("entry_time")),
@@ -59,7 +61,7 @@ def trade_register(trades: DataFrame, keys=("symbol",)) -> DataFrame:
             "pnl_class": F.when(F.col("pnl") > 0, "positive").when(F.col("pnl") < 0, "negative").otherwise("neutral"),
             "status": F.when(F.col("exit_time").isNull(), "open").otherwise("closed"),
         }
-    )
+    ).drop("__n")
 
 
 def split_open(trades: DataFrame) -> tuple[DataFrame, DataFrame]:

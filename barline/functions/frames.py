@@ -10,9 +10,13 @@ def series(keys=("symbol",), order: str = "datetime") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+#: The column of a row's block; see barline.functions.blocks.
+BLOCK = "__block"
+
+
 def bars() -> WindowSpec:
-    """A symbol's bars in order."""
-    return series(order="bar_idx")
+    """The bars of one block of a symbol in order, with the rows around it that frames reach."""
+    return series(("symbol", BLOCK), "bar_idx")
 
 
 def last_n(w: WindowSpec, n: int) -> WindowSpec:

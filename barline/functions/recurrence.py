@@ -1,31 +1,19 @@
-"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] along a series.
-
-Affine maps compose, so a series is cut into blocks: a scan inside each block
-(numpy doubling), one row per block, a scan over those rows, and the carry
-joined back. A hot series is spread over as many tasks as it has blocks.
+"""Linear recurrences y[t] = a[t] * y[t-1] + b[t] along a series, for any a and b.
+
+Affine maps compose, so a series is cut into blocks: inside a block every row
+composes its map with that of the row 1, 2, 4, ... before it (lags in one
+window: no further shuffle or sort), a table of one row per block hands on what
+the blocks before come to, and that is joined back. A hot series is spread over
+as many tasks as it has blocks. Means of constant decay need no such table: see
+``blocks.decayed``.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline import ship
-
-BLOCK_ROWS = 50_000
-
-
-def scan(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Compositions of the maps from the first to each."""
-    a, b = a.astype(float), b.astype(float)
-    step = 1
-    while step < len(a):
-        b[step:] = a[step:] * b[:-step] + b[step:]
-        a[step:] = a[step:] * a[:-step]
-        step *= 2
-    return a, b
+BLOCK_ROWS = 4096
 
 
 def linear_recurrences(df: DataFrame, maps: dict[str, tuple[Column, Column]], keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -35,43 +23,42 @@ def linear_recurrences(df: DataFrame, maps: dict[str, tuple[Column, Column]], ke
     a or b is null repeats the value before it; before the first defined row
     the result is null. The first row's a is not used.
     """
-    ship(df.sparkSession)
-    keys, names, n = list(keys), list(maps), len(maps)
-    types = dict(df.dtypes)
-    rows = df.select(
-        *keys, order, F.floor(F.col(order) / block_rows).alias("__block"),
-        *[F.when(b.isNotNull(), a.cast("double") if isinstance(a, Column) else F.lit(float(a))).alias(f"__a{i}") for i, (a, b) in enumerate(maps.values())],
-        *[F.when(a.isNotNull(), b.cast("double")).alias(f"__b{i}") for i, (a, b) in enumerate(maps.values())],
-    )
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    per_map = lambda kind, stem: ", ".join(f"__{stem}{i} {kind}" for i in range(n))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        out = {c: pdf[c] for c in [*keys, "__block", order]}
-        for i in range(n):
-            known = (pdf[f"__a{i}"].notna() & pdf[f"__b{i}"].notna()).to_numpy()
-            out[f"__a{i}"], out[f"__b{i}"] = scan(np.where(known, pdf[f"__a{i}"], 1.0), np.where(known, pdf[f"__b{i}"], 0.0))
-            out[f"__k{i}"] = np.maximum.accumulate(known)
-        return pd.DataFrame(out)[[*keys, "__block", order, *[f"__{s}{i}" for s in "abk" for i in range(n)]]]
-
-    schema = f"{key_schema}, __block long, `{order}` {types[order]}, {per_map('double', 'a')}, {per_map('double', 'b')}, {per_map('boolean', 'k')}"
-    scanned = rows.groupBy(*keys, "__block").applyInPandas(local, schema)
-    last = scanned.groupBy(*keys, "__block").agg(*[F.max_by(f"__{s}{i}", order).alias(f"__{s}{i}") for s in "abk" for i in range(n)])
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__block", kind="stable")
-        out = {c: pdf[c] for c in [*keys, "__block"]}
-        for i in range(n):
-            _, b = scan(pdf[f"__a{i}"].to_numpy(), pdf[f"__b{i}"].to_numpy())
-            out[f"__c{i}"] = np.concatenate([[0.0], b[:-1]])
-            out[f"__d{i}"] = np.concatenate([[False], np.maximum.accumulate(pdf[f"__k{i}"].to_numpy(bool))[:-1]])
-        return pd.DataFrame(out)[[*keys, "__block", *[f"__{s}{i}" for s in "cd" for i in range(n)]]]
-
-    carried = last.groupBy(*keys).applyInPandas(carry, f"{key_schema}, __block long, {per_map('double', 'c')}, {per_map('boolean', 'd')}")
-    value = lambda i: F.when(F.col(f"__k{i}") | F.col(f"__d{i}"), F.col(f"__a{i}") * F.col(f"__c{i}") + F.col(f"__b{i}"))
-    done = scanned.join(carried, [*keys, "__block"]).select(*keys, order, *[value(i).alias(name) for i, name in enumerate(names)])
-    return df.join(done, [*keys, order])
+    keys, names = list(keys), list(maps)
+    parts = [(f"__a{i}", f"__b{i}", f"__k{i}") for i in range(len(maps))]
+    given = {}
+    for (a, b, k), (fa, fb) in zip(parts, maps.values()):
+        fa = fa if isinstance(fa, Column) else F.lit(float(fa))
+        given |= {a: fa.cast("double"), b: fb.cast("double"), k: fa.isNotNull() & fb.isNotNull()}
+    rows = df.withColumns({**given, "__block": F.floor(F.col(order) / block_rows)})
+    rows = rows.withColumns({x: F.when(F.col(k), F.col(x)).otherwise(rest) for a, b, k in parts for x, rest in ((a, 1.0), (b, 0.0))})
+    w = Window.partitionBy(*keys, "__block").orderBy(order)
+    step = 1
+    while step < block_rows:
+        rows = rows.withColumns({f"{x}_": F.lag(x, step).over(w) for part in parts for x in part})
+        composed = {}
+        for a, b, k in parts:
+            there = F.col(f"{a}_").isNotNull()
+            composed |= {a: F.when(there, F.col(a) * F.col(f"{a}_")).otherwise(F.col(a)), b: F.when(there, F.col(a) * F.col(f"{b}_") + F.col(b)).otherwise(F.col(b)), k: F.col(k) | F.coalesce(f"{k}_", F.lit(False))}
+        rows = rows.withColumns(composed).drop(*[f"{x}_" for part in parts for x in part])
+        step *= 2
+    ends = rows.groupBy(*keys, "__block").agg(F.max_by(F.struct(*[x for part in parts for x in part]), order).alias("m"))
+    ends = ends.groupBy(*[F.col(k).alias(f"__key{i}") for i, k in enumerate(keys)]).agg(F.array_sort(F.collect_list(F.struct("__block", "m"))).alias("ends"))  # a row per block_rows rows
+    fields = [x for i in range(len(maps)) for x in (f"c{i}", f"d{i}")]
+    handed = ", ".join(["__at: bigint", *[f"c{i}: double, d{i}: boolean" for i in range(len(maps))]])
+    start = F.struct(F.expr(f"cast(array() as array<struct<{handed}>>)").alias("out"), *[x for i in range(len(maps)) for x in (F.lit(0.0).alias(f"c{i}"), F.lit(False).alias(f"d{i}"))])
+
+    def hand_on(done: Column, end: Column) -> Column:
+        mine = F.struct(end["__block"].alias("__at"), *[done[f].alias(f) for f in fields])
+        after = [x for i, (a, b, k) in enumerate(parts) for x in ((end["m"][a] * done[f"c{i}"] + end["m"][b]).alias(f"c{i}"), (done[f"d{i}"] | end["m"][k]).alias(f"d{i}"))]
+        return F.struct(F.concat(done["out"], F.array(mine)).alias("out"), *after)
+
+    carried = ends.select(*[f"__key{i}" for i in range(len(keys))], F.explode(F.aggregate("ends", start, hand_on, lambda done: done["out"])).alias("c")).select(*[f"__key{i}" for i in range(len(keys))], "c.*")
+    same = rows["__block"] == carried["__at"]
+    for i, key in enumerate(keys):
+        same = same & rows[key].eqNullSafe(carried[f"__key{i}"])
+    done = rows.join(carried, same)
+    value = lambda i: F.when(F.col(f"__k{i}") | F.col(f"d{i}"), F.col(f"__a{i}") * F.col(f"c{i}") + F.col(f"__b{i}"))
+    return done.select(*[c for c in df.columns if c not in names], *[value(i).alias(name) for i, name in enumerate(names)])
 
 
 def linear_recurrence(df: DataFrame, a: Column, b: Column, out: str, keys=("symbol",), order: str = "bar_idx", block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -5,28 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.blocks import bar_block, day, positions, running
 from barline.operators.sweeps import mix
 
 
 def asof_quotes(candles: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Each candle with the latest bid and ask at or before it; null before the first quote."""
-    q = quotes.select("symbol", F.col("ts").alias("datetime"), "bid", "ask", F.lit(0).alias("__kind"))
-    c = candles.withColumns({"bid": F.lit(None).cast("double"), "ask": F.lit(None).cast("double"), "__kind": F.lit(1)})
-    both = c.unionByName(q, allowMissingColumns=True)
-    w = Window.partitionBy("symbol").orderBy("datetime", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    known = [F.last(n, ignorenulls=True).over(w).alias(n) for n in ("bid", "ask")]
-    return both.select(*[x for x in both.columns if x not in ("bid", "ask")], *known).filter("__kind = 1").drop("__kind")
+    """Each candle with the latest bid and ask at or before it; null before the first quote.
+
+    Both series in blocks of a day: what a day ends with is handed on to the next, however many days are empty.
+    """
+    q = quotes.select("symbol", F.col("ts").alias("datetime"), F.col("bid").alias("__bid"), F.col("ask").alias("__ask"), F.lit(0).alias("__kind"))
+    both = candles.withColumn("__kind", F.lit(1)).unionByName(q, allowMissingColumns=True)
+    known = running(both, {"bid": ("last", F.col("__bid")), "ask": ("last", F.col("__ask"))}, ["datetime", "__kind"], day("datetime"))
+    return known.filter("__kind = 1").drop("__kind", "__bid", "__ask")
 
 
 def nearest(events: DataFrame, candles: DataFrame, time: str = "ts") -> DataFrame:
-    """Each event with the nearest candle's time; of two as near, the earlier."""
+    """Each event with the nearest candle's time; of two as near, the earlier. Blocks as in ``asof_quotes``, in both directions."""
     e = events.withColumns({"__t": F.col(time), "__kind": F.lit(1), "__c": F.lit(None).cast(dict(candles.dtypes)["datetime"])})
     c = candles.select("symbol", F.col("datetime").alias("__t"), F.lit(0).alias("__kind"), F.col("datetime").alias("__c"))
     both = e.unionByName(c, allowMissingColumns=True)
-    up = Window.partitionBy("symbol").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("symbol").orderBy(F.desc("__t"), F.desc("__kind")).rowsBetween(Window.unboundedPreceding, 0)
-    before, after = F.last("__c", ignorenulls=True).over(up), F.last("__c", ignorenulls=True).over(down)  # both running: a frame to the end would start anew at every row
-    both = both.withColumns({"__b": before, "__a": after}).filter("__kind = 1")
+    order = ["__t", "__kind"]
+    both = running(both, {"__b": ("last", F.col("__c"))}, order, day("__t"))
+    both = running(both, {"__a": ("last", F.col("__c"))}, order, day("__t"), backwards=True).filter("__kind = 1")
     gap = lambda a, b: F.timestamp_diff("MICROSECOND", a, b)
     chosen = F.when(F.col("__a").isNull() | (gap(F.col("__b"), F.col("__t")) <= gap(F.col("__t"), F.col("__a"))), F.col("__b")).otherwise(F.col("__a"))
     return both.withColumn("nearest", F.coalesce(chosen, "__a")).drop("__t", "__kind", "__c", "__a", "__b")
@@ -68,6 +69,6 @@ def next_unseen(trades: DataFrame, seen: DataFrame, seed: int = 7) -> DataFrame:
 
 
 def zip_by_position(left: DataFrame, right: DataFrame, left_order: str, right_order: str, keys=("symbol",)) -> DataFrame:
-    """Row k of one side with row k of the other."""
-    number = lambda df, order: df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    return number(left, left_order).join(number(right, right_order), [*keys, "__n"]).withColumnRenamed("__n", "position")
+    """Row k of one side with row k of the other; the orders are numbers that about count rows."""
+    number = lambda df, order: positions(df, "position", [order], bar_block(order), keys)
+    return number(left, left_order).join(number(right, right_order), [*keys, "position"])

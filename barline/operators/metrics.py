@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.frames import over_zero
-
-
-def _by_exit(keys) -> Window:
-    return Window.partitionBy(*keys).orderBy("exit_time", "id")
+from barline.functions.blocks import bar_block, hand_on, month, positions
+from barline.functions.frames import BLOCK, over_zero
 
 
 def equity_curve(trades: DataFrame, initial: float, keys=("symbol",), order=("exit_time", "id")) -> DataFrame:
-    """Adds equity, peak, drawdown (fraction of the peak) and dd_value, in ledger order."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    df = trades.withColumn("equity", initial + F.sum("pnl").over(w))
-    df = df.withColumn("peak", F.max("equity").over(w))
-    return df.withColumn("drawdown", F.col("equity") / F.col("peak") - 1).withColumn("dd_value", F.col("equity") - F.col("peak"))
+    """Adds equity, peak, drawdown (fraction of the peak), dd_value and n (from 1), in ledger order; a null pnl counts 0.
+
+    A block of trades (a month of exits, or a range of ids) is summed up by its
+    number, its sum and the highest sum inside it; blocks hand these on.
+    """
+    block = month("exit_time") if order[0] == "exit_time" else bar_block(order[0])
+    w = Window.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = trades.withColumn(BLOCK, block)
+    rows = rows.withColumns({"__sum": F.sum(F.coalesce("pnl", F.lit(0.0))).over(w), "__n": F.row_number().over(w)}).withColumn("__top", F.max("__sum").over(w))
+    totals = rows.groupBy(*keys, BLOCK).agg(F.sum(F.coalesce("pnl", F.lit(0.0))).alias("sum"), F.max("__sum").alias("top"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy(*keys).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    totals = totals.withColumn("top", before + F.col("top"))
+    rows = hand_on(rows, totals, {"__before": F.sum("sum"), "__peak": F.max("top"), "__count": F.sum("n")}, keys)
+    base = F.coalesce("__before", F.lit(0.0))
+    rows = rows.withColumns({"equity": initial + (base + F.col("__sum")), "peak": initial + F.greatest("__peak", base + F.col("__top")), "n": (F.col("__n") + F.coalesce("__count", F.lit(0))).cast("long")})
+    rows = rows.drop(BLOCK, "__sum", "__n", "__top", "__before", "__peak", "__count")
+    return rows.withColumn("drawdown", F.col("equity") / F.col("peak") - 1).withColumn("dd_value", F.col("equity") - F.col("peak"))
 
 
 def performance_summary(trades: DataFrame, initial: float = 1000.0, keys=("symbol",)) -> DataFrame:
@@ -39,7 +48,7 @@ def performance_summary(trades: DataFrame, initial: float = 1000.0, keys=("symbo
 def extended_metrics(trades: DataFrame, initial: float = 1000.0, keys=("symbol",)) -> DataFrame:
     """Averages, expectancy, drawdown in value and percent, recovery, duration, annual return, Sharpe per trade."""
     keys = list(keys)
-    e = equity_curve(trades, initial, keys).withColumn("n", F.row_number().over(_by_exit(keys)))
+    e = equity_curve(trades, initial, keys)
     gain, loss = F.col("pnl") > 0, F.col("pnl") < 0
     worst = F.min_by(F.struct(F.col("n").alias("n"), F.col("peak").alias("peak")), F.struct("drawdown", "n")).alias("worst")
     s = e.groupBy(*keys).agg(
@@ -153,5 +162,5 @@ def best_and_worst(trades: DataFrame, n: int = 20, keys=("symbol",)) -> DataFram
 
 
 def last_n(rows: DataFrame, n: int, order: str = "datetime", keys=("symbol",)) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return rows.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= n).drop("__n")
+    """The last n rows of each series by time, numbered from its end."""
+    return positions(rows, "__last", [order], month(order), keys, backwards=True).filter(F.col("__last") <= n).drop("__last")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from barline.functions.blocks import in_blocks
 from barline.functions.frames import bars, holds, over_zero
 from barline.operators.indicators import add_swings
 
@@ -17,7 +18,7 @@ def detect_fvg(df: DataFrame, filter_percent: float = 0.5) -> DataFrame:
     A bar may open a gap upwards and downwards; all comparisons are strict.
     """
     h0, h1, l0, l1 = F.lag("high", 2).over(bars()), F.lag("high", 1).over(bars()), F.lag("low", 2).over(bars()), F.lag("low", 1).over(bars())
-    df = df.select("symbol", "bar_idx", F.col("high").alias("h2"), F.col("low").alias("l2"), h0.alias("h0"), h1.alias("h1"), l0.alias("l0"), l1.alias("l1"))
+    df = in_blocks(df.select("symbol", "bar_idx", "high", "low"), lambda d: d.withColumns({"h0": h0, "h1": h1, "l0": l0, "l1": l1}), 2).withColumnsRenamed({"high": "h2", "low": "l2"})
     up = F.coalesce((F.col("l2") - F.col("h0")) / over_zero(F.col("l2")) * 100, F.lit(0.0))
     down = F.coalesce((F.col("l0") - F.col("h2")) / over_zero(F.col("l0")) * 100, F.lit(0.0))
 
@@ -64,7 +65,6 @@ def detect_orderblocks(df: DataFrame, lookback: int = 5) -> DataFrame:
     One row per break: symbol, bos_bar_idx, bar_idx (of the block), type, top,
     bottom, mid. A candle that several breaks share has several rows.
     """
-    df = add_swings(df, lookback)
     before = bars().rowsBetween(-lookback, -1)
     body = F.struct(F.col("bar_idx").alias("bar_idx"), F.greatest("open", "close").alias("top"), F.least("open", "close").alias("bottom"))
     red = F.last(F.when(F.col("close") < F.col("open"), body), ignorenulls=True).over(before)
@@ -72,6 +72,7 @@ def detect_orderblocks(df: DataFrame, lookback: int = 5) -> DataFrame:
     broke_up, broke_down = F.col("close") > F.lag("swing_high").over(bars()), F.col("close") < F.lag("swing_low").over(bars())
     block = lambda kind, b: F.when(b.isNotNull(), F.struct(F.lit(kind).alias("type"), b.alias("b")))
     found = F.array_compact(F.array(F.when(holds(broke_up), block("bullish", red)), F.when(holds(broke_down), block("bearish", green))))
-    marked = df.select("symbol", F.col("bar_idx").alias("bos_bar_idx"), found.alias("found"))
+    df = in_blocks(df, lambda d: add_swings(d, lookback).withColumn("found", found), 2 * lookback)
+    marked = df.select("symbol", F.col("bar_idx").alias("bos_bar_idx"), "found")
     rows = marked.select("symbol", "bos_bar_idx", F.explode("found").alias("o")).select("symbol", "bos_bar_idx", "o.type", "o.b.*")
     return rows.withColumn("mid", (F.col("top") + F.col("bottom")) / 2)

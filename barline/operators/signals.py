@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline import ship
+from barline.functions.blocks import in_blocks, reach
 from barline.functions.frames import bars, holds
 from barline.operators.indicators import add_atr, add_ema, add_emas_weighted, add_rsi, add_sma
 from barline.operators.patterns import detect_fvg, first_retests
@@ -30,19 +31,21 @@ def fvg_signals(
     risk against ATR14 are dropped; an undefined ATR passes. Of several gaps on
     one entry bar, the first by base bar, bullish first, that passes all filters wins.
     """
-    with_means = add_atr(add_ema(candles, 50, name="__ema"), 14, "__atr")
     block = bars().rowsBetween(-2, 1)
     volume_ok = F.lit(True)
     if volume_filter:
         volume_ok = holds(F.col("volume") > F.greatest(*[F.lag("volume", k).over(bars()) for k in (1, 2, 3)]))
-    base = with_means.select(
-        "symbol", "bar_idx", F.col("close").alias("base_close"), F.col("__ema").alias("base_ema"), F.col("__atr").alias("base_atr"), F.min("low").over(block).alias("block_low"),
-        F.max("high").over(block).alias("block_high"), (F.max("bar_idx").over(Window.partitionBy("symbol"))).alias("last_bar"), volume_ok.alias("volume_ok"),
-    )
+
+    def around(d: DataFrame) -> DataFrame:
+        d = add_atr(add_ema(d, 50, name="__ema"), 14, "__atr")
+        return d.withColumns({"block_low": F.min("low").over(block), "block_high": F.max("high").over(block), "later": F.lead("bar_idx").over(bars()).isNotNull(), "volume_ok": volume_ok})
+
+    with_means = in_blocks(candles, around, reach(1.0 - 2.0 / 51), 1)
+    base = with_means.select("symbol", "bar_idx", F.col("close").alias("base_close"), F.col("__ema").alias("base_ema"), F.col("__atr").alias("base_atr"), "block_low", "block_high", "later", "volume_ok")
     gaps = detect_fvg(candles, filter_percent).join(base, ["symbol", "bar_idx"])
     up = F.col("type") == "bullish"
     trend = F.when(up, F.col("base_close") > F.col("base_ema")).otherwise(F.col("base_close") < F.col("base_ema"))
-    gaps = gaps.filter((F.col("bar_idx") >= 3) & (F.col("bar_idx") < F.col("last_bar")) & trend & F.col("volume_ok"))
+    gaps = gaps.filter((F.col("bar_idx") >= 3) & F.col("later") & trend & F.col("volume_ok"))
     gaps = first_retests(gaps, candles, {"entry_bar": tolerance}, max_age).filter("entry_bar is not null")
     at_entry = with_means.select("symbol", F.col("bar_idx").alias("entry_bar"), F.col("close").alias("entry_close"), F.col("__ema").alias("entry_ema"))
     gaps = gaps.join(at_entry, ["symbol", "entry_bar"])
@@ -60,7 +63,8 @@ def fvg_signals(
 
 def ma_rsi_signals(candles: DataFrame, short: int = 9, long: int = 21, rsi_period: int = 14, buy: float = 55.0, sell: float = 45.0) -> DataFrame:
     """+1 where the short mean is above the long one and RSI above ``buy``; -1 the other way round."""
-    df = add_rsi(add_sma(add_sma(candles, short, name="ma_short"), long, name="ma_long"), rsi_period, fill=50.0)
+    means = lambda d: add_rsi(add_sma(add_sma(d, short, name="ma_short"), long, name="ma_long"), rsi_period, fill=50.0)
+    df = in_blocks(candles, means, max(short, long, rsi_period + 1) - 1)
     rise = holds((F.col("ma_short") > F.col("ma_long")) & (F.col("rsi") > buy))
     fall = holds((F.col("ma_short") < F.col("ma_long")) & (F.col("rsi") < sell))
     return df.withColumn("signal", F.when(rise, 1).when(fall, -1).otherwise(0))
