@@ -37,39 +37,45 @@ def in_blocks(df: DataFrame, body: Callable[[DataFrame], DataFrame], behind: int
     """
     if BLOCK in df.columns:
         return body(df)
-    rows = rows or BLOCK_ROWS
+    rows = rows or max(BLOCK_ROWS, behind // 8)
     first, last = F.greatest(F.expr(f"(bar_idx - {ahead}) div {rows}"), F.lit(0).cast("long")), F.expr(f"(bar_idx + {behind}) div {rows}")
     spread = df.withColumn(BLOCK, F.explode(F.sequence(first, last)))
     return body(spread).filter(F.expr(f"bar_idx div {rows}") == F.col(BLOCK)).drop(BLOCK)
 
 
-def rounds(decay: float) -> int:
-    """Doublings after which a weight is FORGOTTEN."""
-    return 0 if decay <= 0 else max(0, math.ceil(math.log2(math.log(FORGOTTEN) / math.log(decay))))
-
-
 def reach(*decays: float) -> int:
     """How many rows back the means of ``decayed`` look."""
-    return max((1 << rounds(d)) - 1 for d in decays)
+    return max(0 if d <= 0 else math.ceil(math.log(FORGOTTEN) / math.log(d)) for d in decays)
+
+
+def _stretch(decay: float) -> int:
+    """Rows (a power of two) over which weights may grow: decay**-rows stays below e**300, and one stretch back is all that counts."""
+    return 1 << int(math.log2(-300 / math.log(decay)))
 
 
 def decayed(df: DataFrame, means: dict[str, tuple[float, Column]], known: Column) -> DataFrame:
     """Adds name = sum of value * decay**(known rows since), per name: (decay, value).
 
-    To be used inside ``in_blocks``. Each round doubles how far the sums reach:
-    sums of 2**i rows and those 2**i rows before them. A row that is not
-    ``known`` (its values are null) repeats the sum before it and is no step;
-    before the first known row the sum is null.
+    To be used inside ``in_blocks``. In a stretch of rows it is a plain running
+    sum of values scaled up by decay**-(rows since the stretch began), scaled
+    back; what the stretch before ended with is added, and older ones weigh
+    nothing. Means of like decay share their stretches and windows. A row that
+    is not ``known`` (its values are null) repeats the sum before it and is no
+    step; before the first known row the sum is null.
     """
     df = df.withColumn("__k", F.count(F.when(known, 1)).over(so_far(bars())))
-    df = df.withColumns({name: (F.coalesce(v, F.lit(0.0)) if d > 0 else F.last(v, ignorenulls=True).over(so_far(bars()))) for name, (d, v) in means.items()})
-    for i in range(max(rounds(d) for d, _ in means.values())):
-        step = 1 << i
-        steps = F.col("__k") - F.coalesce(F.lag("__k", step).over(bars()), F.lit(0))
-        mine = {name: d for name, (d, _) in means.items() if rounds(d) > i}
-        df = df.withColumns({"__n": steps, **{f"__{name}": F.lag(name, step).over(bars()) for name in mine}})
-        weight = lambda d: F.when(F.col("__n") == step, d**step).otherwise(F.pow(F.lit(d), F.col("__n")))
-        df = df.withColumns({name: F.col(name) + F.coalesce(weight(d) * F.col(f"__{name}"), F.lit(0.0)) for name, d in mine.items()}).drop("__n", *[f"__{name}" for name in mine])
+    flat = {name: F.last(v, ignorenulls=True).over(so_far(bars())) for name, (d, v) in means.items() if d <= 0}
+    df = df.withColumns(flat) if flat else df
+    for rows in sorted({_stretch(d) for d, _ in means.values() if d > 0}):
+        mine = {name: (d, v) for name, (d, v) in means.items() if d > 0 and _stretch(d) == rows}
+        at = F.greatest(F.col("__k") - 1, F.lit(0))
+        df = df.withColumns({"__s": F.floor(at / rows), "__m": (at % rows).cast("double")})
+        inside = so_far(Window.partitionBy("symbol", BLOCK, "__s").orderBy("bar_idx"))
+        df = df.withColumns({name: F.coalesce(F.sum(v * F.pow(F.lit(d), -F.col("__m"))).over(inside), F.lit(0.0)) * F.pow(F.lit(d), F.col("__m")) for name, (d, v) in mine.items()})
+        opens = F.col("__s") != F.lag("__s").over(bars())
+        df = df.withColumns({f"__e_{name}": F.when(opens, F.lag(name).over(bars())) for name in mine})
+        ended = {name: F.coalesce(F.last(f"__e_{name}", ignorenulls=True).over(so_far(bars())), F.lit(0.0)) for name in mine}
+        df = df.withColumns({name: F.col(name) + ended[name] * F.pow(F.lit(d), F.col("__m") + 1) for name, (d, _) in mine.items()}).drop("__s", "__m", *[f"__e_{name}" for name in mine])
     return df.withColumns({name: F.when(F.col("__k") > 0, F.col(name)) for name in means}).drop("__k")
 
 
