@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import numpy as np
+import heapq
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.functions.frames import over_zero
+from barline.functions.blocks import bar_block, positions
+from barline.functions.frames import holds, over_zero
 from barline.functions.position import LedgerState, step
 from barline.functions.recurrence import linear_recurrence
 
@@ -174,53 +176,114 @@ def derived(trades: DataFrame) -> DataFrame:
     )
 
 
-HEDGE_SCHEMA = "id long, direction string, entry_bar_index long, entry_price double, size double, exit_bar_index long, exit_price double, exit_reason string, pnl double"
+# --- first passages ---------------------------------------------------------------
+
+#: Bars, or nodes of the level below, in a node; levels above the bars.
+FAN, LEVELS = 64, 3
+
 
+def bar_index(rows: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """(symbol, level, node, lo, hi, top, bottom, drop, rise): what a run of fan**level bars can set off.
 
-def hedge_ledger(rows: DataFrame, initial: float = 1000.0, risk_percent: float = 0.0, commission: float = 0.0, slippage: float = 0.0) -> DataFrame:
+    lo and hi are its extremes, top and bottom those of its closes, ``drop`` the
+    most that a low falls below the highest close up to its bar, ``rise`` the
+    most that a high stands above the lowest. Each level is made of the one below.
+    """
+    level = rows.select("symbol", F.col("bar_idx").alias("node"), F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("close").alias("top"), F.col("close").alias("bottom"), (F.col("close") - F.col("low")).alias("drop"), (F.col("high") - F.col("close")).alias("rise"))
+    out = level.withColumn("level", F.lit(0))
+    for k in range(1, levels + 1):
+        level = level.withColumn("parent", F.expr(f"node div {fan}"))
+        before = Window.partitionBy("symbol", "parent").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+        level = level.withColumns({"__top": F.max("top").over(before), "__bottom": F.min("bottom").over(before)})
+        level = level.groupBy("symbol", "parent").agg(
+            F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("top").alias("top"), F.min("bottom").alias("bottom"),
+            F.max(F.greatest("drop", F.col("__top") - F.col("lo"))).alias("drop"), F.max(F.greatest("rise", F.col("hi") - F.col("__bottom"))).alias("rise"),
+        ).withColumnRenamed("parent", "node")
+        out = out.unionByName(level.withColumn("level", F.lit(k)))
+    return out
+
+
+def first_passages(trades: DataFrame, rows: DataFrame, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
+    """The first bar after each trade's own on which its stop, trailing stop or target is met.
+
+    ``trades``: symbol, id, bar_idx, dir, stop, take, dist (null: none). The bars
+    after an entry are at most fan - 1 nodes a level, then nodes of the highest;
+    they meet the index in an equi-join. The first node that can set a trade off
+    is opened level by level, so a trade never meets all bars after it. Adds
+    exit_bar, reason and raw_exit, null where nothing is met. A trailing stop
+    follows the best close of the bars so far, the bar's own included; the stop
+    comes before the target.
+    """
+    index = bar_index(rows, fan, levels)
+    nodes = lambda level, first, last: F.when(first <= last, F.transform(F.sequence(first, last), lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
+    ends = rows.groupBy("symbol").agg(F.max("bar_idx").alias("last_bar"))
+    begin, parts = F.col("bar_idx") + 1, []
+    for k in range(levels):
+        after = F.ceil(begin / fan)
+        parts.append(nodes(k, begin, F.least(after * fan - 1, F.expr(f"last_bar div {fan**k}"))))
+        begin = after
+    parts.append(nodes(levels, begin, F.expr(f"last_bar div {fan**levels}")))
+    open_ = trades.join(ends, "symbol").withColumns({"look": F.concat(*parts), "m_top": F.lit(None).cast("double"), "m_bottom": F.lit(None).cast("double")}).drop("last_bar")
+    long = F.col("dir") > 0
+    held = ["symbol", "id", "dir", "stop", "take", "dist"]
+    for _ in range(levels + 1):
+        probes = open_.select(*held, "m_top", "m_bottom", F.explode("look").alias("at")).select(*held, "m_top", "m_bottom", "at.*")
+        met = probes.join(index, ["symbol", "level", "node"]).withColumn("start", F.col("node") * F.pow(F.lit(fan), F.col("level")).cast("long"))
+        before = Window.partitionBy("symbol", "id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+        met = met.withColumns({"m_top": F.greatest("m_top", F.max("top").over(before)), "m_bottom": F.least("m_bottom", F.min("bottom").over(before))})
+        fell, rose = F.greatest("drop", F.col("m_top") - F.col("lo")), F.greatest("rise", F.col("hi") - F.col("m_bottom"))
+        stopped = F.when(long, holds(F.col("lo") <= F.col("stop")) | holds(fell >= F.col("dist"))).otherwise(holds(F.col("hi") >= F.col("stop")) | holds(rose >= F.col("dist")))
+        taken = holds(F.when(long, F.col("hi") >= F.col("take")).otherwise(F.col("lo") <= F.col("take")))
+        first = F.struct("level", "node", "m_top", "m_bottom", "top", stopped.alias("stopped"))
+        open_ = met.filter(stopped | taken).groupBy(*held).agg(F.min_by(first, "start").alias("f")).select(*held, "f.*")
+        children = F.transform(F.sequence(F.col("node") * fan, F.col("node") * fan + (fan - 1)), lambda n: F.struct((F.col("level") - 1).cast("int").alias("level"), n.alias("node")))
+        open_ = open_.withColumn("look", F.when(F.col("level") > 0, children).otherwise(F.array(F.struct(F.col("level").cast("int").alias("level"), F.col("node").alias("node")))))
+    trail = F.when(long, F.greatest("m_top", "top") - F.col("dist")).otherwise(F.least("m_bottom", "top") + F.col("dist"))
+    stop = F.when(long, F.greatest("stop", trail)).otherwise(F.least("stop", trail))
+    found = open_.select("symbol", "id", F.col("node").alias("exit_bar"), F.when(F.col("stopped"), "sl").otherwise("tp").alias("reason"), F.when(F.col("stopped"), stop).otherwise(F.col("take")).alias("raw_exit"))
+    return trades.join(found, ["symbol", "id"], "left")
+
+
+HEDGE_SCHEMA = "symbol string, id long, direction string, entry_bar_index long, entry_price double, size double, exit_bar_index long, exit_price double, exit_reason string, pnl double"
+
+
+def hedge_ledger(rows: DataFrame, initial: float = 1000.0, risk_percent: float = 0.0, commission: float = 0.0, slippage: float = 0.0, fan: int = FAN) -> DataFrame:
     """Concurrent trades that leave only by stop, target, trailing stop or the end.
 
-    A grouped pass over a symbol's trades: each looks for its first hit in the
-    bars after it (vectors, not a loop over bars). Capital at an entry is the
-    initial one and the results of all trades that left on or before its bar.
+    Exits are first passages, found by equi-joins with an index of bar blocks.
+    Capital at an entry is the initial one and the results of all trades that
+    left on or before its bar; it matters with ``risk_percent`` alone, and then
+    a symbol's trades (not its bars) pass once in order, with the open ones in a
+    heap.
     """
-    ship(rows.sparkSession)
     rows = rows.withColumns({n: _optional(rows, n) for n in ("entry_price", "stop_price", "take_price", "size", "trailing_distance")})
-    rows = rows.select("symbol", "bar_idx", "high", "low", "close", "signal", "entry_price", "stop_price", "take_price", "size", "trailing_distance")
+    sign = F.signum(F.col("signal").cast("double")).cast("int")
+    acts = positions(rows.filter("signal <> 0"), "id", ["bar_idx"], bar_block())
+    trades = acts.select("symbol", (F.col("id") - 1).alias("id"), "bar_idx", sign.alias("dir"), F.coalesce("entry_price", "close").alias("raw"), F.col("stop_price").alias("stop"), F.col("take_price").alias("take"), F.col("trailing_distance").alias("dist"), F.coalesce("size", F.lit(1.0)).alias("size"))
+    ends = rows.groupBy("symbol").agg(F.max("bar_idx").alias("last_bar"), F.max_by("close", "bar_idx").alias("last_close"))
+    t = first_passages(trades, rows, fan).join(ends, "symbol")
+    entry, leave = F.col("raw") * (1 + F.col("dir") * slippage), F.coalesce("raw_exit", "last_close") * (1 - F.col("dir") * slippage)
+    t = t.select(
+        "symbol", "id", F.when(F.col("dir") > 0, "long").otherwise("short").alias("direction"), F.col("bar_idx").alias("entry_bar_index"), entry.alias("entry_price"), "size",
+        F.coalesce("exit_bar", "last_bar").alias("exit_bar_index"), leave.alias("exit_price"), F.coalesce("reason", F.lit("eod")).alias("exit_reason"),
+        ((leave - entry) * F.col("dir") - commission * (entry + leave)).alias("pnl"), F.coalesce(F.abs(F.col("raw") - F.col("stop")), F.lit(0.0)).alias("per_unit"),
+    )
+    if risk_percent <= 0:
+        return t.withColumn("pnl", F.col("pnl") * F.col("size")).drop("per_unit")
+    ship(rows.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bar_idx").reset_index(drop=True)
-        high, low, close = (pdf[c].to_numpy() for c in ("high", "low", "close"))
-        trades, closed = [], []
-        for n, i in enumerate(np.flatnonzero(pdf["signal"].to_numpy() != 0)):
-            row = pdf.iloc[i]
-            sign = 1 if row["signal"] > 0 else -1
-            raw = close[i] if pd.isna(row["entry_price"]) else row["entry_price"]
-            stops = np.full(len(pdf) - i - 1, np.nan if pd.isna(row["stop_price"]) else row["stop_price"])
-            if not pd.isna(row["trailing_distance"]) and len(stops):
-                moved = np.maximum.accumulate(sign * close[i + 1 :] - row["trailing_distance"]) * sign
-                stops = moved if np.isnan(stops[0]) else sign * np.maximum(sign * stops, sign * moved)
-            worst, best = (low, high) if sign > 0 else (high, low)
-            sl = sign * worst[i + 1 :] <= sign * stops
-            tp = sign * best[i + 1 :] >= sign * row["take_price"] if not pd.isna(row["take_price"]) else np.zeros(len(stops), bool)
-            hit = np.flatnonzero(sl | tp)
-            if len(hit):
-                out, reason = i + 1 + hit[0], "sl" if sl[hit[0]] else "tp"
-                px = stops[hit[0]] if reason == "sl" else row["take_price"]
-            else:
-                out, reason, px = len(pdf) - 1, "eod", close[-1]
-            capital = initial + sum(p for b, r, p in closed if b <= i and r != "eod")
-            per_unit = 0.0 if pd.isna(row["stop_price"]) else abs(raw - row["stop_price"])
-            size = 1.0 if pd.isna(row["size"]) else row["size"]
-            if risk_percent > 0 and per_unit > 0:
-                size = capital * risk_percent / 100.0 / per_unit
-            entry, leave = raw * (1 + sign * slippage), px * (1 - sign * slippage)
-            pnl = ((leave - entry) * sign - commission * (entry + leave)) * size
-            closed.append((out, reason, pnl))
-            trades.append((pdf["symbol"].iloc[0], n, "long" if sign > 0 else "short", pdf["bar_idx"].iloc[i], entry, size, pdf["bar_idx"].iloc[out], leave, reason, pnl))
-        return pd.DataFrame(trades, columns=["symbol", "id", "direction", "entry_bar_index", "entry_price", "size", "exit_bar_index", "exit_price", "exit_reason", "pnl"])
-
-    return rows.groupBy("symbol").applyInPandas(run, f"symbol string, {HEDGE_SCHEMA}")
+    def sized(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        capital, left, sizes = initial, [], []
+        for bar, size, out, reason, unit, per_unit in pdf[["entry_bar_index", "size", "exit_bar_index", "exit_reason", "pnl", "per_unit"]].itertuples(index=False):
+            while left and left[0][0] <= bar:
+                capital += heapq.heappop(left)[1]
+            sizes.append(capital * risk_percent / 100.0 / per_unit if per_unit > 0 else size)
+            if reason != "eod":
+                heapq.heappush(left, (out, unit * sizes[-1]))
+        return pdf.assign(size=sizes, pnl=pdf["pnl"] * sizes).drop(columns="per_unit")
+
+    return t.groupBy("symbol").applyInPandas(sized, HEDGE_SCHEMA)
 
 
 LIVE_SCHEMA = "symbol string, event string, datetime timestamp, side string, quantity double, entry_price double, exit_price double, pnl double, reason string, balance double, equity double"

@@ -327,9 +327,17 @@ def compounding_ledger(spark, d):
     return r6(T.trades(spark, d, risk_percent=1.0), "symbol", "id", "size", "pnl")
 
 
-@query()
+@query(f"""WITH RECURSIVE {MA_RSI}, e AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS id, signal AS dir, bar_idx AS eb, close AS ep, close * (1 - 0.05::DOUBLE * signal) AS sp, close * (1 + 0.10::DOUBLE * signal) AS tp FROM s WHERE signal <> 0),
+h AS (SELECT e.symbol, e.id, min(c.bar_idx) AS xb FROM e JOIN c ON c.symbol = e.symbol AND c.bar_idx > e.eb AND ((dir > 0 AND (c.low <= sp OR c.high >= tp)) OR (dir < 0 AND (c.high >= sp OR c.low <= tp))) GROUP BY 1, 2),
+z AS (SELECT symbol, max(bar_idx) AS zb, arg_max(close, bar_idx) AS zc FROM c GROUP BY 1),
+x AS (SELECT e.*, coalesce(h.xb, zb) AS xb, h.xb AS done, CASE WHEN h.xb IS NULL THEN 'eod' WHEN (dir > 0 AND c.low <= sp) OR (dir < 0 AND c.high >= sp) THEN 'sl' ELSE 'tp' END AS reason, zc FROM e JOIN z USING (symbol) LEFT JOIN h USING (symbol, id) LEFT JOIN c ON c.symbol = e.symbol AND c.bar_idx = h.xb),
+u AS (SELECT *, CASE reason WHEN 'sl' THEN sp WHEN 'tp' THEN tp ELSE zc END AS px, 0.01::DOUBLE * (CASE reason WHEN 'sl' THEN sp WHEN 'tp' THEN tp ELSE zc END - ep) * dir / abs(ep - sp) AS g FROM x),
+k AS (SELECT symbol, id, 1000.0::DOUBLE AS cap, [{{'b': done, 'p': 1000 * g}}] AS l FROM u WHERE id = 0
+UNION ALL SELECT symbol, id, cap, list_append(l, {{'b': done, 'p': cap * g}}) FROM (
+  SELECT u.symbol, u.id, u.done, u.g, k.l, 1000 + coalesce(list_sum(list_transform(list_filter(k.l, lambda q: q.b <= u.eb), lambda q: q.p)), 0) AS cap FROM k JOIN u ON u.symbol = k.symbol AND u.id = k.id + 1) v)
+SELECT u.symbol, CAST(u.id AS BIGINT) AS id, CASE WHEN dir > 0 THEN 'long' ELSE 'short' END AS direction, eb AS entry_bar_index, round(ep, 6) AS entry_price, round(cap * 0.01::DOUBLE / abs(ep - sp), 6) AS size, xb AS exit_bar_index, round(px, 6) AS exit_price, reason AS exit_reason, round(cap * g, 6) + 0.0::DOUBLE AS pnl FROM u JOIN k USING (symbol, id)""")
 def hedge_ledger(spark, d):
-    return ledger.hedge_ledger(T.ma_rsi(spark, d), risk_percent=1.0)
+    return r6(ledger.hedge_ledger(T.ma_rsi(spark, d), risk_percent=1.0))
 
 
 @query()

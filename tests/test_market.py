@@ -129,6 +129,53 @@ def test_hedge_without_overlap_equals_single(spark):
     assert a == b
 
 
+def loop_hedge(rows, initial, risk, comm, slip):
+    """Every trade against every bar after it; capital summed anew at each entry."""
+    closed, out = [], []
+    for i, (_, _, _, c, _, sig, sp, tp, tr) in enumerate(rows):
+        if not sig:
+            continue
+        best, end = None, (len(rows) - 1, "eod", rows[-1][3])
+        for j in range(i + 1, len(rows)):
+            _, h, l, cl = rows[j][:4]
+            best = cl if best is None else (max if sig > 0 else min)(best, cl)
+            stop = sp
+            if tr is not None:
+                stop = best - sig * tr if sp is None else (max if sig > 0 else min)(sp, best - sig * tr)
+            if stop is not None and (l <= stop if sig > 0 else h >= stop):
+                end = (j, "sl", stop)
+                break
+            if tp is not None and (h >= tp if sig > 0 else l <= tp):
+                end = (j, "tp", tp)
+                break
+        capital = initial + sum(p for b, why, p in closed if b <= i and why != "eod")
+        size = capital * risk / 100 / abs(c - sp) if risk and sp is not None and c != sp else 1.0
+        into, leave = c * (1 + sig * slip), end[2] * (1 - sig * slip)
+        pnl = ((leave - into) * sig - comm * (into + leave)) * size
+        closed.append((end[0], end[1], pnl))
+        out.append((i, end[0], end[1], size, leave, pnl))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_hedge_matches_bar_loop(spark, seed):
+    """Overlapping trades, trailing stops, and an index of three levels of 4 bars."""
+    rnd = random.Random(seed)
+    rows, c = [], 100.0
+    for _ in range(160):
+        o, c = c, max(5.0, c + rnd.uniform(-3, 3))
+        h, l = max(o, c) + rnd.random(), min(o, c) - rnd.random()
+        s = rnd.choice([0, 1, -1])
+        rows.append((o, h, l, c, 1.0, s, c - s * rnd.uniform(1, 25) if s and rnd.random() < 0.7 else None, c + s * rnd.uniform(1, 25) if s and rnd.random() < 0.6 else None, rnd.uniform(2, 25) if s and rnd.random() < 0.4 else None))
+    two = bars(spark, rows).unionByName(bars(spark, rows[:7], "T"))
+    for risk, fan in ((0.0, 64), (1.0, 4)):
+        got = ledger.hedge_ledger(two, 1000.0, risk, 0.001, 0.0005, fan).orderBy("symbol", "id").collect()
+        for symbol, given in (("S", rows), ("T", rows[:7])):
+            want, mine = loop_hedge(given, 1000.0, risk, 0.001, 0.0005), [r for r in got if r["symbol"] == symbol]
+            assert [(r["entry_bar_index"], r["exit_bar_index"], r["exit_reason"]) for r in mine] == [w[:3] for w in want]
+            assert all(math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9) for r, w in zip(mine, want) for a, b in zip((r["size"], r["exit_price"], r["pnl"]), w[3:]))
+
+
 def test_reversals_equal_the_ledger(spark):
     from barline.plans import tables
 
