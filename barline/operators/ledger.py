@@ -13,6 +13,7 @@ from barline.functions.blocks import bar_block, positions
 from barline.functions.frames import holds, over_zero
 from barline.functions.position import LedgerState, step
 from barline.functions.recurrence import linear_recurrence
+from barline.scratch import materialize
 
 
 def exec_buy(bid: Column, ask: Column, mid: Column, fee: float, slip: float) -> Column:
@@ -214,7 +215,7 @@ def first_passages(trades: DataFrame, rows: DataFrame, fan: int = FAN, levels: i
     follows the best close of the bars so far, the bar's own included; the stop
     comes before the target.
     """
-    index = bar_index(rows, fan, levels)
+    index = materialize(bar_index(rows, fan, levels))
     nodes = lambda level, first, last: F.when(first <= last, F.transform(F.sequence(first, last), lambda n: F.struct(F.lit(level).alias("level"), n.alias("node")))).otherwise(F.array().cast("array<struct<level:int,node:bigint>>"))
     ends = rows.groupBy("symbol").agg(F.max("bar_idx").alias("last_bar"))
     begin, parts = F.col("bar_idx") + 1, []
@@ -250,13 +251,14 @@ HEDGE_SCHEMA = "symbol string, id long, direction string, entry_bar_index long,
 def hedge_ledger(rows: DataFrame, initial: float = 1000.0, risk_percent: float = 0.0, commission: float = 0.0, slippage: float = 0.0, fan: int = FAN) -> DataFrame:
     """Concurrent trades that leave only by stop, target, trailing stop or the end.
 
-    Exits are first passages, found by equi-joins with an index of bar blocks.
+    The bars and their index are written once, then read by every probe. Exits are first passages, found by equi-joins with an index of bar blocks.
     Capital at an entry is the initial one and the results of all trades that
     left on or before its bar; it matters with ``risk_percent`` alone, and then
     a symbol's trades (not its bars) pass once in order, with the open ones in a
     heap.
     """
     rows = rows.withColumns({n: _optional(rows, n) for n in ("entry_price", "stop_price", "take_price", "size", "trailing_distance")})
+    rows = materialize(rows.select("symbol", "bar_idx", "high", "low", "close", "signal", "entry_price", "stop_price", "take_price", "size", "trailing_distance"))
     sign = F.signum(F.col("signal").cast("double")).cast("int")
     acts = positions(rows.filter("signal <> 0"), "id", ["bar_idx"], bar_block())
     trades = acts.select("symbol", (F.col("id") - 1).alias("id"), "bar_idx", sign.alias("dir"), F.coalesce("entry_price", "close").alias("raw"), F.col("stop_price").alias("stop"), F.col("take_price").alias("take"), F.col("trailing_distance").alias("dist"), F.coalesce("size", F.lit(1.0)).alias("size"))
