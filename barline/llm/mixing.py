@@ -7,8 +7,9 @@ of their numbers. A shard's source counts are so a multinomial draw given that
 all quotas are used up (a multivariate hypergeometric one), and even the
 smallest source comes within a block of its target. The j-th slot of a source
 reads block pi(j mod blocks), pi a keyed permutation of the source's block
-numbers, another for each pass; slots and blocks meet in an equi-join on
-(source, block).
+numbers, another for each turn; slots and blocks meet in an equi-join on
+(source, block). The result says which shards get a document's words, and the
+mix can be had by shard.
 
 Only DataFrame functions are used. Slots are exploded from chunks of a source's
 slots, so a large source is spread over many tasks. Prefix sums are two-level
@@ -70,7 +71,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_passes: int = MAX_PASS
 
 
 def slots(targets: DataFrame, total: int, shard_slots: int, seed: int, chunk: int = SLOT_CHUNK) -> DataFrame:
-    """(src, shard, block): the shard of each output slot and the block it reads.
+    """(src, shard, turn, block): the shard of each output slot, and the block it reads in which turn through its source.
 
     ``targets`` has src, blocks, slots and base (the slots of the sources before);
     ``total`` is the sum of all slots.
@@ -80,16 +81,22 @@ def slots(targets: DataFrame, total: int, shard_slots: int, seed: int, chunk: in
     first, last = F.col("chunk") * chunk, F.least(F.col("slots"), (F.col("chunk") + 1) * chunk) - 1
     drawn = chunks.select("src", "blocks", "base", F.explode(F.sequence(first, last)).alias("j"))
     drawn = drawn.withColumn("place", F.col("base") + F.col("j")).drop("base")
-    drawn = permute(drawn, "place", F.lit(total), F.lit(seed))
+    drawn = permute(drawn, "place", F.lit(max(total, 1)), F.lit(seed))
     n_shards = max(1, round(total / shard_slots))
     drawn = drawn.select("src", "blocks", F.expr(f"place div {-(-total // n_shards) or 1}").alias("shard"), F.expr("j div blocks").alias("turn"), F.expr("j % blocks").alias("block"))
-    return permute(drawn, "block", F.col("blocks"), F.lit(seed), F.col("src"), F.col("turn")).select("src", "shard", "block")
+    return permute(drawn, "block", F.col("blocks"), F.lit(seed), F.col("src"), F.col("turn")).select("src", "shard", "turn", "block")
+
+
+def shard_counts(drawn: DataFrame) -> DataFrame:
+    """(shard, src, n): the draw itself, how many blocks of each source a shard gets."""
+    return drawn.groupBy("shard", "src").agg(F.count("*").alias("n"))
 
 
 def plan_mix(sized: DataFrame, block_words: int = 64, shard_slots: int = 4096, seed: int = 7) -> tuple[DataFrame, DataFrame]:
     """``sized`` (materialized): uid, doc_id, source, size. Returns (targets, spans).
 
-    spans: uid, start (word in the document), length, times the mix takes it.
+    spans: uid, start (word in the document), length, takes (the turn and the
+    shard of each slot that reads the block, at most MAX_PASSES).
     """
     total = sized.count()
     buckets = max(1, int(total**0.5))
@@ -114,12 +121,13 @@ def plan_mix(sized: DataFrame, block_words: int = 64, shard_slots: int = 4096, s
     begin = F.greatest(F.col("at"), F.col("block") * block_words)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block_words)
     cut = cut.select("uid", "src", "block", (begin - F.col("at")).alias("start"), (end - begin).alias("length"))
-    times = materialize(slots(targets, n_slots, shard_slots, seed).groupBy("src", "block").agg(F.count("*").alias("times")))
-    return targets, cut.join(times, ["src", "block"]).select("uid", "start", "length", "times")
+    takes = F.array_sort(F.collect_list(F.struct("turn", "shard"))).alias("takes")
+    read = materialize(slots(targets, n_slots, shard_slots, seed).groupBy("src", "block").agg(takes))
+    return targets, cut.join(read, ["src", "block"]).select("uid", "start", "length", "takes")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, shards (those that get words of it, rising).
 
     Defined cases: a null text has size 0 and is never taken; a null source is a
     source of its own, ordered last; repeated rows are documents of their own
@@ -132,34 +140,38 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(full_text(text_col)).alias("size")).withColumn("uid", F.monotonically_increasing_id())
     )
     targets, spans = plan_mix(sized, **options)
-    taken = spans.groupBy("uid").agg(F.sum(F.col("length") * F.col("times")).alias("taken"))
+    taken = spans.select("uid", "length", F.explode("takes.shard").alias("shard")).groupBy("uid", "shard").agg(F.sum("length").alias("words"))
+    taken = taken.groupBy("uid").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards"))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     return (
         sized.join(t, F.col("source").eqNullSafe(F.col("s")))
         .join(taken, "uid", "left")
-        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards"))
     )
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a row per document and pass.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", by_shard: bool = False, **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: a row per document and turn through its source.
 
-    A pass that takes a whole document keeps its text as it is; one that takes
-    some of its blocks has their words, joined by a space. Documents of which
-    nothing is taken have no row. Null texts and sources as in ``mix``.
+    A turn that takes a whole document keeps its text as it is; one that takes
+    some of its blocks has their words, joined by a space. ``by_shard``: a row
+    per document, turn and output shard, with the words that the shard draws,
+    and the column ``shard`` first; a document whose blocks go to several shards
+    has a row in each. Documents of which nothing is taken have no row. Null
+    texts and sources as in ``mix``.
     """
     held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("uid", F.monotonically_increasing_id()))
     text = full_text(F.col("row")[text_col])
     sized = materialize(held.select("uid", F.col("row")[id_col].alias("doc_id"), F.col("row")[source_col].cast("string").alias("source"), n_words(text).alias("size")))
     _, spans = plan_mix(sized, **options)
-    taken = spans.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("start", "length", "times"))).alias("spans"), F.sum("length").alias("covered"))
+    per = ["uid", "turn", *(["shard"] if by_shard else [])]
+    spans = spans.select("uid", "start", "length", F.explode("takes").alias("t")).select("uid", "start", "length", "t.*")
+    taken = spans.groupBy(*per).agg(F.sort_array(F.collect_list(F.struct("start", "length"))).alias("mine"), F.sum("length").alias("n"))
     out = held.join(taken.join(sized.select("uid", "size"), "uid"), "uid")
-    out = out.withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("spans", lambda x: x["times"])).cast("int"))))
-    mine = F.filter("spans", lambda x: x["times"] >= F.col("pass"))
-    out = out.withColumn("mine", mine).withColumn("n", F.aggregate("mine", F.lit(0).cast("long"), lambda a, x: a + x["length"]))
 
     def cut(ws):
         return F.array_join(F.flatten(F.transform("mine", lambda x: F.slice(ws, (x["start"] + 1).cast("int"), x["length"].cast("int")))), " ")
 
     new_text = F.when(F.col("n") < F.col("size"), let(words(text), cut)).otherwise(F.col("row")[text_col])
-    return out.withColumn("new_text", new_text).select(*[F.col("new_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])
+    shard = [F.col("shard")] if by_shard else []
+    return out.withColumn("new_text", new_text).select(*shard, *[F.col("new_text").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns])

@@ -197,3 +197,50 @@ def test_filters_lose_nothing():
                     left, right, counts = layout.counted(*[np.concatenate(x) for x in zip(*parts, *parts)])
                     got = {tuple(k): c for k, c in zip(layout.unpack(left, right).tolist(), counts.tolist())}
                     assert got == {k: 2 * c for k, c in Counter(zip(*[i.tolist() for i in ids])).items()}
+
+
+# --- shards of the mix ----------------------------------------------------------------
+
+
+def test_shards_of_the_mix(spark):
+    from barline.llm import mixing
+
+    sizes = [(s, int(n)) for s, n in (("a", 9000), ("b", 4000), ("c", 700))]
+    rows = [(f"{s}{i}", " ".join(f"{s}{i}w{j}" for j in range(n // 50)), s) for s, n in sizes for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string, source string")
+    options = {"block_words": 4, "shard_slots": 100}
+    got = {r["doc_id"]: r for r in mixing.mix(docs, **options).collect()}
+    pieces = mixing.mixed_documents(docs, by_shard=True, **options).collect()
+    taken, shards = Counter(), {}
+    for r in pieces:  # every piece holds the document's own words, in order
+        w = r["text"].split(" ")
+        assert set(w) <= set(next(t for i, t, _ in rows if i == r["doc_id"]).split(" ")) if r["doc_id"] in ("a1", "b2", "c3") else True
+        taken[r["doc_id"]] += len(w)
+        shards.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert {i: r["taken"] for i, r in got.items() if r["taken"]} == dict(taken)
+    assert {i: r["shards"] for i, r in got.items() if r["shards"]} == {i: sorted(s) for i, s in shards.items()}
+    words = Counter(w for r in pieces for w in r["text"].split(" "))
+    assert max(words.values()) <= 3 and abs(sum(taken.values()) - sum(n for _, n in sizes)) <= 12
+    drawn = Counter()  # words a shard has of each source
+    for r in pieces:
+        drawn[r["shard"], r["source"]] += len(r["text"].split(" "))
+    assert {s for s, _ in drawn} == set(range(34)) and all(abs(sum(drawn[s, x] for x in "abc") - 400) <= 24 for s in range(33))
+
+
+def test_shard_counts_are_a_multinomial_draw(spark):
+    """Counts of 60 shards: given the quotas, their mean and variance are those of a hypergeometric draw."""
+    from barline.llm import mixing
+
+    slots = {1: 30_000, 2: 24_000, 3: 6_000}
+    targets = spark.createDataFrame([(1, 10_000, 30_000, 0), (2, 20_000, 24_000, 30_000), (3, 7_000, 6_000, 54_000)], "src int, blocks long, slots long, base long")
+    drawn = mixing.slots(targets, 60_000, 1000, 7, 4096).cache()
+    counts = {(r["shard"], r["src"]): r["n"] for r in mixing.shard_counts(drawn).collect()}
+    for src, quota in slots.items():
+        mine = np.array([counts.get((s, src), 0) for s in range(60)])
+        p = quota / 60_000
+        variance = 1000 * p * (1 - p) * (60_000 - 1000) / (60_000 - 1)
+        assert mine.sum() == quota and abs(mine.mean() - 1000 * p) < 1e-9 and 0.5 < mine.var() / variance < 1.7
+    turns = drawn.groupBy("src", "turn").agg(F.count("*").alias("n"), F.count_distinct("block").alias("d")).collect()
+    assert sorted((r["src"], r["turn"], r["n"]) for r in turns) == [(1, 0, 10_000), (1, 1, 10_000), (1, 2, 10_000), (2, 0, 20_000), (2, 1, 4_000), (3, 0, 6_000)] and all(r["n"] == r["d"] for r in turns)
+    places = drawn.groupBy("shard").count().collect()
+    assert len(places) == 60 and all(r["count"] == 1000 for r in places)
