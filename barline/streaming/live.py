@@ -6,6 +6,7 @@ bars and one position per symbol. They need the RocksDB state store.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -27,9 +28,16 @@ def bars(ticks: DataFrame, timeframe: str = "15 minutes", late: str = "1 hour")
     return b.select("symbol", F.col("w.start").alias("datetime"), "open", "high", "low", "close", "volume")
 
 
-def closed_bars(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Closed candle events once each; repeats within the watermark are dropped."""
-    return events.filter("is_closed").withWatermark("datetime", late).dropDuplicatesWithinWatermark(["symbol", "datetime"])
+def closed_bars(events: DataFrame, late: str = "1 hour", seq: str = "event_time") -> DataFrame:
+    """Closed candle events, the last version of each (by ``seq``, where there is that column), once the watermark has passed.
+
+    A correction that comes within ``late`` replaces what came before it. State:
+    one row per open (symbol, datetime).
+    """
+    names = [c for c in events.columns if c not in ("symbol", "datetime")]
+    newest = F.struct(*([seq] if seq in names else []), *[c for c in names if c != seq])
+    last = events.filter("is_closed").withWatermark("datetime", late).groupBy("symbol", "datetime").agg(F.max(newest).alias("b"))
+    return last.select(*[c if c in ("symbol", "datetime") else F.col("b")[c].alias(c) for c in events.columns])
 
 
 def throttled(ticks: DataFrame, every: str = "200 milliseconds", late: str = "1 minute") -> DataFrame:
@@ -82,6 +90,100 @@ def quoted_bars(rows: DataFrame) -> DataFrame:
     return rows.groupBy("symbol").transformWithStateInPandas(QuotedBars(), outputStructType=QuotedBars.SCHEMA, outputMode="Append", timeMode="None")
 
 
+class TickGate(StatefulProcessor):
+    """The forming candle as ticks move it, at most one row per ``every_ms``; ticks after its close wait for the next candle.
+
+    State: the last candle event of a symbol, and when a tick last went through.
+    """
+
+    SCHEMA = "symbol string, datetime timestamp, open double, high double, low double, close double, volume double, is_closed boolean, is_tick boolean"
+    NAMES = ["datetime", "open", "high", "low", "close", "volume", "is_closed"]
+
+    def __init__(self, every_ms: int = 200):
+        self.every_ms = every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.candle = handle.getValueState("candle", "datetime timestamp, open double, high double, low double, close double, volume double, is_closed boolean")
+        self.emitted = handle.getValueState("emitted", "ms double")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        candle = list(self.candle.get()) if self.candle.exists() else None
+        emitted = self.emitted.get()[0] if self.emitted.exists() else -math.inf
+        out = []
+        for r in pd.concat(list(rows)).sort_values(["ts", "kind"], kind="stable").itertuples(index=False):
+            at = r.ts.timestamp() * 1000
+            if r.kind == 0:
+                candle = [r.datetime, *map(float, (r.open, r.high, r.low, r.close, r.volume)), bool(r.is_closed)]
+                out.append((key[0], *candle, False))
+            elif candle is not None and not candle[-1] and at - emitted > self.every_ms:
+                emitted = at
+                out.append((key[0], candle[0], candle[1], max(candle[2], r.price), min(candle[3], r.price), float(r.price), candle[5], False, True))
+        if candle is not None:
+            self.candle.update(tuple(candle))
+        if emitted > -math.inf:
+            self.emitted.update((emitted,))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in self.SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def forming_candles(rows: DataFrame, every_ms: int = 200) -> DataFrame:
+    """``rows``: symbol, ts (event time), kind (0 candle event, 1 tick), the candle's columns with is_closed, price."""
+    ship(rows.sparkSession)
+    return rows.groupBy("symbol").transformWithStateInPandas(TickGate(every_ms), outputStructType=TickGate.SCHEMA, outputMode="Append", timeMode="None")
+
+
+class IntrabarSignals(StatefulProcessor):
+    """The moving-average and RSI rule on every candle event, the forming bar counting as the last one.
+
+    State: the closes that the rule needs, the last of them provisional: an
+    event of the same bar replaces it, one of a later bar adds to it, one of an
+    earlier bar corrects that bar if it is still held.
+    """
+
+    SCHEMA = "symbol string, datetime timestamp, close double, is_closed boolean, signal int"
+
+    def __init__(self, short: int = 9, long: int = 21, period: int = 14, buy: float = 55.0, sell: float = 45.0):
+        self.short, self.long, self.period, self.buy, self.sell = short, long, period, buy, sell
+        self.size = max(long, period) + 2
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.closes = handle.getListState("closes", "datetime timestamp, close double")
+
+    def rule(self, closes: list[float]) -> int:
+        if len(closes) < self.size:
+            return 0
+        changes = [b - a for a, b in zip(closes[-self.period - 1 : -1], closes[-self.period :])]
+        gain, loss = sum(max(c, 0.0) for c in changes), sum(max(-c, 0.0) for c in changes)
+        rsi = 100 - 100 / (1 + gain / loss) if loss > 0 else 50.0
+        a, b = sum(closes[-self.short :]) / self.short, sum(closes[-self.long :]) / self.long
+        return 1 if a > b and rsi > self.buy else -1 if a < b and rsi < self.sell else 0
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        held = {at: close for at, close in self.closes.get()} if self.closes.exists() else {}
+        out = []
+        for r in pd.concat(list(rows)).sort_values("event_time", kind="stable").itertuples(index=False):
+            at = r.datetime.to_pydatetime()
+            if held and at < min(held) and len(held) == self.size:
+                continue
+            held[at] = float(r.close)
+            held = dict(sorted(held.items())[-self.size :])
+            out.append((key[0], at, float(r.close), bool(r.is_closed), self.rule(list(held.values()))))
+        if held:
+            self.closes.put(list(held.items()))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in self.SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def intrabar_signals(candles: DataFrame, **options) -> DataFrame:
+    """``candles``: symbol, datetime, close, is_closed, event_time; a row with its signal per event."""
+    ship(candles.sparkSession)
+    return candles.groupBy("symbol").transformWithStateInPandas(IntrabarSignals(**options), outputStructType=IntrabarSignals.SCHEMA, outputMode="Append", timeMode="None")
+
+
 Generate = Callable[[pd.DataFrame], dict]
 
 

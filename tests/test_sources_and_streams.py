@@ -162,3 +162,92 @@ def test_stale(spark):
     df = spark.createDataFrame([("S", datetime(2024, 1, 1)), ("T", datetime(2024, 1, 1, 0, 5))], "symbol string, datetime timestamp")
     got = {r["symbol"]: r["stale"] for r in live.staleness(df, datetime(2024, 1, 1, 0, 6)).collect()}
     assert got == {"S": True, "T": False}
+
+
+def test_upsert_touches_only_its_parts(spark, tmp_path, monkeypatch):
+    path = tmp_path / "t"
+    sink = writers.upsert_sink(str(path), ["k"], "seq", parts=8)
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v double, seq long")
+    files = lambda: {str(p.relative_to(path)): p.stat().st_mtime_ns for p in path.glob("data/*/*/*.parquet")}
+    sink(frame([(f"k{i}", 0.0, i) for i in range(100)]), 0)
+    first = files()
+    assert len(first) == 8
+    with monkeypatch.context() as m:  # the batch dies between its data and its manifest
+        m.setattr(writers, "_clean", lambda *a: None)
+        named = spark.createDataFrame
+        m.setattr(type(spark), "createDataFrame", lambda self, rows, schema: (_ for _ in ()).throw(RuntimeError("lost")) if "at long" in str(schema) else named(rows, schema))
+        with pytest.raises(RuntimeError):
+            sink(frame([("k1", 1.0, 1000)]), 1)
+    assert {r["v"] for r in writers.latest(spark, str(path)).collect()} == {0.0}
+    for _ in range(2):  # tried again, twice
+        sink(frame([("k1", 1.0, 1000), ("k1", -1.0, 999)]), 1)
+        got = {r["k"]: r["v"] for r in writers.latest(spark, str(path)).collect()}
+        assert len(got) == 100 and got["k1"] == 1.0 and sum(got.values()) == 1.0
+    second = files()
+    assert first.items() <= second.items() and len(second) == 9  # old files stay as they were for readers; one part is new
+    sink(frame([("k1", 2.0, 1001), ("new", 5.0, 1002)]), 2)
+    third = files()
+    assert len(set(first) - set(third)) == 1 and len(writers.latest(spark, str(path)).collect()) == 101
+    assert all(third[f] == t for f, t in first.items() if f in third)
+    sink(frame([]), 3)
+    assert len(writers.latest(spark, str(path)).collect()) == 101 and writers.latest(spark, str(tmp_path / "none")) is None
+
+
+def test_upsert_stream(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v double, seq long")
+    for n in range(3):
+        frame([(f"k{i}", float(n), 10 * n + i) for i in range(n, 5)]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("k string, v double, seq long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(writers.upsert_sink(str(tmp_path / "t"), ["k"], "seq", parts=2)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert {(r["k"], r["v"]) for r in writers.latest(spark, str(tmp_path / "t")).collect()} == {("k0", 0.0), ("k1", 1.0), ("k2", 2.0), ("k3", 2.0), ("k4", 2.0)}
+
+
+def test_corrected_bars(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    schema = "symbol string, datetime timestamp, close double, is_closed boolean, event_time timestamp"
+    bar = lambda i, close, closed, sec: ("S", t0 + timedelta(minutes=15 * i), close, closed, t0 + timedelta(minutes=15 * i, seconds=sec))
+    batches = [[bar(0, 1.0, True, 900), bar(1, 5.0, False, 910)], [bar(0, 2.0, True, 960), bar(0, 1.5, True, 930)], [bar(40, 9.0, True, 900)], [bar(41, 9.5, True, 900)], [bar(0, 7.0, True, 999), bar(42, 9.5, True, 900)]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "b" / str(n)))
+    for n in range(len(batches)):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for k, p in enumerate((tmp_path / "b" / str(n)).glob("*.parquet")):
+            p.rename(tmp_path / "in" / f"{n}-{k}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r["datetime"], r["close"]) for r in run(live.closed_bars(stream, "1 hour"), spark, "corrected").collect()]
+    assert got == [(t0, 2.0)]  # the last correction in time; what comes after the watermark is too late, later bars are still open
+
+
+def test_ticks_of_a_closed_bar_wait(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    ms = lambda n: t0 + timedelta(milliseconds=n)
+    candle = lambda at, close, closed: ("S", ms(at), 0, t0, 1.0, 3.0, 0.5, close, 9.0, closed, None)
+    tick = lambda at, price: ("S", ms(at), 1, None, None, None, None, None, None, None, price)
+    schema = "symbol string, ts timestamp, kind int, datetime timestamp, open double, high double, low double, close double, volume double, is_closed boolean, price double"
+    rows = [tick(0, 2.0), candle(10, 2.0, False), tick(20, 4.0), tick(120, 9.0), tick(221, 0.1), candle(300, 2.5, True), tick(900, 8.0), candle(1000, 2.0, False), tick(1300, 2.2)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "t"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "t"))
+    got = [(r["is_tick"], r["high"], r["low"], r["close"]) for r in run(live.forming_candles(stream), spark, "gate").collect()]
+    assert got == [(False, 3.0, 0.5, 2.0), (True, 4.0, 0.5, 4.0), (True, 3.0, 0.1, 0.1), (False, 3.0, 0.5, 2.5), (False, 3.0, 0.5, 2.0), (True, 3.0, 0.5, 2.2)]
+
+
+def test_intrabar_signals_equal_batch(spark, tmp_path):
+    """Every tick's signal is that of the batch rule over the bars as they stood."""
+    rows, events, standing = bars_frame(60), [], []
+    generate = live.ma_rsi_last()
+    want = []
+    for i, (s, at, o, h, l, c, v) in enumerate(rows):
+        for k, close in enumerate((o, (h + l) / 2, c)):
+            events.append((s, at, close, k == 2, at + timedelta(minutes=k)))
+            frame = pd.DataFrame({"close": [*standing, close]})
+            want.append((at, close, generate(frame).get("signal", 0)))
+        standing.append(c)
+    schema = "symbol string, datetime timestamp, close double, is_closed boolean, event_time timestamp"
+    (tmp_path / "in").mkdir()
+    for n, part in enumerate((events[:70], events[70:])):  # state goes from one micro-batch to the next
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(tmp_path / f"p{n}"))
+        next((tmp_path / f"p{n}").glob("*.parquet")).rename(tmp_path / "in" / f"{n}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = [(r["datetime"], r["close"], r["signal"]) for r in run(live.intrabar_signals(stream), spark, "intrabar").collect()]
+    assert sorted(got) == sorted(want) and {s for _, _, s in got} == {-1, 0, 1}
