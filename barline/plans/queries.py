@@ -415,6 +415,23 @@ def pnl_histogram(spark, d):
     return metrics.histogram(T.trades(spark, d), F.round("pnl", 6))
 
 
+@query(f"""WITH {TRADES}, v AS (SELECT symbol, 'risk_reward' AS measure, round(pnl / nullif(risk, 0), 6) AS v FROM tr UNION ALL SELECT symbol, 'duration_h', round(date_diff('second', entry_time, exit_time) / 3600, 6) FROM tr
+  UNION ALL SELECT symbol, 'r_multiple', round(pnl / nullif(abs(max_adverse), 0), 6) FROM tr), m AS (SELECT symbol, measure, min(v) AS lo, max(v) AS hi FROM v GROUP BY 1, 2)
+SELECT symbol, measure, CAST(CASE WHEN hi > lo THEN least(floor((v - lo) / ((hi - lo) / 40)), 39) ELSE 20 END AS BIGINT) AS bin, count(*) AS n FROM v JOIN m USING (symbol, measure) WHERE v IS NOT NULL GROUP BY 1, 2, 3""")
+def trade_histograms(spark, d):
+    """Risk-reward ratios, hours held and R multiples, each in 40 bins a symbol."""
+    t = metrics.r_multiples(T.trades(spark, d))
+    measures = {"risk_reward": F.col("risk_reward"), "duration_h": F.col("duration_s") / 3600, "r_multiple": F.col("r")}
+    rows = t.select("symbol", F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.round(v, 6).alias("v")) for n, v in measures.items()])).alias("m")).select("symbol", "m.*")
+    return metrics.histogram(rows, F.col("v"), keys=("symbol", "measure"))
+
+
+@query(f"WITH {TR} SELECT symbol, bar_idx, close, volume, round({rolled('avg', 'tr', 14)}, 6) AS atr FROM tr QUALIFY atr IS NOT NULL")
+def price_volume_atr(spark, d):
+    """The points of close, volume and ATR, where there is an ATR."""
+    return r6(I.add_atr(T.candles(spark, d)), *KEY, "atr", "close", "volume").filter("atr is not null")
+
+
 @query(f"""WITH {TRADES}, k AS (SELECT symbol, CAST(isodow(exit_time) - 1 AS BIGINT) AS weekday, pnl FROM tr), q AS (SELECT symbol, weekday, count(*) AS n, quantile_cont(pnl, 0.25) AS q1, quantile_cont(pnl, 0.5) AS m, quantile_cont(pnl, 0.75) AS q3 FROM k GROUP BY 1, 2),
 r AS (SELECT k.*, pnl BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS inside FROM k JOIN q USING (symbol, weekday)), w AS (SELECT symbol, weekday, min(pnl) FILTER (WHERE inside) AS wl, max(pnl) FILTER (WHERE inside) AS wh, count(*) FILTER (WHERE NOT inside) AS o FROM r GROUP BY 1, 2)
 SELECT symbol, weekday, n, round(q1, 6) AS q1, round(m, 6) AS median, round(q3, 6) AS q3, round(wl, 6) AS whisker_low, round(wh, 6) AS whisker_high, o AS outliers FROM q JOIN w USING (symbol, weekday)""")
@@ -644,7 +661,8 @@ def execution_prices(spark, d):
     return r6(e.select("event_id", ledger.exec_buy(bid, ask, mid, 0.0004, 0.0002).alias("buy_price"), ledger.exec_sell(bid, ask, mid, 0.0004, 0.0002).alias("sell_price"), ledger.position_size(F.lit(1000.0), 1.0, mid).alias("size")))
 
 
-@query()
+@query(f"""WITH {TRADES} SELECT symbol, id, translate(format('{{:,.2f}}', entry_price), ',.', '.,') AS money, format('{{:,.2f}}', entry_price) AS plain,
+CASE WHEN pnl >= 0 THEN '+' ELSE '-' END || CAST(CAST(round(abs(CAST(CAST(pnl AS VARCHAR) AS DECIMAL(38, 18))), 2) AS DECIMAL(18, 2)) AS VARCHAR) || '%' AS percent, strftime(entry_time, '%Y-%m-%d') AS day FROM tr""")
 def money_texts(spark, d):
     t = T.trades(spark, d)
     return t.select("symbol", "id", formatting.money(F.col("entry_price")).alias("money"), formatting.money_plain(F.col("entry_price")).alias("plain"), formatting.signed_percent(F.col("pnl")).alias("percent"), formatting.date_part(F.col("entry_time").cast("string")).alias("day"))
