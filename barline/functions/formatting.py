@@ -44,7 +44,7 @@ def money_plain(value: Column) -> Column:
 
 
 def signed_percent(value: Column) -> Column:
-    return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.2f", value), F.lit("%"))
+    return F.concat(F.when(value >= 0, "+").otherwise(""), F.format_string("%.2f", value + 0.0), F.lit("%"))
 
 
 def trade_register(trades: DataFrame, keys=("symbol",)) -> DataFrame:
