@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
 import gc
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.scratch import materialize, remove, scratch_base, scratch_dir  # noqa: F401  (the operators' folders)
+
 # Fixed value: the white-space class of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 
-_own_dirs: dict[str, str] = {}
-
-
 def full_text(col: str | Column = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit("")).cast("string")
@@ -45,53 +39,6 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, upper.lower()))
 
 
-def scratch_base(spark: SparkSession) -> str:
-    """This application's folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only a local session may lack that setting: a temporary folder of this
-    process takes its place. Either goes when the process ends.
-    """
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        base = spark.conf.get("spark.checkpoint.dir", "") or ""
-        if not base:
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            base = tempfile.mkdtemp(prefix="barline-")
-            atexit.register(shutil.rmtree, base, True)
-        _own_dirs[app] = f"{base.rstrip('/')}/barline-{app}"
-        atexit.register(_remove_quietly, spark, _own_dirs[app])
-    return _own_dirs[app]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Removes a folder of the scratch space, wherever it is."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(conf).delete(at, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:  # else the session ended before its process
-        with contextlib.suppress(Exception):
-            remove(spark, path)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    return f"{scratch_base(spark)}/{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back.
-
-    It cuts lineage and survives the loss of executors.
-    """
-    path = scratch_dir(df.sparkSession)
-    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
-    writer.parquet(path, compression=codec)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished plans: it does so once the driver's JVM has dropped them."""
     gc.collect()

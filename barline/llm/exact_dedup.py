@@ -10,8 +10,9 @@ The filter is the only thing sent to every task. Its size is bounded by
 ``max_filter_bits``; a larger input is cut into hash segments, each with a
 filter of its own. A segment's round reads only that segment's hashes, writes
 its marked rows and takes its filter back, so neither the driver nor the plan
-grows with the rounds. With 2 GB filters (``max_filter_bits = 1 << 34``), 30
-billion rows are 30 rounds. Texts never shuffle.
+grows with the rounds. A filter has ``bits_per_row`` bits a row, up to 256 MB in
+a Python worker by default: 30 billion rows are then 224 rounds, or 28 with 2 GB
+filters (``max_filter_bits = 1 << 34``). Texts never shuffle.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _cells(keys: np.ndarray, n_bits: int) -> np.ndarray:
     keys = keys.astype(np.uint64)
     step = (keys >> np.uint64(32)) | np.uint64(1)
     i = np.arange(HASHES, dtype=np.uint64)[:, None]
-    return ((keys + i * step) & np.uint64(n_bits - 1)).astype(np.uint32)
+    return (keys + i * step) & np.uint64(n_bits - 1)
 
 
 def repeat_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
@@ -49,9 +50,9 @@ def repeat_filter(keys: DataFrame, n_bits: int) -> np.ndarray:
     def touched(batches):
         def flush(held):
             cells, counts = np.unique(_cells(np.concatenate(held), n_bits), return_counts=True)
-            cut = np.searchsorted(cells // np.uint32(chunk_bits), np.arange(chunks + 1))
+            cut = np.searchsorted(cells, np.arange(chunks + 1, dtype=np.uint64) * np.uint64(chunk_bits))
             for c in range(chunks):
-                mine, many = cells[cut[c] : cut[c + 1]] % np.uint32(chunk_bits), counts[cut[c] : cut[c + 1]] > 1
+                mine, many = (cells[cut[c] : cut[c + 1]] % np.uint64(chunk_bits)).astype(np.uint32), counts[cut[c] : cut[c + 1]] > 1
                 if len(mine):
                     yield {"chunk": c, "once": mine[~many].tobytes(), "twice": mine[many].tobytes()}
 
@@ -87,7 +88,7 @@ def possibly_repeated(shared, n_bits: int):
     @F.pandas_udf("boolean")
     def probe(key: pd.Series) -> pd.Series:
         cells = _cells(key.to_numpy(np.int64), n_bits)
-        hit = (shared.value[cells >> np.uint32(3)] >> (np.uint32(7) - (cells & np.uint32(7)))) & 1
+        hit = (shared.value[cells >> np.uint64(3)] >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1
         return pd.Series(hit.all(axis=0))
 
     return probe
@@ -98,7 +99,7 @@ def exact_dedup(
     id_col: str = "doc_id",
     text_col: str = "text",
     bits_per_row: int = 16,
-    max_filter_bits: int = 1 << 28,
+    max_filter_bits: int = 1 << 31,
     salt_rows: int = 1_000_000,
 ) -> DataFrame:
     """One row per input row: its group of equal texts and the row that stays.

@@ -63,6 +63,14 @@ def test_exact_dedup_segments_agree(spark):
     assert one == many and sum(r[3] for r in one) == 2000
 
 
+def test_cells_of_large_filters():
+    keys = np.random.default_rng(8).integers(-(2**63), 2**63, 200_000)
+    cells = exact_dedup._cells(keys, 1 << 34)
+    assert int(cells.max()) > 2**33 and int(cells.max()) < 2**34
+    spread = np.bincount((cells >> np.uint64(30)).ravel().astype(int), minlength=16)
+    assert spread.min() > 0.95 * spread.mean() and spread.max() < 1.05 * spread.mean()
+
+
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op6_line_dedup"])
 def test_sql(spark, name):
     con = duckdb.connect()
@@ -493,3 +501,45 @@ def test_trees_take_two_batches(spark):
     for r in twice.collect():
         assert r["n_tokens_after"] == r["n_tokens"] == len(count.encoding.encode_ordinary(r["text"])) and r["n_pretokens"] == len(count.split(r["text"]))
     assert {r["text"] for r in twice.filter("doc_id = 1").collect()} == {"New beginnings some words here, and more of them"}
+
+
+def test_simhash_end_to_end(spark):
+    """Every fingerprint and component of the given documents against brute force."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+    def fingerprint(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+        grams = [" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))] if w else []
+        bits = [0] * 64
+        for g in grams:
+            h = xxhash.xxh64(g.encode(), seed=42).intdigest()
+            for b in range(64):
+                bits[b] += h >> b & 1
+        return sum(1 << b for b in range(64) if 2 * bits[b] > len(grams))
+
+    prints = np.array([fingerprint(t) for _, t in rows], np.uint64)
+    root = {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, _) in enumerate(rows):
+        for j in np.flatnonzero(np.bitwise_count(prints ^ prints[k]) <= 3):
+            a, b = sorted((top(i), top(rows[j][0])))
+            root[b] = a
+    want = {i: (f"{int(p):016x}", top(i)) for (i, _), p in zip(rows, prints)}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.near_dedup(docs).collect()} == want
+
+
+def test_secret_partners(spark):
+    """Which parts are linked, and with what: endpoints, the reach of a paragraph, ties."""
+    key, pin = "AKIA" + "Q7" * 8, "zX9kLm2pQr7sTu4vWx1yAb3c"
+    texts = {1: f"id {key}\nkey {pin}", 2: f"{key} and https://api.host.io/v1 then {pin}", 3: f"{pin} alone", 4: f"{key}\n\n\n\n" + "word " * 4000 + f"\n\n{pin}", 5: f"{key} {pin} {pin[::-1]}"}
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    spans = {i: {tuple(map(int, s.split(":")[1:3])) for s in (v.split(",") if v else [])} for i, v in got.items()}
+    at = lambda i, x: (texts[i].index(x), texts[i].index(x) + len(x))
+    assert {at(1, key), at(1, pin)} <= spans[1] and {at(2, key), at(2, pin)} <= spans[2] and any(a <= texts[2].index("https") < b for a, b in spans[2])
+    assert spans[3] == set() and spans[4] == {at(4, key)} and {at(5, key), at(5, pin), at(5, pin[::-1])} <= spans[5]
