@@ -117,13 +117,45 @@ def histogram(df: DataFrame, value: Column, bins: int = 40, keys=("symbol",)) ->
     return rows.join(ends, keys).groupBy(*keys, at.cast("long").alias("bin")).agg(F.count("*").alias("n"))
 
 
-def box_stats(trades: DataFrame, unit: str = "weekday", keys=("symbol",), exact: bool = True) -> DataFrame:
-    """Quartiles, whiskers within 1.5 interquartile ranges, and the number of outliers, by exit clock."""
+def exact_quantiles(df: DataFrame, value: Column, at: tuple[float, ...], keys=("symbol",), pieces: int = 256) -> DataFrame:
+    """keys, q (array, linear between ranks) and n: exact quantiles of a key of any size.
+
+    Values are counted first, so repeats weigh but take no room. Approximate
+    quantiles of the distinct values cut a key into about equal pieces; counts
+    of pieces tell which of them hold the wanted ranks, and only those are put
+    in order, each in a task of its own.
+    """
+    keys = list(keys)
+    rows = df.select(*keys, value.cast("double").alias("v")).filter("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("v", [k / pieces for k in range(1, pieces)], 20 * pieces).alias("cuts"), F.sum("n").alias("total"))
+    rows = rows.join(cuts.withColumn("coarse", F.filter("cuts", lambda c, i: i % 16 == 15)), keys)
+    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("v")))
+    rows = rows.withColumn("sixteen", 16 * below("coarse")).withColumn("piece", F.col("sixteen") + below(F.slice("cuts", F.col("sixteen") + 1, 15))).drop("cuts", "coarse", "sixteen")
+    sizes = rows.groupBy(*keys, "piece").agg(F.sum("n").alias("in_piece"), F.max("total").alias("all"))
+    before = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("in_piece").over(before), F.lit(0)))
+    place = lambda q: (F.col("all") - 1) * F.lit(float(q))
+    ranks = F.array(*[r for q in at for r in (F.floor(place(q)), F.ceil(place(q)))])
+    wanted = sizes.withColumn("ranks", F.filter(ranks, lambda r: (r >= F.col("base")) & (r < F.col("base") + F.col("in_piece")))).filter(F.size("ranks") > 0).select(*keys, "piece", "base", "ranks")
+    upto = Window.partitionBy(*keys, "piece").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ordered = rows.select(*keys, "piece", "v", "n", "total").join(wanted, [*keys, "piece"]).withColumn("end", F.col("base") + F.sum("n").over(upto))
+    hit = ordered.withColumn("mine", F.filter("ranks", lambda r: (r >= F.col("end") - F.col("n")) & (r < F.col("end")))).filter(F.size("mine") > 0)
+    found = hit.select(*keys, "total", "v", F.explode(F.array_distinct("mine")).alias("rank")).groupBy(*keys, "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("of"))
+
+    def quantile(q: float) -> Column:
+        x = (F.col("total") - 1) * F.lit(float(q))
+        lo, hi = F.element_at("of", F.floor(x)), F.element_at("of", F.ceil(x))
+        return F.when(lo == hi, lo).otherwise((F.ceil(x) - x) * lo + (x - F.floor(x)) * hi)
+
+    return found.select(*keys, F.array(*[quantile(q) for q in at]).alias("q"), F.col("total").alias("n"))
+
+
+def box_stats(trades: DataFrame, unit: str = "weekday", keys=("symbol",)) -> DataFrame:
+    """Quartiles (exact), whiskers within 1.5 interquartile ranges, and the number of outliers, by exit clock."""
     of = {"hour": F.hour, "weekday": F.weekday}[unit]
     df = trades.withColumn(unit, of("exit_time").cast("long"))
-    quartiles = F.percentile if exact else F.percentile_approx
     keys = [*keys, unit]
-    q = df.groupBy(*keys).agg(quartiles("pnl", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    q = exact_quantiles(df, F.col("pnl"), (0.25, 0.5, 0.75), keys)
     q = q.select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     rows = df.join(q, keys)
     inside = F.col("pnl").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions.frames import rolling
 from barline.operators.indicators import add_emas_weighted
 from barline.operators.ledger import pair_trades, reversal_pnl
+from barline.operators.metrics import exact_quantiles
 
 
 MAX_COMBOS = 10_000
@@ -127,6 +128,7 @@ def monte_carlo_summary(sims: DataFrame) -> DataFrame:
     Means are decimals: exact sums of values of 6 digits, divided once.
     """
     exact = lambda c: F.avg(F.col(c).cast("decimal(20,6)"))
-    return sims.groupBy("symbol").agg(
-        exact("final_equity").alias("mean_final"), F.percentile("final_equity", F.lit(0.5)).alias("median_final"), F.min("final_equity").alias("worst_final"), exact("max_dd").alias("mean_dd"), F.percentile("max_dd", F.lit(0.5)).alias("median_dd"), F.min("max_dd").alias("worst_dd")
-    )
+    out = sims.groupBy("symbol").agg(exact("final_equity").alias("mean_final"), F.min("final_equity").alias("worst_final"), exact("max_dd").alias("mean_dd"), F.min("max_dd").alias("worst_dd"))
+    for name, column in (("median_final", "final_equity"), ("median_dd", "max_dd")):
+        out = out.join(exact_quantiles(sims, F.col(column), (0.5,)).select("symbol", F.col("q")[0].alias(name)), "symbol", "left")
+    return out.select("symbol", "mean_final", "median_final", "worst_final", "mean_dd", "median_dd", "worst_dd")

@@ -113,3 +113,17 @@ def test_asof_across_empty_days(spark):
     events = spark.sql("select 's' as symbol, timestamp_ntz'2023-11-01 00:00:00' as ts, 0 as e union all select 's', timestamp_ntz'2024-01-05 00:00:00', 1 union all select 's', timestamp_ntz'2024-04-01 00:00:00', 2 union all select 't', timestamp_ntz'2024-04-01 00:00:00', 3")
     near = {r["e"]: r["nearest"] and (r["nearest"].month, r["nearest"].day) for r in joins.nearest(events, candles).collect()}
     assert near == {0: (1, 1), 1: (1, 4), 2: (2, 9), 3: None}
+
+
+def test_exact_quantiles(spark):
+    from barline.operators import metrics
+
+    small = spark.createDataFrame([("a", float(v)) for v in (3, 1, 2, 2, 2, 9, 5)] + [("b", 4.0), ("c", None)] + [("d", float(i % 3)) for i in range(1000)], "symbol string, v double")
+    at = (0.0, 0.1, 0.25, 0.5, 0.9, 1.0)
+    want = {r["symbol"]: r["q"] for r in small.groupBy("symbol").agg(F.percentile("v", F.array(*[F.lit(x) for x in at])).alias("q")).collect() if r["q"]}
+    for pieces in (2, 256):
+        assert {r["symbol"]: r["q"] for r in metrics.exact_quantiles(small, F.col("v"), at, pieces=pieces).collect()} == want
+    n = 10_000_000  # one key, all values different
+    large = spark.range(n).select(F.lit("x").alias("symbol"), ((F.col("id") * 7919) % n).alias("v"))
+    r = metrics.exact_quantiles(large, F.col("v"), (0.25, 0.5)).first()
+    assert r["n"] == n and r["q"] == [(n - 1) / 4, (n - 1) / 2]
