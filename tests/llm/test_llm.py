@@ -543,3 +543,39 @@ def test_secret_partners(spark):
     at = lambda i, x: (texts[i].index(x), texts[i].index(x) + len(x))
     assert {at(1, key), at(1, pin)} <= spans[1] and {at(2, key), at(2, pin)} <= spans[2] and any(a <= texts[2].index("https") < b for a, b in spans[2])
     assert spans[3] == set() and spans[4] == {at(4, key)} and {at(5, key), at(5, pin), at(5, pin[::-1])} <= spans[5]
+
+
+def test_quality_estimate_equals_numpy(spark):
+    """The verdict on a group with 30 % of junk against the best of 200 random starts, and a group of equal rows.
+
+    Two starts end in the least determinant or near it, so the estimates are close and the rejected rows the same.
+    """
+    rng = np.random.default_rng(9)
+    clean = rng.normal(size=(350, 4)) @ np.array([[1, 0.4, 0, 0], [0, 0.8, 0.1, 0], [0, 0, 0.5, 0.2], [0, 0, 0, 0.7]]) + [4, 1, 2, 0]
+    x = np.concatenate([clean, rng.normal(size=(150, 4)) * 0.3 + [9, 6, -4, 5]])
+    rows = [("a", *map(float, r)) for r in x] + [("b", 1.0, 2.0, 3.0, 4.0)] * 60
+    got = {r["grp"]: r for r in quality.mcd(spark.createDataFrame(rows, "grp string, x0 double, x1 double, x2 double, x3 double").cache()).collect()}
+    floor = np.diag(np.square(quality.FLOORS))
+
+    def moments(part, share):
+        return part.mean(axis=0), quality._consistency(share) * np.cov(part.T, bias=True) + floor
+
+    def distance(m, c):
+        return np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    best = None
+    for _ in range(200):
+        part = x[rng.choice(len(x), 6, replace=False)]
+        for _ in range(30):
+            d2 = distance(*moments(part, quality.SHARE))
+            part = x[d2 <= np.sort(d2)[math.ceil(quality.SHARE * len(x)) - 1]]
+        m, c = moments(part, quality.SHARE)
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    m, c = moments(x[distance(best[1], best[2]) <= quality.INNER_D2], quality.INNER)
+    factor = lambda r: np.array([[r[f"l{i}{j}"] if j <= i else 0.0 for j in range(4)] for i in range(4)])
+    mine, spread = np.array([got["a"][f"m{i}"] for i in range(4)]), factor(got["a"]) @ factor(got["a"]).T
+    assert np.abs(mine - m).max() < 0.02 and np.abs(spread - c).max() < 0.05
+    assert ((distance(mine, spread) > quality.CUTOFF) == (distance(m, c) > quality.CUTOFF)).all()
+    assert [got["b"][f"m{i}"] for i in range(4)] == [1.0, 2.0, 3.0, 4.0] and np.allclose(factor(got["b"]) @ factor(got["b"]).T, floor)
+    assert (distance(mine, spread)[350:] > quality.CUTOFF).all() and (distance(mine, spread)[:350] <= quality.CUTOFF).all()
