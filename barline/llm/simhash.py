@@ -39,6 +39,8 @@ PIVOTS = 16
 SEED = 42
 OFFSETS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 UNIT_ROWS = 500
+#: Rounds of comparing a bucket's members with one of them before the rest is compared pair by pair.
+LEADERS = 4
 #: A pair at similarity 0.8 shares none of the fingerprints once in 300,000 times.
 BANDS, BAND_ROWS = 24, 4
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -240,22 +242,33 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     """(a, b): links whose components are those of all verified pairs of ``fp`` that share a key.
 
     ``marked`` is materialized (uid, fp, keys), ``texts`` has uid and text. In
-    every bucket the members are first verified against its least; after that
-    only pairs of still different components are.
+    every bucket the members are first verified against its least; then, while
+    that finds links, those of other components against another member, LEADERS
+    times at most. Only pairs of still different components are left, and of
+    those only such as share one of their rarest shingles: two sets of that
+    similarity do, whatever the order, among the first 1 - similarity of each.
     """
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, shingle).view(np.int64) for t in text])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-        sets = materialize(texts.join(one.join(needed, "fp", "left_semi"), "uid").select("fp", shingles("text").alias("s")))
+    def sets_of(needed: DataFrame) -> DataFrame:
+        return materialize(texts.join(one.join(needed, "fp", "left_semi"), "uid").select("fp", shingles("text").alias("s")))
+
+    def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("s").alias(f"s{side}")), side)
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
 
+    def of_roots(found: DataFrame) -> DataFrame:
+        """The members of buckets of several components, with their roots."""
+        roots = materialize(components(found))
+        members = met.join(roots, met["fp"] == roots["node"], "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
+        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("n").alias("n")).filter("r0 <> r1")
+        return materialize(join_hot_cold(members.drop("n"), materialize(mixed), ["key"], "n", max(total, 1)))
+
     spark = marked.sparkSession
     one = materialize(marked.groupBy("fp").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys")))
     keyed = one.select("fp", F.explode("keys").alias("key"))
@@ -263,21 +276,36 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).filter("n > 1"))
     total = sizes.agg(F.sum("n")).first()[0] or 0
     met = materialize(join_hot_cold(keyed, sizes, ["key"], "n", max(total, 1)))
-    stars = materialize(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+    tried = materialize(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
     release(spark)
-    first = materialize(verified(stars))
+    found = materialize(verified(tried, sets_of(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct())))
     release(spark)
-
-    roots = materialize(components(first))
-    members = met.join(roots, met["fp"] == roots["node"], "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("n").alias("n")).filter("r0 <> r1")
-    members = materialize(join_hot_cold(members.drop("n"), materialize(mixed), ["key"], "n", max(total, 1)))
+    members = of_roots(found)
+    sets = sets_of(members.select("fp").distinct())
+    for salt in range(LEADERS):
+        leader = members.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("leader"), F.count("*").alias("n"))
+        led = join_hot_cold(members.drop("n"), materialize(leader), ["key"], "n", max(total, 1)).filter("root <> leader.root")
+        pairs = led.select(F.greatest("fp", "leader.fp").alias("a"), F.least("fp", "leader.fp").alias("b")).distinct()
+        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = materialize(verified(pairs, sets))
+        if new.isEmpty():
+            break
+        found, tried = materialize(found.union(new)), materialize(tried.union(pairs))
+        members = of_roots(found)
+        release(spark)
+
+    rare = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), F.explode("s").alias("x"))
+    often = rare.groupBy("x").agg(F.count("*").alias("often"))
+    first = F.floor(F.col("size") * (1 - similarity) + 1e-9).cast("int") + 1
+    rare = join_hot_cold(rare, materialize(often), ["x"], "often", max(total, 1)).groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("o"))
+    rare = materialize(rare.select("fp", "size", F.slice("o.x", F.lit(1), first).alias("rare")))
     chunks = F.ceil(F.col("n") / unit_rows)
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.least(F.col("mine"), c) * F.col("chunks") + F.greatest(F.col("mine"), c))
-    units = members.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select("key", F.explode(parts).alias("part"), "fp", "root")
-    x, y = units.toDF("key", "part", "a", "ra"), units.toDF("key", "part", "b", "rb")
-    across = x.join(y, ["key", "part"]).filter("a > b and ra <> rb").select("a", "b").distinct()
-    return first.union(verified(materialize(across.join(stars, ["a", "b"], "left_anti"))))
+    units = members.join(rare, "fp").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select("key", F.explode(parts).alias("part"), "fp", "root", "size", "rare")
+    x, y = units.toDF("key1", "part1", "a", "ra", "size1", "rare1"), units.toDF("key2", "part2", "b", "rb", "size2", "rare2")
+    alike = F.expr(f"a > b and ra <> rb and least(size1, size2) >= {similarity} * greatest(size1, size2) - 1e-9 and arrays_overlap(rare1, rare2)")
+    across = x.join(y, (F.col("key1") == F.col("key2")) & (F.col("part1") == F.col("part2")) & alike).select("a", "b").distinct()
+    return found.union(verified(materialize(across.join(tried, ["a", "b"], "left_anti")), sets))
 
 
 def simhash_groups(marked: DataFrame, find=links) -> DataFrame:
