@@ -43,6 +43,8 @@ UNIT_ROWS = 500
 LEADERS = 4
 #: A pair at similarity 0.8 shares none of the fingerprints once in 300,000 times.
 BANDS, BAND_ROWS = 24, 4
+#: Parity bits of a shingle set: 2**PARITY_BITS at most, sharp up to some 30,000 shingles; fewer than all would still lose no pair.
+PARITY_BITS = 16
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -238,16 +240,66 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """Bit i: whether an odd number of the distinct hashes end in i. Eight bits a hash, 2**PARITY_BITS at most."""
+    width = 1 << min(max((8 * len(hashes) - 1).bit_length(), 6), PARITY_BITS)
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def maybe_similar(root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of different roots whose sets may have the similarity; it leaves out none that have it.
+
+    Every hash that one set has and the other has not changes one parity bit, so
+    the sets differ by as many hashes as bits at least. Sets of sizes x and y
+    have a similarity t or more if they differ by (x + y) (1 - t) / (1 + t) at
+    most. Wider bits fold to half the width, and sizes that allow t are one
+    width apart at most.
+    """
+    width = np.fromiter(map(len, parity), np.int64, len(parity))
+    read = lambda at: np.frombuffer(b"".join(parity[at]), np.uint64).reshape(len(at), -1)
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w in np.unique(width):
+        ours, wider = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+        bits, at = read(ours), np.concatenate([ours, wider])
+        if len(wider):
+            low, high = np.hsplit(read(wider), 2)
+            bits = np.concatenate([bits, low ^ high])
+        for i, one in enumerate(ours):
+            rest = at[i + 1 :]
+            fits = np.flatnonzero((root[rest] != root[one]) & (np.minimum(size[rest], size[one]) >= similarity * np.maximum(size[rest], size[one]) - 1e-9))
+            differ = np.bitwise_count(bits[i + 1 + fits] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            rest = rest[fits]
+            near = rest[differ * (1 + similarity) <= (size[rest] + size[one]) * (1 - similarity) + 1e-9]
+            first.append(np.full(len(near), one))
+            second.append(near)
+    return np.concatenate(first), np.concatenate(second)
+
+
+def whole_units(batches):
+    """Frames that hold all rows of their units, from batches that stand in the order of ``unit``."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        cut = int(np.searchsorted(held["unit"], held["unit"].iloc[-1])) if len(held) else 0
+        if cut:
+            yield held.iloc[:cut]
+            held = held.iloc[cut:]
+    if held is not None and len(held):
+        yield held
+
+
 def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(a, b): links whose components are those of all verified pairs of ``fp`` that share a key.
 
     ``marked`` is materialized (uid, fp, keys), ``texts`` has uid and text. In
     every bucket the members are first verified against its least; then, while
     that finds links, those of other components against another member, LEADERS
-    times at most. Only pairs of still different components are left, and of
-    those only such as share one of their rarest shingles: two sets of that
-    similarity do, whatever the order, among the first 1 - similarity of each.
+    times at most. Only pairs of still different components are left; they meet
+    in units of two chunks of a bucket, which give the pairs that their parity
+    bits leave possible, to be verified by the sets.
     """
+    ship(marked.sparkSession)
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -294,18 +346,26 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
         members = of_roots(found)
         release(spark)
 
-    rare = sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), F.explode("s").alias("x"))
-    often = rare.groupBy("x").agg(F.count("*").alias("often"))
-    first = F.floor(F.col("size") * (1 - similarity) + 1e-9).cast("int") + 1
-    rare = join_hot_cold(rare, materialize(often), ["x"], "often", max(total, 1)).groupBy("fp", "size").agg(F.array_sort(F.collect_list(F.struct("often", "x"))).alias("o"))
-    rare = materialize(rare.select("fp", "size", F.slice("o.x", F.lit(1), first).alias("rare")))
+    @F.pandas_udf("binary")
+    def parity(hashes: pd.Series) -> pd.Series:
+        return pd.Series([parity_bits(s.view(np.uint64)) for s in hashes])
+
+    def sift(batches):
+        for held in whole_units(batches):
+            begins = np.flatnonzero(np.diff(held["unit"].to_numpy(), prepend=held["unit"].iloc[0] - 1))
+            fp, root, size, bits = (held[c].to_numpy() for c in ("fp", "root", "size", "parity"))
+            for i, j in zip(begins, [*begins[1:], len(held)]):
+                a, b = maybe_similar(root[i:j], size[i:j], bits[i:j], similarity)
+                if len(a):
+                    yield pd.DataFrame({"a": np.maximum(fp[i + a], fp[i + b]), "b": np.minimum(fp[i + a], fp[i + b])})
+
     chunks = F.ceil(F.col("n") / unit_rows)
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.least(F.col("mine"), c) * F.col("chunks") + F.greatest(F.col("mine"), c))
-    units = members.join(rare, "fp").withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select("key", F.explode(parts).alias("part"), "fp", "root", "size", "rare")
-    x, y = units.toDF("key1", "part1", "a", "ra", "size1", "rare1"), units.toDF("key2", "part2", "b", "rb", "size2", "rare2")
-    alike = F.expr(f"a > b and ra <> rb and least(size1, size2) >= {similarity} * greatest(size1, size2) - 1e-9 and arrays_overlap(rare1, rare2)")
-    across = x.join(y, (F.col("key1") == F.col("key2")) & (F.col("part1") == F.col("part2")) & alike).select("a", "b").distinct()
-    return found.union(verified(materialize(across.join(tried, ["a", "b"], "left_anti")), sets))
+    odd = materialize(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), parity("s").alias("parity")))
+    units = members.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select(F.explode(parts).alias("part"), "key", "fp", "root")
+    units = units.join(odd, "fp").select(F.xxhash64("key", "part").alias("unit"), "fp", "root", "size", "parity").repartition("unit").sortWithinPartitions("unit")
+    across = materialize(units.mapInPandas(sift, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    return found.union(verified(across, sets))
 
 
 def simhash_groups(marked: DataFrame, find=links) -> DataFrame:

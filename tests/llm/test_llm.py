@@ -13,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, queries, secret_scan, simhash, token_edits, toxicity
+from barline.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 # Extra columns whose names clash with results and helpers.
@@ -579,3 +580,46 @@ def test_quality_estimate_equals_numpy(spark):
     assert ((distance(mine, spread) > quality.CUTOFF) == (distance(m, c) > quality.CUTOFF)).all()
     assert [got["b"][f"m{i}"] for i in range(4)] == [1.0, 2.0, 3.0, 4.0] and np.allclose(factor(got["b"]) @ factor(got["b"]).T, floor)
     assert (distance(mine, spread)[350:] > quality.CUTOFF).all() and (distance(mine, spread)[:350] <= quality.CUTOFF).all()
+
+
+@pytest.mark.parametrize("bits", [16, 9])
+def test_parity_bits_lose_no_similar_pair(monkeypatch, bits):
+    """Sets about the border and of widths that differ, with few and many bits, against exact similarities."""
+    monkeypatch.setattr(simhash, "PARITY_BITS", bits)
+    rng = np.random.default_rng(bits)
+    sets = [rng.integers(0, 2**64, n, np.uint64) for n in (1, 3, 7, 8, 9, 60, 64, 70, 250, 260, 520)]
+    for s in list(sets):
+        for _ in range(25):
+            keep = rng.random(len(s)) > rng.choice([0, 0.05, 0.1, 0.12, 0.2])
+            sets.append(np.concatenate([s[keep], rng.integers(0, 2**64, int(len(s) * rng.choice([0, 0.05, 0.11])), np.uint64)]))
+    sets.append(np.zeros(0, np.uint64))
+    parity = np.array([simhash.parity_bits(s) for s in sets], object)
+    size, root = np.array([len(s) for s in sets]), np.arange(len(sets)) // 2  # pairs of one root are not wanted
+    a, b = simhash.maybe_similar(root, size, parity, 0.8)
+    got = {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
+    alike = {}
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            alike[j, i] = both / max(len(sets[i]) + len(sets[j]) - both, 1)
+    want = {p for p, s in alike.items() if s >= 0.8 and root[p[0]] != root[p[1]]}
+    assert want and want <= got and all(root[i] != root[j] for i, j in got) and len(got) == len(a)
+    assert bits < 16 or min(alike[p] for p in got if size[list(p)].min() >= 50) > 0.7
+
+
+def test_chunks_of_a_bucket_against_all_pairs(spark):
+    """One frame of words in all texts, changed in few or many places: linked, barely linked and barely not linked ones in chunks of 20."""
+    rng = np.random.default_rng(4)
+    frame = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(110):
+        w = list(frame)
+        for at in rng.choice(150, int(rng.integers(0, 7)), replace=False):
+            w[at] = f"x{i}.{at}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = materialize(docs.withColumn("uid", F.col("doc_id")))
+    marked = materialize(simhash.sketches(held, 5))
+    groups = simhash.simhash_groups(marked.drop("keys"), lambda _: simhash.similar_links(marked, held.select("uid", "text"), 5, 0.8, unit_rows=20))
+    want = least_of_similar(rows)
+    assert sorted(r[0] for r in groups.filter("uid = keep_uid").select("doc_id").collect()) == want and 1 < len(want) < 110
