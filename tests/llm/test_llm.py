@@ -623,3 +623,30 @@ def test_chunks_of_a_bucket_against_all_pairs(spark):
     groups = simhash.simhash_groups(marked.drop("keys"), lambda _: simhash.similar_links(marked, held.select("uid", "text"), 5, 0.8, unit_rows=20))
     want = least_of_similar(rows)
     assert sorted(r[0] for r in groups.filter("uid = keep_uid").select("doc_id").collect()) == want and 1 < len(want) < 110
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_batches_of_edits_match_fresh_trees(seed):
+    """Random texts through batches of random edits: leaves, sums and sizes against trees made from the edited texts."""
+    count = token_edits.counter(token_edits.default_ranks())
+    rng = np.random.default_rng(seed)
+    bits = ["word ", "don't", "  ", "\n", "\n\n ", "1234", "5", "日本語", "é", "😀", "--", "a", "B", "'s", " x", "\t", ".", "A long run of plain words, "]
+    piece = lambda most: "".join(rng.choice(bits, int(rng.integers(0, most))))
+    for size in (0, 3, 40, 1500):
+        text = piece(size + 1)
+        pieces = count.split(text)
+        tree = token_edits.SegmentTree(np.array([len(p) for p in pieces], np.int32), np.array(count.counts(pieces), np.int32))
+        for batch in range(6):
+            cuts = sorted(rng.integers(0, len(text) + 1, 2 * int(rng.integers(1, 9))).tolist())
+            edits = [(a, b, piece(1200 if batch == 3 else 4)) for a, b in zip(cuts[::2], cuts[1::2]) if rng.random() < 0.5 or b - a < 60]
+            if not edits:
+                continue
+            token_edits.recount(text, tree, edits, count)
+            text = token_edits.edited(text, edits)
+            pieces = count.split(text)
+            counts = count.counts(pieces)
+            assert tree.lengths.tolist() == [len(p) for p in pieces] and tree.counts.tolist() == counts
+            assert tree.total == sum(counts) and tree.sizes.sum() == len(pieces)
+            ends = np.cumsum(tree.sizes)
+            leaf = len(tree.nodes) // 2
+            assert [int(tree.nodes[leaf + k]) for k in range(len(ends))] == [sum(counts[e - s : e]) for s, e in zip(tree.sizes, ends)]
