@@ -12,19 +12,28 @@ def top_levels(books: DataFrame, n: int = 25) -> DataFrame:
 
 
 def levels(books: DataFrame) -> DataFrame:
-    """symbol, snapshot_ts, side, price, qty, level (1 = best) from arrays of [price, qty]."""
-    number = lambda a: F.transform(a, lambda x: F.struct(x[0].cast("double").alias("price"), x[1].cast("double").alias("qty")))
-    sides = F.array(*[F.struct(F.lit(s).alias("side"), number(F.col(c)).alias("ls")) for s, c in (("bid", "bids"), ("ask", "asks"))])
-    rows = books.select("symbol", "snapshot_ts", F.explode(sides).alias("s")).select("symbol", "snapshot_ts", "s.side", F.explode("s.ls").alias("l")).select("symbol", "snapshot_ts", "side", "l.*")
-    best = Window.partitionBy("symbol", "snapshot_ts", "side").orderBy(F.when(F.col("side") == "bid", -F.col("price")).otherwise(F.col("price")))
-    return rows.withColumn("level", F.row_number().over(best).cast("long"))
+    """symbol, snapshot_ts, side, price, qty, level (1 = best) from arrays of [price, qty].
+
+    Every message numbers its own levels; equal prices keep their order in it.
+    """
+
+    def ranked(column: str, sign: int):
+        level = lambda x, i: F.struct((sign * x[0].cast("double")).alias("rank"), i.alias("place"), x[0].cast("double").alias("price"), x[1].cast("double").alias("qty"))
+        return F.array_sort(F.transform(F.col(column), level))
+
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), ranked(c, sign).alias("ls")) for s, c, sign in (("bid", "bids", -1), ("ask", "asks", 1))])
+    rows = books.select("symbol", "snapshot_ts", F.explode(sides).alias("s")).select("symbol", "snapshot_ts", "s.side", F.posexplode("s.ls").alias("level", "l"))
+    return rows.select("symbol", "snapshot_ts", "side", "l.price", "l.qty", (F.col("level") + 1).cast("long").alias("level"))
 
 
 def depth(rows: DataFrame) -> DataFrame:
-    """Adds cumulative quantity, its share of the side, the notional and the size relative to the book's largest level."""
+    """Adds cumulative quantity, its share of the side, the notional and the size relative to the book's largest level.
+
+    A book is all messages of a symbol and instant; their levels of one number are one step of its depth.
+    """
     book = Window.partitionBy("symbol", "snapshot_ts")
     side = Window.partitionBy("symbol", "snapshot_ts", "side")
-    cum = F.sum("qty").over(side.orderBy("level").rowsBetween(Window.unboundedPreceding, 0))
+    cum = F.sum("qty").over(side.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     return rows.withColumns({"cum_qty": cum, "share": cum / F.sum("qty").over(side), "notional": F.col("price") * F.col("qty"), "relative": F.col("qty") / F.max("qty").over(book)})
 
 

@@ -235,3 +235,16 @@ def test_query_equals_sql(spark, sql, name):
             want[c] = want[c].astype(float if str(want[c].dtype).startswith("Int") else str)
             got[c] = got[c].astype(float if str(got[c].dtype)[0] in "fi" else str)
     pd.testing.assert_frame_equal(plain(got), plain(want))
+
+
+def test_books_of_one_instant_equal_sql(spark, tmp_path):
+    """Two ticks of a symbol at one instant, one of them twice, and a price of zero whose levels tie."""
+    con = duckdb.connect()
+    rows = "(1, TIMESTAMP '2024-01-01', 'a', 10.0, 5), (2, TIMESTAMP '2024-01-01', 'a', 11.0, 7), (3, TIMESTAMP '2024-01-01', 'a', 11.0, 7), (4, TIMESTAMP '2024-01-02', 'a', 0.0, 9), (5, TIMESTAMP '2024-01-01', 'b', 3.0, 2)"
+    con.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, 1::BIGINT AS user_id, event_type, value::DOUBLE AS value, '{{\"k\": ' || k || '}}' AS props FROM (VALUES {rows}) e(event_id, ts, event_type, value, k)) TO '{tmp_path}/events.parquet'")
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got, want = QUERIES["book_depth"](spark, str(tmp_path)).toPandas(), con.sql(SQL["book_depth"]).df()
+    assert len(got) == 30
+    for c in ("level", "snapshot_ts"):
+        got[c], want[c] = got[c].astype(str), want[c].astype(str)
+    pd.testing.assert_frame_equal(plain(got), plain(want))
