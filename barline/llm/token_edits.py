@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from barline import ship
 from barline.llm.common import full_text
 
-CACHED_PIECES = 500_000
+CACHED_PIECES = 100_000
 BLOCK = 128
+#: Trees that a task holds at a time when only their counts are wanted.
+PART_ROWS = 256
 LEFT = 2
 AHEAD = 48
 
@@ -210,6 +212,20 @@ def _cells(text: str, tree: SegmentTree) -> tuple:
     return text, tree.lengths.tobytes(), tree.counts.tobytes(), tree.sizes.tobytes(), tree.nodes.tobytes()
 
 
+def _trees_of(batches, path: str):
+    """Frames with ``text`` gain the rest of TREES, n_pretokens and n_tokens."""
+    names = [f.split()[0] for f in TREES.split(", ")]
+    count = counter(path)
+    for batch in batches:
+        out = []
+        for text in batch["text"]:
+            pieces = count.split(text)
+            tree = SegmentTree(np.fromiter(map(len, pieces), np.int32, len(pieces)), np.array(count.counts(pieces), np.int32))
+            out.append((*_cells(text, tree), len(pieces), tree.total))
+        made = pd.DataFrame(out, columns=[*names, "n_pretokens", "n_tokens"], index=batch.index)
+        yield pd.concat([batch.drop(columns="text"), made], axis=1)
+
+
 def build_trees(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, the tree (TREES), n_pretokens, n_tokens, and ``edits`` if a column holds them.
 
@@ -221,27 +237,38 @@ def build_trees(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id
     path = ranks or default_ranks()
     given = [_edits(F.col(edits_col)).alias("edits")] if edits_col else []
     rows = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text"), *given)
-    names = [f.split()[0] for f in TREES.split(", ")]
-
-    def run(batches):
-        count = counter(path)
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                pieces = count.split(text)
-                tree = SegmentTree(np.fromiter(map(len, pieces), np.int32, len(pieces)), np.array(count.counts(pieces), np.int32))
-                out.append((*_cells(text, tree), len(pieces), tree.total))
-            made = pd.DataFrame(out, columns=[*names, "n_pretokens", "n_tokens"], index=batch.index)
-            yield pd.concat([batch.drop(columns="text"), made], axis=1)
-
     kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInPandas(run, f"{kept}, {TREES}, n_pretokens long, n_tokens long")
+    return rows.mapInPandas(lambda batches: _trees_of(batches, path), f"{kept}, {TREES}, n_pretokens long, n_tokens long")
 
 
 def _edits(column):
     return F.transform(column, lambda e: F.struct(e["start"].cast("int").alias("a"), e["end"].cast("int").alias("b"), F.coalesce(e["replacement"], F.lit("")).alias("r")))
 
 
+ADDED = ("n_edits", "n_reencoded", "n_tokens_after")
+
+
+def _edited_trees(batches, path: str, edits_col: str | None):
+    """Frames of trees after the edits in ``edits_col`` (structs a, b, r), or the production redactions, with ADDED."""
+    count = counter(path)
+    for batch in batches:
+        cells = {n: batch[n].tolist() for n in ("text", "lengths", "counts", "sizes", "nodes")}
+        after = [[] for _ in ADDED]
+        given = batch[edits_col] if edits_col else [None] * len(batch)
+        for i, (row, asked) in enumerate(zip(batch.itertuples(), given)):
+            edits = redactions(row.text) if edits_col is None else sorted((e["a"], e["b"], e["r"]) for e in (asked if asked is not None else []))
+            redone, total = 0, int(row.n_tokens)
+            if edits:
+                tree = _tree(row)
+                redone = recount(row.text, tree, edits, count)
+                total = tree.total
+                for name, value in zip(cells, _cells(edited(row.text, edits), tree)):
+                    cells[name][i] = value
+            for values, value in zip(after, (len(edits), redone, total)):
+                values.append(value)
+        yield batch.assign(**cells, **dict(zip(ADDED, after)), n_pretokens=[len(x) // 4 for x in cells["lengths"]], n_tokens=after[2])
+
+
 def apply_edits(trees: DataFrame, ranks: str | None = None, edits_col: str | None = None) -> DataFrame:
     """``trees`` after one batch of edits: its columns, with n_edits, n_reencoded and n_tokens_after.
 
@@ -251,44 +278,36 @@ def apply_edits(trees: DataFrame, ranks: str | None = None, edits_col: str | Non
     """
     ship(trees.sparkSession)
     path = ranks or default_ranks()
-    added = ["n_edits", "n_reencoded", "n_tokens_after"]
-    rows = trees.drop(*added)
+    rows = trees.drop(*ADDED)
     if edits_col:
         rows = rows.withColumn("__edits", _edits(F.col(edits_col)))
 
     def run(batches):
-        count = counter(path)
-        for batch in batches:
-            cells = {n: batch[n].tolist() for n in ("text", "lengths", "counts", "sizes", "nodes")}
-            after = [[] for _ in added]
-            given = batch["__edits"] if edits_col else [None] * len(batch)
-            for i, (row, asked) in enumerate(zip(batch.itertuples(), given)):
-                edits = redactions(row.text) if edits_col is None else sorted((e["a"], e["b"], e["r"]) for e in (asked if asked is not None else []))
-                redone, total = 0, int(row.n_tokens)
-                if edits:
-                    tree = _tree(row)
-                    redone = recount(row.text, tree, edits, count)
-                    total = tree.total
-                    for name, value in zip(cells, _cells(edited(row.text, edits), tree)):
-                        cells[name][i] = value
-                for values, value in zip(after, (len(edits), redone, total)):
-                    values.append(value)
-            out = batch.assign(**cells, **dict(zip(added, after))).drop(columns=["__edits"], errors="ignore")
-            yield out.assign(n_pretokens=[len(x) // 4 for x in cells["lengths"]], n_tokens=after[2])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.drop(*added).schema)
-    return rows.mapInPandas(run, f"{kept}, {', '.join(f'{n} long' for n in added)}")
+        for out in _edited_trees(batches, path, "__edits" if edits_col else None):
+            yield out.drop(columns=["__edits"], errors="ignore")
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trees.drop(*ADDED).schema)
+    return rows.mapInPandas(run, f"{kept}, {', '.join(f'{n} long' for n in ADDED)}")
 
 
 def edited_counts(docs: DataFrame, ranks: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
     """One row per input row: doc_id, n_pretokens, n_tokens, n_edits, n_reencoded, n_tokens_after.
 
-    The trees of ``docs`` before and after one batch of edits; see ``build_trees``
-    and ``apply_edits`` for the defined cases.
+    The trees of ``docs`` before and after one batch of edits, in one pass that
+    holds PART_ROWS trees at a time and gives their counts; see ``build_trees`` and
+    ``apply_edits`` for the defined cases.
     """
-    trees = build_trees(docs, ranks, id_col, text_col, edits_col)
-    before = trees.withColumns({"before_pretokens": F.col("n_pretokens"), "before_tokens": F.col("n_tokens")})
-    if edits_col:
-        before = before.withColumn("edits", F.transform("edits", lambda e: F.struct(e["a"].alias("start"), e["b"].alias("end"), e["r"].alias("replacement"))))
-    done = apply_edits(before, ranks, "edits" if edits_col else None)
-    return done.select("doc_id", F.col("before_pretokens").alias("n_pretokens"), F.col("before_tokens").alias("n_tokens"), "n_edits", "n_reencoded", "n_tokens_after")
+    ship(docs.sparkSession)
+    path = ranks or default_ranks()
+    given = [_edits(F.col(edits_col)).alias("edits")] if edits_col else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), full_text(text_col).alias("text"), *given)
+    shown = ["doc_id", "before_pretokens", "before_tokens", *ADDED]
+
+    def run(batches):
+        parts = (batch.iloc[i : i + PART_ROWS] for batch in batches for i in range(0, len(batch), PART_ROWS))
+        trees = (t.assign(before_pretokens=t["n_pretokens"], before_tokens=t["n_tokens"]) for t in _trees_of(parts, path))
+        for out in _edited_trees(trees, path, "edits" if edits_col else None):
+            yield out[shown].set_axis(["doc_id", "n_pretokens", "n_tokens", *ADDED], axis=1)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInPandas(run, f"doc_id {kind}, n_pretokens long, n_tokens long, {', '.join(f'{n} long' for n in ADDED)}")

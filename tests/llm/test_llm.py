@@ -650,3 +650,13 @@ def test_batches_of_edits_match_fresh_trees(seed):
             ends = np.cumsum(tree.sizes)
             leaf = len(tree.nodes) // 2
             assert [int(tree.nodes[leaf + k]) for k in range(len(ends))] == [sum(counts[e - s : e]) for s, e in zip(tree.sizes, ends)]
+
+
+def test_trees_and_edits_are_one_pass(spark):
+    """One Python worker a task: trees are not handed from one to another."""
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.de, call") for i in range(600)], "doc_id long, text string").coalesce(1)
+    done = token_edits.edited_counts(docs)
+    assert done._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    parted = token_edits.apply_edits(token_edits.build_trees(docs).withColumn("before", F.col("n_tokens")))
+    names = ["doc_id", "n_edits", "n_reencoded", "n_tokens_after"]
+    assert sorted(done.select("n_tokens", *names).collect()) == sorted(parted.select("before", *names).collect())
