@@ -12,6 +12,9 @@ from barline.scratch import materialize, remove, scratch_base, scratch_dir  # no
 # Fixed value: the white-space class of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RE = r"[\x20\x09-\x0D]+"
+#: A key is hot if it has 1/PARTS of the rows or more.
+PARTS = 10_000
+
 
 def full_text(col: str | Column = "text") -> Column:
     """The text, with null read as empty."""
@@ -58,14 +61,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def join_hot_cold(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, parts: int = 10_000) -> DataFrame:
+def join_hot_cold(rows: DataFrame, groups: DataFrame, on: list[str], weight: str, total: int, parts: int = PARTS, cold: bool = True, hot: bool = True) -> DataFrame:
     """Inner join of ``rows`` with one-row-per-key ``groups`` without a hot task.
 
     ``weight`` is the number of ``rows`` of a key, ``total`` that of all. At most
     ``parts`` keys can hold total/parts rows each: those are broadcast, and the
-    rows of the others, none of them hot, shuffle.
+    rows of the others, none of them hot, shuffle. ``cold`` is false if there are
+    no others (see ``has_cold``), ``hot`` if there are only others: either leaves
+    one join.
     """
-    hot = F.col(weight) * parts >= total
-    heavy, light = F.broadcast(groups.filter(hot)), groups.filter(~hot)
-    rest = rows.join(F.broadcast(groups.filter(hot).select(*on)), on, "left_anti")
+    if not cold:
+        return rows.join(F.broadcast(groups), on)
+    if not hot:
+        return rows.join(groups, on)
+    is_hot = F.col(weight) * parts >= total
+    heavy, light = F.broadcast(groups.filter(is_hot)), groups.filter(~is_hot)
+    rest = rows.join(F.broadcast(groups.filter(is_hot).select(*on)), on, "left_anti")
     return rows.join(heavy, on).unionByName(rest.join(light, on))
+
+
+def has_cold(groups: DataFrame, weight: str, total: int, parts: int = PARTS) -> bool:
+    """Whether any of ``groups`` is too light to be broadcast by ``join_hot_cold``."""
+    return not groups.filter(F.col(weight) * parts < total).isEmpty()

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from barline.llm import exact_dedup, line_dedup, mixing, packing, pitman_yor, quality, queries, secret_scan, simhash, token_edits, toxicity
-from barline.llm.common import materialize
+from barline.llm.common import has_cold, join_hot_cold, materialize
 
 SF = "/root/testdata/sf0.001"
 # Extra columns whose names clash with results and helpers.
@@ -660,3 +660,13 @@ def test_trees_and_edits_are_one_pass(spark):
     parted = token_edits.apply_edits(token_edits.build_trees(docs).withColumn("before", F.col("n_tokens")))
     names = ["doc_id", "n_edits", "n_reencoded", "n_tokens_after"]
     assert sorted(done.select("n_tokens", *names).collect()) == sorted(parted.select("before", *names).collect())
+
+
+def test_estimates_of_few_groups_take_one_broadcast(spark):
+    """Groups that are all heavy meet their rows in one join; a light one shuffles as before, with the same result."""
+    rows = spark.createDataFrame([(k, i) for k in "ab" for i in range(9)], "k string, i int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    assert not has_cold(groups, "n", 18) and has_cold(groups, "n", 18, parts=1)
+    once, both = join_hot_cold(rows, groups, ["k"], "n", 18, cold=has_cold(groups, "n", 18)), join_hot_cold(rows, groups, ["k"], "n", 18, parts=1)
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert sorted(once.collect()) == sorted(both.collect()) and joins(once) == 1 and joins(both) > 1
