@@ -15,9 +15,11 @@ come from alternating star contractions, a shuffle each, checkpointed as tables.
 
 ``kept_similar`` links by set similarity instead: three bits of 64 are far
 tighter than a Jaccard similarity of 0.8 (about ten bits apart), and no bucket
-key of one fingerprint holds pairs that wide. It takes BANDS fingerprints of
-BAND_ROWS minima each per distinct shingle set; pairs that share one are
-verified by the exact similarity of their sets.
+key of one fingerprint holds pairs that wide. Its buckets are BANDS keys of
+BAND_ROWS minima each per distinct shingle set. Inside them it goes the same way
+with fingerprints of WIDE_BITS bits: a pair is discarded by its fingerprints'
+distance, in units of many pairs by a pivot table first, and what is left is
+verified by the exact similarity of the sets.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.llm.common import full_text, join_hot_cold, materialize, release
+from barline.llm.common import PARTS, full_text, join_hot_cold, materialize, release
 
 SHINGLE = 3
 DISTANCE = 3
@@ -45,6 +47,9 @@ LEADERS = 4
 BANDS, BAND_ROWS = 24, 4
 #: Parity bits of a shingle set: 2**PARITY_BITS at most, sharp up to some 30,000 shingles; fewer than all would still lose no pair.
 PARITY_BITS = 16
+#: Bits of a set's fingerprint, and the distance that pairs at similarity 0.8 stay within: at most 3/16 of the
+#: bits are expected to differ (sets of 4 and 5 shingles; large sets 0.152), and 6 standard deviations are added.
+WIDE_BITS, WIDE_DISTANCE = 512, 149
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -93,18 +98,29 @@ def band_keys(shingles: np.ndarray, bands: int = BANDS, band_rows: int = BAND_RO
     return key.view(np.int64)
 
 
+def wide_print(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of a set of hashes in WIDE_BITS bits (signed words): a bit is 1 if set in over half of them."""
+    draws = np.random.default_rng(SEED + 1).integers(0, 2**64, WIDE_BITS // 64, np.uint64)
+    words = []
+    for draw in draws:
+        octets = _mix(shingles ^ draw).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
+        words.append(np.packbits(2 * ones > len(shingles), bitorder="little").view(np.int64))
+    return np.concatenate(words)
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """Adds ``fp`` (the hash of the shingle set) and ``keys`` to rows with a ``text``, which goes."""
+    """Adds ``fp`` (the hash of the shingle set), ``keys`` and ``bits`` (its wide fingerprint) to rows with a ``text``, which goes."""
 
     ship(docs.sparkSession)
 
-    @F.pandas_udf("fp long, keys array<long>")
+    @F.pandas_udf("fp long, keys array<long>, bits array<long>")
     def udf(text: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(t, shingle) for t in text]
         fp = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
-        return pd.DataFrame({"fp": fp.view(np.int64), "keys": [band_keys(s) for s in sets]})
+        return pd.DataFrame({"fp": fp.view(np.int64), "keys": [band_keys(s) for s in sets], "bits": [wide_print(s) for s in sets]})
 
-    return docs.withColumn("s", udf("text")).select(*[c for c in docs.columns if c != "text"], "s.fp", "s.keys")
+    return docs.withColumn("s", udf("text")).select(*[c for c in docs.columns if c != "text"], "s.fp", "s.keys", "s.bits")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -172,6 +188,13 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
+def extent(groups: DataFrame, weight: str = "n") -> dict:
+    """What ``join_hot_cold`` wants to know of ``groups``: the total of their weights, and whether any are hot or cold."""
+    total, least, most = groups.agg(F.sum(weight), F.min(weight), F.max(weight)).first()
+    total = max(total or 0, 1)
+    return {"total": total, "cold": (least or 0) * PARTS < total, "hot": (most or 0) * PARTS >= total}
+
+
 def links(prints: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(a, b): a spanning set of the links between the distinct ``fp`` of ``prints``."""
     ship(prints.sparkSession)
@@ -218,8 +241,7 @@ def components(edges: DataFrame) -> DataFrame:
         side = both if large else both.filter("v < u")
         low = side.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
         low = materialize(low)
-        total = low.agg(F.sum("n")).first()[0] or 0
-        met = join_hot_cold(side.filter("v > u") if large else side, low, ["u"], "n", max(total, 1))
+        met = join_hot_cold(side.filter("v > u") if large else side, low, ["u"], "n", **extent(low))
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
@@ -247,9 +269,11 @@ def parity_bits(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def maybe_similar(root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def maybe_similar(root: np.ndarray, size: np.ndarray, parity: np.ndarray, similarity: float, near: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of different roots whose sets may have the similarity; it leaves out none that have it.
 
+    ``near``, if given, has the pairs to look at.
+
     Every hash that one set has and the other has not changes one parity bit, so
     the sets differ by as many hashes as bits at least. Sets of sizes x and y
     have a similarity t or more if they differ by (x + y) (1 - t) / (1 + t) at
@@ -268,14 +292,33 @@ def maybe_similar(root: np.ndarray, size: np.ndarray, parity: np.ndarray, simila
         for i, one in enumerate(ours):
             rest = at[i + 1 :]
             fits = np.flatnonzero((root[rest] != root[one]) & (np.minimum(size[rest], size[one]) >= similarity * np.maximum(size[rest], size[one]) - 1e-9))
+            fits = fits if near is None else fits[near[one, rest[fits]]]
             differ = np.bitwise_count(bits[i + 1 + fits] ^ bits[i]).sum(axis=1, dtype=np.int64)
             rest = rest[fits]
-            near = rest[differ * (1 + similarity) <= (size[rest] + size[one]) * (1 - similarity) + 1e-9]
-            first.append(np.full(len(near), one))
-            second.append(near)
+            left = rest[differ * (1 + similarity) <= (size[rest] + size[one]) * (1 - similarity) + 1e-9]
+            first.append(np.full(len(left), one))
+            second.append(left)
     return np.concatenate(first), np.concatenate(second)
 
 
+def near_table(prints: np.ndarray, distance: int = WIDE_DISTANCE) -> np.ndarray:
+    """near[i, j]: whether the wide fingerprints (a row of words each) are within the distance.
+
+    The pivot table holds the distances to PIVOTS of them; a pair whose largest
+    coordinate difference is above the distance is discarded, the rest is
+    verified by its own distance.
+    """
+    n = len(prints)
+    pivots = prints[np.unique(np.linspace(0, n - 1, PIVOTS).astype(int))]
+    table = np.stack([np.bitwise_count(prints ^ p).sum(axis=1, dtype=np.int16) for p in pivots], axis=1)
+    near = np.zeros((n, n), bool)
+    for i in range(n):
+        rest = i + 1 + np.flatnonzero((np.abs(table[i + 1 :] - table[i]) <= distance).all(axis=1))
+        rest = rest[np.bitwise_count(prints[rest] ^ prints[i]).sum(axis=1, dtype=np.int16) <= distance]
+        near[i, rest] = near[rest, i] = True
+    return near
+
+
 def whole_units(batches):
     """Frames that hold all rows of their units, from batches that stand in the order of ``unit``."""
     held = None
@@ -292,14 +335,16 @@ def whole_units(batches):
 def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity: float, unit_rows: int = UNIT_ROWS) -> DataFrame:
     """(a, b): links whose components are those of all verified pairs of ``fp`` that share a key.
 
-    ``marked`` is materialized (uid, fp, keys), ``texts`` has uid and text. In
+    ``marked`` is materialized (uid, fp, keys, bits), ``texts`` has uid and text. In
     every bucket the members are first verified against its least; then, while
     that finds links, those of other components against another member, LEADERS
     times at most. Only pairs of still different components are left; they meet
-    in units of two chunks of a bucket, which give the pairs that their parity
-    bits leave possible, to be verified by the sets.
+    in units of two chunks of a bucket. Everywhere pairs go by the distance of their
+    wide fingerprints first; units do so by pivot tables, and give the pairs that
+    the sets' parity bits leave possible too. What is left is verified by the sets.
     """
-    ship(marked.sparkSession)
+    spark = marked.sparkSession
+    ship(spark)
 
     @F.pandas_udf("array<long>")
     def shingles(text: pd.Series) -> pd.Series:
@@ -308,42 +353,55 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     def sets_of(needed: DataFrame) -> DataFrame:
         return materialize(texts.join(one.join(needed, "fp", "left_semi"), "uid").select("fp", shingles("text").alias("s")))
 
+    def near(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) within WIDE_DISTANCE."""
+        for side in ("a", "b"):
+            pairs = pairs.join(prints.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+        differ = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+        return pairs.filter(F.aggregate(differ, F.lit(0), lambda n, x: n + x) <= WIDE_DISTANCE).drop("bits_a", "bits_b")
+
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("s").alias(f"s{side}")), side)
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).select("a", "b")
-
-    def of_roots(found: DataFrame) -> DataFrame:
-        """The members of buckets of several components, with their roots."""
-        roots = materialize(components(found))
-        members = met.join(roots, met["fp"] == roots["node"], "left").select("key", "n", "fp", F.coalesce("root", "fp").alias("root"))
-        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.first("n").alias("n")).filter("r0 <> r1")
-        return materialize(join_hot_cold(members.drop("n"), materialize(mixed), ["key"], "n", max(total, 1)))
-
-    spark = marked.sparkSession
-    one = materialize(marked.groupBy("fp").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys")))
-    keyed = one.select("fp", F.explode("keys").alias("key"))
-    one = one.select("fp", "uid")
+        return pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).drop("sa", "sb")
+
+    def still_mixed(members: DataFrame) -> DataFrame:
+        """The members (key, fp, root) of buckets of several components, with their number ``n``."""
+        members = materialize(members)
+        mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
+        mixed = materialize(mixed.select("key", "n"))
+        return materialize(join_hot_cold(members, mixed, ["key"], "n", **extent(mixed)))
+
+    first = materialize(marked.groupBy("fp").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
+    one, prints = first.select("fp", "uid"), first.select("fp", "bits")
+    keyed = first.select("fp", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).filter("n > 1"))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    met = materialize(join_hot_cold(keyed, sizes, ["key"], "n", max(total, 1)))
+    met = materialize(join_hot_cold(keyed, sizes, ["key"], "n", **extent(sizes)))
     tried = materialize(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
     release(spark)
-    found = materialize(verified(tried, sets_of(tried.select(F.explode(F.array("a", "b")).alias("fp")).distinct())))
+    close = materialize(near(tried))
+    found = materialize(verified(close, sets_of(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct())))
     release(spark)
-    members = of_roots(found)
+    roots = materialize(components(found))
+    release(spark)
+    # a text's root is looked up once, not once a bucket
+    held = met.groupBy("fp").agg(F.collect_list("key").alias("ks")).join(roots, F.col("fp") == F.col("node"), "left")
+    members = still_mixed(held.select(F.explode("ks").alias("key"), "fp", F.coalesce("root", "fp").alias("root")))
     sets = sets_of(members.select("fp").distinct())
     for salt in range(LEADERS):
-        leader = members.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("leader"), F.count("*").alias("n"))
-        led = join_hot_cold(members.drop("n"), materialize(leader), ["key"], "n", max(total, 1)).filter("root <> leader.root")
-        pairs = led.select(F.greatest("fp", "leader.fp").alias("a"), F.least("fp", "leader.fp").alias("b")).distinct()
+        leader = materialize(members.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("leader"), F.count("*").alias("n")))
+        led = join_hot_cold(members.drop("n"), leader, ["key"], "n", **extent(leader)).filter("root <> leader.root")
+        swap = F.col("fp") < F.col("leader.fp")
+        pairs = led.select(F.greatest("fp", "leader.fp").alias("a"), F.least("fp", "leader.fp").alias("b"), F.when(swap, F.col("leader.root")).otherwise(F.col("root")).alias("ra"), F.when(swap, F.col("root")).otherwise(F.col("leader.root")).alias("rb")).distinct()
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
-        new = materialize(verified(pairs, sets))
+        new = materialize(verified(near(pairs), sets))
         if new.isEmpty():
             break
-        found, tried = materialize(found.union(new)), materialize(tried.union(pairs))
-        members = of_roots(found)
+        found, tried = materialize(found.union(new.select("a", "b"))), materialize(tried.union(pairs.select("a", "b")))
+        joined = materialize(components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        moved = members.groupBy("fp").agg(F.first("root").alias("root"), F.collect_list("key").alias("ks")).join(joined.toDF("root", "new_root"), "root", "left")
+        members = still_mixed(moved.select(F.explode("ks").alias("key"), "fp", F.coalesce("new_root", "root").alias("root")))
         release(spark)
 
     @F.pandas_udf("binary")
@@ -353,18 +411,19 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     def sift(batches):
         for held in whole_units(batches):
             begins = np.flatnonzero(np.diff(held["unit"].to_numpy(), prepend=held["unit"].iloc[0] - 1))
-            fp, root, size, bits = (held[c].to_numpy() for c in ("fp", "root", "size", "parity"))
+            fp, root, size, odd, bits = (held[c].to_numpy() for c in ("fp", "root", "size", "parity", "bits"))
             for i, j in zip(begins, [*begins[1:], len(held)]):
-                a, b = maybe_similar(root[i:j], size[i:j], bits[i:j], similarity)
+                a, b = maybe_similar(root[i:j], size[i:j], odd[i:j], similarity, near_table(np.stack(bits[i:j]).view(np.uint64)))
                 if len(a):
                     yield pd.DataFrame({"a": np.maximum(fp[i + a], fp[i + b]), "b": np.minimum(fp[i + a], fp[i + b])})
 
     chunks = F.ceil(F.col("n") / unit_rows)
     parts = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda c: F.least(F.col("mine"), c) * F.col("chunks") + F.greatest(F.col("mine"), c))
-    odd = materialize(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), parity("s").alias("parity")))
+    odd = materialize(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), parity("s").alias("parity")).join(prints, "fp"))
     units = members.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select(F.explode(parts).alias("part"), "key", "fp", "root")
-    units = units.join(odd, "fp").select(F.xxhash64("key", "part").alias("unit"), "fp", "root", "size", "parity").repartition("unit").sortWithinPartitions("unit")
+    units = units.join(odd, "fp").select(F.xxhash64("key", "part").alias("unit"), "fp", "root", "size", "parity", "bits").repartition("unit").sortWithinPartitions("unit")
     across = materialize(units.mapInPandas(sift, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    release(spark)
     return found.union(verified(across, sets))
 
 
@@ -418,7 +477,7 @@ def kept_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_
     rows = held.select(F.col("row")[id_col].alias("doc_id"), "uid", full_text(F.col("row")[text_col]).alias("text"))
     marked = materialize(sketches(rows, shingle))
     release(docs.sparkSession)
-    gone = simhash_groups(marked.drop("keys"), lambda _: similar_links(marked, texts, shingle, similarity)).filter("uid <> keep_uid").select("uid")
+    gone = simhash_groups(marked.drop("keys", "bits"), lambda _: similar_links(marked, texts, shingle, similarity)).filter("uid <> keep_uid").select("uid")
     gone = materialize(gone)
     release(docs.sparkSession)
     return held.join(gone, "uid", "left_anti").select("row.*")

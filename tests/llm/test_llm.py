@@ -670,3 +670,24 @@ def test_estimates_of_few_groups_take_one_broadcast(spark):
     once, both = join_hot_cold(rows, groups, ["k"], "n", 18, cold=has_cold(groups, "n", 18)), join_hot_cold(rows, groups, ["k"], "n", 18, parts=1)
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert sorted(once.collect()) == sorted(both.collect()) and joins(once) == 1 and joins(both) > 1
+
+
+def test_wide_fingerprints_lose_no_pair_at_08():
+    """Sets of all sizes at 0.8 or more stay within the distance, unrelated ones are discarded; the table equals all pairs."""
+    rng = np.random.default_rng(8)
+    far, prints = 0, []
+    for _ in range(1500):
+        n = int(rng.choice([4, 5, 8, 9, 12, 20, 45, 90, 400]))
+        both = rng.integers(0, 2**64, n, np.uint64)
+        most = n // 4  # at 0.8 and above: n / (n + more) >= 0.8
+        more = int(rng.integers(0, 1 + most)) if n > 9 else most
+        cut = int(rng.integers(0, more + 1))
+        extra = rng.integers(0, 2**64, more, np.uint64)
+        a, b = (simhash.wide_print(np.concatenate([both, x])).view(np.uint64) for x in (extra[:cut], extra[cut:]))
+        far = max(far, int(np.bitwise_count(a ^ b).sum()))
+        prints += [a, b]
+    assert far <= simhash.WIDE_DISTANCE
+    prints = np.stack(prints[:300])
+    want = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= simhash.WIDE_DISTANCE
+    np.fill_diagonal(want, False)
+    assert np.array_equal(simhash.near_table(prints), want) and want.sum() < 2 * 300
