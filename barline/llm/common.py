@@ -7,7 +7,7 @@ import gc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.scratch import materialize, remove, scratch_base, scratch_dir  # noqa: F401  (the operators' folders)
+from barline.scratch import materialize, remove, scratch_base, scratch_dir, settled  # noqa: F401  (the operators' folders)
 
 # Fixed value: the white-space class of every contract, [\x20\x09-\x0D].
 SPACES = " \t\n\x0b\x0c\r"
@@ -56,6 +56,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def narrow(df: DataFrame, rows: int, per_task: int = 100_000) -> DataFrame:
+    """``df``, of ``rows`` narrow rows at most, in no more partitions than they are worth: two a core, or one for ``per_task`` rows.
+
+    A small table is else a file and a task for each shuffle partition, however many a cluster is set to.
+    """
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task)))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

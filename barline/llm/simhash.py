@@ -11,7 +11,8 @@ discarded; survivors are verified by their own distance.
 Buckets above ``unit_rows`` fingerprints are cut into chunks and every pair of
 chunks becomes a unit of its own, so no task holds a whole bucket. A unit sends
 a spanning forest of its links, never all pairs. Components of the link graph
-come from alternating star contractions, a shuffle each, checkpointed as tables.
+come from forests of FOREST_ROWS links a task, then alternating star
+contractions, a shuffle each, checkpointed as tables that go when the next is there.
 
 ``kept_similar`` links by set similarity instead: three bits of 64 are far
 tighter than a Jaccard similarity of 0.8 (about ten bits apart), and no bucket
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barline import ship
-from barline.llm.common import PARTS, full_text, join_hot_cold, materialize, release
+from barline.llm.common import PARTS, full_text, join_hot_cold, materialize, narrow, release, settled
 
 SHINGLE = 3
 DISTANCE = 3
@@ -43,6 +44,8 @@ OFFSETS, WIDTHS = (0, 13, 26, 39, 52), (13, 13, 13, 13, 12)
 UNIT_ROWS = 500
 #: Rounds of comparing a bucket's members with one of them before the rest is compared pair by pair.
 LEADERS = 4
+#: Links (two longs each) that a task of ``components`` contracts at once.
+FOREST_ROWS = 1 << 17
 #: A pair at similarity 0.8 shares none of the fingerprints once in 300,000 times.
 BANDS, BAND_ROWS = 24, 4
 #: Parity bits of a shingle set: 2**PARITY_BITS at most, sharp up to some 30,000 shingles; fewer than all would still lose no pair.
@@ -230,31 +233,59 @@ def links(prints: DataFrame, unit_rows: int = UNIT_ROWS) -> DataFrame:
     return units.mapInPandas(link, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, forest_rows: int = FOREST_ROWS) -> DataFrame:
     """(node, root) for every node of the edges (a, b); root: its component's least node.
 
-    Alternates large-star and small-star steps until the stars stay the same.
+    Each round contracts ``forest_rows`` edges at a time to their spanning forest,
+    then takes a large-star and a small-star step, until the stars stay the same.
+    Edges that one such forest holds are done with it.
     """
+    ship(edges.sparkSession)
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def forests(batches):
+        def stars(held):
+            ends = np.concatenate([held["a"].to_numpy(), held["b"].to_numpy()])
+            nodes, at = np.unique(ends, return_inverse=True)  # in order, so the least index is the least node
+            root = forest(len(nodes), at[: len(held)], at[len(held) :])
+            far = np.flatnonzero(root != np.arange(len(nodes)))
+            return pd.DataFrame({"a": nodes[far], "b": nodes[root[far]]})
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= forest_rows:
+                yield stars(pd.concat(held, ignore_index=True))
+                held, n = [], 0
+        if n:
+            yield stars(pd.concat(held, ignore_index=True))
+
+    def star(e: DataFrame, rows: int, large: bool) -> DataFrame:
         both = e.union(e.select("b", "a")).toDF("u", "v")
         side = both if large else both.filter("v < u")
         low = side.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("u", "m"))
-        low = materialize(low)
+        low = materialize(narrow(low, 2 * rows))
         met = join_hot_cold(side.filter("v > u") if large else side, low, ["u"], "n", **extent(low))
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b"))
         if not large:
             out = out.union(low.select(F.col("u").alias("a"), F.col("m").alias("b")))
-        return out.filter("a <> b").distinct()
+        return narrow(out.filter("a <> b").distinct(), 2 * rows)
 
     def state(e: DataFrame) -> tuple:
         r = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return r[0], r[1]
 
+    def around(e: DataFrame, rows: int) -> DataFrame:
+        e = materialize(e.mapInPandas(forests, "a long, b long"))
+        return star(materialize(star(e, rows, True)), rows, False)
+
     e = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(e)
     while before[0]:
-        e = materialize(star(materialize(star(e, True)), False))
+        if before[0] <= forest_rows:
+            e = materialize(e.coalesce(1).mapInPandas(forests, "a long, b long"))
+            break
+        e = settled(lambda e=e, rows=before[0]: around(e, rows))
         now = state(e)
         if now == before:
             break
@@ -356,52 +387,53 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     def near(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) within WIDE_DISTANCE."""
         for side in ("a", "b"):
-            pairs = pairs.join(prints.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}")), side)
+            pairs = narrow(pairs.join(prints.select(F.col("fp").alias(side), F.col("bits").alias(f"bits_{side}")), side), rows)
         differ = F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
         return pairs.filter(F.aggregate(differ, F.lit(0), lambda n, x: n + x) <= WIDE_DISTANCE).drop("bits_a", "bits_b")
 
     def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            pairs = pairs.join(sets.select(F.col("fp").alias(side), F.col("s").alias(f"s{side}")), side)
+            pairs = narrow(pairs.join(sets.select(F.col("fp").alias(side), F.col("s").alias(f"s{side}")), side), rows, 20_000)
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.filter(both / (F.size("sa") + F.size("sb") - both) >= similarity).drop("sa", "sb")
 
     def still_mixed(members: DataFrame) -> DataFrame:
         """The members (key, fp, root) of buckets of several components, with their number ``n``."""
-        members = materialize(members)
+        members = materialize(narrow(members, rows))
         mixed = members.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n")).filter("r0 <> r1")
-        mixed = materialize(mixed.select("key", "n"))
-        return materialize(join_hot_cold(members, mixed, ["key"], "n", **extent(mixed)))
+        mixed = materialize(narrow(mixed.select("key", "n"), rows))
+        return narrow(join_hot_cold(members, mixed, ["key"], "n", **extent(mixed)), rows)
 
     first = materialize(marked.groupBy("fp").agg(F.min("uid").alias("uid"), F.first("keys").alias("keys"), F.first("bits").alias("bits")))
     one, prints = first.select("fp", "uid"), first.select("fp", "bits")
+    rows = BANDS * first.count()  # the most that any table of keys or links below can have
     keyed = first.select("fp", F.explode("keys").alias("key"))
-    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).filter("n > 1"))
-    met = materialize(join_hot_cold(keyed, sizes, ["key"], "n", **extent(sizes)))
-    tried = materialize(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct())
+    sizes = materialize(narrow(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("low")).filter("n > 1"), rows))
+    met = materialize(narrow(join_hot_cold(keyed, sizes, ["key"], "n", **extent(sizes)), rows))
+    tried = materialize(narrow(met.filter("fp <> low").select(F.col("fp").alias("a"), F.col("low").alias("b")).distinct(), rows))
     release(spark)
     close = materialize(near(tried))
     found = materialize(verified(close, sets_of(close.select(F.explode(F.array("a", "b")).alias("fp")).distinct())))
     release(spark)
-    roots = materialize(components(found))
+    roots = settled(lambda: components(found))
     release(spark)
     # a text's root is looked up once, not once a bucket
     held = met.groupBy("fp").agg(F.collect_list("key").alias("ks")).join(roots, F.col("fp") == F.col("node"), "left")
-    members = still_mixed(held.select(F.explode("ks").alias("key"), "fp", F.coalesce("root", "fp").alias("root")))
+    members = settled(lambda: still_mixed(held.select(F.explode("ks").alias("key"), "fp", F.coalesce("root", "fp").alias("root"))))
     sets = sets_of(members.select("fp").distinct())
     for salt in range(LEADERS):
-        leader = materialize(members.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("leader"), F.count("*").alias("n")))
+        leader = materialize(narrow(members.groupBy("key").agg(F.min_by(F.struct("fp", "root"), F.xxhash64("fp", F.lit(salt))).alias("leader"), F.count("*").alias("n")), rows))
         led = join_hot_cold(members.drop("n"), leader, ["key"], "n", **extent(leader)).filter("root <> leader.root")
         swap = F.col("fp") < F.col("leader.fp")
         pairs = led.select(F.greatest("fp", "leader.fp").alias("a"), F.least("fp", "leader.fp").alias("b"), F.when(swap, F.col("leader.root")).otherwise(F.col("root")).alias("ra"), F.when(swap, F.col("root")).otherwise(F.col("leader.root")).alias("rb")).distinct()
-        pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = materialize(narrow(pairs.join(tried, ["a", "b"], "left_anti"), rows))
         new = materialize(verified(near(pairs), sets))
         if new.isEmpty():
             break
-        found, tried = materialize(found.union(new.select("a", "b"))), materialize(tried.union(pairs.select("a", "b")))
-        joined = materialize(components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
+        found, tried = materialize(narrow(found.union(new.select("a", "b")), rows)), materialize(narrow(tried.union(pairs.select("a", "b")), rows))
+        joined = settled(lambda new=new: components(new.select(F.col("ra").alias("a"), F.col("rb").alias("b"))))
         moved = members.groupBy("fp").agg(F.first("root").alias("root"), F.collect_list("key").alias("ks")).join(joined.toDF("root", "new_root"), "root", "left")
-        members = still_mixed(moved.select(F.explode("ks").alias("key"), "fp", F.coalesce("new_root", "root").alias("root")))
+        members = settled(lambda moved=moved: still_mixed(moved.select(F.explode("ks").alias("key"), "fp", F.coalesce("new_root", "root").alias("root"))))
         release(spark)
 
     @F.pandas_udf("binary")
@@ -422,7 +454,7 @@ def similar_links(marked: DataFrame, texts: DataFrame, shingle: int, similarity:
     odd = materialize(sets.join(members.select("fp").distinct(), "fp", "left_semi").select("fp", F.size("s").alias("size"), parity("s").alias("parity")).join(prints, "fp"))
     units = members.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("chunks"))).select(F.explode(parts).alias("part"), "key", "fp", "root")
     units = units.join(odd, "fp").select(F.xxhash64("key", "part").alias("unit"), "fp", "root", "size", "parity", "bits").repartition("unit").sortWithinPartitions("unit")
-    across = materialize(units.mapInPandas(sift, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"))
+    across = materialize(narrow(units.mapInPandas(sift, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti"), rows))
     release(spark)
     return found.union(verified(across, sets))
 
@@ -433,14 +465,15 @@ def simhash_groups(marked: DataFrame, find=links) -> DataFrame:
     ``find`` gives the links between the distinct ``fp``.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid")).alias("least")
-    prints = materialize(marked.groupBy("fp").agg(least, F.count("*").alias("n")))
-    roots = materialize(components(find(prints.select("fp"))))
+    total = marked.count()
+    prints = materialize(narrow(marked.groupBy("fp").agg(least, F.count("*").alias("n")), total))
+    roots = settled(lambda: components(find(prints.select("fp"))))
     linked = prints.join(roots, prints["fp"] == roots["node"])
     tops = linked.groupBy("root").agg(F.min("least").alias("top"), F.count("*").alias("size"))
     named = join_hot_cold(linked.drop("node"), tops, ["root"], "size", max(1, roots.count())).select("fp", F.col("top").alias("least"), "n")
     alone = prints.join(roots.select(F.col("node").alias("fp")), "fp", "left_anti").select("fp", "least", "n")
-    groups = materialize(named.unionByName(alone))
-    out = join_hot_cold(marked, groups, ["fp"], "n", max(1, marked.count()))
+    groups = materialize(narrow(named.unionByName(alone), total))
+    out = join_hot_cold(marked, groups, ["fp"], "n", max(1, total))
     return out.select("doc_id", "uid", "fp", F.col("least.doc_id").alias("component_id"), F.col("least.uid").alias("keep_uid"))
 
 
@@ -475,9 +508,12 @@ def kept_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_
     held = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("uid")))
     texts = held.select("uid", full_text(F.col("row")[text_col]).alias("text"))
     rows = held.select(F.col("row")[id_col].alias("doc_id"), "uid", full_text(F.col("row")[text_col]).alias("text"))
-    marked = materialize(sketches(rows, shingle))
-    release(docs.sparkSession)
-    gone = simhash_groups(marked.drop("keys", "bits"), lambda _: similar_links(marked, texts, shingle, similarity)).filter("uid <> keep_uid").select("uid")
-    gone = materialize(gone)
+
+    def leave() -> DataFrame:
+        marked = materialize(sketches(rows, shingle))
+        release(docs.sparkSession)
+        return simhash_groups(marked.drop("keys", "bits"), lambda _: similar_links(marked, texts, shingle, similarity)).filter("uid <> keep_uid").select("uid")
+
+    gone = settled(leave)
     release(docs.sparkSession)
     return held.join(gone, "uid", "left_anti").select("row.*")

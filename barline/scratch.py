@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_on_the_way: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("on_the_way", default=None)
 
 
 def scratch_base(spark: SparkSession) -> str:
@@ -55,6 +58,24 @@ def materialize(df: DataFrame, *partition_by: str, codec: str | None = None) ->
     It cuts lineage and survives the loss of executors.
     """
     path = scratch_dir(df.sparkSession)
+    if (tables := _on_the_way.get()) is not None:
+        tables.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settled(build: Callable[[], DataFrame]) -> DataFrame:
+    """``materialize(build())``; the tables that ``build`` wrote on the way are removed, as nothing reads them any more."""
+    outer, mine = _on_the_way.get(), []
+    token = _on_the_way.set(mine)
+    try:
+        out = materialize(build())
+    finally:
+        _on_the_way.reset(token)
+    *steps, last = mine
+    if outer is not None:
+        outer.append(last)
+    for path in steps:
+        remove(out.sparkSession, path)
+    return out

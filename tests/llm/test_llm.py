@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -691,3 +692,48 @@ def test_wide_fingerprints_lose_no_pair_at_08():
     want = np.bitwise_count(prints[:, None] ^ prints[None]).sum(axis=2, dtype=np.int64) <= simhash.WIDE_DISTANCE
     np.fill_diagonal(want, False)
     assert np.array_equal(simhash.near_table(prints), want) and want.sum() < 2 * 300
+
+
+@pytest.mark.parametrize("forest_rows", [1 << 17, 64])
+def test_components_of_any_size_leave_few_files(spark, forest_rows):
+    """A long chain, a star and random pairs against union-find, in one forest and in many; small tables don't get a file a shuffle partition."""
+    rng = np.random.default_rng(8)
+    names = rng.permutation(np.arange(-400, 400) * 10**15 + 7)
+    pairs = [(i, i + 1) for i in range(120)] + [(150, k) for k in range(151, 250)] + [tuple(map(int, rng.integers(300, 800, 2))) for _ in range(220)]
+    top = list(range(800))
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for a, b in pairs:
+        top[find(a)] = find(b)
+    groups = {}
+    for i in {x for p in pairs if p[0] != p[1] for x in p}:
+        groups.setdefault(find(i), set()).add(int(names[i]))
+    rows = [(int(names[a]), int(names[b])) for a, b in pairs]
+    edges = spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], "a long, b long").repartition(5)
+    held = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        got = simhash.components(edges, **({} if forest_rows == 1 << 17 else {"forest_rows": forest_rows}))
+        files = len(got.inputFiles())
+        assert {(r["node"], r["root"]) for r in got.collect()} == {(x, min(g)) for g in groups.values() for x in g}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert files <= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_near_copies_leave_no_tables_behind(spark):
+    """Of all that the stage writes on the way, what its result reads stays: the rows, and those that go."""
+    from barline.scratch import scratch_base
+
+    docs = spark.createDataFrame([(i, " ".join(f"w{k}" for k in range(i % 7, 40 + i % 7)) + f" end{i}") for i in range(60)], "doc_id long, text string")
+    base = Path(scratch_base(spark))
+    before = set(base.iterdir()) if base.exists() else set()
+    out = simhash.kept_similar(docs)
+    assert len(set(base.iterdir()) - before) == 2
+    assert sorted(r[0] for r in out.collect()) == least_of_similar([tuple(r) for r in docs.collect()])
